@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a part of a queue is meant to hold.
-PART_ROWS = 20_000
+PART_ROWS = 2_000
 
 
 def words(text: str | Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import bpe, mixing, mpeg_audio, repair_shards
+from foldspark.llm import ann, bpe, mixing, mpeg_audio, near_duplicates, repair_shards
 from foldspark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,14 +36,20 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.per_document(table(spark, sf_dir, "documents"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_graph_search": op1_graph_search,
     "op2_bpe": op2_bpe,
     "op3_mix": op3_mix,
     "op4_token_shards": op4_token_shards,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 
