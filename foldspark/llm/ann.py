@@ -198,9 +198,9 @@ def index(nodes_: DataFrame) -> DataFrame:
 def search(graphs: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, block: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, id, score) for ``queries`` (id, vector); a query's own id is no candidate of it."""
     blocks = max(1, -(-queries.count() // block))
-    shards = graphs.select("shard", F.size("vector").alias("_d")).distinct()
+    shards = graphs.select(F.col("shard").alias("asks"), F.size("vector").alias("_d")).distinct()
     asked = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    asked = asked.join(shards, F.size("vector") == F.col("_d")).select("shard", "block", "id", "vector")
+    asked = asked.join(shards, F.size("vector") == F.col("_d")).select("asks", F.col("block").alias("part"), "id", "vector")
     spread = graphs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "*")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -239,7 +239,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM,
         a, b, s = zip(*out)
         return pa.table({"query_id": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    best = spread.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id long, id long, score double")
+    best = spread.groupBy("shard", "block").cogroup(asked.groupBy("asks", "part")).applyInArrow(run, "query_id long, id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
