@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import ann, bpe, mixing, mpeg_audio, near_duplicates, repair_shards
+from foldspark.llm import ann, bpe, kneser_ney, mixing, mpeg_audio, near_duplicates, repair_shards
 from foldspark.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.per_document(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_mix": op3_mix,
     "op4_token_shards": op4_token_shards,
+    "op6_kneser_ney": op6_kneser_ney,
     "op8_near_duplicates": op8_near_duplicates,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
