@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import ann, bpe, kneser_ney, mixing, mpeg_audio, near_duplicates, repair_shards
+from foldspark.llm import ann, bpe, kneser_ney, language_codes, mixing, mpeg_audio, near_duplicates, quality_gam, repair_shards, toxicity_crf
 from foldspark.llm.common import table
 
 
@@ -36,14 +36,26 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_codes.held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.per_document(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_crf.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digests(table(spark, sf_dir, "documents"))
 
@@ -53,8 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_mix": op3_mix,
     "op4_token_shards": op4_token_shards,
+    "op5_language_codes": op5_language_codes,
     "op6_kneser_ney": op6_kneser_ney,
+    "op7_quality_gam": op7_quality_gam,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_toxicity_crf": op9_toxicity_crf,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
 

@@ -69,13 +69,14 @@ def doc_chunks(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and ``first``: where each row's words begin."""
+def word_spans(buf: np.ndarray, off: np.ndarray, outside: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and ``first``: where each row's words begin.
+    ``outside`` tells for each byte whether it separates words."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    inside = ~_IS_SPACE[buf]
+    inside = ~outside[buf]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     begins = inside.copy()
@@ -88,13 +89,18 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """64-bit hash of every span of one chunk."""
+    return hash_several(buf, starts, [ends], lower)[0]
+
+
+def hash_several(buf: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], lower: bool) -> list[np.ndarray]:
+    """Hashes of spans with the same starts and several ends."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in ends]
     table = _BYTE[_LOWER] if lower else _BYTE
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(table[buf] * _power("up", len(buf) + 1)[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", len(buf) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    begin, scale = sums[starts], _power("down", len(buf) + 1)[starts]
+    return [mix((sums[e] - begin) * scale + (e - starts).astype(np.uint64)) for e in ends]
 
 
 def hashed_words(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
