@@ -31,7 +31,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row each time a document is served. One that the cut goes through keeps its first words, a space between each."""
     spaced = F.ltrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    cut = F.substring_index(spaced, " ", F.col("words").cast("int"))
+    cut = F.call_function("substring_index", spaced, F.lit(" "), F.col("words").cast("int"))
     served = mixing.mix(docs)
     text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
     return served.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
