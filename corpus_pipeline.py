@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are likelier toxic than not; learned from the labelled documents that are left."""
     known = table(spark, sf_dir, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    tagger = toxicity_crf.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    tagger = toxicity_crf.train(docs, known)
     return toxicity_crf.score(docs, tagger).filter("score < 0.5").select(*docs.columns)
 
 

@@ -6,8 +6,10 @@ import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,29 @@ def remainder(key: str | Column, m: int) -> Column:
 def materialised(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared checkpoint folder."""
     return df.checkpoint(eager=True)
+
+
+def with_computed(df: DataFrame, column: str, fields: str, start: Callable[[], Callable[[pa.Array], Iterator[list[pa.Array]]]]) -> DataFrame:
+    """``df`` with the fields (``name type, ...``) computed from one column; columns of these names are replaced.
+
+    Only that column goes to Python.  ``start`` runs once a task; what it returns turns
+    a batch into arrays of the fields, for some rows at a time and in their order.
+    """
+    names = [f.strip().split(" ", 1)[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        apply = start()
+        for batch in batches:
+            for arrays in apply(batch):
+                yield pa.StructArray.from_arrays(arrays, names)
+
+    # "Non-deterministic" keeps Spark from moving filters on the result below it and computing it twice.
+    made = F.arrow_udf(_with_batches(run), fields).asNondeterministic()
+    others = [c for c in df.columns if c not in names]
+    return df.withColumn("_foldspark_made", made(F.col(column))).select(*(F.col(f"`{c}`") for c in others), *(F.col(f"_foldspark_made.{n}").alias(n) for n in names))
+
+
+def _with_batches(run: Callable) -> Callable:
+    """With evaluated type hints, by which Spark tells functions over iterators."""
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import ready, remainder
+from foldspark.llm.common import ready, remainder, with_computed
 from foldspark.llm.samples import labelled_sample
 from foldspark.llm.textvec import doc_chunks, raw_utf8
 
 PER_LANGUAGE, BINS, ORDERS = 500, 1 << 12, 4
+#: Rows whose features are held at a time.
+ROWS = 256
 #: Loss of the runner-up over that of the best below which a prediction is ambiguous.
 AMBIGUOUS = 1.02
 _LETTER = np.full(256, 32, np.uint8)
@@ -39,7 +41,7 @@ _LETTER[128:] = np.arange(128, 256)
 def histograms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, n-gram features of some rows, whether they have a letter)."""
     buf, off = raw_utf8(column)
-    for i, j in doc_chunks(off, 1 << 20):
+    for i, j in ((k, min(k + ROWS, j)) for i, j in doc_chunks(off, 1 << 20) for k in range(i, j, ROWS)):
         raw, rel = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         c = _LETTER[raw]
         capital = np.flatnonzero((c[:-1] == 0xC3) & (c[1:] >= 0x80) & (c[1:] <= 0x9E)) + 1  # Latin capitals with accents
@@ -134,7 +136,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language
                 labels = batch.column(1).slice(i, len(x)).filter(pa.array(has))
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[has]], pa.binary()), labels, batch.column(2).slice(i, len(x)).filter(pa.array(has))], ["x", "label", "h"])
 
-    kept = labelled_sample(rows, per_language, text, label).select("text", F.col("label").cast("string"), "h").mapInArrow(features, "x binary, label string, h long")
+    kept = labelled_sample(rows, rows.select(F.xxhash64(text).alias("h"), F.col(label).alias("label")), per_language, text).select("text", F.col("label").cast("string"), "h").mapInArrow(features, "x binary, label string, h long")
     found = sorted(kept.collect(), key=lambda r: (r["label"], r["h"]))
     x = np.frombuffer(b"".join(r["x"] for r in found), np.float32).reshape(-1, BINS)
     return fit(x, [r["label"] for r in found])
@@ -142,24 +144,21 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language
 
 def predict(docs: DataFrame, model: Codes, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous (columns of these names are replaced)."""
-    made = ["lang_pred", "score", "ambiguous"]
-    at = docs.columns.index(text)
-    keep = [i for i, c in enumerate(docs.columns) if c not in made]
-    names = [*(docs.columns[i] for i in keep), *made]
-    schema = ", ".join([*(f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in keep), "lang_pred string, score double, ambiguous boolean"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, x, has in histograms(batch.column(at)):
-                rows = batch.slice(i, len(x))
+    def start():
+        def apply(column: pa.Array) -> Iterator[list[pa.Array]]:
+            for _, x, has in histograms(column):
                 if model.languages:
                     best, score, vague = model.predict(x)
                     lang = [model.languages[b] if h else "und" for b, h in zip(best, has)]
                 else:
                     lang, score, vague = ["und"] * len(x), np.zeros(len(x)), np.zeros(len(x), bool)
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(lang), pa.array(np.where(has, score, 0.0).astype(np.float64)), pa.array(vague | ~has)], names)
+                yield [pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0).astype(np.float64)), pa.array(vague | ~has)]
+
+        return apply
 
-    return docs.mapInArrow(run, schema)
+    ready(docs.sparkSession)
+    return with_computed(docs, text, "lang_pred string, score double, ambiguous boolean", start)
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import ready, remainder
-from foldspark.llm.samples import labelled_sample
+from foldspark.llm.common import ready, remainder, with_computed
+from foldspark.llm.samples import labelled_sample, text_labels
 from foldspark.llm.textvec import doc_chunks, hash_spans, raw_utf8, word_spans
 
 PER_LABEL, BINS, PAIR_BINS, PAIRS = 10_000, 32, 8, 6
@@ -192,10 +192,11 @@ def fit(x: np.ndarray, y: np.ndarray, base_rate: float) -> Gam:
     return model
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "label", per_label: int = PER_LABEL) -> Gam:
-    """Fits on at most ``per_label`` texts of each label (0, 1); their shares come from all rows."""
-    ready(rows.sparkSession)
-    counts = {int(r[0]): r[1] for r in rows.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+def train(docs: DataFrame, known: DataFrame, text: str = "text", per_label: int = PER_LABEL) -> Gam:
+    """Fits on at most ``per_label`` texts of each label of ``known`` (doc_id, label: 0 or 1); labels' shares come from all of it."""
+    ready(docs.sparkSession)
+    known = known.filter(F.col("label").isin(0, 1))
+    counts = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +204,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "label", per_label:
                 part = batch.slice(i, len(x))
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column(1), part.column(2)], ["x", "label", "h"])
 
-    sample = labelled_sample(rows.filter(F.col(label).isin(0, 1)), per_label, text, label).select("text", F.col("label").cast("int"), "h")
+    sample = labelled_sample(docs, text_labels(docs, known, text=text), per_label, text).select("text", F.col("label").cast("int"), "h")
     found = sorted(sample.mapInArrow(run, "x binary, label int, h long").collect(), key=lambda r: (r["label"], r["h"]))
     x = np.frombuffer(b"".join(r["x"] for r in found), np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["label"] for r in found]), counts.get(1, 0) / max(sum(counts.values()), 1))
@@ -211,23 +212,21 @@ def train(rows: DataFrame, text: str = "text", label: str = "label", per_label:
 
 def score(docs: DataFrame, model: Gam, text: str = "text") -> DataFrame:
     """``docs`` with the probability ``score`` of label 1 (a column of that name is replaced)."""
-    at = docs.columns.index(text)
-    keep = [i for i, c in enumerate(docs.columns) if c != "score"]
-    schema = ", ".join([*(f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in keep), "score double"])
-    names = [*(docs.columns[i] for i in keep), "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, x in features(batch.column(at)):
-                rows = batch.slice(i, len(x))
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(model.score(x))], names)
+    def start():
+        def apply(column: pa.Array) -> Iterator[list[pa.Array]]:
+            for _, x in features(column):
+                yield [pa.array(model.score(x))]
+
+        return apply
 
-    return docs.mapInArrow(run, schema)
+    ready(docs.sparkSession)
+    return with_computed(docs, text, "score double", start)
 
 
 def held_out_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The contract's row per document."""
     rows = docs.select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
-    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    model = train(rows.filter(~F.col("held_out")).join(known, "doc_id"))
+    known = labels.filter("quality is not null").filter(remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    model = train(rows, known)
     return score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

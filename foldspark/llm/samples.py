@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, per_label: int, text: str = "text", label: str = "label") -> DataFrame:
+def text_labels(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(h, label) of the texts of ``docs`` whose key ``known`` (key, label) has; texts do not move."""
+    return docs.select(key, F.xxhash64(text).alias("h")).join(known.select(key, "label"), key).select("h", "label")
+
+
+def labelled_sample(docs: DataFrame, pairs: DataFrame, per_label: int, text: str = "text") -> DataFrame:
     """(h, text, label): at most ``per_label`` different texts of each label, the same ones each time.
 
-    Only hashes are ranked; the texts chosen are looked up by a broadcast of at most
-    ``per_label`` rows a label.
+    ``pairs`` has (h, label) by hash of the text.  Only hashes are ranked; the texts
+    chosen are looked up by a broadcast of at most ``per_label`` rows a label.
     """
-    hashed = rows.filter(F.col(label).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("text"), F.col(label).alias("label"))
     by = Window.partitionBy("label").orderBy("h")
-    picks = hashed.select("h", "label").distinct().withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= per_label).drop("_r")
-    return hashed.join(F.broadcast(picks), ["h", "label"]).dropDuplicates(["h", "label"]).select("h", "text", "label")
+    picks = pairs.filter("label is not null").distinct().withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= per_label).drop("_r")
+    hashed = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return hashed.join(F.broadcast(picks), "h").dropDuplicates(["h", "label"]).select("h", "text", "label")

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import materialised, ready, remainder
-from foldspark.llm.samples import labelled_sample
+from foldspark.llm.common import materialised, ready, remainder, with_computed
+from foldspark.llm.samples import labelled_sample, text_labels
 from foldspark.llm.textvec import doc_chunks, hash_several, raw_utf8, word_spans
 
-PER_LABEL, WINDOWS, WINDOW = 4_000, 20_000, 64
+PER_LABEL, WINDOWS, WINDOW = 4_000, 8_000, 64
 BUCKET_BITS = 18
 #: What makes a word toxic: likelihood ratio, and how much more frequent it is in toxic documents.
 RATIO, TIMES = 22.0, 10.0
@@ -125,14 +125,14 @@ def fit_chain(buckets: np.ndarray, toxic: np.ndarray, length: np.ndarray, rounds
     rate = (y.sum() + 1) / (valid.sum() + 2)
     chain = Chain(np.zeros(n_words), float(np.log(rate)), np.zeros((2, 2)))
     scale = 1 / max(len(buckets), 1)
-    flat, own = buckets[valid], y[valid]
+    flat, own = buckets[valid].ravel(), y[valid]
     params = np.zeros(n_words + 5)
     params[n_words] = chain.bias
     m, v = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, rounds + 1):
         p, steps = chain.marginals(chain.emit(buckets), length)
         left = p[valid] - own
-        grad = np.concatenate((np.bincount(flat.ravel(), np.repeat(left, flat.shape[1]), n_words), [left.sum()], (steps - seen).ravel())) * scale
+        grad = np.concatenate((np.bincount(flat, np.repeat(left, buckets.shape[2]), n_words), [left.sum()], (steps - seen).ravel())) * scale
         grad += shrink * scale * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         params = params - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-12) * (grad != 0)
@@ -185,11 +185,11 @@ def fit_curve(found: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarra
     return w
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "label", per_label: int = PER_LABEL) -> Tagger | None:
-    """Fits on at most ``per_label`` texts of each label (0, 1); None without any of both."""
-    ready(rows.sparkSession)
-    rows = rows.filter(F.col(label).isin(0, 1))
-    counts = {int(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
+def train(docs: DataFrame, known: DataFrame, text: str = "text", per_label: int = PER_LABEL) -> Tagger | None:
+    """Fits on at most ``per_label`` texts of each label of ``known`` (doc_id, label: 0 or 1); None without texts of both."""
+    ready(docs.sparkSession)
+    known = known.filter(F.col("label").isin(0, 1))
+    counts = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +199,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "label", per_label:
                 hashes = pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), words, hashes], ["h", "label", "words", "hashes"])
 
-    sample = labelled_sample(rows, per_label, text, label).select("h", "text", F.col("label").cast("int").alias("label"))
+    sample = labelled_sample(docs, text_labels(docs, known, text=text), per_label, text).select("h", "text", F.col("label").cast("int").alias("label"))
     sample = materialised(sample.mapInArrow(split, "h long, label int, words array<long>, hashes binary"))
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -219,16 +219,16 @@ def train(rows: DataFrame, text: str = "text", label: str = "label", per_label:
             for h, label_, hashes in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
                 w = np.frombuffer(hashes, np.uint64).reshape(-1, 1 + len(PREFIXES))
                 hit = np.isin(w[:, 0].copy().view(np.int64), listed) & (label_ == 1)
-                out = [(bool(hit[a : a + WINDOW].any()), h ^ a, w[a : a + WINDOW].tobytes(), hit[a : a + WINDOW].tobytes()) for a in range(0, len(w), WINDOW)]
+                out = [(bool(hit[a : a + WINDOW].any()), h ^ a, bucket(w[a : a + WINDOW]).astype(np.int32).tobytes(), hit[a : a + WINDOW].tobytes()) for a in range(0, len(w), WINDOW)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.bool_(), pa.int64(), pa.binary(), pa.binary()))], ["hit", "o", "words", "labels"])
 
     chains = sample.mapInArrow(cut, "hit boolean, o long, words binary, labels binary").withColumn("o", F.xxhash64("o"))
     kept = [r for hit in (True, False) for r in chains.filter(F.col("hit") == hit).orderBy("o", "words").limit(WINDOWS).collect()]
     length = np.array([len(r["labels"]) for r in kept], np.int64)
-    buckets, toxic = np.zeros((len(kept), WINDOW, 1 + len(PREFIXES)), np.int64), np.zeros((len(kept), WINDOW), bool)
+    buckets, toxic = np.zeros((len(kept), WINDOW, 1 + len(PREFIXES)), np.int32), np.zeros((len(kept), WINDOW), bool)
     for k, r in enumerate(kept):
-        buckets[k, : length[k]] = bucket(np.frombuffer(r["words"], np.uint64).reshape(-1, 1 + len(PREFIXES)))
+        buckets[k, : length[k]] = np.frombuffer(r["words"], np.int32).reshape(-1, 1 + len(PREFIXES))
         toxic[k, : length[k]] = np.frombuffer(r["labels"], bool)
     tagger = Tagger(fit_chain(buckets, toxic, length) if kept else Chain(np.zeros(1 << BUCKET_BITS), -9.0, np.zeros((2, 2))), np.zeros(3))
     tagger.chain.word = tagger.chain.word.astype(np.float32)
@@ -257,16 +257,11 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", p
 def score(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFrame:
     """``docs`` with the probability ``score`` and ``spans``, the offending stretches of
     characters with their largest marginal (columns of these names are replaced)."""
-    at = docs.columns.index(text)
-    keep = [i for i, c in enumerate(docs.columns) if c not in ("score", "spans")]
-    names = [*(docs.columns[i] for i in keep), "score", "spans"]
-    schema = ", ".join([*(f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in keep), "score double, spans array<struct<start:int,end:int,p:double>>"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = raw_utf8(batch.column(at))
-            for i, j, h, first, part, starts, ends in word_hashes(batch.column(at)):
-                rows = batch.slice(i, j - i)
+    def start():
+        def apply(column: pa.Array) -> Iterator[list[pa.Array]]:
+            _, off = raw_utf8(column)
+            for i, j, h, first, part, starts, ends in word_hashes(column):
                 spans: list[list[dict]] = [[] for _ in range(j - i)]
                 values = np.zeros(j - i)
                 if tagger is not None:
@@ -285,14 +280,17 @@ def score(docs: DataFrame, tagger: Tagger | None, text: str = "text") -> DataFra
                     for one in spans:
                         for s in one:
                             del s["k"]
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(values), pa.array(spans, _SPANS)], names)
+                yield [pa.array(values), pa.array(spans, _SPANS)]
+
+        return apply
 
-    return docs.mapInArrow(run, schema)
+    ready(docs.sparkSession)
+    return with_computed(docs, text, "score double, spans array<struct<start:int,end:int,p:double>>", start)
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The contract's row per document."""
     rows = docs.select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
-    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    tagger = train(rows.filter(~F.col("held_out")).join(known, "doc_id"))
+    known = labels.filter("toxic is not null").filter(remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    tagger = train(rows, known)
     return score(rows, tagger).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
