@@ -1,11 +1,11 @@
 """BPE encoding and decoding by speculation and verification.
 
-A text is split into words by the tokenizer's own pattern.  Every word not seen
-yet is tokenised greedily by longest match (the speculation).  A sequence is the
-exact BPE result if and only if each adjacent pair of it is what BPE makes of the
-two joined, so all adjacent pairs of all new words are tested at once with numpy;
-words with a failing pair are merged exactly.  Results are remembered per word in
-a bounded cache.
+A chunk of texts is split into words by the rules of the tokenizer's pattern, all
+characters at once, and equal words are found by 64-bit hashes.  Words not seen yet
+are tokenised greedily by longest match (the speculation).  A sequence is the exact
+BPE result if and only if each adjacent pair of it is what BPE makes of the two
+joined, so all adjacent pairs of all new words are tested at once; words with a
+failing pair are merged exactly.  Results are remembered in a bounded cache.
 
 Nulls are encoded as empty texts, empty texts give no ids.  Ids travel as binary
 columns of little-endian unsigned 32-bit integers.
@@ -15,19 +15,20 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import ready
+from foldspark.llm.common import ready, with_computed
+from foldspark.llm.textvec import _power, mix
 
 #: Words kept per Python worker; when full the cache starts anew.
-CACHE_WORDS = 300_000
-#: Characters of a text that are split at a time.
-PIECE_CHARS = 1 << 19
+CACHE_WORDS = 1_000_000
+#: Characters that are split at a time; longer texts are cut between words.
+PIECE_CHARS = 1 << 20
 _NONE = np.int64(1 << 40)
 _loaded: dict[int, "Bpe"] = {}
 
@@ -40,6 +41,52 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Table:
+    """Values by 64-bit hash, in a table of twice to four times as many places."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        for k, v in zip(keys.tolist(), values.tolist()):
+            i = k >> (64 - bits)
+            while self._values[i] >= 0:
+                i = (i + 1) & self._mask
+            self._keys[i], self._values[i] = k, v
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where absent."""
+        at = (keys >> self._shift).astype(np.int64)
+        out = self._values[at]
+        off = np.flatnonzero((self._keys[at] != keys) & (out >= 0))
+        at = at[off]
+        while len(off):
+            at = (at + 1) & self._mask
+            value = self._values[at]
+            same = (self._keys[at] == keys[off]) | (value < 0)
+            out[off[same]] = value[same]
+            off, at = off[~same], at[~same]
+        return out
+
+
+_LETTER, _SPACE = 1, 3
+_kind_table: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each code point: other, letter, number, white space."""
+    if not _kind_table:
+        import regex
+
+        table = np.zeros(0x110000, np.uint8)
+        every = "".join(map(chr, range(0xD800))) + "?" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+        for k, pattern in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
+            for m in regex.finditer(pattern, every):
+                table[m.start() : m.end()] = k
+        _kind_table.append(table)
+    return _kind_table[0]
+
+
 class Bpe:
     """A byte-level BPE vocabulary (the JSON of a ``tokenizers`` file)."""
 
@@ -72,31 +119,53 @@ class Bpe:
                 ranks.append(r)
             if self.rank[c] < 0:
                 self.rank[c], self.left[c], self.right[c] = r, a, b
-        order = np.argsort(keys)
-        self._keys, self._ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
+        self._pairs = _Table(mix(np.array(keys, np.uint64)), np.array(ranks, np.int64))
+        self._made = np.zeros(len(model["merges"]) + 1, np.int64)
+        for r, c in self.merges.values():
+            self._made[r] = c
+        self._size = np.array([len(b) for b in self.bytes_of], np.int64)
+        self._byte_id = np.array([self.id_of[bytes([i])] for i in range(256)], np.int64)
+        self._by_length = {}
+        for n in {len(b) for b in self.id_of}:
+            some = [(b, i) for b, i in self.id_of.items() if len(b) == n]
+            letters = np.frombuffer(b"".join(b for b, _ in some), np.uint8).reshape(-1, n).astype(np.uint64) + np.uint64(1)
+            self._by_length[n] = _Table(mix((letters * _power("up", n)[:n]).sum(1, dtype=np.uint64) + np.uint64(n)), np.array([i for _, i in some], np.int64))
         self.added = added
         self._special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        # Fixed value: the pattern that byte-level tokenizers of this kind split with.
-        self._words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self._seam = regex.compile(r"\p{L}(?= \p{L})")
-        self._cache: dict[str, bytes] = {}
+        self._forget()
 
     # -- new words ---------------------------------------------------------
 
-    def _greedy(self, word: bytes) -> list[int]:
-        out, i, n, get, most = [], 0, len(word), self.id_of.get, self.longest
-        while i < n:
-            j = min(n, i + most)
-            while (k := get(word[i:j])) is None:
-                j -= 1
-            out.append(k)
-            i = j
-        return out
+    def _greedy(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, word of each): longest matches from the left, for all words at once."""
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", len(buf) + 1)[: len(buf)], out=sums[1:])
+        down = _power("down", len(buf) + 1)
+        at, word, ids, owner = begin.copy(), np.arange(len(begin)), [], []
+        while len(at):
+            room = np.minimum(end[word] - at, self.longest)
+            found = np.full(len(at), -1, np.int64)
+            for n in range(int(room.max()), 0, -1):
+                if n not in self._by_length:
+                    continue
+                some = np.flatnonzero((found < 0) & (room >= n))
+                if len(some):
+                    p = at[some]
+                    h = mix((sums[p + n] - sums[p]) * down[p] + np.uint64(n))
+                    found[some] = self._by_length[n].find(h)
+            ids.append(found)
+            owner.append(word)
+            at = at + self._size[found]
+            going = at < end[word]
+            at, word = at[going], word[going]
+        flat, own = np.concatenate(ids), np.concatenate(owner)
+        order = np.argsort(own, kind="stable")
+        return flat[order], own[order]
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], _NONE)
+        found = self._pairs.find(mix((a << 32 | b).astype(np.uint64)))
+        return np.where(found >= 0, found, _NONE)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE leaves the border between the ids ``a`` and ``b`` alone.
@@ -142,18 +211,55 @@ class Bpe:
                 heapq.heappush(heap, (merges[p][0], h, p))
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        out = [self._greedy(w) for w in words]
-        flat = np.fromiter((x for ids in out for x in ids), np.int64)
-        if len(flat) < 2:
-            return out
-        owner = np.repeat(np.arange(len(out)), [len(x) for x in out])
-        inner = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs, where = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
-        bad = ~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[where]
-        for w in set(owner[inner[bad]].tolist()):
-            out[w] = self.merge_exactly(words[w])
-        return out
+    def _merge_many(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BPE of many words at once: in each round each word merges all its pairs of the
+        lowest rank, of overlapping ones every other from the left."""
+        out, owner = [], []
+        while len(ids) > 1:
+            rank = np.full(len(ids), _NONE)
+            inner = np.flatnonzero(word[1:] == word[:-1])
+            rank[inner] = self._pair_rank(ids[inner], ids[inner + 1])
+            begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            size = np.diff(np.append(begin, len(word)))
+            least = np.repeat(np.minimum.reduceat(rank, begin), size)
+            done = least == _NONE
+            out.append(ids[done])
+            owner.append(word[done])
+            hit = np.flatnonzero((rank == least) & ~done)
+            run = np.concatenate(([True], np.diff(hit) > 1)) if len(hit) else np.zeros(0, bool)
+            take = hit[(hit - np.maximum.accumulate(np.where(run, hit, 0))) % 2 == 0] if len(hit) else hit
+            ids = ids.copy()
+            ids[take] = self._made[rank[take]]
+            keep = ~done
+            keep[take + 1] = False
+            ids, word = ids[keep], word[keep]
+        flat, own = np.concatenate([*out, ids]), np.concatenate([*owner, word])
+        order = np.argsort(own, kind="stable")
+        return flat[order], own[order]
+
+    def encode_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word); words are not empty."""
+        buf = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        end = np.cumsum(size)
+        flat, own = self._greedy(buf, end - size, end)
+        inner = np.flatnonzero(own[1:] == own[:-1])
+        bad = np.zeros(len(words), bool)
+        bad[own[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
+        # Very long words are merged one by one with a heap, which takes fewer rounds.
+        for w in np.flatnonzero(bad & (size > 512)).tolist():
+            exact = self.merge_exactly(words[w])
+            keep = own != w
+            flat, own = np.concatenate((flat[keep], exact)), np.concatenate((own[keep], np.full(len(exact), w)))
+            bad[w] = False
+        if bad.any():
+            word = np.repeat(np.arange(len(words)), size)
+            of = bad[word]
+            exact, owner = self._merge_many(self._byte_id[buf[of]], word[of])
+            keep = ~bad[own]
+            flat, own = np.concatenate((flat[keep], exact)), np.concatenate((own[keep], owner))
+        order = np.argsort(own, kind="stable")
+        return flat[order], np.bincount(own, minlength=len(words))
 
     # -- texts -------------------------------------------------------------
 
@@ -174,25 +280,112 @@ class Bpe:
             at = m.end()
         yield piece[at:] if at else piece
 
+    def split(self, chars: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where words begin in code points of texts that begin at ``off``.
+
+        Runs of letters, of numbers and of other characters are words, with a space
+        right before them.  White space up to the last before a word is one, and so
+        is that last one unless it is the word's space; at a text's end all of it is
+        one.  An apostrophe alone that begins one of a few endings takes it along.
+        """
+        n = len(chars)
+        kind = _kinds()[chars]
+        first = np.zeros(n + 3, bool)
+        first[off[:-1][off[:-1] < n]] = True
+        begins = np.ones(n, bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | first[1:n]
+        cut = begins.copy()
+        after = np.flatnonzero(begins[1:] & (kind[1:] != _SPACE) & (kind[:-1] == _SPACE) & ~first[1:n]) + 1
+        cut[after - 1] = True
+        cut[after[chars[after - 1] == 32]] = False
+        quote = np.flatnonzero((chars[:-1] == 39) & begins[:-1] & (kind[1:] == _LETTER) & ~first[1:n])
+        quote = quote[first[quote] | (quote == 0) | (chars[quote - 1] != 32)]
+        if len(quote):
+            one = chars[quote + 1]
+            two = np.where((quote + 2 < n) & ~first[quote + 2], chars[np.minimum(quote + 2, n - 1)], 0)
+            # S t m d and re ve ll follow the apostrophe.
+            short = np.isin(one, [115, 116, 109, 100])
+            long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+            quote, size = quote[short | long], np.where(short, 1, 2)[short | long]
+            cut[quote + 1] = False
+            end = quote + 1 + size
+            inside = (end < n) & ~first[end]
+            cut[end[inside & (kind[np.minimum(end, n - 1)] == _LETTER)]] = True
+        return np.flatnonzero(cut)
+
+    def _remember(self, names: np.ndarray, words: list[bytes]) -> None:
+        """Adds words' ids to the cache: sorted hashes, and stretches of one pool."""
+        flat, count = self.encode_many(words)
+        at = len(self._pool) + np.cumsum(count) - count
+        self._pool = np.concatenate((self._pool, flat.astype(np.uint32)))
+        every = np.concatenate((self._names, names))
+        order = np.argsort(every)
+        self._names, self._at, self._n = every[order], np.concatenate((self._at, at))[order], np.concatenate((self._n, count))[order]
+
+    def _forget(self) -> None:
+        self._names, self._at, self._n, self._pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _chunk(self, pieces: list[str]) -> list[bytes]:
+        """Ids of some pieces of text without added tokens."""
+        text = "".join(pieces)
+        if not text:
+            return [b""] * len(pieces)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        off = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+        starts = self.split(chars, off)
+        ends = np.append(starts[1:], len(chars))
+        value = (chars + np.uint32(1)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(32)
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(value * _power("up", len(chars) + 1)[: len(chars)], out=sums[1:])
+        h = mix((sums[ends] - sums[starts]) * _power("down", len(chars) + 1)[starts] + (ends - starts).astype(np.uint64))
+        order = np.argsort(h)
+        ordered = h[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        names, sample = ordered[new], order[new]
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        missing = ~self._known(names)
+        if missing.any():
+            if len(self._names) + int(missing.sum()) > CACHE_WORDS:
+                self._forget()
+                missing[:] = True
+            some = sample[missing]
+            self._remember(names[missing], [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[some].tolist(), ends[some].tolist())])
+        at = np.searchsorted(self._names, names)
+        count = self._n[at][which]
+        total = np.cumsum(count)
+        ids = self._pool[np.repeat(self._at[at][which] - total + count, count) + np.arange(total[-1])]
+        total = np.concatenate(([0], total))
+        cuts = total[np.searchsorted(starts, off)].tolist()
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _known(self, names: np.ndarray) -> np.ndarray:
+        if not len(self._names):
+            return np.zeros(len(names), bool)
+        at = np.minimum(np.searchsorted(self._names, names), len(self._names) - 1)
+        return self._names[at] == names
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, little-endian unsigned 32-bit integers."""
-        split = [[x if isinstance(x, int) else self._words.findall(x) for p in self._pieces(t) for x in ([p] if isinstance(p, int) else self._short(p))] for t in texts]
-        cache = self._cache
-        new = set()
-        for parts in split:
-            for words in parts:
-                if not isinstance(words, int):
-                    new.update(words)
-        if len(cache) + len(new) > CACHE_WORDS:
-            missing = list(new)
-            cache.clear()
-        else:
-            missing = [w for w in new if w not in cache]
-        if missing:
-            for w, ids in zip(missing, self.encode_words([w.encode() for w in missing])):
-                cache[w] = np.array(ids, "<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in parts) for parts in split]
+        plan: list[list[int | bytes]] = []
+        pieces: list[str] = []
+        for t in texts:
+            own: list[int | bytes] = []
+            special = any(a in t for a in self.added)
+            for p in self._pieces(t) if special else (t,):
+                if isinstance(p, int):
+                    own.append(p.to_bytes(4, "little"))
+                else:
+                    for q in self._short(p):
+                        own.append(len(pieces))
+                        pieces.append(q)
+            plan.append(own)
+        done: list[bytes] = []
+        for i, j in slices([len(p) for p in pieces], PIECE_CHARS):
+            done += self._chunk(pieces[i:j])
+        return [done[own[0]] if len(own) == 1 and isinstance(own[0], int) else b"".join(done[x] if isinstance(x, int) else x for x in own) for own in plan]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -219,50 +412,34 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: str, arrow: pa.DataType, what) -> DataFrame:
-    """``df`` with ``out`` computed from ``column``; a column named ``out`` is replaced."""
-    at = df.columns.index(column)
-    keep = [i for i, c in enumerate(df.columns) if c != out]
-    schema = ", ".join([*(f"`{df.columns[i]}` {df.schema[i].dataType.simpleString()}" for i in keep), f"`{out}` {kind}"])
+def _mapped(df: DataFrame, column: str, tokenizer: str, field: str, kind: pa.DataType, what: Callable[[Bpe, list], list]) -> DataFrame:
+    shared = ready(df.sparkSession).sparkContext.broadcast(open(tokenizer, "rb").read())  # one vocabulary file: a few MB
+
+    def start():
+        import pyarrow.compute as pc
+
+        bpe = load(shared.value)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = what()
-        for batch in batches:
-            values = batch.column(at)
-            sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+        def apply(values: pa.Array) -> Iterator[list[pa.Array]]:
+            sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
             for i, j in slices(sizes, 1 << 22):
-                part = batch.slice(i, j - i)
-                made = pa.array(apply(values.slice(i, j - i).to_pylist()), arrow)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), made], [*(df_columns[k] for k in keep), out])
+                yield [pa.array(what(bpe, values.slice(i, j - i).to_pylist()), kind)]
 
-    df_columns = df.columns
-    import pyarrow.compute  # noqa: F401
+        return apply
 
-    return df.mapInArrow(run, schema)
+    return with_computed(df, column, field, start)
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the binary column ``ids``: every whole text as the vocabulary file
     ``tokenizer`` encodes it (its added tokens are recognised in texts, none is
     appended).  Rows, other columns, ties and repeats stay as they are."""
-    shared = ready(df.sparkSession).sparkContext.broadcast(open(tokenizer, "rb").read())  # one vocabulary file: a few MB
-
-    def what():
-        bpe = load(shared.value)
-        return lambda texts: bpe.encode([t or "" for t in texts])
-
-    return _mapped(df, text, ids, "binary", pa.binary(), what)
+    return _mapped(df, text, tokenizer, f"{ids} binary", pa.binary(), lambda bpe, texts: bpe.encode([t or "" for t in texts]))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the column ``text`` that the binary column ``ids`` stands for; null ids give null."""
-    shared = ready(df.sparkSession).sparkContext.broadcast(open(tokenizer, "rb").read())
-
-    def what():
-        bpe = load(shared.value)
-        return lambda rows: [None if x is None else bpe.decode(x) for x in rows]
-
-    return _mapped(df, ids, text, "string", pa.string(), what)
+    return _mapped(df, ids, tokenizer, f"{text} string", pa.string(), lambda bpe, rows: [None if x is None else bpe.decode(x) for x in rows])
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
