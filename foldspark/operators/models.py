@@ -61,27 +61,34 @@ def _vectors(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows.dropna(subset=list(features)))
 
 
-def fit_predict(rows: DataFrame, folds: DataFrame, name: str, features: Sequence[str], task_type: str, params: Mapping[str, Any] | None = None, gap: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(predictions of each fold's test rows, state): one MLlib fit for each fold."""
+def fit_roles(roles: DataFrame, name: str, features: Sequence[str], task_type: str, params: Mapping[str, Any] | None = None, keys: Sequence[str] = ("outer_fold_id",)) -> tuple[DataFrame, DataFrame]:
+    """(predictions of training and test rows, state) of rows with their role: one MLlib fit for each fold."""
     model = algorithm(name, task_type)
-    keys = [c for c in ("outer_fold_id", "inner_fold_id") if c in folds.columns]
+    make = model.make or (lambda p: LinearRegression(elasticNetParam=0.0, regParam=float(p.get("alpha", 1.0)), standardization=False))
     preds, state = [], []
-    vectors = _vectors(rows, features)
+    vectors = _vectors(roles.filter("split_role in ('train', 'test')"), features)
     # One distributed fit a fold; a plan has few folds.
-    for fold in folds.select(*keys).distinct().collect():
-        own = folds
+    for fold in roles.select(*keys).distinct().orderBy(*keys).collect():
+        own = vectors
         for k in keys:
             own = own.filter(F.col(k) == fold[k])
-        roles = assign(vectors, own, gap)
-        train = roles.filter((F.col("split_role") == "train") & F.col("y").isNotNull()).withColumn("label", F.col("y").cast("double"))
-        fitted = model.make(params or {}).fit(train.select("features", "label"))
-        made = fitted.transform(roles.filter("split_role = 'test'"))
-        value = vector_to_array("probability")[1] if task_type == "classification" else F.col("prediction")
-        preds.append(made.withColumn("pred", value).select("asset", "bar_ts", "t_idx", "y", "label_end_idx", *keys, "pred"))
+        train = own.filter((F.col("split_role") == "train") & F.col("y").isNotNull()).withColumn("label", F.col("y").cast("double"))
+        if train.isEmpty():
+            continue
+        fitted = make(params or {}).fit(train.select("features", "label"))
+        value = vector_to_array("probability")[1] if task_type == "classification" and model.make else F.col("prediction")
+        preds.append(fitted.transform(own).withColumn("pred", value).select("asset", "bar_ts", "t_idx", "y", "label_end_idx", *keys, "split_role", "pred"))
         weights = getattr(fitted, "coefficients", None) or getattr(fitted, "featureImportances", None)
         state.append((*(fold[k] for k in keys), name, float(getattr(fitted, "intercept", 0.0) or 0.0), [float(x) for x in weights.toArray()] if weights is not None else []))
     kinds = ", ".join([*(f"{k} int" for k in keys), "algorithm string, intercept double, coefs array<double>"])
-    return reduce(DataFrame.unionByName, preds), rows.sparkSession.createDataFrame(state, kinds)
+    return reduce(DataFrame.unionByName, preds), roles.sparkSession.createDataFrame(state, kinds)
+
+
+def fit_predict(rows: DataFrame, folds: DataFrame, name: str, features: Sequence[str], task_type: str, params: Mapping[str, Any] | None = None, gap: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(predictions of each fold's test rows, state) of rows without a fold."""
+    keys = [c for c in ("outer_fold_id", "inner_fold_id") if c in folds.columns]
+    preds, state = fit_roles(assign(rows, folds, gap), name, features, task_type, params, keys)
+    return preds.filter("split_role = 'test'").drop("split_role"), state
 
 
 def isotonic(fit_rows: DataFrame, rows: DataFrame) -> DataFrame:

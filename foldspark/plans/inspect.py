@@ -1,12 +1,20 @@
-"""Placeholder of the inspection module; see below."""
+"""Looking at a run: nodes, artifacts, lineage, predictions, inner validation, snapshots."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foldspark.plans.artifacts import ArtifactType
+from foldspark.plans.graph import WorkflowGraph
+from foldspark.plans.store import VERSION
 
 
-def ancestors(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """(artifact_id, ancestor_id, depth) for every ancestor of every artifact in ``edges`` (artifact_id, upstream_id)."""
     spark = edges.sparkSession
     edges.createOrReplaceTempView("_lineage_edges")
@@ -16,3 +24,74 @@ def ancestors(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
           UNION ALL
           SELECT up.artifact_id, e.upstream_id, up.depth + 1 FROM up JOIN _lineage_edges e ON e.artifact_id = up.ancestor_id)
         SELECT artifact_id, ancestor_id, min(depth) AS depth FROM up GROUP BY artifact_id, ancestor_id""")
+
+
+class Run:
+    """A finished run, read from its files alone."""
+
+    def __init__(self, spark: SparkSession, root: str, run_id: str):
+        self.spark, self.path = spark, Path(root) / run_id
+        self.manifest = json.loads((self.path / "manifest.json").read_text())
+        self.config = json.loads((self.path / "config" / "run_config.json").read_text())
+        self.graph = WorkflowGraph.from_json((self.path / "config" / "workflow_graph.json").read_text())
+        self.index = spark.read.parquet(str(self.path / "artifact_index.parquet"))
+
+    def list_nodes(self) -> list[tuple[str, str]]:
+        return [(n.name, type(n).__name__) for n in self.graph.order()]
+
+    def list_artifacts(self) -> DataFrame:
+        return self.index.select("artifact_id", "artifact_type", "node_name", "scope.*", "path", F.size("upstream_ids").alias("n_upstream"))
+
+    def _found(self, node_name: str, artifact_type: str | None = None, outer_fold_id: int | None = None, split_role: str | None = None) -> list:
+        rows = self.index.filter(F.col("node_name") == node_name)
+        if artifact_type:
+            rows = rows.filter(F.col("artifact_type") == ArtifactType(artifact_type).value)
+        if outer_fold_id is not None:
+            rows = rows.filter((F.col("scope.outer_fold_id") == outer_fold_id) | F.col("scope.outer_fold_id").isNull())
+        if split_role:
+            rows = rows.filter((F.col("scope.split_role") == split_role) | (F.col("scope.split_role") == "full"))
+        return rows.orderBy("artifact_type", "path").collect()
+
+    def load_artifact(self, node_name: str, outer_fold_id: int | None = None, artifact_type: str | None = None, split_role: str | None = None) -> DataFrame:
+        """One kind of artifact of a node, only the parts asked for."""
+        found = self._found(node_name, artifact_type, outer_fold_id, split_role)
+        kinds = {r["artifact_type"] for r in found}
+        if len(kinds) != 1:
+            raise LookupError(f"{node_name}: {'nothing found' if not kinds else f'say which of {sorted(kinds)}'}")
+        base = found[0]["path"].split("/outer_fold_id=")[0]
+        schema = T.StructType.fromJson(json.loads(found[0]["schema"]))
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*(r["path"] for r in found))
+
+    def show_lineage(self, node_name: str, outer_fold_id: int | None = None) -> list[tuple[int, str, str, int | None]]:
+        """(depth, node, artifact type, fold) of a node's artifacts and all they were made from."""
+        rows = {r["artifact_id"]: r for r in self.index.select("artifact_id", "artifact_type", "node_name", "scope", "upstream_ids").collect()}
+        depth = {r["artifact_id"]: 0 for r in self._found(node_name, outer_fold_id=outer_fold_id)}
+        todo = list(depth)
+        while todo:
+            for up in rows[here := todo.pop(0)]["upstream_ids"]:
+                if up not in depth:
+                    depth[up] = depth[here] + 1
+                    todo.append(up)
+        return sorted((d, rows[a]["node_name"], rows[a]["artifact_type"], rows[a]["scope"]["outer_fold_id"]) for a, d in depth.items())
+
+    def load_predictions(self, node_name: str, outer_fold_id: int | None = None, split_role: str | None = None) -> DataFrame:
+        return self.load_artifact(node_name, outer_fold_id, ArtifactType.PREDICTIONS, split_role)
+
+    def load_inner_validation(self, node_name: str, outer_fold_id: int | None = None) -> DataFrame:
+        return self.load_artifact(node_name, outer_fold_id, ArtifactType.DIAGNOSTICS)
+
+    def load_training_snapshot(self, node_name: str, outer_fold_id: int | None = None) -> DataFrame:
+        return self.load_artifact(node_name, outer_fold_id, ArtifactType.SNAPSHOT)
+
+    def reconstructible(self) -> dict[str, bool]:
+        """Whether graph, code and artifacts are what the manifest says."""
+        paths = [r["path"] for r in self.index.select("path").collect()]
+        return {
+            "graph": self.graph.hash() == self.manifest["graph_hash"],
+            "code": self.manifest["code_version"] == VERSION,
+            "artifacts": len(paths) == self.manifest.get("artifacts") and all(Path(p).exists() for p in paths),
+        }
+
+
+def load_run(spark: SparkSession, root: str, run_id: str) -> Run:
+    return Run(spark, root, run_id)
