@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import ready, with_computed
 from foldspark.llm.textvec import _power, mix
 
-#: Words kept per Python worker; when full the cache starts anew.
+#: Words kept per Python worker (about 50 bytes each); when full the cache starts anew.
 CACHE_WORDS = 1_000_000
 #: Characters that are split at a time; longer texts are cut between words.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 _NONE = np.int64(1 << 40)
 _loaded: dict[int, "Bpe"] = {}
 
@@ -69,6 +69,49 @@ class _Table:
         return out
 
 
+class _Cache:
+    """Ids of words by 64-bit hash (0 stands for an empty place), at most half full."""
+
+    def __init__(self, most: int):
+        self._bits = max(4, int(2 * most - 1).bit_length())
+        self._keys = np.zeros(1 << self._bits, np.uint64)
+        self._entry = np.zeros(1 << self._bits, np.int32)
+        self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries, -1 where absent."""
+        at, left = self._place(keys), np.arange(len(keys))
+        out = np.full(len(keys), -1, np.int64)
+        while len(left):
+            there = self._keys[at]
+            same = there == keys[left]
+            out[left[same]] = self._entry[at[same]]
+            on = ~same & (there != 0)
+            left, at = left[on], (at[on] + 1) & ((1 << self._bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Adds different keys that are not there yet."""
+        entry = (len(self) + np.arange(len(keys))).astype(np.int32)
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count.astype(np.int32)))
+        kind = np.uint16 if self.pool.dtype == np.uint16 and ids.max(initial=0) < 1 << 16 else np.uint32
+        self.pool = np.concatenate((self.pool.astype(kind, copy=False), ids.astype(kind)))
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = self._keys[at] == 0
+            self._keys[at[free]] = keys[left[free]]  # of several keys for one place, one stays
+            won = self._keys[at] == keys[left]
+            self._entry[at[won]] = entry[left[won]]
+            left, at = left[~won], (at[~won] + 1) & ((1 << self._bits) - 1)
+
+
 _LETTER, _SPACE = 1, 3
 _kind_table: list[np.ndarray] = []
 
@@ -79,7 +122,9 @@ def _kinds() -> np.ndarray:
         import regex
 
         table = np.zeros(0x110000, np.uint8)
-        every = "".join(map(chr, range(0xD800))) + "?" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+        points = np.arange(0x110000, dtype="<u4")
+        points[0xD800:0xE000] = ord("?")  # no characters
+        every = points.tobytes().decode("utf-32-le")
         for k, pattern in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
             for m in regex.finditer(pattern, every):
                 table[m.start() : m.end()] = k
@@ -108,21 +153,16 @@ class Bpe:
         # How each id is made: the rank of its merge (-1: a byte) and its two parts.
         self.rank = np.full(n, -1, np.int64)
         self.left, self.right = np.arange(n), np.arange(n)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        vocab, keys, ranks = model["vocab"], [], []
-        for r, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            a, b, c = vocab[a], vocab[b], vocab[a + b]
-            if (a, b) not in self.merges:
-                self.merges[a, b] = (r, c)
-                keys.append(a << 32 | b)
-                ranks.append(r)
-            if self.rank[c] < 0:
-                self.rank[c], self.left[c], self.right[c] = r, a, b
-        self._pairs = _Table(mix(np.array(keys, np.uint64)), np.array(ranks, np.int64))
-        self._made = np.zeros(len(model["merges"]) + 1, np.int64)
-        for r, c in self.merges.values():
-            self._made[r] = c
+        vocab = model["vocab"]
+        split = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        self._made = np.array([vocab[a + b] for a, b in split] or [0], np.int64)
+        self._first = np.array([vocab[a] for a, _ in split], np.int64)
+        self._second = np.array([vocab[b] for _, b in split], np.int64)
+        _, once = np.unique(self._first << 32 | self._second, return_index=True)
+        self._pairs = _Table(mix((self._first << 32 | self._second)[once].astype(np.uint64)), once)
+        for r in once[np.argsort(-once)].tolist():  # the earliest merge that makes an id stays
+            c = self._made[r]
+            self.rank[c], self.left[c], self.right[c] = r, self._first[r], self._second[r]
         self._size = np.array([len(b) for b in self.bytes_of], np.int64)
         self._byte_id = np.array([self.id_of[bytes([i])] for i in range(256)], np.int64)
         self._by_length = {}
@@ -133,6 +173,7 @@ class Bpe:
         self.added = added
         self._special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self._seam = regex.compile(r"\p{L}(?= \p{L})")
+        self._merges: dict[tuple[int, int], tuple[int, int]] | None = None
         self._forget()
 
     # -- new words ---------------------------------------------------------
@@ -193,7 +234,9 @@ class Bpe:
         """BPE by its definition, with a heap of (rank, place)."""
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
         nxt, prv = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        merges = self.merges
+        if self._merges is None:
+            self._merges = {(a, b): (r, c) for r, (a, b, c) in reversed(list(enumerate(zip(self._first.tolist(), self._second.tolist(), self._made.tolist()))))}
+        merges = self._merges
         heap = [(merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
         heapq.heapify(heap)
         while heap:
@@ -313,17 +356,8 @@ class Bpe:
             cut[end[inside & (kind[np.minimum(end, n - 1)] == _LETTER)]] = True
         return np.flatnonzero(cut)
 
-    def _remember(self, names: np.ndarray, words: list[bytes]) -> None:
-        """Adds words' ids to the cache: sorted hashes, and stretches of one pool."""
-        flat, count = self.encode_many(words)
-        at = len(self._pool) + np.cumsum(count) - count
-        self._pool = np.concatenate((self._pool, flat.astype(np.uint32)))
-        every = np.concatenate((self._names, names))
-        order = np.argsort(every)
-        self._names, self._at, self._n = every[order], np.concatenate((self._at, at))[order], np.concatenate((self._n, count))[order]
-
     def _forget(self) -> None:
-        self._names, self._at, self._n, self._pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._cache = _Cache(CACHE_WORDS)
 
     def _chunk(self, pieces: list[str]) -> list[bytes]:
         """Ids of some pieces of text without added tokens."""
@@ -345,28 +379,28 @@ class Bpe:
         names, sample = ordered[new], order[new]
         which = np.empty(len(h), np.int64)
         which[order] = np.cumsum(new) - 1
-        missing = ~self._known(names)
+        names[names == 0] = 1
+        entry = self._cache.find(names)
+        missing = entry < 0
         if missing.any():
-            if len(self._names) + int(missing.sum()) > CACHE_WORDS:
+            if len(self._cache) and len(self._cache) + int(missing.sum()) > CACHE_WORDS:
                 self._forget()
                 missing[:] = True
             some = sample[missing]
-            self._remember(names[missing], [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[some].tolist(), ends[some].tolist())])
-        at = np.searchsorted(self._names, names)
-        count = self._n[at][which]
+            words = [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+            known = self._cache if len(words) <= CACHE_WORDS else _Cache(len(words))  # one piece may hold more words than are kept
+            known.add(names[missing], *self.encode_many(words))
+            entry = known.find(names)
+        else:
+            known = self._cache
+        count = known.count[entry][which]
         total = np.cumsum(count)
-        ids = self._pool[np.repeat(self._at[at][which] - total + count, count) + np.arange(total[-1])]
+        ids = known.pool[np.repeat(known.start[entry][which] - total + count, count) + np.arange(total[-1])]
         total = np.concatenate(([0], total))
         cuts = total[np.searchsorted(starts, off)].tolist()
         raw = ids.astype("<u4").tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def _known(self, names: np.ndarray) -> np.ndarray:
-        if not len(self._names):
-            return np.zeros(len(names), bool)
-        at = np.minimum(np.searchsorted(self._names, names), len(self._names) - 1)
-        return self._names[at] == names
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, little-endian unsigned 32-bit integers."""
         plan: list[list[int | bytes]] = []
@@ -422,7 +456,7 @@ def _mapped(df: DataFrame, column: str, tokenizer: str, field: str, kind: pa.Dat
 
         def apply(values: pa.Array) -> Iterator[list[pa.Array]]:
             sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
-            for i, j in slices(sizes, 1 << 22):
+            for i, j in slices(sizes, 1 << 20):
                 yield [pa.array(what(bpe, values.slice(i, j - i).to_pylist()), kind)]
 
         return apply
@@ -442,9 +476,28 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     return _mapped(df, ids, tokenizer, f"{text} string", pa.string(), lambda bpe, rows: [None if x is None else bpe.decode(x) for x in rows])
 
 
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """Adds both columns, as :func:`encode` and :func:`decode` one after the other do, in one pass with one worker a task."""
+    shared = ready(df.sparkSession).sparkContext.broadcast(open(tokenizer, "rb").read())  # one vocabulary file: a few MB
+
+    def start():
+        import pyarrow.compute as pc
+
+        bpe = load(shared.value)
+
+        def apply(values: pa.Array) -> Iterator[list[pa.Array]]:
+            for i, j in slices(pc.fill_null(pc.binary_length(values), 0).to_pylist(), 1 << 20):
+                made = bpe.encode([t or "" for t in values.slice(i, j - i).to_pylist()])
+                yield [pa.array(made, pa.binary()), pa.array([bpe.decode(x) for x in made], pa.string())]
+
+        return apply
+
+    return with_computed(df, text, f"{ids} binary, {back} string", start)
+
+
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The contract's row per document, from :func:`encode` and :func:`decode`."""
-    done = decode(encode(docs.select("doc_id", "text"), tokenizer).drop("text"), tokenizer)
+    """The contract's row per document, from the ids and the texts decoded from them."""
+    done = round_trip(docs.select("doc_id", "text"), tokenizer)
     return done.select(
         "doc_id",
         F.expr("length(ids) div 4").cast("long").alias("n_tokens"),

@@ -13,17 +13,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of a batch that Spark hands to Python, where the session says nothing: texts are long.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Make checkpoints and this package usable from every executor.
+    """Make checkpoints and this package usable from every executor, and batches of texts small.
 
     The checkpoint folder is the one named in ``spark.checkpoint.dir``; a folder
     of our own is set only where none is named, as in tests on one machine.
     """
     sc = spark.sparkContext
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="foldspark-"))
     if sc.applicationId not in _shipped:

@@ -36,7 +36,7 @@ from foldspark.llm.common import materialised, ready, remainder, shared_uri
 from foldspark.llm.textvec import doc_chunks, hash_spans, mix, raw_utf8, word_spans
 
 #: Training tokens of a shard of pairs, tokens that a task counts at a time, bytes scored at a time.
-SHARD_TOKENS, COUNT_TOKENS, SCORE_BYTES = 1_500_000, 2_000_000, 1 << 21
+SHARD_TOKENS, COUNT_TOKENS, SCORE_BYTES = 1_500_000, 2_000_000, 1 << 20
 START, END = (mix(np.array([x], np.uint64))[0] for x in (0xA11CE, 0xE4D))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64(16)
@@ -337,7 +337,7 @@ class Model:
         total = self.about["tokens"] + self.about["types"] + 1
         base = np.log10((count[:-1] + 1) / total)[where]
         known = (count[:-1] > 0)[where]
-        one = self.floor + (np.maximum(before - self.word_discount[np.minimum(before, 3)], 0) / self.pairs if self.pairs else 0)
+        one = self.floor + np.maximum(before - self.word_discount[np.minimum(before, 3)], 0) / max(self.pairs, 1)
         # As a context: how often it was followed, and the mass that its discounts leave.
         followed = count.astype(np.float64)
         followed[-1] = self.about["rows"]

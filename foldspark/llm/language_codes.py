@@ -27,7 +27,7 @@ from foldspark.llm.common import ready, remainder, with_computed
 from foldspark.llm.samples import labelled_sample
 from foldspark.llm.textvec import doc_chunks, raw_utf8
 
-PER_LANGUAGE, BINS, ORDERS = 500, 1 << 12, 4
+PER_LANGUAGE, BINS, ORDERS = 300, 1 << 12, 4
 #: Rows whose features are held at a time.
 ROWS = 256
 #: Loss of the runner-up over that of the best below which a prediction is ambiguous.
@@ -41,7 +41,7 @@ _LETTER[128:] = np.arange(128, 256)
 def histograms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, n-gram features of some rows, whether they have a letter)."""
     buf, off = raw_utf8(column)
-    for i, j in ((k, min(k + ROWS, j)) for i, j in doc_chunks(off, 1 << 20) for k in range(i, j, ROWS)):
+    for i, j in ((k, min(k + ROWS, j)) for i, j in doc_chunks(off) for k in range(i, j, ROWS)):
         raw, rel = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         c = _LETTER[raw]
         capital = np.flatnonzero((c[:-1] == 0xC3) & (c[1:] >= 0x80) & (c[1:] <= 0x9E)) + 1  # Latin capitals with accents
@@ -67,8 +67,10 @@ def histograms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 def codewords(k: int) -> np.ndarray:
     """A row of +1 and -1 for each of ``k`` classes: all different splits for few
     classes, else the random code of several with the largest least distance."""
+    if k < 2:
+        return np.zeros((k, 0))
     if k <= 4:
-        splits = [[1] + [1 if s >> b & 1 else -1 for b in range(k - 1)] for s in range(2 ** max(k - 1, 0) - 1)]
+        splits = [[1] + [1 if s >> b & 1 else -1 for b in range(k - 1)] for s in range(2 ** (k - 1) - 1)]
         return np.array(splits, np.float64).T.reshape(k, -1)
     rng = np.random.default_rng(k)
     width, best = int(np.ceil(10 * np.log2(k))), None
@@ -109,9 +111,9 @@ class Codes:
 def fit(x: np.ndarray, labels: list[str], rounds: int = 200, shrink: float = 1e-4) -> Codes:
     languages = sorted(set(labels))
     code = codewords(len(languages))
-    y = code[[languages.index(v) for v in labels]] if labels else np.zeros((0, 0))
-    count = np.array([labels.count(v) for v in languages], np.float64)
-    share = (1 / count / max(len(languages), 1))[[languages.index(v) for v in labels]][:, None] if labels else np.zeros((0, 1))
+    number = np.array([languages.index(v) for v in labels], np.int64)
+    y = code[number]
+    share = (1 / np.bincount(number, minlength=len(languages)) / max(len(languages), 1))[number][:, None]
     w, b = np.zeros((BINS, code.shape[1])), np.zeros(code.shape[1])
     m, v = np.zeros((BINS + 1, code.shape[1])), np.zeros((BINS + 1, code.shape[1]))
     x = x.astype(np.float32)
@@ -134,11 +136,11 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language
         for batch in batches:
             for i, x, has in histograms(batch.column(0)):
                 labels = batch.column(1).slice(i, len(x)).filter(pa.array(has))
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[has]], pa.binary()), labels, batch.column(2).slice(i, len(x)).filter(pa.array(has))], ["x", "label", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[has].astype(np.float16)], pa.binary()), labels, batch.column(2).slice(i, len(x)).filter(pa.array(has))], ["x", "label", "h"])
 
     kept = labelled_sample(rows, rows.select(F.xxhash64(text).alias("h"), F.col(label).alias("label")), per_language, text).select("text", F.col("label").cast("string"), "h").mapInArrow(features, "x binary, label string, h long")
     found = sorted(kept.collect(), key=lambda r: (r["label"], r["h"]))
-    x = np.frombuffer(b"".join(r["x"] for r in found), np.float32).reshape(-1, BINS)
+    x = np.frombuffer(b"".join(r["x"] for r in found), np.float16).reshape(-1, BINS)
     return fit(x, [r["label"] for r in found])
 
 

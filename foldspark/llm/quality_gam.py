@@ -61,7 +61,7 @@ def _distinct(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, features of some rows)."""
     buf, off = raw_utf8(column)
-    for i, j in doc_chunks(off, 1 << 20):
+    for i, j in doc_chunks(off):
         part, rel = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         n, size = j - i, np.diff(rel).astype(np.float64)
         kind = _CLASS[part]
@@ -115,6 +115,19 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int, least: float) -> np.ndarray:
     return np.concatenate((_tree(g[: cut + 1], h[: cut + 1], depth - 1, least), _tree(g[cut + 1 :], h[cut + 1 :], depth - 1, least)))
 
 
+def _pair_tree(g: np.ndarray, h: np.ndarray, least: float) -> np.ndarray:
+    """Values over cells of a tree of depth 2: rows are cut in two, then the columns of
+    each part. The cut of rows is the one with the best cuts of columns after it, as
+    interactions may show in no row sum."""
+    best, out = -1.0, np.full(g.shape, g.sum() / (h.sum() + 1))
+    for cut in range(1, len(g)):
+        parts = [_tree(x.sum(0), w.sum(0), 1, least) for x, w in ((g[:cut], h[:cut]), (g[cut:], h[cut:]))]
+        gain = sum((x.sum(0) * v).sum() - 0.5 * (v * v * w.sum(0)).sum() for v, x, w in zip(parts, (g[:cut], g[cut:]), (h[:cut], h[cut:])))
+        if gain > best:
+            best, out = gain, np.concatenate((np.tile(parts[0], (cut, 1)), np.tile(parts[1], (len(g) - cut, 1))))
+    return out
+
+
 @dataclass
 class Gam:
     edges: list[np.ndarray] = field(default_factory=list)
@@ -179,13 +192,7 @@ def fit(x: np.ndarray, y: np.ndarray, base_rate: float) -> Gam:
         for k, (a, b) in enumerate(model.pairs):
             at, g, h, shape = cells(a, b)
             g, h = g.reshape(shape), h.reshape(shape)
-            # A tree of depth 2: rows are cut in two, then the columns of each part.
-            ga, ha = g.sum(1), h.sum(1)
-            rows = _tree(ga, ha, 1, least)
-            step = np.zeros(shape)
-            for value in np.unique(rows):
-                own = rows == value
-                step[own] = _tree(g[own].sum(0), h[own].sum(0), 1, least)
+            step = _pair_tree(g, h, least)
             step = RATE * np.clip(step, -4, 4)
             model.pair_tables[k] += step
             margin += step.ravel()[at]

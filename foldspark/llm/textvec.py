@@ -15,7 +15,7 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 #: Bytes of text whose words are hashed in one go (about 40 bytes of scratch each).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -9,7 +9,7 @@ marginal probability.  A document's score comes from the largest marginal and th
 sum of what marginals exceed ``FLOOR`` by, with a logistic curve fitted on the sample; words at
 or above one half, joined where adjacent, are its offending spans.
 
-Words are runs of letters (ASCII letters in lower case, all bytes from 128 on);
+Words are runs of letters (ASCII letters and all bytes from 128 on; ASCII and Latin-1 letters in lower case);
 chains are runs of ``WINDOW`` words of a text.  Null texts are scored as empty ones;
 texts without words get the score of nothing found, and no spans.  Equal texts get
 equal scores.  Without labelled rows each score is 0.  An empty table gives no rows.
@@ -31,10 +31,10 @@ from foldspark.llm.common import materialised, ready, remainder, with_computed
 from foldspark.llm.samples import labelled_sample, text_labels
 from foldspark.llm.textvec import doc_chunks, hash_several, raw_utf8, word_spans
 
-PER_LABEL, WINDOWS, WINDOW = 4_000, 8_000, 64
+PER_LABEL, WINDOWS, WINDOW = 4_000, 4_000, 64
 BUCKET_BITS = 18
 #: What makes a word toxic: likelihood ratio, and how much more frequent it is in toxic documents.
-RATIO, TIMES = 22.0, 10.0
+RATIO, TIMES = 16.0, 10.0
 #: Marginals up to here count for nothing in a document, so that length alone adds nothing.
 FLOOR = 0.3
 PREFIXES = (4, 5, 6)
@@ -47,7 +47,8 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     """(first row, end row, hashes of words and their prefixes, where rows begin, bytes, starts, ends)."""
     buf, off = raw_utf8(column)
     for i, j in doc_chunks(off):
-        part, rel = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        part, rel = buf[off[i] : off[j]].copy(), off[i : j + 1] - off[i]
+        part[np.flatnonzero((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E)) + 1] += 32
         starts, ends, first = word_spans(part, rel, _OUTSIDE)
         h = hash_several(part, starts, [ends, *(np.minimum(starts + k, ends) for k in PREFIXES)], True)
         yield i, j, np.stack(h, 1), first, part, starts, ends
