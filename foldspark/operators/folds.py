@@ -86,13 +86,19 @@ def in_test() -> Column:
     return (F.col("t_idx") >= F.col("test_start")) & (F.col("t_idx") < F.col("test_end"))
 
 
+def bounded(folds: DataFrame) -> DataFrame:
+    """A plan over shared times has at most (times / test size) rows, inner plans that
+    squared, so it may be broadcast; plans by asset are joined by asset instead."""
+    return folds if "asset" in folds.columns else F.broadcast(folds)
+
+
 def assign(rows: DataFrame, folds: DataFrame, gap: int) -> DataFrame:
     """A row for each row and fold whose span holds it, with its role: train, test, or
     embargo (between both, or with a label that reaches into the test)."""
     near = (F.col("t_idx") >= F.col("train_start")) & (F.col("t_idx") < F.col("test_end"))
+    folds = bounded(folds)
     if "asset" in folds.columns:
         folds = folds.withColumnRenamed("asset", "_asset")
         near = near & (F.col("asset") == F.col("_asset"))
-    # A plan has a row a fold: small, and Spark sees its size before it broadcasts it.
     role = F.when(in_test(), "test").when(in_train(gap), "train").otherwise("embargo")
     return rows.join(folds, near).withColumn("split_role", role).drop("_asset")

@@ -30,5 +30,6 @@ def project_asof(rows: DataFrame, diagnostics: DataFrame, values: list[str], lag
     known = (F.col("_from") < F.col("t_idx")) & (F.col("_until").isNull() | (F.col("t_idx") <= F.col("_until")))
     if by:
         known = known & (F.col(by) == F.col("_by"))
-    out = rows.join(spans, known, "left")
+    # Without ``by`` there is a row for each fold at most.
+    out = rows.join(spans if by else F.broadcast(spans), known, "left")
     return out.select(*rows.columns, *(F.col(f"_v_{v}").alias(v) for v in values), F.col("_from").isNotNull().cast("int").alias("has_health"))

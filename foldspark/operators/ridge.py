@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.folds import eligible
+from foldspark.operators.folds import bounded, eligible
 
 
 def _moments(features: Sequence[str], y: str) -> list:
@@ -45,7 +45,7 @@ def fold_sums(cells_: DataFrame, folds: DataFrame, role: str = "train") -> DataF
         folds = folds.withColumnRenamed("asset", "_asset")
         inside = inside & (F.col("asset") == F.col("_asset"))
     sums = [c for c in cells_.columns if c not in ("t_idx", "e", "asset")]
-    return cells_.join(folds, inside).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+    return cells_.join(folds if "_asset" in folds.columns else bounded(folds), inside).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def _system(row: dict, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -101,7 +101,7 @@ def predict(rows: DataFrame, folds: DataFrame, fits: DataFrame, features: Sequen
     pred = F.col("intercept")
     for i, f in enumerate(features):
         pred = pred + F.col("coefs")[i] * F.col(f)
-    return rows.join(models, inside).withColumn("pred", pred).drop("_asset", "coefs", "intercept", "train_start", "train_end", "test_start", "test_end")
+    return rows.join(models if "_asset" in models.columns else bounded(models), inside).withColumn("pred", pred).drop("_asset", "coefs", "intercept", "train_start", "train_end", "test_start", "test_end")
 
 
 def losses(test: DataFrame, fits: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:

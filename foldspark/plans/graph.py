@@ -51,7 +51,7 @@ class WorkflowGraph:
         """Nodes after all they read; raises where there is no such order."""
         left, out = {n.name: n for n in self.nodes}, []
         while left:
-            ready = [n for n in left.values() if not any(x in left for x in n.needs())]
+            ready = [n for n in left.values() if not any(x in left for x, _ in n.needs())]
             if not ready:
                 raise GraphError(f"a cycle among {sorted(left)}")
             for n in ready:
@@ -63,7 +63,7 @@ class WorkflowGraph:
         if len(set(names)) < len(names):
             raise GraphError("two nodes have one name")
         for node in self.nodes:
-            for name, kind in node.needs().items():
+            for name, kind in node.needs():
                 if name not in names:
                     raise GraphError(f"{node.name} reads {name}, which is no node")
                 if kind not in self.node(name).gives:

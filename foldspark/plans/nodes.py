@@ -16,9 +16,9 @@ class Node:
     name: str
     gives: ClassVar[tuple[A, ...]] = ()
 
-    def needs(self) -> dict[str, A]:
+    def needs(self) -> list[tuple[str, A]]:
         """Names of the nodes it reads, and what it reads of each."""
-        return {}
+        return []
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,8 @@ class TargetNode(Node):
     task_name: str = ""
     gives: ClassVar = (A.TARGETS,)
 
-    def needs(self) -> dict[str, A]:
-        return {self.bars: A.BARS}
+    def needs(self) -> list[tuple[str, A]]:
+        return [(self.bars, A.BARS)]
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,8 @@ class FoldPlanNode(Node):
     gap: int = 0
     gives: ClassVar = (A.FOLDS,)
 
-    def needs(self) -> dict[str, A]:
-        return {self.bars: A.BARS} if self.level == "outer" else {self.bars: A.BARS, str(self.outer): A.FOLDS}
+    def needs(self) -> list[tuple[str, A]]:
+        return [(self.bars, A.BARS)] if self.level == "outer" else [(self.bars, A.BARS), (str(self.outer), A.FOLDS)]
 
 
 @dataclass(frozen=True)
@@ -60,8 +60,8 @@ class FeatureNode(Node):
     params: Mapping[str, Any] = field(default_factory=dict)
     gives: ClassVar = (A.FEATURES,)
 
-    def needs(self) -> dict[str, A]:
-        return {self.bars: A.BARS}
+    def needs(self) -> list[tuple[str, A]]:
+        return [(self.bars, A.BARS)]
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,8 @@ class TransformNode(Node):
     params: Mapping[str, Any] = field(default_factory=dict)
     gives: ClassVar = (A.FEATURES,)
 
-    def needs(self) -> dict[str, A]:
-        return {self.features: A.FEATURES, self.targets: A.TARGETS, self.folds: A.FOLDS}
+    def needs(self) -> list[tuple[str, A]]:
+        return [(self.features, A.FEATURES), (self.targets, A.TARGETS), (self.folds, A.FOLDS)]
 
 
 @dataclass(frozen=True)
@@ -89,10 +89,10 @@ class ModelNode(Node):
     columns: tuple[str, ...] = ()
     gives: ClassVar = (A.PREDICTIONS, A.MODEL_STATE, A.DIAGNOSTICS, A.SNAPSHOT)
 
-    def needs(self) -> dict[str, A]:
+    def needs(self) -> list[tuple[str, A]]:
         i = self.inputs
         kinds = ((i.bars, A.BARS), (i.fold_plans, A.FOLDS), (i.feature_tables, A.FEATURES), (i.target_tables, A.TARGETS), (i.prediction_tables, A.PREDICTIONS), (i.selection_tables, A.SELECTION))
-        return {n: k for names, k in kinds for n in names} | {n: A.DIAGNOSTICS for n in i.diagnostic_tables}
+        return [(n, k) for names, k in kinds for n in names] + [(n, A.DIAGNOSTICS) for n in i.diagnostic_tables]
 
 
 @dataclass(frozen=True)
@@ -103,10 +103,10 @@ class DiagnosticNode(Node):
     task_type: str = "regression"
     gives: ClassVar = (A.DIAGNOSTICS,)
 
-    def needs(self) -> dict[str, A]:
+    def needs(self) -> list[tuple[str, A]]:
         i = self.inputs
         kinds = ((i.prediction_tables, A.PREDICTIONS), (i.feature_tables, A.FEATURES), (i.target_tables, A.TARGETS), (i.fold_plans, A.FOLDS), (i.model_states, A.MODEL_STATE))
-        return {n: k for names, k in kinds for n in names}
+        return [(n, k) for names, k in kinds for n in names]
 
 
 @dataclass(frozen=True)
@@ -117,8 +117,8 @@ class DerivedFeatureNode(Node):
     inputs: DerivedInputs = field(default_factory=DerivedInputs)
     gives: ClassVar = (A.FEATURES,)
 
-    def needs(self) -> dict[str, A]:
-        return {n: A.PREDICTIONS for n in self.inputs.prediction_tables}
+    def needs(self) -> list[tuple[str, A]]:
+        return [(n, A.PREDICTIONS) for n in self.inputs.prediction_tables]
 
 
 @dataclass(frozen=True)
@@ -129,8 +129,8 @@ class ProjectionNode(Node):
     lag_folds: int = 0
     gives: ClassVar = (A.FEATURES,)
 
-    def needs(self) -> dict[str, A]:
-        return {n: A.BARS for n in self.inputs.bars} | {n: A.DIAGNOSTICS for n in self.inputs.diagnostic_tables}
+    def needs(self) -> list[tuple[str, A]]:
+        return [(n, A.BARS) for n in self.inputs.bars] + [(n, A.DIAGNOSTICS) for n in self.inputs.diagnostic_tables]
 
 
 @dataclass(frozen=True)
@@ -142,10 +142,10 @@ class SelectionNode(Node):
     recent_folds: int = 2
     gives: ClassVar = (A.SELECTION, A.PREDICTIONS)
 
-    def needs(self) -> dict[str, A]:
+    def needs(self) -> list[tuple[str, A]]:
         i = self.inputs
         kinds = ((i.prediction_tables, A.PREDICTIONS), (i.fold_plans, A.FOLDS), (i.diagnostic_tables, A.DIAGNOSTICS), (i.regime_tables, A.FEATURES))
-        return {n: k for names, k in kinds for n in names}
+        return [(n, k) for names, k in kinds for n in names]
 
 
 KINDS = {k.__name__: k for k in (DataNode, TargetNode, FoldPlanNode, FeatureNode, TransformNode, ModelNode, DiagnosticNode, DerivedFeatureNode, ProjectionNode, SelectionNode)}

@@ -51,7 +51,7 @@ class Runner:
 
     def _put(self, node: N.Node, what: A, df: DataFrame, /, **metadata: str) -> None:
         before = len(self.writer.refs)
-        upstream = sorted({i for name in node.needs() for i in self.ids.get(name, [])})
+        upstream = sorted({i for name, _ in node.needs() for i in self.ids.get(name, [])})
         self.made[node.name, what] = self.writer.put(df, node.name, what, upstream, metadata)
         self.ids.setdefault(node.name, []).extend(r.artifact_id for r in self.writer.refs[before:])
 
@@ -110,7 +110,7 @@ class Runner:
         return out
 
     def _TransformNode(self, node: N.TransformNode) -> None:
-        rows = self._roles(node, node.features, node.targets, node.folds)
+        rows = self._roles(node, node.features, node.targets, node.folds).filter("split_role <> 'embargo'")
         columns = list(node.columns)
         keep = ["asset", "bar_ts", *SCOPE]
         if node.kind == "scale":

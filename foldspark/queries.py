@@ -15,6 +15,7 @@ from foldspark.functions import features as feat
 from foldspark.functions import targets as tgt
 from foldspark.operators import analysis, derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
 from foldspark.operators.folds import ValidationSpec
+from foldspark.operators.lineage import cut
 from foldspark.sources import bars as src
 
 H, GAP, ALPHA = 20, 20, 1.0
@@ -42,11 +43,15 @@ def _features(p: DataFrame) -> list:
 
 
 def model_rows(spark: SparkSession, sf_dir: str, target: Callable[[int], Column] = tgt.forward_return, h: int = H) -> DataFrame:
-    """Bars with features, target and the time at which the label is known: all from one sort by asset."""
+    """Bars with features, target and the time at which the label is known: all from one sort by asset.
+
+    Plans, fits and predictions all start from it, so it is computed once.
+    """
     p = feat.with_returns(panel(spark, sf_dir))
-    return p.select(
+    made = p.select(
         "asset", "bar_ts", "t_idx", *(f.value.alias(f.name) for f in _features(p)), target(h).cast("double").alias("y"), F.lead("t_idx", h).over(feat.by_asset()).alias("label_end_idx")
     )
+    return cut(made)
 
 
 def _outer(rows: DataFrame) -> DataFrame:
@@ -55,7 +60,10 @@ def _outer(rows: DataFrame) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str, features: Sequence[str] = A, target: Callable[[int], Column] = tgt.forward_return, h: int = H) -> DataFrame:
     """Test predictions that can be judged: complete inputs and a known label."""
-    rows = model_rows(spark, sf_dir, target, h)
+    return _scored(model_rows(spark, sf_dir, target, h), features)
+
+
+def _scored(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     plan = _outer(rows)
     out = ridge.predict(rows, plan, ridge.fit(rows, plan, features, alphas=[ALPHA], gap=GAP), features)
     return out.filter("pred is not null and y is not null")
@@ -70,18 +78,20 @@ def both_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("pred", F.col("intercept") + F.col("coefs")[0] * F.col(A[0]) + F.col("coefs")[1] * F.col(A[1]))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = scored(spark, sf_dir, A).withColumn("candidate", F.lit("a"))
-    return one.unionByName(scored(spark, sf_dir, B).withColumn("candidate", F.lit("b")))
+def candidates(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Test predictions of two models on different inputs."""
+    rows = model_rows(spark, sf_dir) if rows is None else rows
+    return _scored(rows, A).withColumn("candidate", F.lit("a")).unionByName(_scored(rows, B).withColumn("candidate", F.lit("b")))
 
 
 def fold_scores(spark: SparkSession, sf_dir: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean squared error of each candidate and fold, when it was known, and the fold's test start."""
-    rows = candidates(spark, sf_dir)
+    base = model_rows(spark, sf_dir)
+    rows = candidates(spark, sf_dir, base)
     if by:
         rows = rows.withColumn("regime", (F.col("vol20") > 1.0).cast("int"))
     e = F.col("y") - F.col("pred")
-    start = _outer(model_rows(spark, sf_dir)).select("outer_fold_id", "test_start")
+    start = _outer(base).select("outer_fold_id", "test_start")
     return rows.groupBy(*by, "candidate", "outer_fold_id").agg(F.avg(e * e).alias("score"), diagnostics.known_at()).join(start, "outer_fold_id")
 
 
@@ -400,8 +410,9 @@ def blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def select_diag_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = fold_scores(spark, sf_dir)
-    bias = candidates(spark, sf_dir).groupBy("candidate", "outer_fold_id").agg(F.abs(F.avg(F.col("y") - F.col("pred"))).alias("penalty"), diagnostics.known_at())
-    penalties = bias.join(_outer(model_rows(spark, sf_dir)).select("outer_fold_id", "test_start"), "outer_fold_id")
+    rows = model_rows(spark, sf_dir)
+    bias = candidates(spark, sf_dir, rows).groupBy("candidate", "outer_fold_id").agg(F.abs(F.avg(F.col("y") - F.col("pred"))).alias("penalty"), diagnostics.known_at())
+    penalties = bias.join(_outer(rows).select("outer_fold_id", "test_start"), "outer_fold_id")
     return rounded(selection.diagnostic_aware(scores, penalties, 1.0), 4)
 
 
@@ -423,7 +434,8 @@ def residuals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analysis.compare({"a": scored(spark, sf_dir, A), "b": scored(spark, sf_dir, B)}, "a"), 4)
+    rows = model_rows(spark, sf_dir)
+    return rounded(analysis.compare({"a": _scored(rows, A), "b": _scored(rows, B)}, "a"), 4)
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def test_required_workflow(runner):
     run = load_run(runner.spark, runner.root, runner.run(graph))
     meta = run.load_predictions("meta", split_role="test")
     assert meta.filter("pred is not null").count() > 0
-    told = {n for _, n, _, _ in run.show_lineage("meta", 0)}
+    told = {n for _, n, _, _ in run.show_lineage("meta", meta.agg(F.min("outer_fold_id")).first()[0])}
     assert {"bars", "ret20_model", "vol20_model", "health", "drift", "gap_ret20_model", "resid_vol20_model"} <= told
     # A health value never shows at or before the time at which it was known.
     gap = run.load_artifact("gap_ret20_model").agg(F.min("known_at")).first()[0]
