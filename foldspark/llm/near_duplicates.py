@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from foldspark.llm.common import materialised, ready
 from foldspark.llm.components import components
-from foldspark.llm.textvec import hashed_words, mix
+from foldspark.llm.textvec import HashMap, hashed_words, mix
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 HASHES, TREES, DEPTH = 128, 64, 10
 #: Nodes of a block, and the shared shingles whose incidence is held at a time.
 BLOCK, COLUMNS = 512, 8192
+#: Labels that a task remembers.
+MEETINGS = 1 << 20
 
 _rng = np.random.default_rng(7)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -93,28 +95,62 @@ def labels(sig: np.ndarray, depth: int) -> np.ndarray:
     return h
 
 
+class Meetings:
+    """What a task has seen of the labels: its first node for each. A node with a label
+    seen before is linked to that node at once, so that however many nodes share a
+    label, a task sends one of them on."""
+
+    def __init__(self) -> None:
+        self._first = HashMap()
+
+    def __call__(self, found: np.ndarray, node: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(labels to send on, nodes to link to) for each row of ``found`` (rows x TREES)."""
+        flat = np.where(found == 0, np.uint64(1), found).ravel()
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        keys, sample = ordered[new], order[new]
+        row = np.arange(len(flat)) // found.shape[1]
+        if len(self._first) > MEETINGS:
+            self._first = HashMap()  # only sends more labels on
+        first, there = self._first.find(keys)
+        first[~there] = node[row[sample[~there]]]
+        self._first.add(keys[~there], first[~there])
+        least = np.empty(len(flat), np.int64)
+        least[order] = first[np.cumsum(new) - 1]
+        own = np.zeros(len(flat), bool)
+        own[sample[~there]] = True
+        linked = least != node[row]
+        cut = np.arange(1, len(node))
+        send = np.split(flat[own].view(np.int64), np.searchsorted(row[own], cut))
+        link = np.split(least[linked], np.searchsorted(row[linked], cut))
+        return send, [np.unique(x) if len(x) else x for x in link]
+
+
 def _signed(docs: DataFrame, n: int, depth: int) -> DataFrame:
-    """(k, h, node, labels) for each row of ``docs`` (k, h, t); node is null where there is no set."""
+    """(k, h, node, labels, links) for each row of ``docs`` (k, h, t); node is null where there is no set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meet = Meetings()
         for batch in batches:
             for i, shingles, begins in shingle_sets(batch.column(2), n):
                 rows = batch.slice(i, len(begins) - 1)
                 some = np.flatnonzero(np.diff(begins))
                 node = np.zeros(rows.num_rows, np.int64)
-                made: list[list[int] | None] = [None] * rows.num_rows
+                send: list = [None] * rows.num_rows
+                link: list = [None] * rows.num_rows
                 if len(some):
                     starts = np.append(begins[some], len(shingles))
                     size = np.diff(starts).astype(np.uint64)
                     node[some] = mix(np.add.reduceat(mix(shingles + _STEP), begins[some]) + mix(size)).view(np.int64)
-                    found = labels(signatures(shingles, starts), depth).view(np.int64).tolist()
-                    for r, x in zip(some.tolist(), found):
-                        made[r] = x
+                    for r, x, y in zip(some.tolist(), *meet(labels(signatures(shingles, starts), depth), node[some])):
+                        send[r], link[r] = x, y
                 mask = np.ones(rows.num_rows, bool)
                 mask[some] = False
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(node, pa.int64(), mask=mask), pa.array(made, pa.list_(pa.int64()))], ["k", "h", "node", "labels"])
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (send, link)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(node, pa.int64(), mask=mask), *lists], ["k", "h", "node", "labels", "links"])
 
-    return docs.mapInArrow(run, "k long, h long, node long, labels array<long>")
+    return docs.mapInArrow(run, "k long, h long, node long, labels array<long>, links array<long>")
 
 
 def _with_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -195,12 +231,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N
     depth = prefix_depth(threshold, recall)
     plain = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     signed = materialised(_signed(plain, n, depth))
-    nodes = materialised(
-        signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("k", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
-    )
-    met = nodes.select("node", F.explode("labels").alias("label"))
-    crowded = met.groupBy("label").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("label").alias("at"), "least")
-    edges = met.join(crowded, F.col("label") == F.col("at")).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("k", "h")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialised(nodes)
+    # Dealt by label once; a label has at most a row for each task that has seen it.
+    met = signed.select("node", F.explode("labels").alias("label")).repartition("label")
+    crowded = met.groupBy("label").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("label", "least")
+    edges = met.join(crowded, "label").select(F.col("node").alias("u"), F.col("least").alias("v")).unionAll(signed.select(F.col("node").alias("u"), F.explode("links").alias("v")))
     cluster = materialised(components(edges))
     blocks = cluster.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     wanted = (

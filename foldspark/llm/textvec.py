@@ -110,3 +110,45 @@ def hashed_words(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, i
         part, rel = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         starts, ends, first = word_spans(part, rel)
         yield i, j, hash_spans(part, starts, ends, lower), first
+
+
+class HashMap:
+    """64-bit hashes to 64-bit integers, at most half full (0 stands for an empty place)."""
+
+    def __init__(self, bits: int = 12):
+        self._bits, self._n = bits, 0
+        self._keys, self._values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def __len__(self) -> int:
+        return self._n
+
+    def _walk(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys >> np.uint64(64 - self._bits)).astype(np.int64), np.arange(len(keys))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether the key is there."""
+        at, left = self._walk(keys)
+        out, there = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        while len(left):
+            held = self._keys[at]
+            same = held == keys[left]
+            out[left[same]], there[left[same]] = self._values[at[same]], True
+            on = ~same & (held != 0)
+            left, at = left[on], (at[on] + 1) & ((1 << self._bits) - 1)
+        return out, there
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds different keys that are not there yet."""
+        if 2 * (self._n + len(keys)) > len(self._keys):
+            some = self._keys != 0
+            old = self._keys[some], self._values[some]
+            self.__init__(int(4 * (self._n + len(keys))).bit_length())
+            self.add(*old)
+        self._n += len(keys)
+        at, left = self._walk(keys)
+        while len(left):
+            free = self._keys[at] == 0
+            self._keys[at[free]] = keys[left[free]]  # of several keys for one place, one stays
+            won = self._keys[at] == keys[left]
+            self._values[at[won]] = values[left[won]]
+            left, at = left[~won], (at[~won] + 1) & ((1 << self._bits) - 1)
