@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.functions.features import with_returns
 from foldspark.operators.diagnostics import regression_metrics
+from foldspark.operators.transforms import safe_corr
 
 
 def performance(scored: DataFrame) -> DataFrame:
@@ -32,3 +34,11 @@ def compare(runs: dict[str, DataFrame], base: str) -> DataFrame:
         table = own if table is None else table.unionByName(own)
     other = table.filter(F.col("candidate") == base).select("outer_fold_id", F.col("rmse").alias("_base"))
     return table.join(other, "outer_fold_id", "left").withColumn("delta", F.col("rmse") - F.col("_base")).drop("_base")
+
+
+def asset_correlations(bars: DataFrame) -> DataFrame:
+    """(asset, other, n, corr) of one-bar returns at the same times, for each pair of assets once."""
+    rets = with_returns(bars).filter("ret1 is not null").select("bar_ts", "asset", "ret1")
+    others = rets.select("bar_ts", F.col("asset").alias("other"), F.col("ret1").alias("ret2"))
+    both = rets.join(others, "bar_ts").filter(F.col("asset") < F.col("other"))
+    return both.groupBy("asset", "other").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("ret1"), F.col("ret2")).alias("corr"))

@@ -270,6 +270,8 @@ ORACLES: dict[str, str] = {
     "residuals_by_day": f"WITH {scored()} SELECT asset, date_trunc('day', bar_ts) AS period, round(avg(y - pred), 4) AS bias, round(stddev_pop(y - pred), 4) AS std, count(*) AS n FROM scored GROUP BY 1, 2",
     "compare_feature_sets": f"""WITH {CANDIDATES}, m AS (SELECT outer_fold_id, candidate, sqrt(avg((y - pred) ^ 2)) AS rmse FROM candidates GROUP BY 1, 2)
   SELECT m.outer_fold_id, m.candidate, round(m.rmse, 4) AS rmse, round(m.rmse - b.rmse, 4) AS delta FROM m LEFT JOIN m AS b ON b.outer_fold_id = m.outer_fold_id AND b.candidate = 'a'""",
+    "corr_assets": f"""WITH {PANEL}, p AS (SELECT a.asset, b.asset AS other, a.ret1 AS x, b.ret1 AS y FROM r1 AS a JOIN r1 AS b ON a.bar_ts = b.bar_ts AND a.asset < b.asset WHERE a.ret1 IS NOT NULL AND b.ret1 IS NOT NULL)
+  SELECT asset, other, count(*) AS n, round(covar_pop(x, y) / (sqrt(var_pop(x)) * sqrt(var_pop(y))), 5) AS corr FROM p GROUP BY 1, 2""",
     "lineage": """WITH RECURSIVE e AS (
     SELECT concat('n', n_nationkey) AS artifact_id, concat('r', n_regionkey) AS upstream_id FROM nation UNION ALL SELECT concat('s', s_suppkey) AS artifact_id, concat('n', s_nationkey) AS upstream_id FROM supplier UNION ALL SELECT concat('r', r_regionkey) AS artifact_id, 'root' AS upstream_id FROM region),
   a AS (SELECT artifact_id, upstream_id AS ancestor_id, 1 AS depth FROM e UNION ALL SELECT a.artifact_id, e.upstream_id AS ancestor_id, a.depth + 1 AS depth FROM a JOIN e ON e.artifact_id = a.ancestor_id)

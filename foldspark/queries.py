@@ -438,6 +438,10 @@ def compare_feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analysis.compare({"a": _scored(rows, A), "b": _scored(rows, B)}, "a"), 4)
 
 
+def corr_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analysis.asset_correlations(src.event_bars(spark, sf_dir)), 5)
+
+
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of each artifact in a graph like a stacked run's: nations hang on regions, suppliers on nations."""
     from foldspark.plans.inspect import ancestors
@@ -461,7 +465,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scale_train_only, clip_train_only, select_topk_corr, grid_inner_scores, grid_best, oof_predictions, meta_required, meta_full, pca_by_fold, logit_by_fold, gbt_by_fold, isotonic,
         diag_gap, diag_drift_moments, diag_drift_quantile, diag_psi, diag_drift_corr, diag_resid_std, diag_disagreement, diag_coef_stability, diag_calibration, diag_calibration_regression, diag_residual_profile,
         metrics_rank_ic, metrics_classification, derived_resid_std, derived_health, derived_disagreement, project_health, project_by_asset,
-        select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, lineage,
+        select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, corr_assets, lineage,
     )
 } | {
     "tgt_fwd_return": _target(tgt.forward_return), "tgt_fwd_vol": _target(tgt.forward_volatility), "tgt_updown": _target(tgt.up_down),
