@@ -366,7 +366,8 @@ def train(texts: DataFrame, text: str = "text") -> dict:
     spark = ready(texts.sparkSession)
     uri = shared_uri(spark)
     texts = texts.select(F.col(text).alias("t"))
-    word_shards = max(1, texts.rdd.getNumPartitions())
+    # As many shards of words as the input has partitions, up to the session's number for shuffles.
+    word_shards = max(1, min(texts.rdd.getNumPartitions(), max(200, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     words = materialised(_count_words(texts, word_shards))
     n_tokens, n_types = (int(x or 0) for x in words.agg(F.sum("tokens"), F.sum("types")).first())
     about = {"uri": uri, "tokens": n_tokens, "types": n_types, "rows": 0, "pairs": 0, "pair_counts": (0, 0, 0, 0), "word_counts": (0, 0, 0, 0), "word_many": 0, "word_shards": [], "pair_shards": [], "n_word_shards": word_shards, "n_pair_shards": 1, "frequent": np.zeros(0, np.uint64)}
