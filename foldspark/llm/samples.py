@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of a label that are ranked apart before its sample is put together.
+PARTS = 64
+
 
 def text_labels(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(h, label) of the texts of ``docs`` whose key ``known`` (key, label) has; texts do not move."""
@@ -17,7 +20,11 @@ def labelled_sample(docs: DataFrame, pairs: DataFrame, per_label: int, text: str
     ``pairs`` has (h, label) by hash of the text.  Only hashes are ranked; the texts
     chosen are looked up by a broadcast of at most ``per_label`` rows a label.
     """
-    by = Window.partitionBy("label").orderBy("h")
-    picks = pairs.filter("label is not null").distinct().withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= per_label).drop("_r")
+    # The smallest hashes of a label are among those of its parts, so a frequent label is no hot task.
+    picks = pairs.filter("label is not null").distinct().withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)))
+    for keys in (["label", "part"], ["label"]):
+        by = Window.partitionBy(*keys).orderBy("h")
+        picks = picks.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= per_label).drop("_r")
+    picks = picks.drop("part")
     hashed = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     return hashed.join(F.broadcast(picks), "h").dropDuplicates(["h", "label"]).select("h", "text", "label")
