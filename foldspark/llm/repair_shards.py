@@ -1,9 +1,9 @@
 """Token-ID output: shard files of token ids compressed by a grammar (Re-Pair).
 
 ``write_shards`` encodes every document, appends an end id, sorts by ``doc_id`` and
-writes blocks of about ``BLOCK_TOKENS`` tokens.  In a block the most frequent pairs
-of neighbouring ids are replaced by new symbols (nonterminals), again and again;
-the block stores the rules, the length that each symbol expands to, and where each
+writes blocks of about ``BLOCK_TOKENS`` tokens.  In a block all pairs of neighbouring ids
+that occur ``LEAST`` times or more are replaced by new symbols (nonterminals), pass
+after pass until no pair does; the block stores the rules, the length that each symbol expands to, and where each
 document's symbols begin, so a single document can be decoded alone.  No pair
 reaches over the end of a document.
 
@@ -31,9 +31,9 @@ from foldspark.llm.bpe import load, slices
 from foldspark.llm.common import ready, shared_uri
 
 BLOCK_TOKENS = 1 << 20
-#: Rounds of replacement, and how often a pair must occur to be replaced.
-ROUNDS, LEAST = 3, 24
-_MAGIC = b"RPG1"
+#: How often a pair must occur to be replaced.
+LEAST = 2
+_MAGIC, _HEAD = b"RPG2", "<4sIIQQBBB"
 _BUCKET_BITS, _ODD = 16, np.int64(-7046029254386353131)
 
 
@@ -59,14 +59,16 @@ def compress(ids: np.ndarray, lengths: np.ndarray, symbols: int) -> bytes:
     ends = np.zeros(len(seq), bool)
     ends[np.cumsum(lengths) - 1] = True
     rules: list[np.ndarray] = []
-    base = symbols
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1] << 32 | seq[1:]
+    base, fresh = symbols, 0
+    # A pass leaves no chosen pair behind (of two that overlap, one is taken and the other
+    # ends with it), so only pairs with a symbol of the pass before can be frequent.
+    while len(seq) > 1:
+        new = seq >= fresh
+        near = np.flatnonzero((new[:-1] | new[1:]) & ~(ends[:-1] | ends[1:]))
+        keys = seq[near] << 32 | seq[near + 1]
         # Pairs of a bucket that has too few of them in all need no exact count.
         bucket = ((keys * _ODD) >> (64 - _BUCKET_BITS)) & ((1 << _BUCKET_BITS) - 1)
-        some = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKET_BITS)[bucket] >= LEAST) & ~(ends[:-1] | ends[1:]))
+        some = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKET_BITS)[bucket] >= LEAST)
         if not len(some):
             break
         order = np.argsort(keys[some])
@@ -77,48 +79,54 @@ def compress(ids: np.ndarray, lengths: np.ndarray, symbols: int) -> bytes:
         chosen = ordered[edge[often]]
         if not len(chosen):
             break
-        at = np.full(len(keys), -1, np.int64)
+        at = np.full(len(near), -1, np.int64)
         at[some[order[np.repeat(often, count)]]] = np.repeat(np.arange(len(chosen)), count[often])
-        hit = np.flatnonzero(at >= 0)
+        hit, at = near[at >= 0], at[at >= 0]
         # Of overlapping pairs in a row, every other one from the left.
         run = np.concatenate(([True], np.diff(hit) > 1))
-        begin = np.maximum.accumulate(np.where(run, hit, 0)) if len(hit) else hit
-        take = hit[(hit - begin) % 2 == 0]
-        seq[take] = base + at[take]
+        begin = np.maximum.accumulate(np.where(run, hit, 0))
+        taken = (hit - begin) % 2 == 0
+        # A pair that others took away everywhere needs no rule.
+        used = np.bincount(at[taken], minlength=len(chosen)) > 0
+        seq[hit[taken]] = base + (np.cumsum(used) - 1)[at[taken]]
         keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
+        keep[hit[taken] + 1] = False
         seq, ends = seq[keep], ends[keep]
-        rules.append(chosen)
-        base += len(chosen)
+        rules.append(chosen[used])
+        fresh, base = base, base + int(used.sum())
     flat = np.concatenate(rules) if rules else np.zeros(0, np.int64)
     left, right = flat >> 32, flat & 0xFFFFFFFF
     size = np.ones(base, np.int64)
-    for i, group in enumerate(rules):
-        lo = symbols + sum(map(len, rules[:i]))
+    lo = symbols
+    for group in rules:
         size[lo : lo + len(group)] = size[group >> 32] + size[group & 0xFFFFFFFF]
+        lo += len(group)
     width, packed = _bits(seq)
     begins = np.concatenate(([0], np.flatnonzero(ends) + 1))
-    head = struct.pack("<4sIIQQB", _MAGIC, symbols, len(flat), len(seq), len(lengths), width)
-    return head + left.astype("<u4").tobytes() + right.astype("<u4").tobytes() + size[symbols:].astype("<u4").tobytes() + begins.astype("<u8").tobytes() + packed
+    (part_width, parts), (size_width, sizes) = _bits(np.concatenate((left, right))), _bits(size[symbols:])
+    head = struct.pack(_HEAD, _MAGIC, symbols, len(flat), len(seq), len(lengths), width, part_width, size_width)
+    return head + parts + sizes + begins.astype("<u8").tobytes() + packed
 
 
 class Block:
     """Reads a block; documents are numbered from 0."""
 
     def __init__(self, data: bytes):
-        magic, symbols, n_rules, self.n_symbols, self.n_docs, self.width = struct.unpack_from("<4sIIQQB", data)
+        magic, symbols, n_rules, self.n_symbols, self.n_docs, self.width, part_width, size_width = struct.unpack_from(_HEAD, data)
         if magic != _MAGIC:
             raise ValueError("not a block of token ids")
-        at = struct.calcsize("<4sIIQQB")
+        raw, at = np.frombuffer(data, np.uint8), struct.calcsize(_HEAD)
 
-        def take(kind: str, n: int) -> np.ndarray:
+        def take(n: int, width: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(data, kind, n, at).astype(np.int64)
-            at += out.size * np.dtype(kind).itemsize
+            out = _unbits(raw[at:], n, width)
+            at += (n * width + 7) // 8
             return out
 
-        left, right, sizes = take("<u4", n_rules), take("<u4", n_rules), take("<u4", n_rules)
-        self.begins = take("<u8", self.n_docs + 1)
+        parts, sizes = take(2 * n_rules, part_width), take(n_rules, size_width)
+        left, right = parts[:n_rules], parts[n_rules:]
+        self.begins = np.frombuffer(data, "<u8", self.n_docs + 1, at).astype(np.int64)
+        at += 8 * (self.n_docs + 1)
         self.packed = np.frombuffer(data, np.uint8, offset=at)
         self.size = np.concatenate((np.ones(symbols, np.int64), sizes))
         # Expansions side by side, filled from the rules whose parts are known.

@@ -108,3 +108,17 @@ def test_blocks_decode_whole_and_one_by_one():
         assert (block.document(i) == ids[a : a + n]).all()
     with pytest.raises(ValueError):
         repair_shards.Block(b"x" * 64)
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 900, 64)
+    docs = [np.concatenate((rng.integers(0, 900, rng.integers(1, 30)), passage, passage[:40] if i % 3 else rng.integers(0, 900, 5), [900])) for i in range(60)]
+    block = repair_shards.Block(repair_shards.compress(np.concatenate(docs), np.array([len(d) for d in docs]), 1000))
+    assert (block.documents()[0] == np.concatenate(docs)).all()
+    seq = repair_shards._unbits(block.packed, block.n_symbols, block.width)
+    inside = np.ones(len(seq), bool)
+    inside[block.begins[1:] - 1] = False  # ends
+    both = inside[:-1] & inside[1:]
+    assert np.unique(np.stack((seq[:-1], seq[1:]))[:, both], axis=1, return_counts=True)[1].max() < repair_shards.LEAST == 2
+    assert block.size.max() >= 32 and len(seq) < 60 * 30
