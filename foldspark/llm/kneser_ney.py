@@ -1,4 +1,4 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model.
+"""LM scoring: an interpolated modified Kneser-Ney model of order 2 or 3.
 
 Counting runs in Spark: tasks count the words and pairs of words of their texts and
 deal sorted, packed counts to shards; shards are summed and written to the shared
@@ -12,11 +12,20 @@ N(.w) is the number of words seen before w, N(..) that of all pairs, D and D' th
 three modified discounts from counts of counts, gamma the mass they leave.  The
 first word's context is a start mark; a context never seen leaves P(w).
 
+With order 3, P(w | tu) = max(c(tuw) - D''(c(tuw)), 0) / c(tu.) + gamma(tu) P(w | u)
+from the second token on, where t may be the start mark, and P(w | u) is of
+N(.uw), the number of tokens seen before uw, in place of c(uw); pairs with the start
+mark, before which nothing stands, keep their counts.
+
 Words are runs of bytes other than space and U+0009 to U+000D, A-Z in lower case;
 each text has one end after its words, which counts as a token.  Null texts are
 empty: one end.  Repeated rows count as often as they occur.  With no training row
 each probability is 1 / (V + 1) = 1.  An empty table gives no rows.
 
+Triples are counted first; their shards send each shard of pairs the numbers N(.uw)
+and what its pairs need as contexts.  A triple belongs to the shard of its first two
+words, or is dealt by itself if both are frequent.
+
 A pair belongs to the shard of its first word; words so frequent that their pairs
 would fill a shard (at most 8 for each shard, by their counts) are dealt by pair.
 Words are told apart by 64-bit hashes, pairs by 48 bits of both words.
@@ -37,9 +46,11 @@ from foldspark.llm.textvec import doc_chunks, hash_spans, mix, raw_utf8, word_sp
 
 #: Training tokens of a shard of pairs, tokens that a task counts at a time, bytes scored at a time.
 SHARD_TOKENS, COUNT_TOKENS, SCORE_BYTES = 1_500_000, 2_000_000, 1 << 20
-START, END = (mix(np.array([x], np.uint64))[0] for x in (0xA11CE, 0xE4D))
+START, END, NOTHING = (mix(np.array([x], np.uint64))[0] for x in (0xA11CE, 0xE4D, 0x0FF))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64(16)
+#: A pair as the context of triples: its words, how often it was followed, followers seen once, twice, more often.
+_CONTEXT = ("cu", "cw", "total", "n1", "n2", "n3")
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,6 +114,21 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(u * _STEP + w)
 
 
+def _among(frequent: np.ndarray, u: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(frequent, u), max(len(frequent) - 1, 0))
+    return frequent[at] == u if len(frequent) else np.zeros(len(u), bool)
+
+
+def _pair_place(u: np.ndarray, w: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Shards of pairs are ranges of this; pairs of one first word lie together unless it is frequent."""
+    return np.where(_among(frequent, u), pair_key(u, w), u << _LOW48 | w >> np.uint64(32))
+
+
+def _triple_place(t: np.ndarray, u: np.ndarray, key: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Shards of triples are ranges of this; triples of one context lie together unless its words are frequent."""
+    return np.where((_among(frequent, t) | (t == START >> _LOW48)) & _among(frequent, u), key, pair_key(t, u))
+
+
 def _count_words(texts: DataFrame, shards: int) -> DataFrame:
     """(shard, keys, counts) with the sorted words of the shard."""
 
@@ -164,10 +190,7 @@ def _count_pairs(texts: DataFrame, shards: int, frequent: np.ndarray) -> DataFra
                 return
             u, w = np.concatenate(held_u), np.concatenate(held_w)
             held_u.clear(), held_w.clear()
-            # Shards are ranges of `by`; pairs of one first word lie together unless it is frequent.
-            at = np.minimum(np.searchsorted(frequent, u), max(len(frequent) - 1, 0))
-            hot = frequent[at] == u if len(frequent) else np.zeros(len(u), bool)
-            by = np.where(hot, pair_key(u, w), u << _LOW48 | w >> np.uint64(32))
+            by = _pair_place(u, w, frequent)
             order = np.argsort(by)
             by, u, w = by[order], u[order], w[order]
             new = np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
@@ -196,7 +219,94 @@ def _count_pairs(texts: DataFrame, shards: int, frequent: np.ndarray) -> DataFra
     return texts.mapInArrow(run, "shard long, u binary, runs binary, w binary, counts binary")
 
 
-def _write_pairs(dealt: DataFrame, uri: str, word_shards: int) -> DataFrame:
+def _count_triples(texts: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
+    """(shard, t, u, runs, w, counts): triples of some texts; a text's first token follows nothing and the start mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def fold() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            t, u, w = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            key = pair_key(pair_key(t, u), w)
+            order = np.argsort(key)
+            at = _runs(key[order])
+            count, some = np.diff(np.append(at, len(key))), order[at]
+            t, u, w, key = t[some], u[some], w[some], key[some]
+            by = _triple_place(t, u, key, frequent)
+            order = np.argsort(by)
+            by, t, u, w, count = by[order], t[order], u[order], w[order], count[order]
+            cuts = np.searchsorted(_shard(by, shards), np.arange(shards + 1))
+            rows = []
+            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if a < b:
+                    runs = np.flatnonzero(np.concatenate(([True], (t[a + 1 : b] != t[a : b - 1]) | (u[a + 1 : b] != u[a : b - 1]))))
+                    rows.append((s, _six(t[a:b][runs]), _six(u[a:b][runs]), np.diff(np.append(runs, b - a)).astype("<u4").tobytes(), _six(w[a:b]), count[a:b].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(zip(*rows))], ["shard", "t", "u", "runs", "w", "counts"])
+
+        size = 0
+        for batch in batches:
+            for _, _, toks, begins in tokens(batch.column(0)):
+                u = contexts(toks, begins)
+                t = np.empty_like(u)
+                t[1:] = u[:-1]
+                t[begins[:-1]] = NOTHING
+                held.append((t >> _LOW48, u >> _LOW48, toks >> _LOW48))
+                size += len(toks)
+                if size > COUNT_TOKENS:
+                    yield from fold()
+                    size = 0
+        yield from fold()
+
+    return texts.mapInArrow(run, "shard long, t binary, u binary, runs binary, w binary, counts binary")
+
+
+def _write_triples(dealt: DataFrame, uri: str, pair_shards: int, frequent: np.ndarray) -> DataFrame:
+    """Sums each shard's triples and writes them; rows like those of :func:`_count_pairs` with N(.uw), and the pairs' sums as contexts."""
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        runs = _joined(table, "runs", "<u4")
+        t, u = (np.repeat(_from_six(table.column(x).to_pylist()), runs) for x in ("t", "u"))
+        w, c = _from_six(table.column("w").to_pylist()), _joined(table, "counts", "<u4").astype(np.int64)
+        keys = pair_key(pair_key(t, u), w)
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = _runs(keys)
+        c = np.add.reduceat(c[order], at)
+        keys, t, u, w = keys[at], t[order[at]], u[order[at]], w[order[at]]
+        whole = t != NOTHING >> _LOW48
+        shared_files.write(uri, f"triples-{key[0].as_py()}", np.array([whole.sum()], np.uint64), keys[whole], np.minimum(c[whole], 0xFFFFFFFF).astype(np.uint32))
+
+        def by_pair(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+            """Where the pairs' shards begin; the pairs and their sums, by shard."""
+            order = np.argsort(pair_key(a, b))
+            a, b = a[order], b[order]
+            at = _runs(pair_key(a, b))
+            sums = [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
+            a, b = a[at], b[at]
+            place = _pair_place(a, b, frequent)
+            order = np.argsort(place)
+            return np.searchsorted(_shard(place[order], pair_shards), np.arange(pair_shards + 1)), [x[order] for x in (a, b, *sums)]
+
+        cuts, (v, x, before) = by_pair(u, w, np.where(whole, 1, c))
+        t, u, c = t[whole], u[whole], c[whole]
+        context_cuts, (f, g, *own) = by_pair(t, u, c, *(((c == k) if k < 3 else (c >= 3)).astype(np.int64) for k in (1, 2, 3)))
+        histogram, rows = [int((c == k).sum()) for k in (1, 2, 3, 4)], []
+        for s in range(pair_shards):
+            a, b, d, e = cuts[s], cuts[s + 1], context_cuts[s], context_cuts[s + 1]
+            if a < b or d < e:
+                runs = _runs(v[a:b])
+                pairs = (_six(v[a:b][runs]), np.diff(np.append(runs, b - a)).astype("<u4").tobytes(), _six(x[a:b]), before[a:b].astype("<u4").tobytes())
+                rows.append((s, *pairs, _six(f[d:e]), _six(g[d:e]), *(np.minimum(o[d:e], 0xFFFFFFFF).astype("<u4").tobytes() for o in own), [0] * 4 if rows else histogram))
+        kinds = [pa.int64(), *[pa.binary()] * 10, pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "u", "runs", "w", "counts", *_CONTEXT, "histogram"])
+
+    return dealt.groupBy("shard").applyInArrow(merge, f"shard long, u binary, runs binary, w binary, counts binary, {', '.join(f'{x} binary' for x in _CONTEXT)}, histogram array<long>")
+
+
+def _write_pairs(dealt: DataFrame, uri: str, word_shards: int, n_order: int) -> DataFrame:
     """Sums each shard's pairs and writes them; (target, ...) what each shard of words needs of them."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
@@ -205,27 +315,35 @@ def _write_pairs(dealt: DataFrame, uri: str, word_shards: int) -> DataFrame:
         c = _joined(table, "counts", "<u4").astype(np.int64)
         order = np.lexsort((w, u))
         u, w = u[order], w[order]
-        at = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
-        c = np.add.reduceat(c[order], at)
+        at = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))) if len(u) else np.zeros(0, np.int64)
+        c = np.add.reduceat(c[order], at) if len(at) else c
         u, w = u[at], w[at]
         keys = pair_key(u, w)
         by = np.argsort(keys)
-        shared_files.write(uri, f"pairs-{key[0].as_py()}", np.array([len(keys)], np.uint64), keys[by], np.minimum(c[by], 0xFFFFFFFF).astype(np.uint32))
+        as_context, triples = [], [0] * 4
+        if n_order > 2:
+            found, *sums = _summed(pair_key(*(_from_six(table.column(x).to_pylist()) for x in _CONTEXT[:2])), *(_joined(table, x, "<u4").astype(np.int64) for x in _CONTEXT[2:]))
+            at = np.searchsorted(keys[by], found)
+            as_context = [np.zeros(len(keys), np.uint32) for _ in sums]
+            for to, values in zip(as_context, sums):
+                to[at] = np.minimum(values, 0xFFFFFFFF)
+            triples = [sum(x) for x in zip(*table.column("histogram").to_pylist())]
+        shared_files.write(uri, f"pairs-{key[0].as_py()}", np.array([len(keys)], np.uint64), keys[by], np.minimum(c[by], 0xFFFFFFFF).astype(np.uint32), *as_context)
         first = _runs(u)
-        own = [np.add.reduceat((c == k) if k < 3 else (c >= 3), first, dtype=np.int64) for k in (1, 2, 3)]
+        own = [np.add.reduceat(x, first, dtype=np.int64) for x in (c, c == 1, c == 2, c >= 3)]
         contexts_, (seen, before) = u[first], _summed(w, np.ones(len(w), np.int64))
-        histogram = np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64)
+        histogram = np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)] + triples, np.int64)
         cut_u = np.searchsorted(_shard(contexts_ << _LOW48, word_shards), np.arange(word_shards + 1))
         cut_w = np.searchsorted(_shard(seen << _LOW48, word_shards), np.arange(word_shards + 1))
         rows = []
         for s in range(word_shards):
             a, b, d, e = cut_u[s], cut_u[s + 1], cut_w[s], cut_w[s + 1]
             if a < b or d < e or s == 0:
-                rows.append((s, _six(contexts_[a:b]), *(x[a:b].astype("<u4").tobytes() for x in own), _six(seen[d:e]), before[d:e].astype("<u4").tobytes(), histogram.tolist() if s == 0 else [0] * 5))
-        kinds = [pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["target", "u", "n1", "n2", "n3", "w", "before", "histogram"])
+                rows.append((s, _six(contexts_[a:b]), *(x[a:b].astype("<u8").tobytes() for x in own[:1]), *(x[a:b].astype("<u4").tobytes() for x in own[1:]), _six(seen[d:e]), before[d:e].astype("<u4").tobytes(), histogram.tolist() if s == 0 else [0] * 9))
+        kinds = [pa.int64(), *[pa.binary()] * 7, pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["target", "u", "total", "n1", "n2", "n3", "w", "before", "histogram"])
 
-    return dealt.groupBy("shard").applyInArrow(merge, "target long, u binary, n1 binary, n2 binary, n3 binary, w binary, before binary, histogram array<long>")
+    return dealt.groupBy("shard").applyInArrow(merge, "target long, u binary, total binary, n1 binary, n2 binary, n3 binary, w binary, before binary, histogram array<long>")
 
 
 def _write_words(words: DataFrame, needed: DataFrame, uri: str) -> DataFrame:
@@ -234,7 +352,7 @@ def _write_words(words: DataFrame, needed: DataFrame, uri: str) -> DataFrame:
     def merge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         shard = next(k.as_py() for k in key if k.as_py() is not None)
         keys, counts = _joined(left, "keys", np.uint64), _joined(left, "counts", np.int64)
-        u, *own = _summed(_from_six(right.column("u").to_pylist()), *(_joined(right, x, "<u4").astype(np.int64) for x in ("n1", "n2", "n3")))
+        u, *own = _summed(_from_six(right.column("u").to_pylist()), *(_joined(right, x, k).astype(np.int64) for x, k in (("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"))))
         w, before = _summed(_from_six(right.column("w").to_pylist()), _joined(right, "before", "<u4").astype(np.int64))
         if (START >> _LOW48) in u:  # the start mark is a context only
             at = np.searchsorted(keys, START)
@@ -243,13 +361,13 @@ def _write_words(words: DataFrame, needed: DataFrame, uri: str) -> DataFrame:
 
         def aligned(to: np.ndarray, values: np.ndarray) -> np.ndarray:
             if not len(to):
-                return np.zeros(len(keys), np.uint32)
+                return np.zeros(len(keys), np.int64)
             at = np.minimum(np.searchsorted(to, short), len(to) - 1)
-            return np.where(to[at] == short, values[at], 0).astype(np.uint32)
+            return np.where(to[at] == short, values[at], 0)
 
-        shared_files.write(uri, f"words-{shard}", np.array([len(keys)], np.uint64), keys, counts, aligned(w, before), *(aligned(u, x) for x in own))
-        pairs = [sum(x) for x in zip(*right.column("histogram").to_pylist())] or [0] * 5
-        sums = pairs + [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before >= 3).sum())]
+        shared_files.write(uri, f"words-{shard}", np.array([len(keys)], np.uint64), keys, counts, aligned(u, own[0]), aligned(w, before).astype(np.uint32), *(aligned(u, x).astype(np.uint32) for x in own[1:]))
+        pairs = [sum(x) for x in zip(*right.column("histogram").to_pylist())] or [0] * 9
+        sums = pairs[:5] + [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before >= 3).sum())] + pairs[5:]
         return pa.Table.from_arrays([pa.array([sums], pa.list_(pa.int64()))], ["sums"])
 
     return words.select("shard", "keys", "counts").groupBy("shard").cogroup(needed.groupBy("target")).applyInArrow(merge, "sums array<long>")
@@ -271,7 +389,7 @@ class Model:
     def __init__(self, about: dict):
         self.about = about
         self._files: dict[str, tuple[np.ndarray, ...]] = {}
-        self.pair_discount, self.word_discount = discounts(*about["pair_counts"]), discounts(*about["word_counts"])
+        self.triple_discount, self.pair_discount, self.word_discount = (discounts(*about[x]) for x in ("triple_counts", "pair_counts", "word_counts"))
         n = about["word_counts"]
         mass = self.word_discount[1] * n[0] + self.word_discount[2] * n[1] + self.word_discount[3] * about["word_many"]
         self.pairs = about["pairs"]
@@ -302,53 +420,70 @@ class Model:
                         o[a:b] = np.where(hit, v[at], 0)
         return out
 
-    _WORD = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
+    _WORD = (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
 
     def words(self, h: np.ndarray) -> list[np.ndarray]:
-        """count, words before it, and as a context: followers seen once, twice, more often."""
+        """count, and as a context how often it was followed; words before it; followers seen once, twice, more often."""
         order = np.argsort(h)
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         found = self._look_up(h[order], h[order], "words", self.about["word_shards"], self.about["n_word_shards"], self._WORD)
         return [x[back] for x in found]
 
-    def pair_counts(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        frequent = self.about["frequent"]
-        at = np.minimum(np.searchsorted(frequent, u), max(len(frequent) - 1, 0))
-        hot = frequent[at] == u if len(frequent) else np.zeros(len(u), bool)
-        key = pair_key(u, w)
-        shard = _shard(np.where(hot, key, u << _LOW48 | w >> np.uint64(32)), self.about["n_pair_shards"])
-        out = np.zeros(len(u), np.uint32)
+    def _grams(self, kind: str, key: np.ndarray, place: np.ndarray, shards: list[int], total: int, kinds: tuple) -> list[np.ndarray]:
+        """Values of keys in any order."""
+        shard = _shard(place, total)
+        out = [np.zeros(len(key), k) for k in kinds[1:]]
         order = np.argsort(key)
         order = order[np.argsort(shard[order], kind="stable")]
-        cuts = np.searchsorted(shard[order], np.arange(self.about["n_pair_shards"] + 1))
-        for s in self.about["pair_shards"]:
+        cuts = np.searchsorted(shard[order], np.arange(total + 1))
+        for s in shards:
             rows = order[cuts[s] : cuts[s + 1]]
             if len(rows):
-                keys, counts = self._arrays(f"pairs-{s}", (np.uint64, np.uint32))
-                at = np.minimum(np.searchsorted(keys, key[rows]), len(keys) - 1)
-                out[rows] = np.where(keys[at] == key[rows], counts[at], 0)
+                keys, *values = self._arrays(f"{kind}-{s}", kinds)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, key[rows]), len(keys) - 1)
+                    hit = keys[at] == key[rows]
+                    for o, v in zip(out, values):
+                        o[rows] = np.where(hit, v[at], 0)
         return out
 
+    def pairs_of(self, u: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        """count, and with order 3 as a context: how often it was followed, followers seen once, twice, more often."""
+        kinds = (np.uint64, np.uint32) if self.about["order"] < 3 else (np.uint64, *[np.uint32] * 5)
+        return self._grams("pairs", pair_key(u, w), _pair_place(u, w, self.about["frequent"]), self.about["pair_shards"], self.about["n_pair_shards"], kinds)
+
+    def triple_counts(self, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        key = pair_key(pair_key(t, u), w)
+        return self._grams("triples", key, _triple_place(t, u, key, self.about["frequent"]), self.about["triple_shards"], self.about["n_pair_shards"], (np.uint64, np.uint32))[0]
+
     def score(self, toks: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of each row."""
         every, where = _distinct(toks)
-        count, before, n1, n2, n3 = self.words(np.append(every, START))
+        count, followed, before, n1, n2, n3 = self.words(np.append(every, START))
         total = self.about["tokens"] + self.about["types"] + 1
         base = np.log10((count[:-1] + 1) / total)[where]
         known = (count[:-1] > 0)[where]
         one = self.floor + np.maximum(before - self.word_discount[np.minimum(before, 3)], 0) / max(self.pairs, 1)
         # As a context: how often it was followed, and the mass that its discounts leave.
-        followed = count.astype(np.float64)
-        followed[-1] = self.about["rows"]
         d = self.pair_discount
         left = np.where((followed > 0) & (n1 + n2 + n3 > 0), (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(followed, 1), 1.0)
         previous = np.empty_like(where)
         previous[1:] = where[:-1]
         previous[begins[:-1]] = len(every)
         names = np.append(every, START)
-        c = self.pair_counts(names[previous] >> _LOW48, toks >> _LOW48)
+        u, w = names[previous] >> _LOW48, toks >> _LOW48
+        c, *as_context = self.pairs_of(u, w)
         p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(followed[previous], 1) + left[previous] * one[where]
+        if as_context:
+            # The pair before a token is its context; a text's first token has none.
+            later = np.ones(len(toks), bool)
+            later[begins[:-1]] = False
+            later = np.flatnonzero(later)
+            followed, n1, n2, n3 = (x[later - 1].astype(np.float64) for x in as_context)
+            c, d = self.triple_counts(u[later - 1], u[later], w[later]), self.triple_discount
+            left = np.where(followed > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(followed, 1), 1.0)
+            p[later] = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(followed, 1) + left * p[later]
         return np.add.reduceat(known, begins[:-1], dtype=np.int64), np.add.reduceat(base, begins[:-1]), np.add.reduceat(np.log10(p), begins[:-1])
 
 
@@ -361,8 +496,10 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], where
 
 
-def train(texts: DataFrame, text: str = "text") -> dict:
+def train(texts: DataFrame, text: str = "text", order: int = 2) -> dict:
     """Counts all rows of ``texts``, writes the model, and says what a :class:`Model` needs to know."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = ready(texts.sparkSession)
     uri = shared_uri(spark)
     texts = texts.select(F.col(text).alias("t"))
@@ -370,20 +507,24 @@ def train(texts: DataFrame, text: str = "text") -> dict:
     word_shards = max(1, min(texts.rdd.getNumPartitions(), max(200, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     words = materialised(_count_words(texts, word_shards))
     n_tokens, n_types = (int(x or 0) for x in words.agg(F.sum("tokens"), F.sum("types")).first())
-    about = {"uri": uri, "tokens": n_tokens, "types": n_types, "rows": 0, "pairs": 0, "pair_counts": (0, 0, 0, 0), "word_counts": (0, 0, 0, 0), "word_many": 0, "word_shards": [], "pair_shards": [], "n_word_shards": word_shards, "n_pair_shards": 1, "frequent": np.zeros(0, np.uint64)}
+    about = {"uri": uri, "order": order, "tokens": n_tokens, "types": n_types, "pairs": 0, "triple_counts": (0, 0, 0, 0), "triple_shards": [], "pair_counts": (0, 0, 0, 0), "word_counts": (0, 0, 0, 0), "word_many": 0, "word_shards": [], "pair_shards": [], "n_word_shards": word_shards, "n_pair_shards": 1, "frequent": np.zeros(0, np.uint64)}
     if not n_tokens:
         return about
     pair_shards = -(-n_tokens // SHARD_TOKENS)
     frequent = np.array(_frequent(words, max(2, n_tokens // (8 * pair_shards))), np.int64).view(np.uint64) >> _LOW48 if pair_shards > 1 else np.zeros(0, np.uint64)
     frequent = np.unique(frequent)
-    needed = _write_pairs(_count_pairs(texts, pair_shards, frequent), uri, word_shards)
+    if order == 2:
+        dealt = _count_pairs(texts, pair_shards, frequent)
+    else:
+        dealt = _write_triples(_count_triples(texts, pair_shards, frequent), uri, pair_shards, frequent)
+    needed = _write_pairs(dealt, uri, word_shards, order)
     done = _write_words(words, needed, uri)
-    sums = done.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(10))).first()
+    sums = done.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(14))).first()
     made = _listed(spark, uri)
-    rows = texts.count()
     return about | {
-        "rows": rows,
         "pairs": sums[4],
+        "triple_counts": tuple(sums[10:]),
+        "triple_shards": sorted(int(x[8:]) for x in made if x.startswith("triples-")),
         "pair_counts": tuple(sums[:4]),
         "word_counts": tuple(sums[5:9]),
         "word_many": sums[9],
@@ -418,8 +559,8 @@ def score(docs: DataFrame, about: dict, text: str = "text") -> DataFrame:
     return docs.select(text, *others).mapInArrow(run, schema)
 
 
-def held_out_scores(docs: DataFrame) -> DataFrame:
+def held_out_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """The contract's row per document."""
     marked = docs.select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
-    about = train(marked.filter(~F.col("held_out")))
+    about = train(marked.filter(~F.col("held_out")), order=order)
     return score(marked, about).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(about["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -41,7 +41,7 @@ def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

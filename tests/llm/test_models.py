@@ -68,6 +68,59 @@ def test_kneser_ney_is_brute_force(spark, edge, empty, monkeypatch, shard):
         assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-9)
 
 
+def brute_trigrams(rows):
+    """Scores of order 3, from dictionaries."""
+    docs = [(k, [w.translate(LOW) for w in WORD.findall(t or "")] + ["</s>"]) for k, t in rows]
+    tri, raw = Counter(), Counter()
+    for k, toks in docs:
+        if key_crc(k) % 7 != 2:
+            padded = ["<s>", *toks]
+            raw.update(zip(padded, toks))
+            tri.update(zip(padded, toks, toks[1:]))
+    bi = Counter((u, w) for _, u, w in tri) + Counter({p: c for p, c in raw.items() if p[0] == "<s>"})
+    assert set(bi) == set(raw)
+    cont = Counter(w for _, w in bi)
+
+    def disc(values):
+        k = [sum(c == i for c in values) for i in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1]) if k[0] + k[1] else 0
+        return [0] + [min(max(i - (i + 1) * y * k[i] / k[i - 1], 0), i) if k[i - 1] else 0 for i in (1, 2, 3)]
+
+    levels = []
+    for grams in (bi, tri):
+        d, total, mass = disc(list(grams.values())), Counter(), Counter()
+        for g, c in grams.items():
+            total[g[:-1]] += c
+            mass[g[:-1]] += d[min(c, 3)]
+        levels.append((grams, d, total, mass))
+    d1, n, v = disc(list(cont.values())), len(bi), len(cont)
+    floor = (sum(d1[min(c, 3)] for c in cont.values()) / n if n else 1) / (v + 1)
+    out = []
+    for k, toks in docs:
+        full, padded = 0.0, ["<s>", *toks]
+        for i, w in enumerate(toks):
+            p = floor + (max(cont[w] - d1[min(cont[w], 3)], 0) / n if n else 0)
+            for m, (grams, d, total, mass) in enumerate(levels[: i + 1], 1):
+                before = tuple(padded[i + 1 - m : i + 1])
+                if total[before]:
+                    c = grams[(*before, w)]
+                    p = (max(c - d[min(c, 3)], 0) + mass[before] * p) / total[before]
+            full += math.log10(p)
+        out.append((-1 if k is None else k, full))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard", [3000, 1_500_000])
+def test_kneser_ney_of_order_three_is_brute_force(spark, edge, empty, monkeypatch, shard):
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", shard)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (docs, edge, edge.filter("doc_id = 1"), empty):
+        want = brute_trigrams([(r["doc_id"], r["text"]) for r in df.collect()])
+        got = sorted((r["doc_id"], r["score"]) for r in kneser_ney.held_out_scores(df, order=3).fillna(-1, ["doc_id"]).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-9, atol=1e-9)
+
+
 def test_kneser_ney_beats_its_base_on_held_out_texts(spark):
     rows = kneser_ney.held_out_scores(spark.read.parquet(f"{SF}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > 0.9 * rows[1]
