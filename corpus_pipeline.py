@@ -11,9 +11,9 @@ from foldspark.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, whose language can't be told. An ambiguous guess is no reason to drop one."""
-    found = language_codes.predict(docs, language_codes.train(docs))
-    return found.filter(F.col("lang_pred") != "und").select(*docs.columns)
+    """Drops documents without a letter and those that no learned language fits. An ambiguous guess is no reason to drop one."""
+    found = language_codes.fits(docs, language_codes.train(docs, calibrate=True))
+    return found.filter("fits").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

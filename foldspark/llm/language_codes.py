@@ -10,6 +10,10 @@ Texts that are null or have no letter are ``und`` with score 0.  Without any lab
 text everything is ``und``; with one language every text with a letter is that one.
 Equal texts get equal predictions.  An empty table gives no rows.
 
+``fits`` tells whether a text is in one of the languages at all: its smallest loss
+must not exceed a limit, which lies above the losses of all texts of the sample that
+a model fitted without them gives.
+
 ``PER_LANGUAGE`` bounds the sample that is fitted on; predictions read whole texts.
 """
 
@@ -32,6 +36,8 @@ PER_LANGUAGE, BINS, ORDERS = 300, 1 << 12, 4
 ROWS = 256
 #: Loss of the runner-up over that of the best below which a prediction is ambiguous.
 AMBIGUOUS = 1.02
+#: The limit lies so far on the way from the largest loss of a labelled text to that of one that tells no bit.
+SLACK = 0.25
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[97:123] = np.arange(97, 123)
@@ -90,6 +96,8 @@ class Codes:
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray
+    #: Smallest loss up to which a text is in one of the languages.
+    limit: float = np.inf
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Loss of each language's codeword (rows x languages)."""
@@ -108,12 +116,12 @@ class Codes:
         return best, score, two[:, 1] < AMBIGUOUS * two[:, 0]
 
 
-def fit(x: np.ndarray, labels: list[str], rounds: int = 200, shrink: float = 1e-4) -> Codes:
-    languages = sorted(set(labels))
+def fit(x: np.ndarray, labels: list[str], rounds: int = 200, shrink: float = 1e-4, languages: list[str] | None = None) -> Codes:
+    languages = languages or sorted(set(labels))
     code = codewords(len(languages))
     number = np.array([languages.index(v) for v in labels], np.int64)
     y = code[number]
-    share = (1 / np.bincount(number, minlength=len(languages)) / max(len(languages), 1))[number][:, None]
+    share = (1 / np.maximum(np.bincount(number, minlength=len(languages)), 1) / max(len(languages), 1))[number][:, None]
     w, b = np.zeros((BINS, code.shape[1])), np.zeros(code.shape[1])
     m, v = np.zeros((BINS + 1, code.shape[1])), np.zeros((BINS + 1, code.shape[1]))
     x = x.astype(np.float32)
@@ -128,8 +136,22 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 200, shrink: float = 1e-
     return Codes(languages, code, w.astype(np.float32), b.astype(np.float32), trust / max(trust.mean(), 1e-9) if len(trust) else trust)
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Codes:
-    """Fits on at most ``per_language`` texts of each label."""
+def rejection_limit(x: np.ndarray, labels: list[str]) -> float:
+    """Limit of the smallest loss: each half of the texts is judged by a model of the other half."""
+    languages, names, largest = sorted(set(labels)), np.array(labels, object), -np.inf
+    for part in (0, 1):
+        own = np.arange(len(names)) % 2 == part
+        judged = ~own & np.isin(names, list(set(names[own])))
+        if judged.any():
+            largest = max(largest, float(fit(x[own], list(names[own]), languages=languages).losses(x[judged]).min(1).max()))
+    if largest == -np.inf:
+        return np.inf
+    none = np.log(2) * codewords(len(languages)).shape[1]  # weights of bits are 1 on average
+    return largest + SLACK * max(none - largest, 0.0)
+
+
+def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, calibrate: bool = False) -> Codes:
+    """Fits on at most ``per_language`` texts of each label; with ``calibrate``, finds the limit for :func:`fits` too."""
     ready(rows.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +163,11 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", per_language
     kept = labelled_sample(rows, rows.select(F.xxhash64(text).alias("h"), F.col(label).alias("label")), per_language, text).select("text", F.col("label").cast("string"), "h").mapInArrow(features, "x binary, label string, h long")
     found = sorted(kept.collect(), key=lambda r: (r["label"], r["h"]))
     x = np.frombuffer(b"".join(r["x"] for r in found), np.float16).reshape(-1, BINS)
-    return fit(x, [r["label"] for r in found])
+    labels = [r["label"] for r in found]
+    model = fit(x, labels)
+    if calibrate:
+        model.limit = rejection_limit(x, labels)
+    return model
 
 
 def predict(docs: DataFrame, model: Codes, text: str = "text") -> DataFrame:
@@ -163,6 +189,21 @@ def predict(docs: DataFrame, model: Codes, text: str = "text") -> DataFrame:
     return with_computed(docs, text, "lang_pred string, score double, ambiguous boolean", start)
 
 
+def fits(docs: DataFrame, model: Codes, text: str = "text") -> DataFrame:
+    """``docs`` with a column fits (one of this name is replaced): the text has a letter and a loss
+    within the model's limit. A model that learned no language rejects no text with a letter."""
+
+    def start():
+        def apply(column: pa.Array) -> Iterator[list[pa.Array]]:
+            for _, x, has in histograms(column):
+                yield [pa.array(has & (model.losses(x).min(1) <= model.limit) if model.languages else has)]
+
+        return apply
+
+    ready(docs.sparkSession)
+    return with_computed(docs, text, "fits boolean", start)
+
+
 def held_out_languages(docs: DataFrame) -> DataFrame:
     """The contract's row per document."""
     rows = docs.select("doc_id", "text", "lang", (remainder("doc_id", 4) == 2).alias("held_out"))

@@ -44,3 +44,18 @@ def test_empty(spark):
         assert out.count() == 0
         if k < 4:
             docs = docs
+
+
+def test_language_stage_rejects_by_loss(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = ["日本語の文章はここにあります。今日は天気がいいです。", "Ελληνικά κείμενα για δοκιμή και μάθηση", "Bu bir Türkçe metindir ve kimse bilmiyor"]
+    extra = spark.createDataFrame([(90001 + i, t, None, "src0", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    left = cp.language(spark, docs.unionByName(extra), SF)
+    assert left.filter("doc_id > 90000").count() == 0 and left.count() == docs.count()
+
+
+def test_language_stage_keeps_letters_without_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    extra = spark.createDataFrame([(90001, "12 34 !!", None, "src0", 8), (90002, None, None, "src0", 0), (90003, "日本", None, "src0", 2)], docs.schema)
+    left = cp.language(spark, docs.unionByName(extra), SF)
+    assert left.count() == docs.count() + 1 and left.filter("doc_id > 90000").first()["doc_id"] == 90003
