@@ -1,8 +1,9 @@
 """BPE encoding and decoding by speculation and verification.
 
 A chunk of texts is split into words by the rules of the tokenizer's pattern, all
-characters at once, and equal words are found by 64-bit hashes.  Words not seen yet
-are tokenised greedily by longest match (the speculation).  A sequence is the exact
+characters at once.  Equal words are found by 64-bit hashes and compared byte by byte where
+words of different bytes could share one; a word that differs from the one that has its hash is encoded by itself.
+Words not seen yet are tokenised greedily by longest match (the speculation).  A sequence is the exact
 BPE result if and only if each adjacent pair of it is what BPE makes of the two
 joined, so all adjacent pairs of all new words are tested at once; words with a
 failing pair are merged exactly.  Results are remembered in a bounded cache.
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import ready, with_computed
-from foldspark.llm.textvec import _power, mix
+from foldspark.llm.textvec import blocks, hash_blocks, mix
 
-#: Words kept per Python worker (about 50 bytes each); when full the cache starts anew.
+#: Words kept per Python worker (about 80 bytes each); when full the cache starts anew.
 CACHE_WORDS = 1_000_000
 #: Characters that are split at a time; longer texts are cut between words.
 PIECE_CHARS = 1 << 19
@@ -70,13 +71,14 @@ class _Table:
 
 
 class _Cache:
-    """Ids of words by 64-bit hash (0 stands for an empty place), at most half full."""
+    """Ids and bytes of words by 64-bit hash (0 stands for an empty place), at most half full."""
 
     def __init__(self, most: int):
         self._bits = max(4, int(2 * most - 1).bit_length())
         self._keys = np.zeros(1 << self._bits, np.uint64)
         self._entry = np.zeros(1 << self._bits, np.int32)
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        self.word, self.size, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -96,8 +98,10 @@ class _Cache:
             left, at = left[on], (at[on] + 1) & ((1 << self._bits) - 1)
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """Adds different keys that are not there yet."""
+    def add(self, keys: np.ndarray, raw: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Adds words with different keys that are not there yet."""
+        self.word = np.concatenate((self.word, len(self.raw) + np.cumsum(size) - size))
+        self.size, self.raw = np.concatenate((self.size, size)), np.concatenate((self.raw, raw))
         entry = (len(self) + np.arange(len(keys))).astype(np.int32)
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(count) - count))
         self.count = np.concatenate((self.count, count.astype(np.int32)))
@@ -112,6 +116,24 @@ class _Cache:
             left, at = left[~won], (at[~won] + 1) & ((1 << self._bits) - 1)
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all elements of stretches, one stretch after the other."""
+    end = np.cumsum(size)
+    out = np.repeat(start - end + size, size)
+    out += np.arange(len(out))
+    return out
+
+
+def _differ(a: np.ndarray, at: np.ndarray, n: np.ndarray, b: np.ndarray, bt: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether stretches of ``a`` (from ``at`` on, ``n`` elements) differ from those of ``b``."""
+    out = n != m
+    same = np.flatnonzero(~out)
+    size = n[same]
+    unlike = np.flatnonzero(a[_spread(at[same], size)] != b[_spread(bt[same], size)])
+    out[same[np.searchsorted(np.cumsum(size), unlike, "right")]] = True
+    return out
+
+
 _LETTER, _SPACE = 1, 3
 _kind_table: list[np.ndarray] = []
 
@@ -168,8 +190,11 @@ class Bpe:
         self._by_length = {}
         for n in {len(b) for b in self.id_of}:
             some = [(b, i) for b, i in self.id_of.items() if len(b) == n]
-            letters = np.frombuffer(b"".join(b for b, _ in some), np.uint8).reshape(-1, n).astype(np.uint64) + np.uint64(1)
-            self._by_length[n] = _Table(mix((letters * _power("up", n)[:n]).sum(1, dtype=np.uint64) + np.uint64(n)), np.array([i for _, i in some], np.int64))
+            letters = np.frombuffer(b"".join(b for b, _ in some), np.uint8)
+            at = n * np.arange(len(some))
+            self._by_length[n] = _Table(hash_blocks(blocks(letters), at, at + n), np.array([i for _, i in some], np.int64))
+        self._letters = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self._letters_at = np.cumsum(self._size) - self._size
         self.added = added
         self._special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self._seam = regex.compile(r"\p{L}(?= \p{L})")
@@ -180,9 +205,7 @@ class Bpe:
 
     def _greedy(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, word of each): longest matches from the left, for all words at once."""
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", len(buf) + 1)[: len(buf)], out=sums[1:])
-        down = _power("down", len(buf) + 1)
+        by = blocks(buf)
         at, word, ids, owner = begin.copy(), np.arange(len(begin)), [], []
         while len(at):
             room = np.minimum(end[word] - at, self.longest)
@@ -192,9 +215,7 @@ class Bpe:
                     continue
                 some = np.flatnonzero((found < 0) & (room >= n))
                 if len(some):
-                    p = at[some]
-                    h = mix((sums[p + n] - sums[p]) * down[p] + np.uint64(n))
-                    found[some] = self._by_length[n].find(h)
+                    found[some] = self._by_length[n].find(hash_blocks(by, at[some], at[some] + n))
             ids.append(found)
             owner.append(word)
             at = at + self._size[found]
@@ -287,7 +308,9 @@ class Bpe:
         end = np.cumsum(size)
         flat, own = self._greedy(buf, end - size, end)
         inner = np.flatnonzero(own[1:] == own[:-1])
+        # An id whose bytes are not those of its place was found by a hash that two strings share.
         bad = np.zeros(len(words), bool)
+        bad[np.searchsorted(end, np.flatnonzero(self._letters[_spread(self._letters_at[flat], self._size[flat])] != buf), "right")] = True
         bad[own[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
         # Very long words are merged one by one with a heap, which takes fewer rounds.
         for w in np.flatnonzero(bad & (size > 512)).tolist():
@@ -356,6 +379,11 @@ class Bpe:
             cut[end[inside & (kind[np.minimum(end, n - 1)] == _LETTER)]] = True
         return np.flatnonzero(cut)
 
+    @staticmethod
+    def _words(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+        data = raw.tobytes()
+        return [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
     def _forget(self) -> None:
         self._cache = _Cache(CACHE_WORDS)
 
@@ -368,35 +396,47 @@ class Bpe:
         off = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
         starts = self.split(chars, off)
         ends = np.append(starts[1:], len(chars))
-        value = (chars + np.uint32(1)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        value ^= value >> np.uint64(32)
-        sums = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(value * _power("up", len(chars) + 1)[: len(chars)], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * _power("down", len(chars) + 1)[starts] + (ends - starts).astype(np.uint64))
+        # The words lie side by side in the text's bytes too.
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        end = ends
+        if len(raw) > len(chars):
+            end = np.cumsum((chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000) + 1)[ends - 1]
+        begin = np.concatenate(([0], end[:-1]))
+        size = end - begin
+        h = hash_blocks(blocks(raw), begin, end)
         order = np.argsort(h)
         ordered = h[order]
         new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         names, sample = ordered[new], order[new]
         which = np.empty(len(h), np.int64)
         which[order] = np.cumsum(new) - 1
-        names[names == 0] = 1
+        # Words that differ from the one that stands for their hash are words of their own.
+        long = np.flatnonzero(size > 7)
+        first = sample[which[long]]
+        alone = long[_differ(raw, begin[long], size[long], raw, begin[first], size[first])]
         entry = self._cache.find(names)
+        hit = np.flatnonzero((entry >= 0) & (size[sample] > 7))
+        some, held = sample[hit], entry[hit]
+        taken = hit[_differ(raw, begin[some], size[some], self._cache.raw, self._cache.word[held], self._cache.size[held])]
         missing = entry < 0
+        known = self._cache
         if missing.any():
             if len(self._cache) and len(self._cache) + int(missing.sum()) > CACHE_WORDS:
                 self._forget()
-                missing[:] = True
+                missing[:], taken = True, taken[:0]
             some = sample[missing]
-            words = [text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
-            known = self._cache if len(words) <= CACHE_WORDS else _Cache(len(words))  # one piece may hold more words than are kept
-            known.add(names[missing], *self.encode_many(words))
+            known = self._cache if len(some) <= CACHE_WORDS else _Cache(len(some))  # one piece may hold more words than are kept
+            known.add(names[missing], raw[_spread(begin[some], size[some])], size[some], *self.encode_many(self._words(raw, begin[some], end[some])))
             entry = known.find(names)
-        else:
-            known = self._cache
-        count = known.count[entry][which]
-        total = np.cumsum(count)
-        ids = known.pool[np.repeat(known.start[entry][which] - total + count, count) + np.arange(total[-1])]
-        total = np.concatenate(([0], total))
+        entry, start, number, pool = entry[which], known.start, known.count, known.pool
+        own = np.concatenate((alone, np.flatnonzero(np.isin(which, taken)))) if len(taken) else alone
+        if len(own):
+            flat, n = self.encode_many(self._words(raw, begin[own], end[own]))
+            entry[own] = len(start) + np.arange(len(own))
+            start, number, pool = np.concatenate((start, len(pool) + np.cumsum(n) - n)), np.concatenate((number, n)), np.concatenate((pool.astype(np.int64), flat))
+        count = number[entry]
+        ids = pool[_spread(start[entry], count)]
+        total = np.concatenate(([0], np.cumsum(count)))
         cuts = total[np.searchsorted(starts, off)].tolist()
         raw = ids.astype("<u4").tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:])]

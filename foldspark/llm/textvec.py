@@ -1,41 +1,37 @@
 """Vectorised word hashing over Arrow string batches.
 
 A word is a maximal run of bytes outside ``0x20`` and ``0x09-0x0D``.  Words are
-hashed with a polynomial over the UTF-8 bytes whose prefix sums are taken over
-whole chunks, so no Python code runs per word.  Nulls read as empty texts.
+hashed in blocks of 8 bytes, each mixed in before the next, all words of a chunk at
+a time; words of more than ``LONG`` bytes, which are rare, by keyed BLAKE2.  A word of
+up to 7 bytes never shares its hash with any other word; longer ones share theirs
+with a chance of 2^-64 a pair.  Nulls read as empty texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 #: Bytes of text whose words are hashed in one go (about 40 bytes of scratch each).
 CHUNK_BYTES = 1 << 19
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words with more bytes are hashed one by one.
+LONG = 256
+_KEY = b"foldspark words"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SIZES = (np.arange(LONG + 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)
+_EIGHT = np.uint64(8 << 56)
+_TOP = np.uint64((1 << 64) - (8 << 56))
+#: Bytes 0 to n - 1 of a little-endian block.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _IDENTITY = np.arange(256, dtype=np.uint8)
 _LOWER = _IDENTITY.copy()
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    table = _powers.get(kind)
-    if table is None or len(table) < n:
-        base = np.full(max(n, CHUNK_BYTES + 1), _BASE if kind == "up" else _INVERSE, np.uint64)
-        base[0] = 1
-        table = np.cumprod(base)
-        if n <= CHUNK_BYTES + 1:
-            _powers[kind] = table
-    return table
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,20 +83,41 @@ def word_spans(buf: np.ndarray, off: np.ndarray, outside: np.ndarray = _IS_SPACE
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, off)
 
 
+def blocks(buf: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The 8 bytes from each place on, as little-endian integers; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    np.take(_LOWER, buf, out=padded[: len(buf)]) if lower else np.copyto(padded[: len(buf)], buf)
+    return np.ndarray(len(buf) + 1, np.uint64, padded, strides=(1,))
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """64-bit hash of every span of one chunk."""
-    return hash_several(buf, starts, [ends], lower)[0]
+    return hash_blocks(blocks(buf, lower), starts, ends)
 
 
-def hash_several(buf: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], lower: bool) -> list[np.ndarray]:
-    """Hashes of spans with the same starts and several ends."""
+def hash_blocks(by: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same from :func:`blocks` of a chunk; never 0, unless a span is empty."""
     if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in ends]
-    table = _BYTE[_LOWER] if lower else _BYTE
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(table[buf] * _power("up", len(buf) + 1)[: len(buf)], out=sums[1:])
-    begin, scale = sums[starts], _power("down", len(buf) + 1)[starts]
-    return [mix((sums[e] - begin) * scale + (e - starts).astype(np.uint64)) for e in ends]
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    h = by[starts] & _FIRST[np.minimum(size, 8)]
+    more = np.flatnonzero(size >= 8)
+    # The highest byte is the size of a short word, and 8 or more for others.
+    h |= size.astype(np.uint64) << np.uint64(56)
+    own = mix(by[starts[more]] * _ODD + _SIZES[np.minimum(size[more], LONG)])
+    at, left, to = starts[more] + 8, size[more] - 8, np.arange(len(more))
+    if (long := left > LONG - 8).any():
+        raw = by.base
+        for k in np.flatnonzero(long).tolist():
+            own[k] = int.from_bytes(blake2b(raw[starts[more[k]] : ends[more[k]]], digest_size=8, key=_KEY).digest(), "little")
+        at, left, to = at[~long], left[~long], to[~long]
+    while len(to):
+        on = left > 0
+        at, left, to = at[on], left[on], to[on]
+        own[to] = mix(own[to] + (by[at] & _FIRST[np.minimum(left, 8)]) * _ODD)
+        at, left = at + 8, left - 8
+    h[more] = own % _TOP + _EIGHT
+    return mix(h)
 
 
 def hashed_words(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from foldspark.llm.common import materialised, ready, remainder, with_computed
 from foldspark.llm.samples import labelled_sample, text_labels
-from foldspark.llm.textvec import doc_chunks, hash_several, raw_utf8, word_spans
+from foldspark.llm.textvec import blocks, doc_chunks, hash_blocks, raw_utf8, word_spans
 
 PER_LABEL, WINDOWS, WINDOW = 4_000, 4_000, 64
 BUCKET_BITS = 18
@@ -50,7 +50,8 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         part, rel = buf[off[i] : off[j]].copy(), off[i : j + 1] - off[i]
         part[np.flatnonzero((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E)) + 1] += 32
         starts, ends, first = word_spans(part, rel, _OUTSIDE)
-        h = hash_several(part, starts, [ends, *(np.minimum(starts + k, ends) for k in PREFIXES)], True)
+        by = blocks(part, True)
+        h = [hash_blocks(by, starts, e) for e in (ends, *(np.minimum(starts + k, ends) for k in PREFIXES))]
         yield i, j, np.stack(h, 1), first, part, starts, ends
 
 

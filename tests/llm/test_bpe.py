@@ -62,6 +62,37 @@ def test_a_full_cache_starts_anew(library, ours, monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    x, y = "a", "b"
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_on_which_polynomial_hashes_agree(library, ours, n):
+    x, y = thue_morse(n)
+    texts = [f"{x}\n{y}", f"{y} {x}", x, y]
+    for text, ids in zip(texts, ours.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert ours.decode(ids) == text
+
+
+def test_words_that_share_a_hash_are_told_apart(library, monkeypatch):
+    from foldspark.llm import textvec
+
+    def bad(by, starts, ends):  # long words share 16 hashes
+        h = textvec.hash_blocks(by, starts, ends)
+        return np.where(ends - starts > 7, h & np.uint64(0xF << 60) | np.uint64(1), h)
+
+    monkeypatch.setattr(bpe, "hash_blocks", bad)
+    weak = bpe.Bpe(open(PATH, "rb").read())
+    texts = ["the quick brown fox jumps over it", "quick foxes are not the brown dogs", "it's overwhelmingly over wonderful", "the quick brown fox"]
+    for _ in range(2):
+        for t in [*texts, " ".join(texts)]:
+            assert np.frombuffer(weak.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def check(df, rows, library):
     got = sorted(tuple(r) for r in df.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").fillna(-1, ["doc_id"]).collect())
     want = []
