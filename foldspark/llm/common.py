@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -30,6 +31,8 @@ def ready(spark: SparkSession) -> SparkSession:
         if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="foldspark-"))
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
@@ -64,9 +67,21 @@ def remainder(key: str | Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared checkpoint folder."""
-    return df.checkpoint(eager=True)
+def materialised(df: DataFrame, free: bool = True) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, and with ``free`` let go of the shuffle files behind it.
+
+    Spark removes shuffle files when the driver has collected what refers to them,
+    which a driver with little to do puts off for long; so it is asked to.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_uri(spark)}/table"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(folder)
+    del df
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(folder)
 
 
 def with_computed(df: DataFrame, column: str, fields: str, start: Callable[[], Callable[[pa.Array], Iterator[list[pa.Array]]]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import materialised
@@ -25,8 +25,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         starred = _star(down)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(starred.select("u", F.col("m").alias("v")))
-        now = materialised(small.filter("u <> v").distinct())
-        state = now.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
+        seen = Observation()
+        links = small.filter("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))").alias("sum"))
+        now = materialised(links, free=False)
+        state = seen.get
         if state == before:
             break
         before = state
