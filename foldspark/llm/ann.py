@@ -3,17 +3,24 @@
 Every valid vector is in one shard.  A shard's graph is built in batches: greedy
 searches from the entry point propose neighbours, pruning with a relaxed distance
 keeps those edges that no kept edge makes superfluous, and reverse edges are added
-and pruned alike.  Queries run a beam search over each shard, scores are computed
-again in double precision on the original vectors, and the shards' best are merged.
+and pruned alike.  A bounded sample of the queries is then answered by the graph and
+by brute force, and the shard keeps the narrowest of ``BEAMS`` with a recall of
+``TARGET`` or more; a shard in which none has it is searched exactly.  Queries run a
+beam search over each shard, scores are computed again in double precision on the
+original vectors, and the shards' best are merged.
 
 Largest inner product is turned into smallest distance by one more component,
 sqrt(M^2 - |x|^2) with M the shard's largest norm (0 for queries).
 
+Shards are files in the shared folder, which tasks map into memory, so graphs do not
+move with the queries.
+
 Vectors that are null, empty, zero or hold null or non-finite components take no
 part.  Vectors of different lengths are never compared.  Equal vectors are one
 node that carries its ids; of these only the smallest ``k + 1`` can be among the
 nearest ``k``, so no more are kept, and however many copies a vector has, no task
-holds them all.  Ties go to the smaller id; repeated ids count once.  Where a query
+holds them all.  Ties go to the smaller id.  Of rows with the same id the one with
+the smallest vector counts (compared component by component).  Where a query
 has fewer than ``k`` candidates it gets all.  An empty table gives no rows.
 """
 
@@ -26,12 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import materialised, ready
+from foldspark.llm import shared_files
+from foldspark.llm.common import materialised, ready, shared_uri
 
 #: Distinct vectors of a shard, queries of a block (both bound a task's memory).
-SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
-#: Edges of a node, width of the beam when building and when searching, relaxation of the pruning.
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 48, 192, 1.2
+SHARD_ROWS, BLOCK_QUERIES = 32_768, 8192
+#: Edges of a node, width of the beam when building, relaxation of the pruning.
+DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.2
+#: Widths of the beam when searching, the recall that one must have, and the queries on which it is measured.
+BEAMS, TARGET, SAMPLE = (48, 96, 192, 384), 0.97, 128
+#: Stands for a shard that is searched exactly.
+EXACT = 0
 _FAR = np.float32(np.inf)
 
 
@@ -174,72 +186,113 @@ def nodes(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return one.join(sizes, F.size("vector") == F.col("_d")).select(F.concat_ws("-", "_d", F.pmod("_h", "_n")).alias("shard"), "ids", "vector")
 
 
-def _build(table: pa.Table) -> pa.Table:
-    vectors = np.array(table.column("vector").to_pylist(), np.float64)
-    graph = Graph(vectors).build()
-    shape = pa.schema([("shard", pa.string()), ("ids", pa.list_(pa.int64())), ("vector", pa.list_(pa.float64())), ("edges", pa.list_(pa.int32()))])
-    columns = [table.column(c).to_pylist() for c in ("shard", "ids", "vector")] + [graph.edges.tolist()]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+def exactly(vectors: np.ndarray, queries: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` rows with the largest inner products for each query, by brute force, largest first."""
+    n = min(n, len(vectors))
+    out = np.empty((len(queries), n), np.int64)
+    step = max(1, (1 << 24) // max(len(vectors), 1))
+    for i in range(0, len(queries), step):
+        score = queries[i : i + step] @ vectors.T
+        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+        own = np.take_along_axis(score, best, 1)
+        out[i : i + step] = np.take_along_axis(best, np.argsort(-own, 1, kind="stable"), 1)
+    return out
 
 
-def index(nodes_: DataFrame) -> DataFrame:
-    """The graphs of all shards: nodes with their edges (numbers of rows in the order of ids)."""
-    schema = "shard string, ids array<long>, vector array<double>, edges array<int>"
+def _lifted(queries: np.ndarray) -> np.ndarray:
+    return np.concatenate((queries, np.zeros((len(queries), 1))), 1).astype(np.float32)
 
-    def build(table: pa.Table) -> pa.Table:
-        first = pa.array([x[0] for x in table.column("ids").to_pylist()])
-        return _build(table.take(pa.compute.sort_indices(first)))
 
-    import pyarrow.compute  # noqa: F401
+def measured(graph: Graph, vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[int, float]:
+    """(width of the beam, recall at ``k + 1``) of the narrowest beam that reaches ``TARGET``; EXACT if none does."""
+    want = exactly(vectors, queries, k + 1)
+    if not want.size:
+        return BEAMS[0], 1.0
+    for beam in (b for b in BEAMS if b > k):
+        found = graph.search(_lifted(queries), beam)[0]
+        recall = float(np.mean([np.isin(w, f).mean() for w, f in zip(want, found)]))
+        if recall >= TARGET:
+            return beam, recall
+    return EXACT, 1.0
 
-    return materialised(nodes_.groupBy("shard").applyInArrow(build, schema))
 
+def index(nodes_: DataFrame, sample: DataFrame, uri: str, k: int = 20) -> DataFrame:
+    """Builds all shards and writes them below ``uri``: (shard, d, rows, beam, recall).
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, block: int = BLOCK_QUERIES) -> DataFrame:
-    """(query_id, rank, id, score) for ``queries`` (id, vector); a query's own id is no candidate of it."""
-    blocks = max(1, -(-queries.count() // block))
-    shards = graphs.select(F.col("shard").alias("asks"), F.size("vector").alias("_d")).distinct()
-    asked = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    asked = asked.join(shards, F.size("vector") == F.col("_d")).select("asks", F.col("block").alias("part"), "id", "vector")
-    spread = graphs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "*")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return none
-        ids = left.column("ids").to_pylist()
+    ``sample`` (vector) has the queries on which the recall is measured; at most ``SAMPLE`` are collected.
+    """
+    asked: dict[int, list] = {}
+    for r in sample.limit(SAMPLE).collect():
+        asked.setdefault(len(r["vector"]), []).append(list(r["vector"]))
+
+    def build(table: pa.Table) -> pa.Table:
+        ids = table.column("ids").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: ids[i][0])
-        left = left.take(pa.array(order))
         ids = [ids[i] for i in order]
-        vectors = np.array(left.column("vector").to_pylist(), np.float64)
-        graph = Graph(vectors, np.array(left.column("edges").to_pylist(), np.int32).reshape(len(ids), -1))
-        q, own = np.array(right.column("vector").to_pylist(), np.float64), right.column("id").to_numpy()
-        out: list[tuple[int, int, float]] = []
-        step = max(1, (1 << 24) // max(len(ids), 1))
+        vectors = np.array(table.column("vector").take(pa.array(order)).to_pylist(), np.float64)
+        graph = Graph(vectors).build()
+        beam, recall = measured(graph, vectors, np.array(asked.get(vectors.shape[1], []), np.float64).reshape(-1, vectors.shape[1]), k)
+        shard = table.column("shard")[0].as_py()
+        many = np.array([len(x) for x in ids], np.int64)
+        shared_files.write(uri, shard, np.array(vectors.shape, np.int64), vectors, graph.edges, many, np.concatenate([np.array(x, np.int64) for x in ids]))
+        return pa.table({"shard": [shard], "d": pa.array([vectors.shape[1]], pa.int32()), "rows": pa.array([len(ids)], pa.int64()), "beam": pa.array([beam], pa.int32()), "recall": [recall]})
+
+    return materialised(nodes_.groupBy("shard").applyInArrow(build, "shard string, d int, rows long, beam int, recall double"))
+
+
+_last: dict[str, tuple] = {}
+
+
+def _shard(uri: str, name: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """(graph, vectors, where each node's ids begin, ids) of a shard; the last one stays in the worker."""
+    if f"{uri}/{name}" not in _last:
+        _last.clear()
+        data = shared_files.mapped(uri, name)
+        n, d = np.frombuffer(data, np.int64, 2).tolist()
+        vectors = np.frombuffer(data, np.float64, n * d, 16).reshape(n, d)
+        at = 16 + vectors.nbytes
+        edges = np.frombuffer(data, np.int32, n * DEGREE, at).reshape(n, DEGREE)
+        at += edges.nbytes
+        begin = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.int64, n, at))))
+        _last[f"{uri}/{name}"] = Graph(vectors, edges), vectors, begin, np.frombuffer(data, np.int64, offset=at + 8 * n)
+    return _last[f"{uri}/{name}"]
+
+
+def search(shards: DataFrame, queries: DataFrame, uri: str, k: int = 20, block: int = BLOCK_QUERIES) -> DataFrame:
+    """(query_id, rank, id, score) for ``queries`` (id, vector); a query's own id is no candidate of it.
+    ``shards`` is what :func:`index` gave for ``uri``."""
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    asked = asked.join(shards.select("shard", "d", "beam"), F.size("vector") == F.col("d")).select("shard", "block", "beam", "id", "vector")
+
+    def run(table: pa.Table) -> pa.Table:
+        graph, vectors, begin, ids = _shard(uri, table.column("shard")[0].as_py())
+        beam, own = table.column("beam")[0].as_py(), table.column("id").to_numpy()
+        q = np.array(table.column("vector").to_pylist(), np.float64)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, (1 << 24) // len(vectors))
         for i in range(0, len(q), step):
-            wide = np.concatenate((q[i : i + step], np.zeros((len(q[i : i + step]), 1))), 1).astype(np.float32)
-            found, _ = graph.search(wide, beam)
+            part = q[i : i + step]
+            found = exactly(vectors, part, k + 1) if beam == EXACT else graph.search(_lifted(part), beam)[0]
             r, c = np.nonzero(found >= 0)
-            score = np.einsum("ij,ij->i", vectors[found[r, c]], q[i + r])
-            for lo, hi in zip(np.searchsorted(r, np.arange(len(found))), np.searchsorted(r, np.arange(len(found)), "right")):
-                if lo == hi:
-                    continue
-                me = int(own[i + r[lo]])
-                node, value = found[r[lo:hi], c[lo:hi]], score[lo:hi]
-                got: list[tuple[float, int]] = []
-                for j in np.argsort(-value, kind="stable"):
-                    if len(got) > k and -value[j] > got[k][0]:
-                        break
-                    got.extend((-value[j], x) for x in ids[node[j]] if x != me)
-                    got.sort()
-                    del got[k + 1 :]
-                out.extend((me, x, -s) for s, x in got[:k])
-        if not out:
-            return none
-        a, b, s = zip(*out)
+            node = found[r, c]
+            score = np.einsum("ij,ij->i", vectors[node], part[r])
+            # A node stands for its ids, which have its score.
+            many = (begin[1:] - begin[:-1])[node]
+            r, score = np.repeat(r, many), np.repeat(score, many)
+            end = np.cumsum(many)
+            name = ids[np.repeat(begin[node] - end + many, many) + np.arange(len(r))]
+            other = name != own[i + r]
+            r, score, name = r[other], score[other], name[other]
+            order = np.lexsort((name, -score, r))
+            r, score, name = r[order], score[order], name[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            best = place < k
+            out.append((own[i + r[best]], name[best], score[best]))
+        a, b, s = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query_id": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    best = spread.groupBy("shard", "block").cogroup(asked.groupBy("asks", "part")).applyInArrow(run, "query_id long, id long, score double")
+    best = asked.groupBy("shard", "block").applyInArrow(run, "query_id long, id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -248,7 +301,9 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The contract's rows: queries are the rows whose id is divisible by ``every``."""
     ready(table.sparkSession)
     rows = table.filter(F.col("vec_id").isNotNull() & valid("embedding")).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    rows = rows.dropDuplicates(["id"])
-    queries = rows.filter(F.col("id") % every == 0)
-    found = search(index(nodes(rows, k)), queries, k)
+    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"))
+    queries = materialised(rows.filter(F.col("id") % every == 0))
+    uri = shared_uri(table.sparkSession)
+    shards = index(nodes(rows, k), queries.orderBy(F.xxhash64("id"), "id").select("vector"), uri, k)
+    found = search(shards, queries, uri, k)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from foldspark.llm import ann
+from foldspark.llm.common import ready, shared_uri
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,12 +44,40 @@ def test_several_shards_and_blocks(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     rows = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    found = ann.search(ann.index(ann.nodes(rows, 20, shard_rows=200)), rows.filter("id % 20 = 0"), 20, block=10)
+    ready(spark)
+    uri, queries = shared_uri(spark), rows.filter("id % 20 = 0")
+    shards = ann.index(ann.nodes(rows, 20, shard_rows=200), queries.select("vector"), uri)
+    assert shards.count() == 5 and all(r["recall"] >= ann.TARGET for r in shards.collect())
+    found = ann.search(shards, queries, uri, 20, block=10)
     got = rows_of(found.withColumnRenamed("id", "vec_id"))
     want = brute(np.arange(900), x)
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "lognormal", "clusters"])
+def test_beam_is_as_wide_as_the_data_need(kind):
+    rng = np.random.default_rng(6)
+    n = 8192
+    x = rng.normal(size=(n, 128 if kind == "gaussian" else 64))
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 1, (n, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "clusters":
+        x = rng.normal(size=(100, 64))[rng.integers(0, 100, n)] + 0.3 * x
+    graph = ann.Graph(x).build()
+    beam, told = ann.measured(graph, x, x[:128], 20)
+    q = x[1000:1200]
+    want = ann.exactly(x, q, 21)
+    found = want if beam == ann.EXACT else graph.search(ann._lifted(q), beam)[0]
+    recall = np.mean([np.isin(w, f).mean() for w, f in zip(want, found)])
+    assert recall >= 0.95 and told >= ann.TARGET
+
+
+def test_same_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [0.5, 0.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])]
+    got = rows_of(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == {0: [(2, 1.0), (1, 0.5)]}
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(0, 60)] + [(60, [0.0, 1.0]), (100, None), (120, [0.0, 0.0]), (140, [nan, 1.0]), (160, [inf, 1.0]), (180, []), (200, [1.0, None]), (220, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [1.0, 0.0])]
