@@ -3,6 +3,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldspark.llm import mpeg_audio as m
 
@@ -38,10 +39,60 @@ def test_headers():
     h = m.header(bytes((0xFF, 0xFB, 0x90, 0x00)))
     assert (h.kbit, h.rate, h.length, h.samples, h.mono, h.protected) == (128, 44100, 417, 1152, False, False)
     assert m.header(bytes((0xFF, 0xF3, 0x80, 0xC0))).samples == 576
+    one = m.header(bytes((0xFF, 0xFF, 0x94, 0x00)))  # layer I, 288 kbit/s, 48 kHz
+    assert (one.layer, one.kbit, one.rate, one.length, one.samples) == (1, 288, 48000, 288, 384)
+    two = m.header(bytes((0xFF, 0xFD, 0xA4, 0x00)))
+    assert (two.layer, two.kbit, two.length, two.samples) == (2, 192, 576, 1152)
+    assert m.header(bytes((0xFF, 0xF5, 0xA4, 0x00))).samples == 1152
     for bad in (b"", b"\xff\xfb\xf0\x00", b"\xff\xfb\x9c\x00", b"\xff\xe9\x90\x00", b"abcd"):
         assert m.header(bad) is None
 
 
+def frames(second, third, n, length, fourth=0xC0, body=b""):
+    return [(bytes((0xFF, second, third, fourth)) + (body if i == 0 else b"")).ljust(length, b"\0") for i in range(n)]
+
+
+def test_layers_and_free_format():
+    one = m.parse(b"".join(frames(0xFF, 0x94, 5, 288, 0)))
+    assert one.offsets == [0, 288, 576, 864, 1152] and one.seconds == pytest.approx(5 * 384 / 48000)
+    checked = bytes((0xFF, 0xFE, 0x94, 0xC0))
+    frame = checked + m.crc16(checked[2:] + bytes(16)).to_bytes(2, "big") + bytes(282)
+    assert m.parse(frame * 3).checked == 3
+    two = m.parse(b"".join(frames(0xFC, 0xA4, 4, 576, 0)))
+    assert len(two.offsets) == 4 and two.unchecked == 4 and two.decoded == 4 * 1152
+    free = m.parse(b"".join(frames(0xFB, 0x04, 4, 700)))
+    assert free.offsets == [0, 700, 1400, 2100] and free.sizes == [700] * 4
+
+
+def test_tags():
+    def tag(version, flags, *parts):
+        body = b"".join(k + (len(v).to_bytes(4, "big")) + bytes((0, f)) + v for k, v, f in parts)
+        return b"ID3" + bytes((version, 0, flags)) + bytes((len(body) >> 7 * i & 127) for i in (3, 2, 1, 0)) + body
+
+    sound = b"".join(frames(0xFB, 0x90, 4, 417))
+    wide = b"\x01" + "Äb".encode("utf-16")
+    a = m.parse(tag(3, 0, (b"TIT2", wide, 0), (b"TPE1", b"\x02" + "Ünö".encode("utf-16-be"), 0), (b"TXXX", b"\x03key\0w\xc3\xa9rt", 0)) + sound)
+    assert a.tags == {"TIT2": "Äb", "TPE1": "Ünö", "key": "wért"} and len(a.offsets) == 4
+    loose = tag(4, 0, (b"TIT2", b"\x00a\xff\x00b", 2)) + sound
+    assert m.parse(loose).tags == {"TIT2": "a\xffb"}
+    item = (3).to_bytes(4, "little") + bytes(4) + b"Artist\0abc"
+    foot = b"APETAGEX" + (2000).to_bytes(4, "little") + (len(item) + 32).to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes(12)
+    b = m.parse(sound + item + foot + b"TAG" + b"Old".ljust(125, b"\0"))
+    assert b.tags == {"TIT2": "Old", "Artist": "abc"} and len(b.offsets) == 4 and b.skipped == 0
+    old = b"ID3\x02\0\0\0\0\0\x0b" + b"TT2\0\0\x05\x00name" + sound
+    assert m.parse(old).tags == {"TT2": "name"}
+
+
+def test_tables_of_variable_bitrate():
+    lame = b"Info" + (15).to_bytes(4, "big") + (3).to_bytes(4, "big") + (1668).to_bytes(4, "big") + bytes(100) + bytes(4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    a = m.parse(b"".join(frames(0xFB, 0x90, 4, 417, 0xC0, bytes(17) + lame)))
+    assert (a.table, a.table_frames, a.delay, a.padding, len(a.offsets)) == ("Info", 3, 576, 1000, 3)
+    assert a.samples == 3 * 1152 - 1576 and a.seconds == pytest.approx(a.samples / 44100)
+    vbri = b"VBRI" + b"".join(x.to_bytes(n, "big") for x, n in ((1, 2), (528, 2), (75, 2), (1251, 4), (3, 4), (3, 2), (1, 2), (2, 2), (1, 2), (417, 2), (417, 2), (417, 2)))
+    b = m.parse(b"".join(frames(0xFB, 0x90, 4, 417, 0x00, bytes(32) + vbri)))
+    assert (b.table, b.table_frames, b.table_bytes, b.table_seek, b.delay, len(b.offsets)) == ("VBRI", 3, 1251, [417] * 3, 528, 3)
+
+
 def test_query_and_columns(spark, edge, empty):
     for df in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), edge):
         got = {}
@@ -56,5 +107,10 @@ def test_query_and_columns(spark, edge, empty):
                 assert g["media_sha256"] == hashlib.sha256(m.wrap(pay)).hexdigest() and g["skipped_bytes"] == 0
     assert m.digests(empty).count() == 0
     rows = spark.createDataFrame([(b"hello",), (None,)], "content binary")
+    clash = rows.withColumns({c: F.lit("x") for c in ("media", "audio", "seconds", "tags")})
+    for made in (m.restore(m.describe(m.store(clash))), m.describe(m.store(rows.limit(0)))):
+        got = made.collect()
+        assert {bytes(r["content"]) for r in got} == ({b"hello", b""} if got else set())
+    assert m.describe(m.store(clash)).columns == ["content", "seconds", "tags", "media", "audio"]
     out = m.describe(m.store(rows)).collect()
     assert [m.unwrap(bytes(r["media"])) for r in out] == [b"hello", b""] and all(r["audio"]["broken"] == 0 for r in out)
