@@ -3,12 +3,17 @@
 Documents are labelled, words are not, so words get their labels from documents: a
 word is labelled toxic in a toxic document if its document frequencies in toxic and
 other documents of the sample differ by more than chance (a likelihood ratio) and by
-a large factor.  A chain with two states, weights for each word and its first 4, 5
-and 6 bytes, and transitions is fitted to these labels; forward-backward then gives each word of any text its
+a large factor.  A chain with two states and transitions is fitted to these labels; a
+place's weights are those of its word, of the word's first 4, 5 and 6 bytes, and of the
+words before and after it.  Forward-backward then gives each word of any text its
 marginal probability.  A document's score comes from the largest marginal and the
 sum of what marginals exceed ``FLOOR`` by, with a logistic curve fitted on the sample; words at
 or above one half, joined where adjacent, are its offending spans.
 
+The least likelihood ratio and the kinds of features are chosen by cross-validation
+within the labelled sample: each half's documents are judged by the other half's words
+(F1 at the labels' true shares), each half's chains by a chain fitted to the other's.
+
 Words are runs of letters (ASCII letters and all bytes from 128 on; ASCII and Latin-1 letters in lower case);
 chains are runs of ``WINDOW`` words of a text.  Null texts are scored as empty ones;
 texts without words get the score of nothing found, and no spans.  Equal texts get
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import materialised, ready, remainder, with_computed
@@ -33,11 +38,14 @@ from foldspark.llm.textvec import blocks, doc_chunks, hash_blocks, raw_utf8, wor
 
 PER_LABEL, WINDOWS, WINDOW = 4_000, 4_000, 64
 BUCKET_BITS = 18
-#: What makes a word toxic: likelihood ratio, and how much more frequent it is in toxic documents.
-RATIO, TIMES = 16.0, 10.0
+#: What makes a word toxic: likelihood ratios to choose from, and how much more frequent it is in toxic documents.
+RATIOS, TIMES = (8.0, 12.0, 16.0, 24.0, 32.0), 10.0
 #: Marginals up to here count for nothing in a document, so that length alone adds nothing.
 FLOOR = 0.3
 PREFIXES = (4, 5, 6)
+#: Features of a place: its word, prefixes, the words before and after. Those to choose from, and the chains of each kind and half for that.
+N_OWN = 1 + len(PREFIXES)
+KINDS, CHOICE_WINDOWS, CHOICE_ROUNDS = (tuple(range(1)), tuple(range(N_OWN)), tuple(range(N_OWN + 2))), 400, 30
 
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[65:91] = _OUTSIDE[97:123] = _OUTSIDE[128:] = False
@@ -55,8 +63,17 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield i, j, np.stack(h, 1), first, part, starts, ends
 
 
+def with_neighbours(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The hashes of words and prefixes, and those of the words before and after in the row (0 where there is none)."""
+    near = np.zeros((len(h), 2), np.uint64)
+    near[1:, 0], near[:-1, 1] = h[:-1, 0], h[1:, 0]
+    begin, end = first[:-1], first[1:]
+    near[begin[begin < end], 0] = near[end[begin < end] - 1, 1] = 0
+    return np.concatenate((h, near), 1)
+
+
 def bucket(h: np.ndarray) -> np.ndarray:
-    """The weights that a word's hashes (last axis: word and prefixes) share."""
+    """The weights that a place's hashes (last axis) share."""
     salt = np.arange(1, h.shape[-1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((h ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -146,6 +163,9 @@ def fit_chain(buckets: np.ndarray, toxic: np.ndarray, length: np.ndarray, rounds
 class Tagger:
     chain: Chain
     curve: np.ndarray
+    #: Which features of a place count, and the likelihood ratio that was chosen.
+    kinds: tuple[int, ...] = KINDS[-1]
+    ratio: float = 0.0
 
     def tag(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of every word, and (largest, expected number) for each row."""
@@ -153,7 +173,7 @@ class Tagger:
         p = np.zeros(len(h))
         if len(start):
             order = np.argsort(-length, kind="stable")
-            emit = self.chain.emit(bucket(h))
+            emit = self.chain.emit(bucket(with_neighbours(h, first))[:, list(self.kinds)])
             for lo in range(0, len(order), 4096):
                 some = order[lo : lo + 4096]
                 n = length[some]
@@ -187,6 +207,33 @@ def fit_curve(found: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarra
     return w
 
 
+def best_ratio(found: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The ratio with the largest F1 where a document is toxic if its largest (``found``) reaches it; of equal ones the largest."""
+
+    def f1(ratio: float) -> float:
+        told = found >= ratio
+        hit = weight[told & (y == 1)].sum()
+        return 2 * hit / max(weight[told].sum() + weight[y == 1].sum(), 1e-12)
+
+    return max(RATIOS, key=lambda r: (round(f1(r), 9), r))
+
+
+def best_kinds(buckets: np.ndarray, own: np.ndarray, length: np.ndarray, half: np.ndarray) -> tuple[int, ...]:
+    """The features whose chains, fitted on one half, tell the labels of the other with the smallest log loss."""
+    inside = np.arange(own.shape[1])[None] < length[:, None]
+
+    def loss(kinds: tuple[int, ...]) -> float:
+        total = 0.0
+        for side in (0, 1):
+            a, b = half == side, half != side
+            chain = fit_chain(buckets[a][:, :, list(kinds)], own[a], length[a], rounds=CHOICE_ROUNDS)
+            p = np.clip(chain.marginals(chain.emit(buckets[b][:, :, list(kinds)]), length[b])[0], 1e-6, 1 - 1e-6)
+            total -= np.where(own[b], np.log(p), np.log(1 - p))[inside[b]].sum()
+        return total
+
+    return min(KINDS, key=lambda kinds: (round(loss(kinds), 6), len(kinds)))
+
+
 def train(docs: DataFrame, known: DataFrame, text: str = "text", per_label: int = PER_LABEL) -> Tagger | None:
     """Fits on at most ``per_label`` texts of each label of ``known`` (doc_id, label: 0 or 1); None without texts of both."""
     ready(docs.sparkSession)
@@ -202,37 +249,77 @@ def train(docs: DataFrame, known: DataFrame, text: str = "text", per_label: int
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), words, hashes], ["h", "label", "words", "hashes"])
 
     sample = labelled_sample(docs, text_labels(docs, known, text=text), per_label, text).select("h", "text", F.col("label").cast("int").alias("label"))
-    sample = materialised(sample.mapInArrow(split, "h long, label int, words array<long>, hashes binary"))
-    n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
+    sample = materialised(sample.mapInArrow(split, "h long, label int, words array<long>, hashes binary")).withColumn("half", F.pmod("h", F.lit(2)).cast("int"))
+    n = {(r[0], r[1]): r[2] for r in sample.groupBy("label", "half").count().collect()}
+    if not all(any(n.get((y, s), 0) for s in (0, 1)) for y in (0, 1)):
         return None
     # Each word of the list is in many toxic documents, so the list has at most (words of a text) x n1 / (that many) entries.
-    by_word = sample.select("label", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.sum("label").alias("d1"), F.count(F.lit(1)).alias("d"))
-    d1, d0 = F.col("d1"), F.col("d") - F.col("d1")
-    expected1, expected0 = F.col("d") * n1 / (n1 + n0), F.col("d") * n0 / (n1 + n0)
-    ratio = 2 * (d1 * F.ln(d1 / expected1) + F.when(d0 > 0, d0 * F.ln(d0 / expected0)).otherwise(0.0))
-    toxic_words = by_word.filter("d1 > 0").filter((ratio >= RATIO) & ((d1 + 0.5) / (n1 + 1) >= TIMES * (d0 + 0.5) / (n0 + 1)))
-    listed = np.array(sorted(r["w"] for r in toxic_words.select("w").collect()), np.int64)
+    in_half = [F.col("half") == s for s in (0, 1)]
+    by_word = sample.select("label", "half", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(
+        *(F.count(F.when(c, 1)).alias(f"d{s}") for s, c in enumerate(in_half)), *(F.count(F.when(c & (F.col("label") == 1), 1)).alias(f"t{s}") for s, c in enumerate(in_half))
+    )
+
+    def ratio(d: Column, t: Column, n1: int, n0: int) -> Column:
+        if not n1 or not n0:
+            return F.lit(0.0)
+        other = d - t
+        value = 2 * (t * F.ln(t * (n1 + n0) / (d * n1)) + F.when(other > 0, other * F.ln(other * (n1 + n0) / (d * n0))).otherwise(0.0))
+        return F.when((t > 0) & ((t + 0.5) / (n1 + 1) >= TIMES * (other + 0.5) / (n0 + 1)), value).otherwise(0.0)
+
+    every = [ratio(F.col(f"d{s}"), F.col(f"t{s}"), n.get((1, s), 0), n.get((0, s), 0)) for s in (0, 1)]
+    every.append(ratio(F.col("d0") + F.col("d1"), F.col("t0") + F.col("t1"), *(sum(n.get((y, s), 0) for s in (0, 1)) for y in (1, 0))))
+    ratios = by_word.select("w", *(c.alias(f"r{i}") for i, c in enumerate(every))).filter(F.greatest("r0", "r1", "r2") >= RATIOS[0])
+    listed = sorted(tuple(r) for r in ratios.collect())
+    words = np.array([r[0] for r in listed], np.int64)
+    value = np.array([r[1:] for r in listed], np.float64).reshape(-1, 3)
+
+    def of(w: np.ndarray) -> np.ndarray:
+        """The three ratios of each word."""
+        if not len(words):
+            return np.zeros((len(w), 3))
+        at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+        return np.where((words[at] == w)[:, None], value[at], 0.0)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The largest ratio that the other half gives to a word of a document."""
+        for batch in batches:
+            each = [np.frombuffer(x, np.uint64).reshape(-1, N_OWN)[:, 0].view(np.int64) for x in batch.column(2).to_pylist()]
+            most = [float(of(w)[:, 1 - s].max(initial=0)) for w, s in zip(each, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(most, pa.float64())], ["label", "most"])
+
+    share = counts[1] / (counts[0] + counts[1])
+
+    def weights(y: np.ndarray) -> np.ndarray:
+        return np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+
+    judged = sorted(tuple(r) for r in sample.select("label", "half", "hashes").mapInArrow(judge, "label int, most double").collect())
+    y = np.array([r[0] for r in judged], np.float64)
+    least = best_ratio(np.array([r[1] for r in judged]), y, weights(y))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chains of the sample with their labels as one binary row each."""
+        """Chains of the sample with their labels, by all documents and by those of their half, as one binary row each."""
         for batch in batches:
-            for h, label_, hashes in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
-                w = np.frombuffer(hashes, np.uint64).reshape(-1, 1 + len(PREFIXES))
-                hit = np.isin(w[:, 0].copy().view(np.int64), listed) & (label_ == 1)
-                out = [(bool(hit[a : a + WINDOW].any()), h ^ a, bucket(w[a : a + WINDOW]).astype(np.int32).tobytes(), hit[a : a + WINDOW].tobytes()) for a in range(0, len(w), WINDOW)]
+            for h, label_, hashes, half in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4))):
+                w = np.frombuffer(hashes, np.uint64).reshape(-1, N_OWN)
+                hit = (of(w[:, 0].copy().view(np.int64))[:, [2, half]] >= least) & (label_ == 1)
+                b = bucket(with_neighbours(w, np.array([0, len(w)]))).astype(np.int32)
+                out = [(bool(hit[a : a + WINDOW, 0].any()), h ^ a, half, b[a : a + WINDOW].tobytes(), hit[a : a + WINDOW].T.tobytes()) for a in range(0, len(w), WINDOW)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.bool_(), pa.int64(), pa.binary(), pa.binary()))], ["hit", "o", "words", "labels"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["hit", "o", "half", "words", "labels"])
 
-    chains = sample.mapInArrow(cut, "hit boolean, o long, words binary, labels binary").withColumn("o", F.xxhash64("o"))
+    chains = sample.mapInArrow(cut, "hit boolean, o long, half int, words binary, labels binary").withColumn("o", F.xxhash64("o"))
     kept = [r for hit in (True, False) for r in chains.filter(F.col("hit") == hit).orderBy("o", "words").limit(WINDOWS).collect()]
-    length = np.array([len(r["labels"]) for r in kept], np.int64)
-    buckets, toxic = np.zeros((len(kept), WINDOW, 1 + len(PREFIXES)), np.int32), np.zeros((len(kept), WINDOW), bool)
+    length = np.array([len(r["labels"]) // 2 for r in kept], np.int64)
+    buckets, toxic = np.zeros((len(kept), WINDOW, N_OWN + 2), np.int32), np.zeros((len(kept), 2, WINDOW), bool)
     for k, r in enumerate(kept):
-        buckets[k, : length[k]] = np.frombuffer(r["words"], np.int32).reshape(-1, 1 + len(PREFIXES))
-        toxic[k, : length[k]] = np.frombuffer(r["labels"], bool)
-    tagger = Tagger(fit_chain(buckets, toxic, length) if kept else Chain(np.zeros(1 << BUCKET_BITS), -9.0, np.zeros((2, 2))), np.zeros(3))
+        buckets[k, : length[k]] = np.frombuffer(r["words"], np.int32).reshape(-1, N_OWN + 2)
+        toxic[k, :, : length[k]] = np.frombuffer(r["labels"], bool).reshape(2, -1)
+    half, hit = np.array([r["half"] for r in kept], np.int64), np.array([r["hit"] for r in kept], bool)
+    tagger = Tagger(Chain(np.zeros(1 << BUCKET_BITS), -9.0, np.zeros((2, 2))), np.zeros(3), ratio=least)
+    if kept:
+        few = np.concatenate([np.flatnonzero((half == s) & (hit == v))[:CHOICE_WINDOWS] for s in (0, 1) for v in (True, False)])
+        tagger.kinds = best_kinds(buckets[few], toxic[few, 1], length[few], half[few])
+        tagger.chain = fit_chain(buckets[:, :, list(tagger.kinds)], toxic[:, 0], length)
     tagger.chain.word = tagger.chain.word.astype(np.float32)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +327,13 @@ def train(docs: DataFrame, known: DataFrame, text: str = "text", per_label: int
             for k in range(0, batch.num_rows, 100):
                 rows_ = batch.slice(k, 100)
                 hashes = rows_.column(3).to_pylist()
-                width = 8 * (1 + len(PREFIXES))
-                first = np.cumsum([0, *(len(x) // width for x in hashes)])
-                _, got = tagger.tag(np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 1 + len(PREFIXES)), first)
+                first = np.cumsum([0, *(len(x) // (8 * N_OWN) for x in hashes)])
+                _, got = tagger.tag(np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, N_OWN), first)
                 yield pa.RecordBatch.from_arrays([rows_.column(1), pa.array(got[:, 0]), pa.array(got[:, 1])], ["label", "a", "b"])
 
     seen = sorted(tuple(r) for r in sample.mapInArrow(found, "label int, a double, b double").collect())
     y = np.array([r[0] for r in seen], np.float64)
-    share = counts[1] / (counts[0] + counts[1])
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    tagger.curve = fit_curve(np.array([r[1:] for r in seen]), y, weight)
+    tagger.curve = fit_curve(np.array([r[1:] for r in seen]), y, weights(y))
     return tagger
 
 

@@ -229,3 +229,118 @@ def test_spans_are_characters(spark):
     for r in rows:
         assert [r["text"][s["start"] : s["end"]] for s in r["spans"]] == ([] if r["doc_id"] % 2 else ["vilest"])
         assert (r["score"] > 0.5) == (r["doc_id"] % 2 == 0)
+
+
+def letters(text):
+    """(words in small letters, their places) of a text: runs of ASCII letters and everything beyond ASCII."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" else c for c in text)
+    return [(m[0], m.start(), m.end()) for m in re.finditer(r"[A-Za-z\u0080-\U0010ffff]+", low)]
+
+
+def test_toxicity_scores_are_brute_force(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("some plain words that mean little and harm nobody".split(), 8)) + (" you vile beast" if i % 4 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    known = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("label"))
+    tagger = toxicity_crf.train(docs, known)
+    texts = ["", "12 !", "A VILE thing", "you vile beast and some words", "Çevile beast nobody", "plain words " * 4 + "you vile beast"]
+    got = {r["text"]: r["score"] for r in toxicity_crf.score(spark.createDataFrame([(t,) for t in texts], "text string"), tagger).collect()}
+
+    def hashed(word):
+        return int(next(toxicity_crf.word_hashes(pa.array([word])))[2][0, 0])
+
+    def place(h, kind):
+        return int(toxicity_crf.bucket(np.array([[h] * (toxicity_crf.N_OWN + 2)], np.uint64))[0, kind])
+
+    for text in texts:
+        words, p = [w for w, _, _ in letters(text)], []
+        cut = [(w.encode()[:n]) for w in words for n in (4, 5, 6)]
+        for a in range(0, len(words), toxicity_crf.WINDOW):
+            emit = []
+            for k in range(a, min(a + toxicity_crf.WINDOW, len(words))):
+                h = next(toxicity_crf.word_hashes(pa.array([words[k]])))[2][0].tolist()
+                h += [hashed(words[k - 1]) if k else 0, hashed(words[k + 1]) if k + 1 < len(words) else 0]
+                assert len(set(cut[3 * k : 3 * k + 3])) >= len(set(h[1:4])) - 1
+                emit.append(tagger.chain.bias + sum(float(tagger.chain.word[place(h[f], f)]) for f in tagger.kinds))
+            emit = np.clip(emit, -30, 30)
+            z, each = 0.0, np.zeros(len(emit))
+            for states in np.ndindex(*(2,) * len(emit)):
+                w = math.exp(sum(e for e, v in zip(emit, states) if v) + sum(tagger.chain.step[x, y] for x, y in zip(states, states[1:])))
+                z += w
+                each += w * np.array(states)
+            p += list(each / z)
+        over = sum(max(x - toxicity_crf.FLOOR, 0) / (1 - toxicity_crf.FLOOR) for x in p)
+        margin = max(p, default=0) * tagger.curve[0] + math.log1p(over) * tagger.curve[1] + tagger.curve[2]
+        assert got[text] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-5)
+    assert got["you vile beast and some words"] > 0.5 > got["12 !"]
+
+
+def test_ratio_and_features_are_cross_validated():
+    y, weight = np.array([1, 1, 0, 0.0]), np.ones(4)
+    assert toxicity_crf.best_ratio(np.array([20, 13, 9, 0.0]), y, weight) == 12 and toxicity_crf.best_ratio(np.array([40, 35, 25, 0.0]), y, weight) == 32
+    rng = np.random.default_rng(1)
+    buckets = np.stack([rng.integers(k * 1000, k * 1000 + 40, (400, 20)) for k in range(toxicity_crf.N_OWN + 2)], 2)
+    half, length = np.arange(400) % 2, np.full(400, 20)
+    assert toxicity_crf.best_kinds(buckets, buckets[:, :, 0] % 7 == 0, length, half) == toxicity_crf.KINDS[0]
+    assert toxicity_crf.best_kinds(buckets, buckets[:, :, 5] % 7 == 0, length, half) == toxicity_crf.KINDS[2]
+
+
+def test_language_predictions_are_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_codes.train(docs)
+    rows = language_codes.predict(docs.limit(40), model).collect()
+    assert len(rows) == 40
+    for r in rows:
+        data = re.sub(rb"\xc3[\x80-\x9e]", lambda m: bytes((0xC3, m[0][1] + 32)), (r["text"] or "").lower().encode() if (r["text"] or "").isascii() else "".join(c.lower() if c.isascii() else c for c in r["text"] or "").encode())
+        data = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in data)
+        counts = np.zeros(language_codes.BINS)
+        for n in range(1, language_codes.ORDERS + 1):
+            for k in range(len(data) - n + 1):
+                h = 0
+                for b in data[k : k + n]:
+                    h = (h * 0x01000193 + b + 1) % 2**32
+                counts[(h * 2654435761) % 2**32 >> 20] += 1
+        x = np.sqrt(counts)
+        x /= max(math.sqrt((x * x).sum()), 1e-9)
+        margin = x @ model.weights.astype(float) + model.bias
+        loss = [sum(model.trust[b] * math.log1p(math.exp(-margin[b] * c)) for b, c in enumerate(code)) for code in model.code]
+        best = int(np.argmin(loss))
+        assert r["lang_pred"] == model.languages[best]
+        assert r["score"] == pytest.approx(1 / sum(math.exp(loss[best] - v) for v in loss), abs=1e-4)
+
+
+def test_quality_scores_are_brute_force(spark):
+    import bisect
+
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_gam.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    rows = quality_gam.score(docs.limit(60), model).collect()
+    for r in rows:
+        (_, x), = quality_gam.features(pa.array([r["text"] or ""]))
+        x = x[0].tolist()
+        told = dict(zip(quality_gam.FEATURES, x))
+        words = WORD.findall(r["text"] or "")
+        assert told["words"] == pytest.approx(math.log1p(len(words))) and told["bytes"] == pytest.approx(math.log1p(len((r["text"] or "").encode())))
+        assert told["distinct_words"] == pytest.approx(len({w.translate(LOW) for w in words}) / max(len(words), 1))
+        lines = [s for s in (r["text"] or "").split("\n") if s]
+        assert told["line_repeats"] == pytest.approx(1 - len(set(lines)) / max(len(lines), 1))
+        total = model.base
+        for edges, table, v in zip(model.edges, model.tables, x):
+            total += table[bisect.bisect_left(edges.tolist(), v)]
+        for (a, b), table in zip(model.pairs, model.pair_tables):
+            total += table[bisect.bisect_left(model.pair_edges[a].tolist(), x[a])][bisect.bisect_left(model.pair_edges[b].tolist(), x[b])]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    from foldspark.llm.samples import labelled_sample
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    pairs = docs.select(F.xxhash64("text").alias("h"), "label")
+    want = {v: sorted(r["h"] for r in pairs.filter(F.col("label") == v).collect())[:100] for v in (0, 1)}
+    got = labelled_sample(docs, pairs, 100).collect()
+    assert {v: sorted(r["h"] for r in got if r["label"] == v) for v in (0, 1)} == want
