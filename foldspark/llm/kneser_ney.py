@@ -22,17 +22,20 @@ each text has one end after its words, which counts as a token.  Null texts are
 empty: one end.  Repeated rows count as often as they occur.  With no training row
 each probability is 1 / (V + 1) = 1.  An empty table gives no rows.
 
-Triples are counted first; their shards send each shard of pairs the numbers N(.uw)
+Words are counted first and get dense ids, small for frequent ones, so that no two words
+share one (words are told apart by hashes of 64 bits, grams of ids by hashes of 64 bits).
+Triples are counted next; their shards send each shard of pairs the numbers N(.uw)
 and what its pairs need as contexts.  A triple belongs to the shard of its first two
 words, or is dealt by itself if both are frequent.
 
-A pair belongs to the shard of its first word; words so frequent that their pairs
-would fill a shard (at most 8 for each shard, by their counts) are dealt by pair.
-Words are told apart by 64-bit hashes, pairs by 48 bits of both words.
+A pair belongs to the shard of its first word; the start mark and words so frequent that
+their pairs would fill a share of a shard are dealt by pair.  Which words these are
+follows from their ids and a number for each shard of words.  Counts have no cap.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +49,10 @@ from foldspark.llm.textvec import doc_chunks, hash_spans, mix, raw_utf8, word_sp
 
 #: Training tokens of a shard of pairs, tokens that a task counts at a time, bytes scored at a time.
 SHARD_TOKENS, COUNT_TOKENS, SCORE_BYTES = 1_500_000, 2_000_000, 1 << 20
-START, END, NOTHING = (mix(np.array([x], np.uint64))[0] for x in (0xA11CE, 0xE4D, 0x0FF))
+#: A word is frequent if it has this share of a shard's tokens.
+FREQUENT = 8
+END = mix(np.array([0xE4D], np.uint64))[0]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_LOW48 = np.uint64(16)
 #: A pair as the context of triples: its words, how often it was followed, followers seen once, twice, more often.
 _CONTEXT = ("cu", "cw", "total", "n1", "n2", "n3")
 
@@ -69,11 +73,12 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield i, j, out, begins
 
 
-def contexts(toks: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    before = np.empty_like(toks)
-    before[1:] = toks[:-1]
-    before[begins[:-1]] = START
-    return before
+def before(ids: np.ndarray, begins: np.ndarray, first: int) -> np.ndarray:
+    """What stands before each token; ``first`` before a text's first."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[begins[:-1]] = first
+    return out
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -94,43 +99,127 @@ def _shard(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte by byte of their width, compressed."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return struct.pack("<BI", width, len(values)) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(rows: pa.ChunkedArray) -> np.ndarray:
+    out = []
+    for data in rows.to_pylist():
+        width, n = struct.unpack_from("<BI", data)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(pa.decompress(data[5:], width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T if n else 0
+        out.append(wide.view("<u8")[:, 0].astype(np.uint64))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _counts(rows: pa.ChunkedArray) -> np.ndarray:
+    return _unpack(rows).astype(np.int64)
+
+
+def _write_table(uri: str, name: str, keys: np.ndarray, *values: np.ndarray) -> None:
+    """Sorted keys (or none) with columns of counts: a byte each, and apart those of 255 or more."""
+    small, large = [], []
+    for v in values:
+        big = np.flatnonzero(v >= 255)
+        small.append(np.minimum(v, 255).astype(np.uint8))
+        large.append((big.astype(np.int64), v[big].astype(np.int64)))
+    head = [len(keys), len(values[0]), *(len(b) for b, _ in large)]
+    shared_files.write(uri, name, np.array(head, np.int64), keys, *(x for pair in large for x in pair), *small)
+
+
+class _Table:
+    """Reads such a file from mapped memory."""
+
+    def __init__(self, data: memoryview, columns: int):
+        n_keys, n, *many = np.frombuffer(data, np.int64, 2 + columns).tolist()
+        at = 8 * (2 + columns)
+        self.keys = np.frombuffer(data, np.uint64, n_keys, at)
+        at += 8 * n_keys
+        self.large, self.small = [], []
+        for m in many:
+            self.large.append((np.frombuffer(data, np.int64, m, at), np.frombuffer(data, np.int64, m, at + 8 * m)))
+            at += 16 * m
+        for _ in many:
+            self.small.append(np.frombuffer(data, np.uint8, n, at))
+            at += n
+
+    def rows(self, at: np.ndarray) -> list[np.ndarray]:
+        """The columns at some places."""
+        out = []
+        for small, (where, value) in zip(self.small, self.large):
+            v = small[at].astype(np.int64)
+            big = np.flatnonzero(v == 255)
+            v[big] = value[np.searchsorted(where, at[big])]
+            out.append(v)
+        return out
 
 
-def _from_six(data: list[bytes]) -> np.ndarray:
-    six = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(six), 8), np.uint8)
-    wide[:, :6] = six
-    return wide.view("<u8")[:, 0].astype(np.uint64)
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hash of a pair of ids, or of a pair's hash and an id."""
+    return mix(mix(u.astype(np.uint64) * _STEP) + w.astype(np.uint64))
 
 
-def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x), kind)
+class Vocabulary:
+    """Ids of words from the files of their hashes: rank by frequency in the shard, times the
+    number of shards, plus the shard, plus 1. 0 stands for nothing and for unknown words."""
 
+    def __init__(self, about: dict):
+        self.about, self.n = about, about["n_word_shards"]
+        self._files: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _file(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        if s not in self._files:
+            data = shared_files.mapped(self.about["uri"], f"ids-{s}")
+            n = int(np.frombuffer(data, np.int64, 1)[0])
+            self._files[s] = np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 16 * n)
+        return self._files[s]
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        every, where = _distinct(h)
+        out = np.zeros(len(every), np.uint64)
+        cuts = np.searchsorted(_shard(every, self.n), np.arange(self.n + 1))
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            if s in self.about["types_of"]:
+                a, b = cuts[s], cuts[s + 1]
+                keys, rank = self._file(s)
+                at = np.minimum(np.searchsorted(keys, every[a:b]), len(keys) - 1)
+                out[a:b] = np.where(keys[at] == every[a:b], rank[at].astype(np.uint64) * np.uint64(self.n) + np.uint64(s + 1), 0)
+        return out[where]
+
+
+def _word_shard(ids: np.ndarray, n: int) -> np.ndarray:
+    return ((ids - np.uint64(1)) % np.uint64(n)).astype(np.int64)
 
-def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Hash of a pair of 48-bit words."""
-    return mix(u * _STEP + w)
 
+def _rank(ids: np.ndarray, n: int) -> np.ndarray:
+    return ((ids - np.uint64(1)) // np.uint64(n)).astype(np.int64)
 
-def _among(frequent: np.ndarray, u: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(frequent, u), max(len(frequent) - 1, 0))
-    return frequent[at] == u if len(frequent) else np.zeros(len(u), bool)
 
+def _among(ids: np.ndarray, about: dict) -> np.ndarray:
+    """Whether words are frequent; the start mark and nothing are."""
+    limits = about["limits"]
+    some = ids > 0
+    out = ~some | (ids == about["start"])
+    out[some] |= _rank(ids[some], len(limits)) < limits[_word_shard(ids[some], len(limits))]
+    return out
 
-def _pair_place(u: np.ndarray, w: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+
+def _pair_place(u: np.ndarray, w: np.ndarray, about: dict) -> np.ndarray:
     """Shards of pairs are ranges of this; pairs of one first word lie together unless it is frequent."""
-    return np.where(_among(frequent, u), pair_key(u, w), u << _LOW48 | w >> np.uint64(32))
+    return np.where(_among(u, about), pair_key(u, w), mix(u * _STEP))
 
 
-def _triple_place(t: np.ndarray, u: np.ndarray, key: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def _triple_place(t: np.ndarray, u: np.ndarray, key: np.ndarray, about: dict) -> np.ndarray:
     """Shards of triples are ranges of this; triples of one context lie together unless its words are frequent."""
-    return np.where((_among(frequent, t) | (t == START >> _LOW48)) & _among(frequent, u), key, pair_key(t, u))
+    return np.where(_among(t, about) & _among(u, about), key, pair_key(t, u))
 
 
-def _count_words(texts: DataFrame, shards: int) -> DataFrame:
-    """(shard, keys, counts) with the sorted words of the shard."""
+def _count_words(texts: DataFrame, shards: int, uri: str) -> DataFrame:
+    """Counts words and writes each shard's hashes, counts and ranks; (shard, types, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -154,130 +243,112 @@ def _count_words(texts: DataFrame, shards: int) -> DataFrame:
                     size = 0
         fold()
         cuts = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
-        rows = [(s, keys[a:b].tobytes(), counts[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+        rows = [(s, keys[a:b].tobytes(), _pack(counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        keys, counts = _summed(_joined(table, "keys", np.uint64), _joined(table, "counts", np.int64))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "types": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
+        keys, counts = _summed(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64), _counts(table.column("counts")))
+        order = np.lexsort((keys, -counts))
+        rank = np.empty(len(keys), np.uint32)
+        rank[order] = np.arange(len(keys))
+        shared_files.write(uri, f"ids-{key[0].as_py()}", np.array([len(keys)], np.int64), keys, counts[order], rank)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "types": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
     dealt = texts.mapInArrow(run, "shard long, keys binary, counts binary")
-    return dealt.groupBy("shard").applyInArrow(merge, "shard long, keys binary, counts binary, types long, tokens long")
-
+    return dealt.groupBy("shard").applyInArrow(merge, "shard long, types long, tokens long")
 
-def _frequent(words: DataFrame, least: int) -> list[int]:
-    """Words that occur at least so often (few: the least is a share of all tokens)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.frombuffer(keys, np.uint64)[np.frombuffer(counts, np.int64) >= least]
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["w"])
+def _ranked_counts(uri: str, s: int) -> np.ndarray:
+    data = shared_files.mapped(uri, f"ids-{s}")
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.frombuffer(data, np.int64, n, 8 + 8 * n)
 
-    return [r["w"] for r in words.select("keys", "counts").mapInArrow(run, "w long").collect()]
 
-
-def _count_pairs(texts: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
-    """(shard, u, runs, w, counts): pairs of some texts, by first word."""
+def _limits(words: DataFrame, uri: str, shards: int, least: int) -> np.ndarray:
+    """How many words of each shard occur at least so often (a number a shard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_u: list[np.ndarray] = []
-        held_w: list[np.ndarray] = []
-
-        def fold() -> Iterator[pa.RecordBatch]:
-            if not held_u:
-                return
-            u, w = np.concatenate(held_u), np.concatenate(held_w)
-            held_u.clear(), held_w.clear()
-            by = _pair_place(u, w, frequent)
-            order = np.argsort(by)
-            by, u, w = by[order], u[order], w[order]
-            new = np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
-            at = np.flatnonzero(new)
-            count = np.diff(np.append(at, len(u)))
-            by, u, w = by[at], u[at], w[at]
-            cuts = np.searchsorted(_shard(by, shards), np.arange(shards + 1))
-            rows = []
-            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if a < b:
-                    runs = _runs(u[a:b])
-                    rows.append((s, _six(u[a:b][runs]), np.diff(np.append(runs, b - a)).astype("<u4").tobytes(), _six(w[a:b]), count[a:b].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(zip(*rows))], ["shard", "u", "runs", "w", "counts"])
-
-        size = 0
         for batch in batches:
-            for _, _, toks, begins in tokens(batch.column(0)):
-                held_u.append(contexts(toks, begins) >> _LOW48)
-                held_w.append(toks >> _LOW48)
-                size += len(toks)
-                if size > 2 * COUNT_TOKENS:
-                    yield from fold()
-                    size = 0
-        yield from fold()
-
-    return texts.mapInArrow(run, "shard long, u binary, runs binary, w binary, counts binary")
-
-
-def _count_triples(texts: DataFrame, shards: int, frequent: np.ndarray) -> DataFrame:
-    """(shard, t, u, runs, w, counts): triples of some texts; a text's first token follows nothing and the start mark."""
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([int(np.searchsorted(-_ranked_counts(uri, s), -least, "right")) for s in own], pa.int64())], ["shard", "n"])
+
+    out = np.zeros(shards, np.int64)
+    for r in words.select("shard").mapInArrow(run, "shard long, n long").collect():
+        out[r["shard"]] = r["n"]
+    return out
+
+
+def _grams(held: list[tuple[np.ndarray, ...]], place) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+    """(places in order, distinct grams, their counts)."""
+    grams = tuple(np.concatenate(x) for x in zip(*held))
+    held.clear()
+    key = grams[0]
+    for g in grams[1:]:
+        key = pair_key(key, g)
+    order = np.argsort(key)
+    at = _runs(key[order])
+    count, some = np.diff(np.append(at, len(key))), order[at]
+    grams, by = tuple(g[some] for g in grams), place(*(g[some] for g in grams), key[some])
+    order = np.lexsort((*reversed(grams), by))
+    return by[order], tuple(g[order] for g in grams), count[order]
+
+
+def _dealt(by: np.ndarray, grams: tuple[np.ndarray, ...], count: np.ndarray, shards: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each shard: contexts (all ids but the last) with how many grams each has, the last ids, counts."""
+    cuts = np.searchsorted(_shard(by, shards), np.arange(shards + 1))
+    rows = []
+    for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        a, b = cuts[s], cuts[s + 1]
+        own = [g[a:b] for g in grams]
+        new = np.concatenate(([True], np.any([g[1:] != g[:-1] for g in own[:-1]], axis=0)))
+        runs = np.flatnonzero(new)
+        rows.append((s, *(_pack(g[runs]) for g in own[:-1]), _pack(np.diff(np.append(runs, b - a))), _pack(own[-1]), _pack(count[a:b])))
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(zip(*rows))], names)
+
+
+def _count_grams(texts: DataFrame, shards: int, about: dict, order: int) -> DataFrame:
+    """(shard, t, u, runs, w, counts), without t for pairs: grams of some texts. A text's first
+    token follows the start mark, and as a triple nothing and the start mark."""
+    names = ["shard", *(("t",) if order > 2 else ()), "u", "runs", "w", "counts"]
+
+    def place(*grams: np.ndarray) -> np.ndarray:
+        *ids, key = grams
+        return _pair_place(ids[0], ids[1], about) if order == 2 else _triple_place(ids[0], ids[1], key, about)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
-        def fold() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            t, u, w = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            key = pair_key(pair_key(t, u), w)
-            order = np.argsort(key)
-            at = _runs(key[order])
-            count, some = np.diff(np.append(at, len(key))), order[at]
-            t, u, w, key = t[some], u[some], w[some], key[some]
-            by = _triple_place(t, u, key, frequent)
-            order = np.argsort(by)
-            by, t, u, w, count = by[order], t[order], u[order], w[order], count[order]
-            cuts = np.searchsorted(_shard(by, shards), np.arange(shards + 1))
-            rows = []
-            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if a < b:
-                    runs = np.flatnonzero(np.concatenate(([True], (t[a + 1 : b] != t[a : b - 1]) | (u[a + 1 : b] != u[a : b - 1]))))
-                    rows.append((s, _six(t[a:b][runs]), _six(u[a:b][runs]), np.diff(np.append(runs, b - a)).astype("<u4").tobytes(), _six(w[a:b]), count[a:b].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(zip(*rows))], ["shard", "t", "u", "runs", "w", "counts"])
-
-        size = 0
+        vocabulary, size = Vocabulary(about), 0
         for batch in batches:
             for _, _, toks, begins in tokens(batch.column(0)):
-                u = contexts(toks, begins)
-                t = np.empty_like(u)
-                t[1:] = u[:-1]
-                t[begins[:-1]] = NOTHING
-                held.append((t >> _LOW48, u >> _LOW48, toks >> _LOW48))
+                w = vocabulary.ids(toks)
+                u = before(w, begins, about["start"])
+                held.append((u, w) if order == 2 else (before(u, begins, 0), u, w))
                 size += len(toks)
                 if size > COUNT_TOKENS:
-                    yield from fold()
+                    yield from _dealt(*_grams(held, place), shards, names)
                     size = 0
-        yield from fold()
+        if held:
+            yield from _dealt(*_grams(held, place), shards, names)
 
-    return texts.mapInArrow(run, "shard long, t binary, u binary, runs binary, w binary, counts binary")
+    return texts.mapInArrow(run, ", ".join(f"{c} {'binary' if i else 'long'}" for i, c in enumerate(names)))
 
 
-def _write_triples(dealt: DataFrame, uri: str, pair_shards: int, frequent: np.ndarray) -> DataFrame:
-    """Sums each shard's triples and writes them; rows like those of :func:`_count_pairs` with N(.uw), and the pairs' sums as contexts."""
+def _write_triples(dealt: DataFrame, pair_shards: int, about: dict) -> DataFrame:
+    """Sums each shard's triples and writes them; rows like those of pairs with N(.uw), and the pairs' sums as contexts."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        runs = _joined(table, "runs", "<u4")
-        t, u = (np.repeat(_from_six(table.column(x).to_pylist()), runs) for x in ("t", "u"))
-        w, c = _from_six(table.column("w").to_pylist()), _joined(table, "counts", "<u4").astype(np.int64)
+        runs = _counts(table.column("runs"))
+        t, u = (np.repeat(_unpack(table.column(x)), runs) for x in ("t", "u"))
+        w, c = _unpack(table.column("w")), _counts(table.column("counts"))
         keys = pair_key(pair_key(t, u), w)
         order = np.argsort(keys)
         keys = keys[order]
         at = _runs(keys)
         c = np.add.reduceat(c[order], at)
         keys, t, u, w = keys[at], t[order[at]], u[order[at]], w[order[at]]
-        whole = t != NOTHING >> _LOW48
-        shared_files.write(uri, f"triples-{key[0].as_py()}", np.array([whole.sum()], np.uint64), keys[whole], np.minimum(c[whole], 0xFFFFFFFF).astype(np.uint32))
+        whole = t > 0
+        _write_table(about["uri"], f"triples-{key[0].as_py()}", keys[whole], c[whole])
 
         def by_pair(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
             """Where the pairs' shards begin; the pairs and their sums, by shard."""
@@ -286,11 +357,11 @@ def _write_triples(dealt: DataFrame, uri: str, pair_shards: int, frequent: np.nd
             at = _runs(pair_key(a, b))
             sums = [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
             a, b = a[at], b[at]
-            place = _pair_place(a, b, frequent)
-            order = np.argsort(place)
+            place = _pair_place(a, b, about)
+            order = np.lexsort((b, a, place))
             return np.searchsorted(_shard(place[order], pair_shards), np.arange(pair_shards + 1)), [x[order] for x in (a, b, *sums)]
 
-        cuts, (v, x, before) = by_pair(u, w, np.where(whole, 1, c))
+        cuts, (v, x, seen) = by_pair(u, w, np.where(whole, 1, c))
         t, u, c = t[whole], u[whole], c[whole]
         context_cuts, (f, g, *own) = by_pair(t, u, c, *(((c == k) if k < 3 else (c >= 3)).astype(np.int64) for k in (1, 2, 3)))
         histogram, rows = [int((c == k).sum()) for k in (1, 2, 3, 4)], []
@@ -298,79 +369,72 @@ def _write_triples(dealt: DataFrame, uri: str, pair_shards: int, frequent: np.nd
             a, b, d, e = cuts[s], cuts[s + 1], context_cuts[s], context_cuts[s + 1]
             if a < b or d < e:
                 runs = _runs(v[a:b])
-                pairs = (_six(v[a:b][runs]), np.diff(np.append(runs, b - a)).astype("<u4").tobytes(), _six(x[a:b]), before[a:b].astype("<u4").tobytes())
-                rows.append((s, *pairs, _six(f[d:e]), _six(g[d:e]), *(np.minimum(o[d:e], 0xFFFFFFFF).astype("<u4").tobytes() for o in own), [0] * 4 if rows else histogram))
+                pairs = (_pack(v[a:b][runs]), _pack(np.diff(np.append(runs, b - a)) if b > a else runs), _pack(x[a:b]), _pack(seen[a:b]))
+                rows.append((s, *pairs, *(_pack(o[d:e]) for o in (f, g, *own)), [0] * 4 if rows else histogram))
         kinds = [pa.int64(), *[pa.binary()] * 10, pa.list_(pa.int64())]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "u", "runs", "w", "counts", *_CONTEXT, "histogram"])
 
     return dealt.groupBy("shard").applyInArrow(merge, f"shard long, u binary, runs binary, w binary, counts binary, {', '.join(f'{x} binary' for x in _CONTEXT)}, histogram array<long>")
 
 
-def _write_pairs(dealt: DataFrame, uri: str, word_shards: int, n_order: int) -> DataFrame:
+def _write_pairs(dealt: DataFrame, about: dict) -> DataFrame:
     """Sums each shard's pairs and writes them; (target, ...) what each shard of words needs of them."""
+    n = about["n_word_shards"]
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        runs = _joined(table, "runs", "<u4")
-        u, w = np.repeat(_from_six(table.column("u").to_pylist()), runs), _from_six(table.column("w").to_pylist())
-        c = _joined(table, "counts", "<u4").astype(np.int64)
-        order = np.lexsort((w, u))
-        u, w = u[order], w[order]
-        at = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))) if len(u) else np.zeros(0, np.int64)
+        u, w = np.repeat(_unpack(table.column("u")), _counts(table.column("runs"))), _unpack(table.column("w"))
+        keys, c = pair_key(u, w), _counts(table.column("counts"))
+        order = np.argsort(keys)
+        at = _runs(keys[order])
         c = np.add.reduceat(c[order], at) if len(at) else c
-        u, w = u[at], w[at]
-        keys = pair_key(u, w)
-        by = np.argsort(keys)
+        keys, u, w = keys[order[at]], u[order[at]], w[order[at]]
         as_context, triples = [], [0] * 4
-        if n_order > 2:
-            found, *sums = _summed(pair_key(*(_from_six(table.column(x).to_pylist()) for x in _CONTEXT[:2])), *(_joined(table, x, "<u4").astype(np.int64) for x in _CONTEXT[2:]))
-            at = np.searchsorted(keys[by], found)
-            as_context = [np.zeros(len(keys), np.uint32) for _ in sums]
+        if about["order"] > 2:
+            found, *sums = _summed(pair_key(*(_unpack(table.column(x)) for x in _CONTEXT[:2])), *(_counts(table.column(x)) for x in _CONTEXT[2:]))
+            at = np.searchsorted(keys, found)
+            as_context = [np.zeros(len(keys), np.int64) for _ in sums]
             for to, values in zip(as_context, sums):
-                to[at] = np.minimum(values, 0xFFFFFFFF)
+                to[at] = values
             triples = [sum(x) for x in zip(*table.column("histogram").to_pylist())]
-        shared_files.write(uri, f"pairs-{key[0].as_py()}", np.array([len(keys)], np.uint64), keys[by], np.minimum(c[by], 0xFFFFFFFF).astype(np.uint32), *as_context)
-        first = _runs(u)
-        own = [np.add.reduceat(x, first, dtype=np.int64) for x in (c, c == 1, c == 2, c >= 3)]
-        contexts_, (seen, before) = u[first], _summed(w, np.ones(len(w), np.int64))
-        histogram = np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)] + triples, np.int64)
-        cut_u = np.searchsorted(_shard(contexts_ << _LOW48, word_shards), np.arange(word_shards + 1))
-        cut_w = np.searchsorted(_shard(seen << _LOW48, word_shards), np.arange(word_shards + 1))
+        _write_table(about["uri"], f"pairs-{key[0].as_py()}", keys, c, *as_context)
+        contexts, *own = _summed(u, *(x.astype(np.int64) for x in (c, c == 1, c == 2, c >= 3)))
+        seen, many = _summed(w, np.ones(len(w), np.int64))
+        histogram = [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c), *triples]
+        by_u, by_w = (np.argsort(_word_shard(x, n), kind="stable") for x in (contexts, seen))
+        cut_u, cut_w = (np.searchsorted(_word_shard(x, n)[o], np.arange(n + 1)) for x, o in ((contexts, by_u), (seen, by_w)))
         rows = []
-        for s in range(word_shards):
-            a, b, d, e = cut_u[s], cut_u[s + 1], cut_w[s], cut_w[s + 1]
-            if a < b or d < e or s == 0:
-                rows.append((s, _six(contexts_[a:b]), *(x[a:b].astype("<u8").tobytes() for x in own[:1]), *(x[a:b].astype("<u4").tobytes() for x in own[1:]), _six(seen[d:e]), before[d:e].astype("<u4").tobytes(), histogram.tolist() if s == 0 else [0] * 9))
+        for s in range(n):
+            a, b = by_u[cut_u[s] : cut_u[s + 1]], by_w[cut_w[s] : cut_w[s + 1]]
+            if len(a) or len(b) or s == 0:
+                rows.append((s, _pack(_rank(contexts[a], n)), *(_pack(x[a]) for x in own), _pack(_rank(seen[b], n)), _pack(many[b]), histogram if s == 0 else [0] * 9))
         kinds = [pa.int64(), *[pa.binary()] * 7, pa.list_(pa.int64())]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["target", "u", "total", "n1", "n2", "n3", "w", "before", "histogram"])
 
     return dealt.groupBy("shard").applyInArrow(merge, "target long, u binary, total binary, n1 binary, n2 binary, n3 binary, w binary, before binary, histogram array<long>")
 
 
-def _write_words(words: DataFrame, needed: DataFrame, uri: str) -> DataFrame:
-    """Writes the words' arrays; sums of counts of counts for the discounts."""
-
-    def merge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        shard = next(k.as_py() for k in key if k.as_py() is not None)
-        keys, counts = _joined(left, "keys", np.uint64), _joined(left, "counts", np.int64)
-        u, *own = _summed(_from_six(right.column("u").to_pylist()), *(_joined(right, x, k).astype(np.int64) for x, k in (("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"))))
-        w, before = _summed(_from_six(right.column("w").to_pylist()), _joined(right, "before", "<u4").astype(np.int64))
-        if (START >> _LOW48) in u:  # the start mark is a context only
-            at = np.searchsorted(keys, START)
-            keys, counts = np.insert(keys, at, START), np.insert(counts, at, 0)
-        short = keys >> _LOW48
-
-        def aligned(to: np.ndarray, values: np.ndarray) -> np.ndarray:
-            if not len(to):
-                return np.zeros(len(keys), np.int64)
-            at = np.minimum(np.searchsorted(to, short), len(to) - 1)
-            return np.where(to[at] == short, values[at], 0)
-
-        shared_files.write(uri, f"words-{shard}", np.array([len(keys)], np.uint64), keys, counts, aligned(u, own[0]), aligned(w, before).astype(np.uint32), *(aligned(u, x).astype(np.uint32) for x in own[1:]))
-        pairs = [sum(x) for x in zip(*right.column("histogram").to_pylist())] or [0] * 9
-        sums = pairs[:5] + [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before >= 3).sum())] + pairs[5:]
+def _write_words(needed: DataFrame, about: dict) -> DataFrame:
+    """Writes what is known of words, by rank; sums of counts of counts for the discounts."""
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        s = key[0].as_py()
+        counts = _ranked_counts(about["uri"], s) if s in about["types_of"] else np.zeros(0, np.int64)
+        if s == 0:  # the start mark, a context only, comes last
+            counts = np.append(counts, 0)
+
+        def summed(at: str, name: str) -> np.ndarray:
+            out = np.zeros(len(counts), np.int64)
+            rank, value = _summed(_unpack(table.column(at)), _counts(table.column(name)))
+            out[rank.astype(np.int64)] = value
+            return out
+
+        seen = summed("w", "before")
+        _write_table(about["uri"], f"words-{s}", np.zeros(0, np.uint64), counts, summed("u", "total"), seen, *(summed("u", x) for x in ("n1", "n2", "n3")))
+        pairs = [sum(x) for x in zip(*table.column("histogram").to_pylist())]
+        sums = pairs[:5] + [int((seen == k).sum()) for k in (1, 2, 3, 4)] + [int((seen >= 3).sum())] + pairs[5:]
         return pa.Table.from_arrays([pa.array([sums], pa.list_(pa.int64()))], ["sums"])
 
-    return words.select("shard", "keys", "counts").groupBy("shard").cogroup(needed.groupBy("target")).applyInArrow(merge, "sums array<long>")
+    return needed.groupBy("target").applyInArrow(merge, "sums array<long>")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -388,79 +452,63 @@ class Model:
 
     def __init__(self, about: dict):
         self.about = about
-        self._files: dict[str, tuple[np.ndarray, ...]] = {}
+        self._files: dict[str, _Table] = {}
+        self.vocabulary = Vocabulary(about)
         self.triple_discount, self.pair_discount, self.word_discount = (discounts(*about[x]) for x in ("triple_counts", "pair_counts", "word_counts"))
         n = about["word_counts"]
         mass = self.word_discount[1] * n[0] + self.word_discount[2] * n[1] + self.word_discount[3] * about["word_many"]
         self.pairs = about["pairs"]
         self.floor = (mass / self.pairs if self.pairs else 1.0) / (about["types"] + 1)
 
-    def _arrays(self, name: str, kinds: tuple) -> tuple[np.ndarray, ...]:
+    def _table(self, name: str, columns: int) -> _Table:
         if name not in self._files:
-            data = shared_files.mapped(self.about["uri"], name)
-            n, at, out = int(np.frombuffer(data, np.uint64, 1)[0]), 8, []
-            for kind in kinds:
-                out.append(np.frombuffer(data, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            self._files[name] = tuple(out)
+            self._files[name] = _Table(shared_files.mapped(self.about["uri"], name), columns)
         return self._files[name]
 
-    def _look_up(self, ordered: np.ndarray, by: np.ndarray, kind: str, shards: list[int], total: int, kinds: tuple) -> list[np.ndarray]:
-        """Values of sorted keys; ``by`` (sorted too) tells the shard; 0 where absent."""
-        out = [np.zeros(len(ordered), k) for k in kinds[1:]]
-        cuts = np.searchsorted(_shard(by, total), np.arange(total + 1))
-        for s in shards:
-            a, b = cuts[s], cuts[s + 1]
-            if a < b:
-                keys, *values = self._arrays(f"{kind}-{s}", kinds)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, ordered[a:b]), len(keys) - 1)
-                    hit = keys[at] == ordered[a:b]
-                    for o, v in zip(out, values):
-                        o[a:b] = np.where(hit, v[at], 0)
+    def words(self, ids: np.ndarray) -> list[np.ndarray]:
+        """count, and as a context how often it was followed; words before it; followers seen once, twice, more often."""
+        out = [np.zeros(len(ids), np.int64) for _ in range(6)]
+        n, some = self.about["n_word_shards"], np.flatnonzero(ids > 0)
+        shard = _word_shard(ids[some], n)
+        some, shard = some[np.argsort(shard, kind="stable")], np.sort(shard)
+        cuts = np.searchsorted(shard, np.arange(n + 1))
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            rows = some[cuts[s] : cuts[s + 1]]
+            for o, v in zip(out, self._table(f"words-{s}", 6).rows(_rank(ids[rows], n))):
+                o[rows] = v
         return out
 
-    _WORD = (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
-
-    def words(self, h: np.ndarray) -> list[np.ndarray]:
-        """count, and as a context how often it was followed; words before it; followers seen once, twice, more often."""
-        order = np.argsort(h)
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        found = self._look_up(h[order], h[order], "words", self.about["word_shards"], self.about["n_word_shards"], self._WORD)
-        return [x[back] for x in found]
-
-    def _grams(self, kind: str, key: np.ndarray, place: np.ndarray, shards: list[int], total: int, kinds: tuple) -> list[np.ndarray]:
-        """Values of keys in any order."""
-        shard = _shard(place, total)
-        out = [np.zeros(len(key), k) for k in kinds[1:]]
+    def _found(self, kind: str, key: np.ndarray, place: np.ndarray, columns: int) -> list[np.ndarray]:
+        """Values of keys in any order; 0 where absent."""
+        shard = _shard(place, self.about["n_pair_shards"])
+        out = [np.zeros(len(key), np.int64) for _ in range(columns)]
         order = np.argsort(key)
         order = order[np.argsort(shard[order], kind="stable")]
-        cuts = np.searchsorted(shard[order], np.arange(total + 1))
-        for s in shards:
-            rows = order[cuts[s] : cuts[s + 1]]
-            if len(rows):
-                keys, *values = self._arrays(f"{kind}-{s}", kinds)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, key[rows]), len(keys) - 1)
-                    hit = keys[at] == key[rows]
-                    for o, v in zip(out, values):
-                        o[rows] = np.where(hit, v[at], 0)
+        cuts = np.searchsorted(shard[order], np.arange(self.about["n_pair_shards"] + 1))
+        for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            if s not in self.about[f"{kind}_shards"]:
+                continue
+            rows, table = order[cuts[s] : cuts[s + 1]], self._table(f"{kind}-{s}", columns)
+            if len(table.keys):
+                at = np.minimum(np.searchsorted(table.keys, key[rows]), len(table.keys) - 1)
+                hit = table.keys[at] == key[rows]
+                for o, v in zip(out, table.rows(at)):
+                    o[rows] = np.where(hit, v, 0)
         return out
 
     def pairs_of(self, u: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
         """count, and with order 3 as a context: how often it was followed, followers seen once, twice, more often."""
-        kinds = (np.uint64, np.uint32) if self.about["order"] < 3 else (np.uint64, *[np.uint32] * 5)
-        return self._grams("pairs", pair_key(u, w), _pair_place(u, w, self.about["frequent"]), self.about["pair_shards"], self.about["n_pair_shards"], kinds)
+        return self._found("pairs", pair_key(u, w), _pair_place(u, w, self.about), 1 if self.about["order"] < 3 else 5)
 
     def triple_counts(self, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         key = pair_key(pair_key(t, u), w)
-        return self._grams("triples", key, _triple_place(t, u, key, self.about["frequent"]), self.about["triple_shards"], self.about["n_pair_shards"], (np.uint64, np.uint32))[0]
+        return self._found("triples", key, _triple_place(t, u, key, self.about), 1)[0]
 
     def score(self, toks: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of each row."""
         every, where = _distinct(toks)
-        count, followed, before, n1, n2, n3 = self.words(np.append(every, START))
+        names = np.append(self.vocabulary.ids(every), np.uint64(self.about["start"]))
+        count, followed, before, n1, n2, n3 = self.words(names)
         total = self.about["tokens"] + self.about["types"] + 1
         base = np.log10((count[:-1] + 1) / total)[where]
         known = (count[:-1] > 0)[where]
@@ -471,8 +519,7 @@ class Model:
         previous = np.empty_like(where)
         previous[1:] = where[:-1]
         previous[begins[:-1]] = len(every)
-        names = np.append(every, START)
-        u, w = names[previous] >> _LOW48, toks >> _LOW48
+        u, w = names[previous], names[where]
         c, *as_context = self.pairs_of(u, w)
         p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(followed[previous], 1) + left[previous] * one[where]
         if as_context:
@@ -503,35 +550,33 @@ def train(texts: DataFrame, text: str = "text", order: int = 2) -> dict:
     spark = ready(texts.sparkSession)
     uri = shared_uri(spark)
     texts = texts.select(F.col(text).alias("t"))
-    # As many shards of words as the input has partitions, up to the session's number for shuffles.
-    word_shards = max(1, min(texts.rdd.getNumPartitions(), max(200, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    words = materialised(_count_words(texts, word_shards))
+    # Shards of words grow with the input's partitions, but more slowly, as vocabularies do.
+    word_shards = max(1, round(texts.rdd.getNumPartitions() ** 0.75))
+    words = materialised(_count_words(texts, word_shards, uri))
+    types_of = {r["shard"]: r["types"] for r in words.select("shard", "types").collect()}
     n_tokens, n_types = (int(x or 0) for x in words.agg(F.sum("tokens"), F.sum("types")).first())
-    about = {"uri": uri, "order": order, "tokens": n_tokens, "types": n_types, "pairs": 0, "triple_counts": (0, 0, 0, 0), "triple_shards": [], "pair_counts": (0, 0, 0, 0), "word_counts": (0, 0, 0, 0), "word_many": 0, "word_shards": [], "pair_shards": [], "n_word_shards": word_shards, "n_pair_shards": 1, "frequent": np.zeros(0, np.uint64)}
+    about = {"uri": uri, "order": order, "tokens": n_tokens, "types": n_types, "pairs": 0, "triple_counts": (0, 0, 0, 0), "triples_shards": set(), "pair_counts": (0, 0, 0, 0), "word_counts": (0, 0, 0, 0), "word_many": 0, "pairs_shards": set(), "n_word_shards": word_shards, "n_pair_shards": 1}
+    # The start mark is the word after the last of the first shard.
+    about |= {"types_of": types_of, "limits": np.zeros(word_shards, np.int64), "start": types_of.get(0, 0) * word_shards + 1}
     if not n_tokens:
-        return about
+        return about | {"start": 0}
     pair_shards = -(-n_tokens // SHARD_TOKENS)
-    frequent = np.array(_frequent(words, max(2, n_tokens // (8 * pair_shards))), np.int64).view(np.uint64) >> _LOW48 if pair_shards > 1 else np.zeros(0, np.uint64)
-    frequent = np.unique(frequent)
-    if order == 2:
-        dealt = _count_pairs(texts, pair_shards, frequent)
-    else:
-        dealt = _write_triples(_count_triples(texts, pair_shards, frequent), uri, pair_shards, frequent)
-    needed = _write_pairs(dealt, uri, word_shards, order)
-    done = _write_words(words, needed, uri)
+    if pair_shards > 1:
+        about["limits"] = _limits(words, uri, word_shards, max(2, n_tokens // (FREQUENT * pair_shards)))
+    about["n_pair_shards"] = pair_shards
+    dealt = _count_grams(texts, pair_shards, about, order)
+    if order > 2:
+        dealt = _write_triples(dealt, pair_shards, about)
+    done = materialised(_write_words(_write_pairs(dealt, about), about))
     sums = done.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(14))).first()
     made = _listed(spark, uri)
     return about | {
         "pairs": sums[4],
         "triple_counts": tuple(sums[10:]),
-        "triple_shards": sorted(int(x[8:]) for x in made if x.startswith("triples-")),
         "pair_counts": tuple(sums[:4]),
         "word_counts": tuple(sums[5:9]),
         "word_many": sums[9],
-        "word_shards": sorted(int(x[6:]) for x in made if x.startswith("words-")),
-        "pair_shards": sorted(int(x[6:]) for x in made if x.startswith("pairs-")),
-        "n_pair_shards": pair_shards,
-        "frequent": frequent,
+        **{f"{k}_shards": {int(x.split("-")[1]) for x in made if x.startswith(f"{k}-")} for k in ("triples", "pairs")},
     }
 
 
