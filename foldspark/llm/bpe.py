@@ -210,12 +210,17 @@ class Bpe:
         while len(at):
             room = np.minimum(end[word] - at, self.longest)
             found = np.full(len(at), -1, np.int64)
+            # From the longest on, only places with that much room that have no match yet.
+            order = np.argsort(-room)
+            enough = np.searchsorted(-room[order], -np.arange(int(room.max()) + 2), "right")
+            open_ = order[:0]
             for n in range(int(room.max()), 0, -1):
-                if n not in self._by_length:
-                    continue
-                some = np.flatnonzero((found < 0) & (room >= n))
-                if len(some):
-                    found[some] = self._by_length[n].find(hash_blocks(by, at[some], at[some] + n))
+                open_ = np.concatenate((open_, order[enough[n + 1] : enough[n]]))
+                if n in self._by_length and len(open_):
+                    got = self._by_length[n].find(hash_blocks(by, at[open_], at[open_] + n))
+                    hit = got >= 0
+                    found[open_[hit]] = got[hit]
+                    open_ = open_[~hit]
             ids.append(found)
             owner.append(word)
             at = at + self._size[found]

@@ -34,7 +34,6 @@ BLOCK_TOKENS = 1 << 20
 #: How often a pair must occur to be replaced.
 LEAST = 2
 _MAGIC, _HEAD = b"RPG2", "<4sIIQQBBB"
-_BUCKET_BITS, _ODD = 16, np.int64(-7046029254386353131)
 
 
 def _bits(values: np.ndarray) -> tuple[int, bytes]:
@@ -66,13 +65,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, symbols: int) -> bytes:
         new = seq >= fresh
         near = np.flatnonzero((new[:-1] | new[1:]) & ~(ends[:-1] | ends[1:]))
         keys = seq[near] << 32 | seq[near + 1]
-        # Pairs of a bucket that has too few of them in all need no exact count.
-        bucket = ((keys * _ODD) >> (64 - _BUCKET_BITS)) & ((1 << _BUCKET_BITS) - 1)
-        some = np.flatnonzero(np.bincount(bucket, minlength=1 << _BUCKET_BITS)[bucket] >= LEAST)
-        if not len(some):
-            break
-        order = np.argsort(keys[some])
-        ordered = keys[some[order]]
+        order = np.argsort(keys)
+        ordered = keys[order]
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(edge, len(ordered)))
         often = count >= LEAST
@@ -80,7 +74,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, symbols: int) -> bytes:
         if not len(chosen):
             break
         at = np.full(len(near), -1, np.int64)
-        at[some[order[np.repeat(often, count)]]] = np.repeat(np.arange(len(chosen)), count[often])
+        at[order[np.repeat(often, count)]] = np.repeat(np.arange(len(chosen)), count[often])
         hit, at = near[at >= 0], at[at >= 0]
         # Of overlapping pairs in a row, every other one from the left.
         run = np.concatenate(([True], np.diff(hit) > 1))
