@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm import shared_files
@@ -335,7 +335,12 @@ def _count_grams(texts: DataFrame, shards: int, about: dict, order: int) -> Data
 
 
 def _write_triples(dealt: DataFrame, pair_shards: int, about: dict) -> DataFrame:
-    """Sums each shard's triples and writes them; rows like those of pairs with N(.uw), and the pairs' sums as contexts."""
+    """Sums each shard's triples and writes them, and for each shard of pairs the numbers N(.uw)
+    and the pairs' sums as contexts; (shard, histogram).
+
+    The latter are files in the shared folder too, which survive lost executors, so that
+    the triples' shuffle can be removed before the pairs are summed.
+    """
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         runs = _counts(table.column("runs"))
@@ -364,22 +369,51 @@ def _write_triples(dealt: DataFrame, pair_shards: int, about: dict) -> DataFrame
         cuts, (v, x, seen) = by_pair(u, w, np.where(whole, 1, c))
         t, u, c = t[whole], u[whole], c[whole]
         context_cuts, (f, g, *own) = by_pair(t, u, c, *(((c == k) if k < 3 else (c >= 3)).astype(np.int64) for k in (1, 2, 3)))
-        histogram, rows = [int((c == k).sum()) for k in (1, 2, 3, 4)], []
+        parts: list[bytes] = []
         for s in range(pair_shards):
             a, b, d, e = cuts[s], cuts[s + 1], context_cuts[s], context_cuts[s + 1]
-            if a < b or d < e:
-                runs = _runs(v[a:b])
-                pairs = (_pack(v[a:b][runs]), _pack(np.diff(np.append(runs, b - a)) if b > a else runs), _pack(x[a:b]), _pack(seen[a:b]))
-                rows.append((s, *pairs, *(_pack(o[d:e]) for o in (f, g, *own)), [0] * 4 if rows else histogram))
-        kinds = [pa.int64(), *[pa.binary()] * 10, pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "u", "runs", "w", "counts", *_CONTEXT, "histogram"])
-
-    return dealt.groupBy("shard").applyInArrow(merge, f"shard long, u binary, runs binary, w binary, counts binary, {', '.join(f'{x} binary' for x in _CONTEXT)}, histogram array<long>")
-
-
-def _write_pairs(dealt: DataFrame, about: dict) -> DataFrame:
-    """Sums each shard's pairs and writes them; (target, ...) what each shard of words needs of them."""
+            runs = _runs(v[a:b])
+            columns = [] if a == b and d == e else [v[a:b][runs], np.diff(np.append(runs, b - a)) if b > a else runs, x[a:b], seen[a:b], *(o[d:e] for o in (f, g, *own))]
+            data = [_pack(column) for column in columns]
+            parts.append(struct.pack(f"<{len(data)}I", *map(len, data)) + b"".join(data))
+        places = np.cumsum([0, *map(len, parts)]).astype(np.int64)
+        shared_files.write(about["uri"], f"sent-{key[0].as_py()}", places, np.frombuffer(b"".join(parts), np.uint8))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([[int((c == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64()))], ["shard", "histogram"])
+
+    return dealt.groupBy("shard").applyInArrow(merge, "shard long, histogram array<long>")
+
+
+def _sent(about: dict, senders: list[int], shard: int) -> pa.Table:
+    """What the shards of triples wrote for a shard of pairs, in rows like those of :func:`_count_grams`."""
+    names, rows = ["u", "runs", "w", "counts", *_CONTEXT], []
+    for s in senders:
+        data = shared_files.mapped(about["uri"], f"sent-{s}")
+        a, b = np.frombuffer(data, np.int64, about["n_pair_shards"] + 1)[shard : shard + 2].tolist()
+        own = bytes(data[8 * (about["n_pair_shards"] + 1) :][a:b])
+        if own:
+            cuts = np.cumsum([4 * len(names), *struct.unpack_from(f"<{len(names)}I", own)]).tolist()
+            rows.append([own[x:y] for x, y in zip(cuts, cuts[1:])])
+    return pa.table({n: pa.chunked_array([pa.array([r[i] for r in rows], pa.binary())]) for i, n in enumerate(names)})
+
+
+def _write_pairs(spark: SparkSession, dealt: DataFrame, about: dict) -> tuple[DataFrame, list[int]]:
+    """Sums each shard's pairs and writes them; (target, ...) what each shard of words needs of
+    them, and how many triples occur once, twice, three and four times.
+
+    ``dealt`` has the pairs for order 2, and for order 3 what :func:`_write_triples` gave.
+    """
     n = about["n_word_shards"]
+    senders, triples = [], [0] * 4
+    if about["order"] > 2:
+        senders = [r["shard"] for r in dealt.select("shard").collect()]
+        triples = list(dealt.select(*(F.sum(F.col("histogram")[i]).alias(f"s{i}") for i in range(4))).first())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                table = _sent(about, senders, s)
+                if table.num_rows:
+                    yield merge((pa.scalar(s),), table).to_batches()[0]
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         u, w = np.repeat(_unpack(table.column("u")), _counts(table.column("runs"))), _unpack(table.column("w"))
@@ -388,29 +422,32 @@ def _write_pairs(dealt: DataFrame, about: dict) -> DataFrame:
         at = _runs(keys[order])
         c = np.add.reduceat(c[order], at) if len(at) else c
         keys, u, w = keys[order[at]], u[order[at]], w[order[at]]
-        as_context, triples = [], [0] * 4
+        as_context = []
         if about["order"] > 2:
             found, *sums = _summed(pair_key(*(_unpack(table.column(x)) for x in _CONTEXT[:2])), *(_counts(table.column(x)) for x in _CONTEXT[2:]))
             at = np.searchsorted(keys, found)
             as_context = [np.zeros(len(keys), np.int64) for _ in sums]
             for to, values in zip(as_context, sums):
                 to[at] = values
-            triples = [sum(x) for x in zip(*table.column("histogram").to_pylist())]
         _write_table(about["uri"], f"pairs-{key[0].as_py()}", keys, c, *as_context)
         contexts, *own = _summed(u, *(x.astype(np.int64) for x in (c, c == 1, c == 2, c >= 3)))
         seen, many = _summed(w, np.ones(len(w), np.int64))
-        histogram = [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c), *triples]
+        histogram = [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c)]
         by_u, by_w = (np.argsort(_word_shard(x, n), kind="stable") for x in (contexts, seen))
         cut_u, cut_w = (np.searchsorted(_word_shard(x, n)[o], np.arange(n + 1)) for x, o in ((contexts, by_u), (seen, by_w)))
         rows = []
         for s in range(n):
             a, b = by_u[cut_u[s] : cut_u[s + 1]], by_w[cut_w[s] : cut_w[s + 1]]
             if len(a) or len(b) or s == 0:
-                rows.append((s, _pack(_rank(contexts[a], n)), *(_pack(x[a]) for x in own), _pack(_rank(seen[b], n)), _pack(many[b]), histogram if s == 0 else [0] * 9))
+                rows.append((s, _pack(_rank(contexts[a], n)), *(_pack(x[a]) for x in own), _pack(_rank(seen[b], n)), _pack(many[b]), histogram if s == 0 else [0] * 5))
         kinds = [pa.int64(), *[pa.binary()] * 7, pa.list_(pa.int64())]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["target", "u", "total", "n1", "n2", "n3", "w", "before", "histogram"])
 
-    return dealt.groupBy("shard").applyInArrow(merge, "target long, u binary, total binary, n1 binary, n2 binary, n3 binary, w binary, before binary, histogram array<long>")
+    schema = "target long, u binary, total binary, n1 binary, n2 binary, n3 binary, w binary, before binary, histogram array<long>"
+    if about["order"] == 2:
+        return dealt.groupBy("shard").applyInArrow(merge, schema), triples
+    shards = spark.range(0, about["n_pair_shards"], 1, max(1, min(about["n_pair_shards"], 4 * spark.sparkContext.defaultParallelism, 100_000)))
+    return shards.mapInArrow(read, schema), triples
 
 
 def _write_words(needed: DataFrame, about: dict) -> DataFrame:
@@ -431,7 +468,7 @@ def _write_words(needed: DataFrame, about: dict) -> DataFrame:
         seen = summed("w", "before")
         _write_table(about["uri"], f"words-{s}", np.zeros(0, np.uint64), counts, summed("u", "total"), seen, *(summed("u", x) for x in ("n1", "n2", "n3")))
         pairs = [sum(x) for x in zip(*table.column("histogram").to_pylist())]
-        sums = pairs[:5] + [int((seen == k).sum()) for k in (1, 2, 3, 4)] + [int((seen >= 3).sum())] + pairs[5:]
+        sums = pairs[:5] + [int((seen == k).sum()) for k in (1, 2, 3, 4)] + [int((seen >= 3).sum())]
         return pa.Table.from_arrays([pa.array([sums], pa.list_(pa.int64()))], ["sums"])
 
     return needed.groupBy("target").applyInArrow(merge, "sums array<long>")
@@ -566,13 +603,15 @@ def train(texts: DataFrame, text: str = "text", order: int = 2) -> dict:
     about["n_pair_shards"] = pair_shards
     dealt = _count_grams(texts, pair_shards, about, order)
     if order > 2:
-        dealt = _write_triples(dealt, pair_shards, about)
-    done = materialised(_write_words(_write_pairs(dealt, about), about))
-    sums = done.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(14))).first()
+        dealt = materialised(_write_triples(dealt, pair_shards, about))
+    needed, triples = _write_pairs(spark, dealt, about)
+    done = materialised(_write_words(needed, about))
+    sums = done.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(10))).first()
+    _remove(spark, uri, "sent-*")
     made = _listed(spark, uri)
     return about | {
         "pairs": sums[4],
-        "triple_counts": tuple(sums[10:]),
+        "triple_counts": tuple(int(x or 0) for x in triples),
         "pair_counts": tuple(sums[:4]),
         "word_counts": tuple(sums[5:9]),
         "word_many": sums[9],
@@ -580,13 +619,21 @@ def train(texts: DataFrame, text: str = "text", order: int = 2) -> dict:
     }
 
 
-def _listed(spark, uri: str) -> list[str]:
+def _listed(spark: SparkSession, uri: str) -> list[str]:
     """Names of the model's files (one for each shard)."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
     return [x.getPath().getName() for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
 
 
+def _remove(spark: SparkSession, uri: str, names: str) -> None:
+    """Removes files that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{uri}/{names}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(path):
+        store.delete(found.getPath(), False)
+
+
 def score(docs: DataFrame, about: dict, text: str = "text") -> DataFrame:
     """``docs`` without its text, with n_tokens, n_known, base_score and score."""
     made = ["n_tokens", "n_known", "base_score", "score"]
