@@ -33,6 +33,25 @@ def log_loss(p: Column) -> Column:
     return -(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))
 
 
+#: Losses of a row by name; smaller is better. ``rmse`` is the root of the mean of squared errors.
+LOSSES = {
+    "mse": squared_error,
+    "rmse": squared_error,
+    "mae": lambda: F.abs(F.col("y") - F.col("pred")),
+    "brier": squared_error,
+    "log_loss": lambda: log_loss(F.col("pred")),
+    "miss_rate": lambda: (F.signum("y") != F.signum("pred")).cast("double"),
+}
+
+
+def mean_loss(metric: str) -> Column:
+    """An aggregate of rows with y and pred."""
+    if metric not in LOSSES:
+        raise ValueError(f"no loss {metric}; known: {sorted(LOSSES)}")
+    mean = F.avg(LOSSES[metric]())
+    return F.sqrt(mean) if metric == "rmse" else mean
+
+
 def deviance_gap(scored: DataFrame, task_type: str = "regression") -> DataFrame:
     """Test deviance less training deviance: mean squared error, or twice the mean log loss."""
     loss = squared_error() if task_type == "regression" else 2 * log_loss(F.col("pred"))
@@ -93,22 +112,33 @@ def residual_std(scored: DataFrame) -> DataFrame:
 
 
 def disagreement(scored: DataFrame) -> DataFrame:
-    """Of candidates' predictions of the same rows: mean spread, and one less their mean correlation with the row mean."""
+    """Of candidates' predictions of the same rows: mean spread, and one less the mean over
+    candidates of their correlation with the row's mean prediction (NULL if all are constant)."""
     keys = fold_keys(scored)
-    rows = scored.groupBy(*keys, "asset", "bar_ts").agg(F.stddev_pop("pred").alias("spread"), F.count("pred").alias("n"))
-    return rows.filter("n > 1").groupBy(*keys).agg(F.avg("spread").alias("value"), F.count(F.lit(1)).alias("n_rows"))
+    by = Window.partitionBy(*keys, "asset", "bar_ts")
+    rows = scored.withColumns({"mean": F.avg("pred").over(by), "spread": F.stddev_pop("pred").over(by), "n": F.count("pred").over(by)}).filter("n > 1 and pred is not null")
+    each = rows.groupBy(*keys, "candidate").agg(safe_corr(F.col("pred"), F.col("mean")).alias("corr"), F.sum(F.col("spread") / F.col("n")).alias("spread"), F.sum(1 / F.col("n")).alias("rows"))
+    return each.groupBy(*keys).agg((F.sum("spread") / F.sum("rows")).alias("value"), (1 - F.avg("corr")).alias("one_less_corr"), F.round(F.sum("rows")).cast("long").alias("n_rows"))
 
 
 def coefficient_stability(coefs: DataFrame) -> DataFrame:
-    """(fold, change, sign_flips) of long coefficients: distance to the last fold's, share of changed signs."""
-    last = F.lag("coef").over(Window.partitionBy("feature").orderBy("outer_fold_id"))
-    steps = coefs.filter("feature <> 'intercept'").withColumn("last", last).filter("last is not null")
+    """(fold, change, sign_flips, mean_std) of long coefficients: distance to the last fold's, share of
+    changed signs, and the mean over coefficients of their standard deviation over the folds so far."""
+    by = [c for c in ("asset",) if c in coefs.columns]
+    order = Window.partitionBy(*by, "feature").orderBy("outer_fold_id")
+    steps = coefs.filter("feature <> 'intercept'").withColumn("last", F.lag("coef").over(order)).withColumn("std", F.stddev_samp("coef").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     d = F.col("coef") - F.col("last")
-    return steps.groupBy("outer_fold_id").agg(
-        F.sqrt(F.sum(d * d)).alias("change"), F.avg((F.signum("coef") != F.signum("last")).cast("double")).alias("sign_flips")
+    return steps.filter("last is not null").groupBy(*by, "outer_fold_id").agg(
+        F.sqrt(F.sum(d * d)).alias("change"), F.avg((F.signum("coef") != F.signum("last")).cast("double")).alias("sign_flips"), F.avg("std").alias("mean_std")
     )
 
 
+def coefficient_spread(coefs: DataFrame) -> DataFrame:
+    """([asset,] feature, n_folds, mean, std) of each coefficient over all folds."""
+    by = [c for c in ("asset",) if c in coefs.columns]
+    return coefs.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n_folds"), F.avg("coef").alias("mean"), F.stddev_samp("coef").alias("std"))
+
+
 def calibration_gap(scored: DataFrame, bins: int = 10) -> DataFrame:
     """Expected calibration error of probabilities in ``pred``, in bins of equal width."""
     keys = fold_keys(scored)

@@ -86,10 +86,17 @@ def in_test() -> Column:
     return (F.col("t_idx") >= F.col("test_start")) & (F.col("t_idx") < F.col("test_end"))
 
 
-def bounded(folds: DataFrame) -> DataFrame:
-    """A plan over shared times has at most (times / test size) rows, inner plans that
-    squared, so it may be broadcast; plans by asset are joined by asset instead."""
-    return folds if "asset" in folds.columns else F.broadcast(folds)
+#: Folds up to which a plan is broadcast (about 64 bytes each, or a kilobyte with a model's coefficients).
+BROADCAST_FOLDS = 10_000
+
+
+def bounded(folds: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """``folds`` to be broadcast, if they are few; they are counted, as inner plans grow with the square
+    of the times.  Larger plans and plans by asset carry no hint.  ``plan`` has as many rows and is
+    counted in their place where they take longer to compute."""
+    if "asset" in folds.columns or (folds if plan is None else plan).limit(BROADCAST_FOLDS + 1).count() > BROADCAST_FOLDS:
+        return folds
+    return F.broadcast(folds)
 
 
 def assign(rows: DataFrame, folds: DataFrame, gap: int) -> DataFrame:

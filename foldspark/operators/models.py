@@ -7,6 +7,7 @@ Models whose fit does not add up go through MLlib, one distributed fit for each
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -19,6 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.operators.folds import assign
+from foldspark.operators.lineage import cut
+
+#: Fits that run at the same time.
+PARALLEL = 4
 
 
 @dataclass(frozen=True)
@@ -35,6 +40,21 @@ def _given(params: Mapping[str, Any], **defaults: Any) -> dict[str, Any]:
     return {**defaults, **{k: v for k, v in params.items() if k != "alpha"}}
 
 
+#: What candidates of models that are fitted by sums may vary.
+ADDITIVE_PARAMS = ("alpha", "fit_intercept")
+
+
+def check_params(algorithm_: Algorithm, names: Sequence[str]) -> None:
+    """Refuses parameters that the algorithm does not have."""
+    if algorithm_.additive:
+        unknown = [n for n in names if n not in ADDITIVE_PARAMS]
+    else:
+        estimator = algorithm_.make({})
+        unknown = [n for n in names if not estimator.hasParam(n) and not (n == "alpha" and estimator.hasParam("regParam"))]
+    if unknown:
+        raise ValueError(f"{algorithm_.name} has no parameter {unknown}")
+
+
 REGISTRY: dict[str, Algorithm] = {
     a.name: a
     for a in (
@@ -62,26 +82,40 @@ def _vectors(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_roles(roles: DataFrame, name: str, features: Sequence[str], task_type: str, params: Mapping[str, Any] | None = None, keys: Sequence[str] = ("outer_fold_id",)) -> tuple[DataFrame, DataFrame]:
-    """(predictions of training and test rows, state) of rows with their role: one MLlib fit for each fold."""
+    """(predictions of training and test rows, state) of rows with their role: one MLlib fit for each fold.
+
+    Folds without training rows have no model and no predictions.  Vectors are made once;
+    ``PARALLEL`` fits run at a time.
+    """
     model = algorithm(name, task_type)
     make = model.make or (lambda p: LinearRegression(elasticNetParam=0.0, regParam=float(p.get("alpha", 1.0)), standardization=False))
     preds, state = [], []
-    vectors = _vectors(roles.filter("split_role in ('train', 'test')"), features)
-    # One distributed fit a fold; a plan has few folds.
-    for fold in roles.select(*keys).distinct().orderBy(*keys).collect():
+    vectors = cut(_vectors(roles.filter("split_role in ('train', 'test')"), features).select("asset", "bar_ts", "t_idx", "y", "label_end_idx", *(k for k in keys if k != "asset"), "split_role", "features"))
+    trained = (F.col("split_role") == "train") & F.col("y").isNotNull()
+
+    def rows_of(fold) -> DataFrame:
         own = vectors
         for k in keys:
             own = own.filter(F.col(k) == fold[k])
-        train = own.filter((F.col("split_role") == "train") & F.col("y").isNotNull()).withColumn("label", F.col("y").cast("double"))
-        if train.isEmpty():
-            continue
-        fitted = make(params or {}).fit(train.select("features", "label"))
+        return own
+
+    def fit(fold):
+        train = rows_of(fold).filter(trained).withColumn("label", F.col("y").cast("double"))
+        return make(params or {}).fit(train.select("features", "label"))
+
+    # One distributed fit a fold; a plan has few folds.
+    every = vectors.filter(trained).select(*keys).distinct().orderBy(*keys).collect()
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        models_ = list(pool.map(fit, every))
+    for fold, fitted in zip(every, models_):
+        own = rows_of(fold)
         value = vector_to_array("probability")[1] if task_type == "classification" and model.make else F.col("prediction")
-        preds.append(fitted.transform(own).withColumn("pred", value).select("asset", "bar_ts", "t_idx", "y", "label_end_idx", *keys, "split_role", "pred"))
+        preds.append(fitted.transform(own).withColumn("pred", value).select("asset", "bar_ts", "t_idx", "y", "label_end_idx", *(k for k in keys if k != "asset"), "split_role", "pred"))
         weights = getattr(fitted, "coefficients", None) or getattr(fitted, "featureImportances", None)
         state.append((*(fold[k] for k in keys), name, float(getattr(fitted, "intercept", 0.0) or 0.0), [float(x) for x in weights.toArray()] if weights is not None else []))
-    kinds = ", ".join([*(f"{k} int" for k in keys), "algorithm string, intercept double, coefs array<double>"])
-    return reduce(DataFrame.unionByName, preds), roles.sparkSession.createDataFrame(state, kinds)
+    kinds = ", ".join([*(f"{k} {roles.schema[k].dataType.simpleString()}" for k in keys), "algorithm string, intercept double, coefs array<double>"])
+    none = vectors.limit(0).withColumn("pred", F.lit(None).cast("double")).drop("features")
+    return reduce(DataFrame.unionByName, preds, none), roles.sparkSession.createDataFrame(state, kinds)
 
 
 def fit_predict(rows: DataFrame, folds: DataFrame, name: str, features: Sequence[str], task_type: str, params: Mapping[str, Any] | None = None, gap: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +144,10 @@ def platt(fit_rows: DataFrame, rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class HyperoptSpec:
-    """Grid (all combinations of ``space``) or random (``samples`` draws with a seed)."""
+    """Grid (all combinations of ``space``) or random (``samples`` draws with a seed).
+
+    ``objective`` is a loss of ``diagnostics.LOSSES``; the candidate with the smallest mean over inner folds wins.
+    """
 
     method: str = "grid"
     objective: str = "mse"
@@ -119,6 +156,14 @@ class HyperoptSpec:
     seed: int = 0
 
     def candidates(self) -> list[dict[str, Any]]:
+        """The parameters of each candidate, in order and each once; a candidate's number is its place."""
+        out: list[dict[str, Any]] = []
+        for c in self._drawn():
+            if c not in out:
+                out.append(c)
+        return out
+
+    def _drawn(self) -> list[dict[str, Any]]:
         import itertools
         import random
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.operators.folds import bounded
+
 
 def project_asof(rows: DataFrame, diagnostics: DataFrame, values: list[str], lag_folds: int = 0, by: str | None = None) -> DataFrame:
     """``rows`` with each diagnostic's latest value known before ``t_idx``, and ``has_health``.
@@ -30,6 +32,6 @@ def project_asof(rows: DataFrame, diagnostics: DataFrame, values: list[str], lag
     known = (F.col("_from") < F.col("t_idx")) & (F.col("_until").isNull() | (F.col("t_idx") <= F.col("_until")))
     if by:
         known = known & (F.col(by) == F.col("_by"))
-    # Without ``by`` there is a row for each fold at most.
-    out = rows.join(spans if by else F.broadcast(spans), known, "left")
+    # Without ``by`` there is a row for each fold at most, which is broadcast if they are few.
+    out = rows.join(spans if by else bounded(spans), known, "left")
     return out.select(*rows.columns, *(F.col(f"_v_{v}").alias(v) for v in values), F.col("_from").isNotNull().cast("int").alias("has_health"))

@@ -48,17 +48,17 @@ def fold_sums(cells_: DataFrame, folds: DataFrame, role: str = "train") -> DataF
     return cells_.join(folds if "_asset" in folds.columns else bounded(folds), inside).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
 
-def _system(row: dict, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Centred moments: S_xx, S_xy, means of x, mean of y."""
+def _system(row: dict, p: int, intercept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Centred moments: S_xx, S_xy, means of x, mean of y; about 0 without an intercept."""
     n = row["n"]
-    mean = np.array([row[f"s{i}"] for i in range(p)]) / n
-    my = row["sy"] / n
+    mean = np.array([row[f"s{i}"] for i in range(p)]) / n if intercept else np.zeros(p)
+    my = row["sy"] / n if intercept else 0.0
     xx = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - n * np.outer(mean, mean)
     xy = np.array([row[f"s{i}y"] for i in range(p)]) - n * mean * my
     return xx, xy, mean, my
 
 
-def solve(sums: DataFrame, features: Sequence[str], alphas: Sequence[float], keys: Sequence[str]) -> DataFrame:
+def solve(sums: DataFrame, features: Sequence[str], alphas: Sequence[float], keys: Sequence[str], intercept: bool = True) -> DataFrame:
     """(keys, alpha, n_train, intercept, coefs): a row for each fold and penalty."""
     p, keys = len(features), list(keys)
     kinds = [f"{k} {sums.schema[k].dataType.simpleString()}" for k in keys]
@@ -67,7 +67,7 @@ def solve(sums: DataFrame, features: Sequence[str], alphas: Sequence[float], key
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
-                xx, xy, mean, my = _system(row, p)
+                xx, xy, mean, my = _system(row, p, intercept)
                 for alpha in alphas:
                     a = xx + alpha * np.eye(p)
                     beta = np.linalg.lstsq(a, xy, rcond=None)[0] if alpha == 0 else np.linalg.solve(a, xy)
@@ -77,10 +77,10 @@ def solve(sums: DataFrame, features: Sequence[str], alphas: Sequence[float], key
     return sums.mapInPandas(run, ", ".join([*kinds, "alpha double, n_train long, intercept double, coefs array<double>"]))
 
 
-def fit(rows: DataFrame, folds: DataFrame, features: Sequence[str], y: str = "y", alphas: Sequence[float] = (1.0,), gap: int = 20) -> DataFrame:
+def fit(rows: DataFrame, folds: DataFrame, features: Sequence[str], y: str = "y", alphas: Sequence[float] = (1.0,), gap: int = 20, intercept: bool = True) -> DataFrame:
     keys = [c for c in ("asset", "outer_fold_id", "inner_fold_id") if c in folds.columns]
     made = cells(rows, features, y, gap, ["asset"] if "asset" in folds.columns else [])
-    return solve(fold_sums(made, folds), features, alphas, keys)
+    return solve(fold_sums(made, folds), features, alphas, keys, intercept)
 
 
 def long_coefs(fits: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def long_coefs(fits: DataFrame, features: Sequence[str]) -> DataFrame:
 def predict(rows: DataFrame, folds: DataFrame, fits: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows of each fold's test span with ``pred``; NULL where an input is NULL."""
     keys = [c for c in ("asset", "outer_fold_id", "inner_fold_id") if c in folds.columns]
-    models = folds.join(fits, keys)
+    models = folds.join(fits, keys)  # a few models for each fold
     inside = (F.col("t_idx") >= F.col("test_start")) & (F.col("t_idx") < F.col("test_end"))
     if "asset" in keys:
         models = models.withColumnRenamed("asset", "_asset")
@@ -101,11 +101,11 @@ def predict(rows: DataFrame, folds: DataFrame, fits: DataFrame, features: Sequen
     pred = F.col("intercept")
     for i, f in enumerate(features):
         pred = pred + F.col("coefs")[i] * F.col(f)
-    return rows.join(models if "_asset" in models.columns else bounded(models), inside).withColumn("pred", pred).drop("_asset", "coefs", "intercept", "train_start", "train_end", "test_start", "test_end")
+    return rows.join(models if "_asset" in models.columns else bounded(models, folds), inside).withColumn("pred", pred).drop("_asset", "coefs", "intercept", "train_start", "train_end", "test_start", "test_end")
 
 
-def losses(test: DataFrame, fits: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """(keys, alpha, n_test, mse) of each fit on test sums, without touching rows again."""
+def losses(test: DataFrame, fits: DataFrame, features: Sequence[str], keys: Sequence[str], names: Sequence[str] = ("alpha",)) -> DataFrame:
+    """(keys, names, n_test, mse) of each fit on test sums, without touching rows again."""
     p = len(features)
     both = test.join(fits, list(keys))
     b, a = F.col("coefs"), F.col("intercept")
@@ -114,4 +114,4 @@ def losses(test: DataFrame, fits: DataFrame, features: Sequence[str], keys: Sequ
         sse = sse - 2 * b[i] * F.col(f"s{i}y") + 2 * a * b[i] * F.col(f"s{i}")
         for j in range(p):
             sse = sse + b[i] * b[j] * F.col(f"s{min(i, j)}_{max(i, j)}")
-    return both.select(*keys, "alpha", F.col("n").cast("long").alias("n_test"), (sse / F.col("n")).alias("mse"))
+    return both.select(*keys, *names, F.col("n").cast("long").alias("n_test"), (sse / F.col("n")).alias("mse"))

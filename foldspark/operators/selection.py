@@ -38,10 +38,12 @@ def best_recent(scores: DataFrame, k: int = 2) -> DataFrame:
 
 
 def blend_weights(scores: DataFrame, k: int = 2) -> DataFrame:
-    """Weights in proportion to 1 / recent score."""
+    """Weights in proportion to 1 / recent score; candidates without any error share all weight."""
     out = _ranked(recent(scores, k), [])
-    inverse = F.try_divide(F.lit(1.0), F.col("score"))
-    return out.withColumn("weight", F.try_divide(inverse, F.sum(inverse).over(Window.partitionBy("outer_fold_id"))))
+    fold = Window.partitionBy("outer_fold_id")
+    perfect = F.sum((F.col("score") <= 0).cast("double")).over(fold)
+    share = F.when(perfect > 0, (F.col("score") <= 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("score")))
+    return out.withColumn("weight", F.try_divide(share, F.sum(share).over(fold)))
 
 
 def diagnostic_aware(scores: DataFrame, penalties: DataFrame, strength: float = 1.0, k: int = 2) -> DataFrame:

@@ -24,6 +24,8 @@ class ArtifactType(str, Enum):
     SELECTION = "SelectionArtifact"
     MODEL_STATE = "ModelStateArtifact"
     SNAPSHOT = "TrainingDatasetSnapshotArtifact"
+    INNER_PREDICTIONS = "InnerPredictionArtifact"
+    INNER_STATE = "InnerModelStateArtifact"
 
 
 PREFIX: dict[ArtifactType, tuple[str, ...]] = {
@@ -36,8 +38,10 @@ PREFIX: dict[ArtifactType, tuple[str, ...]] = {
     ArtifactType.SELECTION: ("outer_fold_id", "candidate", "weight", "score", "rank", "chosen"),
     ArtifactType.MODEL_STATE: ("outer_fold_id",),
     ArtifactType.SNAPSHOT: ("asset", "bar_ts", "outer_fold_id", "y"),
+    ArtifactType.INNER_PREDICTIONS: ("asset", "bar_ts", "outer_fold_id", "inner_fold_id", "y", "pred"),
+    ArtifactType.INNER_STATE: ("outer_fold_id", "inner_fold_id"),
 }
-ROW_LEVEL = {ArtifactType.BARS, ArtifactType.TARGETS, ArtifactType.FEATURES, ArtifactType.PREDICTIONS, ArtifactType.SNAPSHOT}
+ROW_LEVEL = {ArtifactType.BARS, ArtifactType.TARGETS, ArtifactType.FEATURES, ArtifactType.PREDICTIONS, ArtifactType.SNAPSHOT, ArtifactType.INNER_PREDICTIONS}
 
 
 @dataclass(frozen=True)

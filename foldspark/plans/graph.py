@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from foldspark.operators.folds import ValidationSpec
@@ -21,12 +21,12 @@ class GraphError(ValueError):
     """A graph that cannot run."""
 
 
-def _plain(x: Any) -> Any:
+def plain(x: Any) -> Any:
     if dataclasses.is_dataclass(x):
-        return {"_": type(x).__name__} | {f.name: _plain(getattr(x, f.name)) for f in dataclasses.fields(x)}
+        return {"_": type(x).__name__} | {f.name: plain(getattr(x, f.name)) for f in dataclasses.fields(x)}
     if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    return [_plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+        return {k: plain(v) for k, v in x.items()}
+    return [plain(v) for v in x] if isinstance(x, (list, tuple)) else x
 
 
 def _typed(x: Any) -> Any:
@@ -43,6 +43,8 @@ def _typed(x: Any) -> Any:
 @dataclass(frozen=True)
 class WorkflowGraph:
     nodes: tuple[Node, ...]
+    #: What it was compiled from, for the run's config.
+    origin: dict | None = field(default=None, compare=False)
 
     def node(self, name: str) -> Node:
         return next(n for n in self.nodes if n.name == name)
@@ -77,6 +79,10 @@ class WorkflowGraph:
                     other = self.node(up)
                     if isinstance(other, ModelNode) and not other.training.generate_train_oof_predictions:
                         raise GraphError(f"{node.name} would train on in-sample predictions of {up}: let that generate out-of-fold predictions")
+                for name in node.inputs.selection_tables:
+                    for up in self.node(name).inputs.prediction_tables:
+                        if not getattr(getattr(self.node(up), "training", None), "generate_train_oof_predictions", False):
+                            raise GraphError(f"{node.name} trains on what {name} selects, so {up} must generate out-of-fold predictions")
         self.order()
         return self
 
@@ -87,7 +93,7 @@ class WorkflowGraph:
                 algorithm(node.model.algorithm, tasks.get(node.task_name).task_type)
 
     def to_json(self) -> str:
-        return json.dumps([_plain(n) for n in self.nodes], indent=1, sort_keys=True)
+        return json.dumps([plain(n) for n in self.nodes], indent=1, sort_keys=True)
 
     @staticmethod
     def from_json(text: str) -> "WorkflowGraph":

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,8 @@ from pyspark.sql import types as T
 
 from foldspark.plans.artifacts import ArtifactType
 from foldspark.plans.graph import WorkflowGraph
-from foldspark.plans.store import VERSION
+from foldspark.plans.store import code_hash
+from foldspark.sources import files
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,11 @@ class Run:
     """A finished run, read from its files alone."""
 
     def __init__(self, spark: SparkSession, root: str, run_id: str):
-        self.spark, self.path = spark, Path(root) / run_id
-        self.manifest = json.loads((self.path / "manifest.json").read_text())
-        self.config = json.loads((self.path / "config" / "run_config.json").read_text())
-        self.graph = WorkflowGraph.from_json((self.path / "config" / "workflow_graph.json").read_text())
-        self.index = spark.read.parquet(str(self.path / "artifact_index.parquet"))
+        self.spark, self.path = spark, files.join(root, run_id)
+        text = lambda name: files.read_text(spark, files.join(self.path, name))
+        self.manifest, self.config = json.loads(text("manifest.json")), json.loads(text("config/run_config.json"))
+        self.graph = WorkflowGraph.from_json(text("config/workflow_graph.json"))
+        self.index = spark.read.parquet(files.join(self.path, "artifact_index.parquet"))
 
     def list_nodes(self) -> list[tuple[str, str]]:
         return [(n.name, type(n).__name__) for n in self.graph.order()]
@@ -60,7 +60,7 @@ class Run:
             raise LookupError(f"{node_name}: {'nothing found' if not kinds else f'say which of {sorted(kinds)}'}")
         base = found[0]["path"].split("/outer_fold_id=")[0]
         schema = T.StructType.fromJson(json.loads(found[0]["schema"]))
-        return self.spark.read.schema(schema).option("basePath", base).parquet(*(r["path"] for r in found))
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*sorted({r["path"] for r in found}))
 
     def show_lineage(self, node_name: str, outer_fold_id: int | None = None) -> list[tuple[int, str, str, int | None]]:
         """(depth, node, artifact type, fold) of a node's artifacts and all they were made from."""
@@ -80,6 +80,9 @@ class Run:
     def load_inner_validation(self, node_name: str, outer_fold_id: int | None = None) -> DataFrame:
         return self.load_artifact(node_name, outer_fold_id, ArtifactType.DIAGNOSTICS)
 
+    def load_inner_predictions(self, node_name: str, outer_fold_id: int | None = None) -> DataFrame:
+        return self.load_artifact(node_name, outer_fold_id, ArtifactType.INNER_PREDICTIONS)
+
     def load_training_snapshot(self, node_name: str, outer_fold_id: int | None = None) -> DataFrame:
         return self.load_artifact(node_name, outer_fold_id, ArtifactType.SNAPSHOT)
 
@@ -88,10 +91,14 @@ class Run:
         paths = [r["path"] for r in self.index.select("path").collect()]
         return {
             "graph": self.graph.hash() == self.manifest["graph_hash"],
-            "code": self.manifest["code_version"] == VERSION,
-            "artifacts": len(paths) == self.manifest.get("artifacts") and all(Path(p).exists() for p in paths),
+            "code": self.manifest["code_hash"] == code_hash(),
+            "artifacts": len(paths) == self.manifest.get("artifacts") and all(files.exists(self.spark, p) for p in set(paths)),
         }
 
+    def rebuild(self, runner) -> "Run":
+        """Runs the graph in this run's folder again; ``runner`` has its vendors and registries."""
+        return Run(self.spark, runner.root, runner.run(self.graph, self.config))
+
 
 def load_run(spark: SparkSession, root: str, run_id: str) -> Run:
     return Run(spark, root, run_id)

@@ -87,7 +87,7 @@ class ModelNode(Node):
     training: TrainingRecipe = field(default_factory=TrainingRecipe)
     task_name: str = ""
     columns: tuple[str, ...] = ()
-    gives: ClassVar = (A.PREDICTIONS, A.MODEL_STATE, A.DIAGNOSTICS, A.SNAPSHOT)
+    gives: ClassVar = (A.PREDICTIONS, A.MODEL_STATE, A.DIAGNOSTICS, A.SNAPSHOT, A.INNER_PREDICTIONS, A.INNER_STATE)
 
     def needs(self) -> list[tuple[str, A]]:
         i = self.inputs
@@ -140,6 +140,8 @@ class SelectionNode(Node):
     strategy: str = "best_recent"
     inputs: SelectionInputs = field(default_factory=SelectionInputs)
     recent_folds: int = 2
+    #: A loss of ``diagnostics.LOSSES``, by which candidates are scored.
+    metric: str = "mse"
     gives: ClassVar = (A.SELECTION, A.PREDICTIONS)
 
     def needs(self) -> list[tuple[str, A]]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from foldspark.operators.folds import ValidationSpec
-from foldspark.plans.graph import WorkflowGraph
+from foldspark.plans.graph import WorkflowGraph, plain
 from foldspark.plans.nodes import DataNode, DiagnosticNode, FeatureNode, FoldPlanNode, ModelNode, Node, ProjectionNode, SelectionNode, TargetNode
 from foldspark.plans.specs import DiagnosticInputs, HyperoptSpec, ModelInputs, ModelSpec, ProjectionInputs, SelectionInputs, TrainingRecipe
 
@@ -40,7 +40,7 @@ class Recipe:
         raise NotImplementedError
 
     def compile(self) -> WorkflowGraph:
-        return WorkflowGraph(tuple(self.nodes())).validate()
+        return WorkflowGraph(tuple(self.nodes()), plain(self)).validate()
 
 
 @dataclass(frozen=True)
@@ -154,6 +154,7 @@ class SelectorRecipe(Recipe):
     candidates: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: {"a": ("ret5", "vol20"), "b": ("ret1", "mom20")})
     strategy: str = "best_recent"
     recent_folds: int = 2
+    metric: str = "mse"
 
     def nodes(self) -> list[Node]:
         table = f"features_{self.features[0]}"
@@ -161,7 +162,7 @@ class SelectorRecipe(Recipe):
         gaps = [DiagnosticNode(f"gap_{m.name}", "train_test_deviance_gap", DiagnosticInputs(prediction_tables=[m.name])) for m in made] if self.strategy == "diagnostic_aware" else []
         regime = [FeatureNode("features_regime", "bars", "regime", {})] if self.strategy == "regime_conditioned" else []
         inputs = SelectionInputs([m.name for m in made], ["folds"], [g.name for g in gaps], [r.name for r in regime])
-        choose = SelectionNode("selected", self.strategy, inputs, self.recent_folds)
+        choose = SelectionNode("selected", self.strategy, inputs, self.recent_folds, self.metric)
         return [*self._base([self.task], [self.features]), *regime, *made, *gaps, choose, DiagnosticNode("metrics", "metrics", DiagnosticInputs(prediction_tables=["selected"]))]
 
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.functions.features import FeatureRegistry, default_registry
+from foldspark.functions.features import FeatureRegistry, by_asset, default_registry
 from foldspark.functions.targets import TaskRegistry, default_tasks
 from foldspark.operators import derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
 from foldspark.operators.leakage import check_purged
+from foldspark.operators.lineage import cut
 from foldspark.plans import nodes as N
 from foldspark.plans.artifacts import ArtifactType as A
 from foldspark.plans.artifacts import ScopedFrame, join_scoped
 from foldspark.plans.graph import GraphError, WorkflowGraph
 from foldspark.plans.store import RunWriter
+from foldspark.sources import files
 from foldspark.sources.bars import with_time_index
 from foldspark.sources.vendors import Vendor
 
@@ -34,8 +38,14 @@ class Runner:
     def run(self, graph: WorkflowGraph, config: dict | None = None, run_id: str | None = None) -> str:
         """The run's id."""
         graph.validate().check_tasks(self.tasks)
-        self.writer = RunWriter(self.spark, self.root, graph, config or {}, run_id)
+        for node in graph.nodes:
+            if isinstance(node, N.ModelNode) and node.training.hyperopt:
+                hyperopt = node.training.hyperopt
+                diagnostics.mean_loss(hyperopt.objective)
+                models.check_params(models.REGISTRY[node.model.algorithm], sorted({n for c in hyperopt.candidates() for n in c}))
+        self.writer = RunWriter(self.spark, self.root, graph, config or self._config(graph), run_id)
         self.made: dict[tuple[str, A], DataFrame] = {}
+        self.contents: dict[str, str] = {}
         self.ids: dict[str, list[str]] = {}
         self.graph = graph
         for node in graph.order():
@@ -47,6 +57,19 @@ class Runner:
         self.writer.finish(self._metrics())
         return self.writer.run_id
 
+    def _config(self, graph: WorkflowGraph) -> dict:
+        """What a run depends on besides its graph and the code."""
+        used = {n.family for n in graph.nodes if isinstance(n, N.FeatureNode)}
+        tasks = {n.task_name for n in graph.nodes if isinstance(n, N.TargetNode)}
+        told = lambda t: {k: getattr(t, k) for k in ("name", "task_type", "horizon", "metrics", "embargo")}
+        return {
+            "recipe": graph.origin,
+            "vendors": {n.source: type(self.vendors[n.source]).__name__ for n in graph.nodes if isinstance(n, N.DataNode)},
+            "features": {f: {"class": type(self.features.get(f)).__name__, "version": self.features.get(f).version} for f in sorted(used)},
+            "tasks": {t: told(self.tasks.get(t)) for t in sorted(tasks)},
+            "time_zone": self.spark.conf.get("spark.sql.session.timeZone"),
+        }
+
     # -- what nodes share ------------------------------------------------------------
 
     def _put(self, node: N.Node, what: A, df: DataFrame, /, **metadata: str) -> None:
@@ -67,14 +90,53 @@ class Runner:
         return self._gap(self.graph.node(name))
 
     def _metrics(self) -> dict:
-        """Mean test error of each model, for the manifest."""
+        """Test metrics of each model, those that its task names, for the manifest."""
         out = {}
         for (name, kind), df in self.made.items():
-            if kind is A.PREDICTIONS and "candidate" not in df.columns:
-                row = df.filter("split_role = 'test' and y is not null and pred is not null").agg(F.count(F.lit(1)), F.avg(diagnostics.squared_error())).first()
-                out[name] = {"n": row[0], "mse": row[1]}
+            if kind is A.PREDICTIONS:
+                scored = df.filter("split_role = 'test' and y is not null and pred is not null").withColumn("_all", F.lit(0))
+                node = self.graph.node(name)
+                task = self.tasks.get(node.task_name) if isinstance(node, N.ModelNode) else None
+                make = diagnostics.classification_metrics if task and task.task_type == "classification" else diagnostics.regression_metrics
+                row = make(scored, ["_all"]).first()
+                mse = scored.agg(F.avg(diagnostics.squared_error())).first()[0]
+                named = {m: row[m] for m in task.metrics if m in row} if task and row else {}
+                out[name] = {"n": row["n"] if row else 0, "mse": mse, **named}
         return out
 
+    def _predictions(self, name: str) -> DataFrame:
+        return self._get(name, A.PREDICTIONS)
+
+    def _own_index(self) -> DataFrame:
+        """(asset, bar_ts, t_idx, own): the place of each bar among its asset's own, which per-asset plans count."""
+        bars = self._get(next(n.name for n in self.graph.nodes if isinstance(n, N.DataNode)), A.BARS)
+        return bars.select("asset", "bar_ts", "t_idx", (F.row_number().over(by_asset()) - 1).cast("int").alias("own"))
+
+    def _on_plan(self, rows: DataFrame, plan: DataFrame) -> DataFrame:
+        """``rows`` with t_idx and label_end_idx on the index of the plan."""
+        if "asset" not in plan.columns:
+            return rows
+        own = self._own_index()
+        here = own.select("asset", "bar_ts", F.col("own").alias("_own"))
+        end = own.select("asset", F.col("t_idx").alias("label_end_idx"), F.col("own").alias("_end"))
+        out = rows.join(here, ["asset", "bar_ts"]).join(end, ["asset", "label_end_idx"], "left")
+        return out.withColumns({"t_idx": F.col("_own"), "label_end_idx": F.col("_end")}).drop("_own", "_end").select(*rows.columns)
+
+    def _off_plan(self, rows: DataFrame, plan: DataFrame, targets: str) -> DataFrame:
+        """Back on the shared index."""
+        if "asset" not in plan.columns:
+            return rows
+        shared = self._get(targets, A.TARGETS).select("asset", "bar_ts", "t_idx", "label_end_idx")
+        return rows.drop("t_idx", "label_end_idx").join(shared, ["asset", "bar_ts"]).select(*rows.columns)
+
+    def _test_starts(self, name: str) -> DataFrame:
+        """(outer_fold_id, test_start) on the shared index; of plans by asset the earliest."""
+        plan = self._get(name, A.FOLDS)
+        if "asset" not in plan.columns:
+            return plan.select("outer_fold_id", "test_start")
+        own = self._own_index().select("asset", F.col("own").alias("test_start"), "t_idx")
+        return plan.join(own, ["asset", "test_start"]).groupBy("outer_fold_id").agg(F.min("t_idx").alias("test_start"))
+
     # -- nodes -------------------------------------------------------------------------
 
     def _DataNode(self, node: N.DataNode) -> None:
@@ -96,16 +158,26 @@ class Runner:
         key = self.features.param_hash(node.family, node.params)
         table = self.features.get(node.family).apply(self._get(node.bars, A.BARS), node.params)
         if self.cache:
-            # Reused by later runs over the same data, named by family, parameters and the data's source.
-            data = self.graph.node(node.bars)
-            path = f"{self.cache}/{node.family}/{key}-{data.source}-{'.'.join(data.assets or ('all',))}"
-            table.write.mode("ignore").parquet(path)
+            # Reused by later runs over the same bars, named by family, parameters and the bars' content.
+            path = files.join(self.cache, node.family, f"{key}-{self._content(node.bars)}")
+            if not files.complete(self.spark, path):
+                table.write.mode("overwrite").parquet(path)
             table = self.spark.read.parquet(path)
         self._put(node, A.FEATURES, table, family=node.family, param_hash=key)
 
+    def _content(self, bars: str) -> str:
+        """Of the bars' rows, whatever their order and partitions."""
+        if bars not in self.contents:
+            table = self._get(bars, A.BARS)
+            columns = sorted(table.columns)
+            a, b = (F.sum(F.xxhash64(*columns, F.lit(salt)).cast("decimal(38,0)")) for salt in (0, 1))
+            told = table.agg(F.count(F.lit(1)), a, b).first()
+            self.contents[bars] = hashlib.sha256(f"{columns}{tuple(told)}".encode()).hexdigest()[:16]
+        return self.contents[bars]
+
     def _roles(self, node: N.TransformNode | N.DiagnosticNode, features: str, targets: str, plan: str) -> DataFrame:
         rows = join_scoped(ScopedFrame(self._get(features, A.FEATURES), A.FEATURES), ScopedFrame(self._get(targets, A.TARGETS), A.TARGETS)).df
-        out = folds.assign(rows, self._get(plan, A.FOLDS), self._plan_gap(plan))
+        out = folds.assign(self._on_plan(rows, self._get(plan, A.FOLDS)), self._get(plan, A.FOLDS), self._plan_gap(plan))
         check_purged(out)
         return out
 
@@ -148,115 +220,65 @@ class Runner:
             names.append(column)
             rows = ScopedFrame(join_scoped(rows, ScopedFrame(table, A.FEATURES)).df, A.TARGETS)
             scoped = True
+        for name in node.inputs.selection_tables:
+            # What was selected for a fold, known before its test: its candidates' predictions by weight.
+            column, sources = f"pred_{name}", self.graph.node(name).inputs.prediction_tables
+            weights = self._get(name, A.SELECTION).filter("weight > 0").select("outer_fold_id", "candidate", "weight")
+            every = reduce(DataFrame.unionByName, [self._predictions(n).filter("split_role in ('oof', 'test')").withColumn("candidate", F.lit(n)) for n in sources])
+            mean = F.try_divide(F.sum(F.col("weight") * F.col("pred")), F.sum("weight")).alias(column)
+            table = every.join(weights, ["outer_fold_id", "candidate"]).groupBy("asset", "bar_ts", "outer_fold_id").agg(mean)
+            names.append(column)
+            rows = ScopedFrame(join_scoped(rows, ScopedFrame(table, A.FEATURES)).df, A.TARGETS)
+            scoped = True
         return rows.df.drop("split_role"), [c for c in names if not node.columns or c in node.columns], scoped
 
     def _ModelNode(self, node: N.ModelNode) -> None:
         rows, names, scoped = self._matrix(node)
-        plan_name = node.inputs.fold_plans[0]
+        plan_name, target = node.inputs.fold_plans[0], node.inputs.target_tables[0]
         plan, gap = self._get(plan_name, A.FOLDS), self._plan_gap(plan_name)
+        rows = cut(self._on_plan(rows, plan))
         task, training = self.tasks.get(node.task_name), node.training
         algorithm = models.algorithm(node.model.algorithm, task.task_type)
-        alphas = [0.0 if algorithm.name == "ols" else float(node.model.params.get("alpha", 1.0))]
-        roles = self._assigned(rows, plan, gap, scoped)
+        fit = _Fits(self, node, rows, plan, names, gap, scoped, task, algorithm)
+        check_purged(fit.roles)
         if training.save_training_snapshot:
-            self._put(node, A.SNAPSHOT, roles.filter("split_role = 'train'"))
-        params: dict = dict(node.model.params)
-        scores = None
+            self._put(node, A.SNAPSHOT, fit.roles.filter("split_role = 'train'"))
+        best = None
         if training.hyperopt:
-            candidates = training.hyperopt.candidates()
-            if algorithm.additive and not scoped:
-                scores = tuning.inner_scores(rows, plan, training.selection_validation, names, [float(c["alpha"]) for c in candidates], gap=gap)
-            else:
-                scores = self._slow_scores(rows, plan, node, names, task, candidates, gap, scoped)
-            told = scores.select(F.lit(node.name).alias("node"), "outer_fold_id", "inner_fold_id", "alpha", F.lit("inner_mse").alias("metric"), F.col("mse").alias("value"), F.lit(None).cast("int").alias("known_at"))
-            self._put(node, A.DIAGNOSTICS, told, kind="inner_validation")
-            scores = self._get(node.name, A.DIAGNOSTICS).withColumnRenamed("value", "mse")
-        if algorithm.additive:
-            if scoped:
-                every = [float(c["alpha"]) for c in training.hyperopt.candidates()] if scores is not None else alphas
-                fits = ridge.solve(self._own_sums(roles, names, plan, gap), names, every, ["outer_fold_id"])
-            else:
-                every = [float(c["alpha"]) for c in training.hyperopt.candidates()] if scores is not None else alphas
-                fits = ridge.fit(rows, plan, names, alphas=every, gap=gap)
-            if scores is not None:
-                fits = fits.join(tuning.best(scores).filter("rank = 1").select("outer_fold_id", "alpha"), ["outer_fold_id", "alpha"])
-            state = ridge.long_coefs(fits, names).withColumn("algorithm", F.lit(algorithm.name))
-            preds = self._apply(roles.filter("split_role in ('train', 'test')"), fits, names)
-        else:
-            if scores is not None:
-                # One choice for all folds would look ahead, so each fold's best is fitted on its own.
-                best = {r["outer_fold_id"]: r["alpha"] for r in tuning.best(scores).filter("rank = 1").collect()}
-                parts = [models.fit_roles(roles.filter(F.col("outer_fold_id") == k), algorithm.name, names, task.task_type, {**params, "alpha": a}) for k, a in sorted(best.items())]
-            else:
-                parts = [models.fit_roles(roles, algorithm.name, names, task.task_type, params)]
-            preds, state = (reduce(DataFrame.unionByName, x) for x in zip(*parts))
+            scores = fit.scores(training.hyperopt.objective)
+            told = F.array(*(F.lit(json.dumps(c, sort_keys=True)) for c in fit.candidates))
+            alpha = F.array(*(F.lit(float(c["alpha"]) if "alpha" in c else None).cast("double") for c in fit.candidates))
+            by = [c for c in ("asset",) if c in scores.columns]
+            scores = scores.select(
+                F.lit(node.name).alias("node"), *by, "outer_fold_id", "inner_fold_id", "candidate", told[F.col("candidate")].alias("params"), alpha[F.col("candidate")].alias("alpha"),
+                F.lit(f"inner_{training.hyperopt.objective}").alias("metric"), F.col("score").alias("value"), F.lit(None).cast("int").alias("known_at"),
+            )
+            self._put(node, A.DIAGNOSTICS, scores, kind="inner_validation")
+            best = tuning.best_candidates(self._get(node.name, A.DIAGNOSTICS).withColumnRenamed("value", "score"))
+        preds, state = fit.outer(best)
         if training.generate_train_oof_predictions or training.calibration:
-            preds = preds.unionByName(self._out_of_fold(rows, plan, node, names, task, alphas[0], scores, gap, scoped))
-        preds = preds.select(*PRED)
+            inner, inner_state = fit.inner_best(best)
+            keep = ["asset", "bar_ts", "t_idx", "outer_fold_id", "inner_fold_id", "y", "label_end_idx", "pred"]
+            self._put(node, A.INNER_PREDICTIONS, self._off_plan(inner.select(*keep), plan, target), kind="validation")
+            self._put(node, A.INNER_STATE, inner_state, algorithm=algorithm.name)
+            oof = self._get(node.name, A.INNER_PREDICTIONS).drop("inner_fold_id").withColumn("split_role", F.lit("oof"))
+            preds = self._off_plan(preds.select(*PRED), plan, target).unionByName(oof.select(*PRED))
+        else:
+            preds = self._off_plan(preds.select(*PRED), plan, target)
         if training.calibration:
-            preds = self._calibrated(preds, training.calibration)
+            preds = self._calibrated(preds, training.calibration, fit.keys)
         self._put(node, A.PREDICTIONS, preds, task=task.name, algorithm=algorithm.name)
         self._put(node, A.MODEL_STATE, state, algorithm=algorithm.name)
 
-    def _assigned(self, rows: DataFrame, plan: DataFrame, gap: int, scoped: bool) -> DataFrame:
-        if not scoped:
-            out = folds.assign(rows, plan, gap)
-        else:
-            both = rows.join(plan, "outer_fold_id").filter((F.col("t_idx") >= F.col("train_start")) & (F.col("t_idx") < F.col("test_end")))
-            out = both.withColumn("split_role", F.when(folds.in_test(), "test").when(folds.in_train(gap), "train").otherwise("embargo"))
-        return out.filter("split_role <> 'embargo'")
-
-    def _own_sums(self, roles: DataFrame, names: list[str], plan: DataFrame, gap: int) -> DataFrame:
-        """Training sums of rows that differ by fold."""
-        train = roles.filter("split_role = 'train'").select("outer_fold_id", "t_idx", "label_end_idx", "y", *names)
-        cells = ridge.cells(train, names, "y", gap, ["outer_fold_id"])
-        sums = [c for c in cells.columns if c not in ("outer_fold_id", "t_idx", "e")]
-        return cells.groupBy("outer_fold_id").agg(*(F.sum(c).alias(c) for c in sums))
-
-    def _apply(self, roles: DataFrame, fits: DataFrame, names: list[str]) -> DataFrame:
-        pred = F.col("intercept")
-        for i, f in enumerate(names):
-            pred = pred + F.col("coefs")[i] * F.col(f)
-        return roles.join(fits.select("outer_fold_id", "intercept", "coefs"), "outer_fold_id").withColumn("pred", pred).filter("pred is not null").select(*PRED)
-
-    def _out_of_fold(self, rows: DataFrame, plan: DataFrame, node: N.ModelNode, names: list[str], task, alpha: float, scores: DataFrame | None, gap: int, scoped: bool) -> DataFrame:
-        """Training rows predicted by inner models that did not see them."""
-        inner = folds.inner_folds(plan, node.training.selection_validation, gap)
-        if not scoped and models.REGISTRY[node.model.algorithm].additive:
-            if scores is None:
-                out = ridge.predict(rows, inner, ridge.fit(rows, inner, names, alphas=[alpha], gap=gap), names)
-            else:
-                every = [float(c["alpha"]) for c in node.training.hyperopt.candidates()]
-                fits = ridge.fit(rows, inner, names, alphas=every, gap=gap)
-                out = ridge.predict(rows, inner, fits.join(tuning.best(scores).filter("rank = 1").select("outer_fold_id", "alpha"), ["outer_fold_id", "alpha"]), names)
-        else:
-            out = self._slow_inner(rows, inner, node, names, task, dict(node.model.params), gap, scoped)
-        return out.filter("pred is not null").withColumn("split_role", F.lit("oof")).select(*PRED)
-
-    def _slow_inner(self, rows: DataFrame, inner: DataFrame, node: N.ModelNode, names: list[str], task, params: dict, gap: int, scoped: bool) -> DataFrame:
-        """Inner test predictions of a model without sums: one fit for each inner fold."""
-        near = (F.col("t_idx") >= F.col("train_start")) & (F.col("t_idx") < F.col("test_end"))
-        both = rows.join(inner, "outer_fold_id").filter(near) if scoped else rows.join(inner, near)
-        roles = both.withColumn("split_role", F.when(folds.in_test(), "test").when(folds.in_train(gap), "train").otherwise("embargo"))
-        name = "ridge" if models.REGISTRY[node.model.algorithm].additive else node.model.algorithm
-        preds, _ = models.fit_roles(roles, name, names, task.task_type, params, ["outer_fold_id", "inner_fold_id"])
-        return preds.filter("split_role = 'test'")
-
-    def _slow_scores(self, rows: DataFrame, plan: DataFrame, node: N.ModelNode, names: list[str], task, candidates: list[dict], gap: int, scoped: bool) -> DataFrame:
-        inner = folds.inner_folds(plan, node.training.selection_validation, gap)
-        out = []
-        for c in candidates:
-            preds = self._slow_inner(rows, inner, node, names, task, {**node.model.params, **c}, gap, scoped)
-            loss = diagnostics.squared_error() if task.task_type == "regression" else diagnostics.log_loss(F.col("pred"))
-            out.append(preds.filter("y is not null").groupBy("outer_fold_id", "inner_fold_id").agg(F.avg(loss).alias("mse"), F.count(F.lit(1)).alias("n_test")).withColumn("alpha", F.lit(float(c["alpha"]))))
-        return reduce(DataFrame.unionByName, out)
-
-    def _calibrated(self, preds: DataFrame, how: str) -> DataFrame:
+    def _calibrated(self, preds: DataFrame, how: str, keys: list[str]) -> DataFrame:
         """Test predictions of each fold on a curve fitted on its out-of-fold ones; a curve each fold."""
+        preds = cut(preds)
         out = [preds.filter("split_role <> 'test'")]
         fit = models.isotonic if how == "isotonic" else models.platt
-        for r in preds.select("outer_fold_id").distinct().collect():
-            own = preds.filter(F.col("outer_fold_id") == r[0])
+        for r in preds.filter("split_role = 'oof'").select(*keys).distinct().orderBy(*keys).collect():
+            own = preds
+            for k in keys:
+                own = own.filter(F.col(k) == r[k])
             out.append(fit(own.filter("split_role = 'oof'"), own.filter("split_role = 'test'")).withColumn("pred", F.col("proba")).select(*PRED))
         return reduce(DataFrame.unionByName, out)
 
@@ -277,7 +299,7 @@ class Runner:
             out = diagnostics.disagreement(scored).join(scored.groupBy("outer_fold_id").agg(F.max("t_idx").alias("known_at")), "outer_fold_id")
         elif metric == "coefficient_stability":
             state = self._get(i.model_states[0], A.MODEL_STATE)
-            plan = self._get(i.fold_plans[0], A.FOLDS).select("outer_fold_id", (F.col("test_start") - 1).alias("known_at"))
+            plan = self._test_starts(i.fold_plans[0]).select("outer_fold_id", (F.col("test_start") - 1).alias("known_at"))
             out = diagnostics.coefficient_stability(state).withColumnRenamed("change", "value").join(plan, "outer_fold_id")
         elif metric == "feature_drift":
             # Inputs are known at once: a fold's drift is known when its test ends.
@@ -337,13 +359,13 @@ class Runner:
     def _SelectionNode(self, node: N.SelectionNode) -> None:
         i = node.inputs
         rows = reduce(DataFrame.unionByName, [self._judged(n, ("test",)).withColumn("candidate", F.lit(n)) for n in i.prediction_tables])
-        start = self._get(i.fold_plans[0], A.FOLDS).select("outer_fold_id", "test_start")
+        start = self._test_starts(i.fold_plans[0])
         by: list[str] = []
         if node.strategy == "regime_conditioned":
             table = self._get(i.regime_tables[0], A.FEATURES)
             rows = rows.join(table.select("asset", "bar_ts", F.col("high_vol").alias("regime")), ["asset", "bar_ts"])
             by = ["regime"]
-        scores = rows.groupBy(*by, "candidate", "outer_fold_id").agg(F.avg(diagnostics.squared_error()).alias("score"), diagnostics.known_at()).join(start, "outer_fold_id")
+        scores = rows.groupBy(*by, "candidate", "outer_fold_id").agg(diagnostics.mean_loss(node.metric).alias("score"), diagnostics.known_at()).join(start, "outer_fold_id")
         k = node.recent_folds
         if node.strategy == "best_recent":
             out = selection.best_recent(scores, k)
@@ -368,3 +390,121 @@ class Runner:
             blended = selection.apply_weights(every, weights)
         places = every.select("asset", "bar_ts", "outer_fold_id", "t_idx", "label_end_idx").distinct()
         self._put(node, A.PREDICTIONS, blended.join(places, ["asset", "bar_ts", "outer_fold_id"]).withColumn("split_role", F.lit("test")).select(*PRED), strategy=node.strategy)
+
+
+class _Fits:
+    """The fits of one model node: its candidates on inner folds, and those chosen on outer ones.
+
+    Models that are fitted by sums are so in every case; where rows differ by fold (they
+    carry predictions), sums are kept by fold.  Others go through one MLlib fit a fold.
+    """
+
+    def __init__(self, runner: Runner, node: N.ModelNode, rows: DataFrame, plan: DataFrame, names: list[str], gap: int, scoped: bool, task, algorithm):
+        self.spark, self.node, self.rows, self.plan, self.names, self.gap, self.scoped, self.task, self.algorithm = runner.spark, node, rows, plan, names, gap, scoped, task, algorithm
+        self.keys = [c for c in ("asset", "outer_fold_id") if c in plan.columns]
+        self.spec = node.training.selection_validation
+        base = dict(node.model.params) | ({"alpha": 0.0} if algorithm.name == "ols" else {})
+        hyperopt = node.training.hyperopt
+        self.candidates: list[dict] = [{**base, **c} for c in (hyperopt.candidates() if hyperopt else [{}])]
+        self.plan_inner = folds.inner_folds(plan, self.spec, gap) if self.spec else None
+        self.roles = self._roles()
+
+    # -- rows and folds ------------------------------------------------------------------
+
+    def _near(self, plan: DataFrame) -> DataFrame:
+        """Rows by the folds whose span holds them; rows that carry a fold meet only that one."""
+        near = (F.col("t_idx") >= F.col("train_start")) & (F.col("t_idx") < F.col("test_end"))
+        on = [k for k in ("asset", "outer_fold_id") if k in plan.columns and (k == "asset" or self.scoped)]
+        if on:
+            return self.rows.join(plan, on).filter(near)
+        return self.rows.join(folds.bounded(plan), near)
+
+    def _fit_plan(self) -> DataFrame:
+        """The plan that outer fits train by: without a refit, up to the test of the last inner fold."""
+        if self.node.training.refit_on_full_outer_train:
+            return self.plan
+        last = self.plan_inner.groupBy(*self.keys).agg(F.max("test_start").alias("test_start"))
+        return self.plan.drop("test_start").join(last, self.keys).select(*self.plan.columns)
+
+    def _roles(self) -> DataFrame:
+        before = self._fit_plan().select(*self.keys, F.col("test_start").alias("_fit_before"))
+        both = self._near(self.plan.join(before, self.keys))
+        trains = folds.in_train(self.gap) & (folds.eligible(self.gap) < F.col("_fit_before"))
+        return both.withColumn("split_role", F.when(folds.in_test(), "test").when(trains, "train").otherwise("embargo")).filter("split_role <> 'embargo'").drop("_fit_before")
+
+    # -- sums ----------------------------------------------------------------------------
+
+    def _sums(self, plan: DataFrame, role: str = "train") -> DataFrame:
+        cell_keys = [k for k in ("asset", "outer_fold_id") if k in plan.columns and (k == "asset" or self.scoped)]
+        made = ridge.cells(self.rows, self.names, "y", self.gap, cell_keys)
+        if not self.scoped:
+            return ridge.fold_sums(made, plan, role)
+        at = F.col("t_idx")
+        inside = (at >= F.col("train_start")) & (F.col("e") < F.col("test_start")) if role == "train" else (at >= F.col("test_start")) & (at < F.col("test_end"))
+        keys = [c for c in ("asset", "outer_fold_id", "inner_fold_id") if c in plan.columns]
+        sums = [c for c in made.columns if c not in (*cell_keys, "t_idx", "e")]
+        return made.join(plan, cell_keys).filter(inside).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+    def _apply(self, roles: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
+        pred = F.col("intercept")
+        for i, f in enumerate(self.names):
+            pred = pred + F.col("coefs")[i] * F.col(f)
+        return roles.join(fits.drop("n_train", "alpha"), keys).withColumn("pred", pred).filter("pred is not null").drop("intercept", "coefs")
+
+    # -- inner folds ---------------------------------------------------------------------
+
+    def _inner_roles(self) -> DataFrame:
+        both = self._near(self.plan_inner)
+        return both.withColumn("split_role", F.when(folds.in_test(), "test").when(folds.in_train(self.gap), "train").otherwise("embargo"))
+
+    @property
+    def _inner_keys(self) -> list[str]:
+        return [*self.keys, "inner_fold_id"]
+
+    def scores(self, objective: str) -> DataFrame:
+        """(fold, inner_fold_id, candidate, n_test, score)."""
+        if self.algorithm.additive:
+            fits = tuning.solve_candidates(self._sums(self.plan_inner), self.names, self.candidates, self._inner_keys)
+            if objective in ("mse", "rmse"):
+                out = ridge.losses(self._sums(self.plan_inner, "test"), fits, self.names, self._inner_keys, ["candidate"])
+                return out.withColumn("score", F.sqrt("mse") if objective == "rmse" else F.col("mse")).drop("mse")
+            preds = self._apply(self._inner_roles().filter("split_role = 'test'"), fits, self._inner_keys)
+            return tuning.score_predictions(preds, [*self._inner_keys, "candidate"], objective)
+        roles, out = self._inner_roles(), []
+        for i, c in enumerate(self.candidates):
+            preds, _ = models.fit_roles(roles, self.algorithm.name, self.names, self.task.task_type, c, self._inner_keys)
+            out.append(tuning.score_predictions(preds.filter("split_role = 'test'"), self._inner_keys, objective).withColumn("candidate", F.lit(i)))
+        return reduce(DataFrame.unionByName, out)
+
+    def _chosen(self, fits: DataFrame, best: DataFrame | None) -> DataFrame:
+        return fits if best is None else fits.join(best.select(*self.keys, "candidate"), [*self.keys, "candidate"])
+
+    def _groups(self, best: DataFrame | None, roles: DataFrame) -> list[tuple[dict, DataFrame]]:
+        """Parameters with the rows of the folds for which they were chosen."""
+        if best is None:
+            return [(self.candidates[0], roles)]
+        chosen = best.select(*self.keys, F.col("candidate").alias("_candidate"))
+        both = roles.join(chosen, self.keys)
+        used = sorted(r[0] for r in chosen.select("_candidate").distinct().collect())
+        return [(self.candidates[i], both.filter(F.col("_candidate") == i).drop("_candidate")) for i in used]
+
+    def inner_best(self, best: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Training rows predicted by inner models, of the chosen candidate, that did not see them; those models."""
+        if self.algorithm.additive:
+            fits = self._chosen(tuning.solve_candidates(self._sums(self.plan_inner), self.names, self.candidates, self._inner_keys), best)
+            preds = self._apply(self._inner_roles().filter("split_role = 'test'"), fits.drop("candidate"), self._inner_keys)
+            return preds, ridge.long_coefs(fits, self.names).withColumn("algorithm", F.lit(self.algorithm.name))
+        made = [models.fit_roles(rows, self.algorithm.name, self.names, self.task.task_type, c, self._inner_keys) for c, rows in self._groups(best, self._inner_roles())]
+        preds, state = (reduce(DataFrame.unionByName, x) for x in zip(*made))
+        return preds.filter("split_role = 'test' and pred is not null"), state
+
+    # -- outer folds ---------------------------------------------------------------------
+
+    def outer(self, best: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Predictions of training and test rows by each fold's model, and the models."""
+        if self.algorithm.additive:
+            fits = self._chosen(tuning.solve_candidates(self._sums(self._fit_plan()), self.names, self.candidates, self.keys), best)
+            state = ridge.long_coefs(fits, self.names).withColumn("algorithm", F.lit(self.algorithm.name))
+            return self._apply(self.roles, fits.drop("candidate"), self.keys), state
+        made = [models.fit_roles(rows, self.algorithm.name, self.names, self.task.task_type, c, self.keys) for c, rows in self._groups(best, self.roles)]
+        return tuple(reduce(DataFrame.unionByName, x) for x in zip(*made))

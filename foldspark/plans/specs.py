@@ -23,7 +23,10 @@ class ModelSpec:
 
 @dataclass(frozen=True)
 class TrainingRecipe:
-    """How an estimator is trained in each outer fold."""
+    """How an estimator is trained in each outer fold.
+
+    Without ``refit_on_full_outer_train`` a fold is served by the model of its last inner fold.
+    """
 
     selection_validation: ValidationSpec | None = None
     hyperopt: HyperoptSpec | None = None
@@ -35,6 +38,8 @@ class TrainingRecipe:
     def __post_init__(self) -> None:
         if (self.hyperopt or self.generate_train_oof_predictions or self.calibration) and self.selection_validation is None:
             raise ValueError("tuning, out-of-fold predictions and calibration need selection_validation")
+        if not self.refit_on_full_outer_train and self.selection_validation is None:
+            raise ValueError("without a refit the last inner model serves, which needs selection_validation")
         if self.calibration not in (None, "isotonic", "platt"):
             raise ValueError(f"no calibration {self.calibration}")
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldspark.sources import files
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -24,28 +25,28 @@ class Entry:
 
 
 class DataCatalog:
-    """Parquet datasets below ``root/raw`` and ``root/processed`` with a JSON list of versions.
+    """Parquet datasets below ``root/raw`` and ``root/processed``, and a JSON file for each version.
 
-    Versions are never overwritten; a version counts once its entry is in the list.
+    Versions are never overwritten.  A version counts once its file is there; of two that
+    are saved at once with one number the second fails, and no entry is lost.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-        self._list = self.root / "catalog.json"
+        self.spark, self.root = spark, str(root)
 
     def entries(self) -> list[Entry]:
-        return [Entry(**e) for e in json.loads(self._list.read_text())] if self._list.exists() else []
+        folder = files.join(self.root, "entries")
+        return [Entry(**json.loads(files.read_text(self.spark, files.join(folder, n)))) for n in files.names(self.spark, folder) if n.endswith(".json")]
 
     def save(self, df: DataFrame, name: str, zone: str = "processed", source: str = "") -> Entry:
         if zone not in ("raw", "processed"):
             raise ValueError(f"no zone {zone}")
-        have = self.entries()
-        version = 1 + max((e.version for e in have if (e.name, e.zone) == (name, zone)), default=0)
-        path = self.root / zone / name / f"v{version:04d}"
-        df.write.mode("errorifexists").parquet(str(path))
-        rows = self.spark.read.parquet(str(path)).count()
-        entry = Entry(name, zone, version, str(path), hashlib.sha256(df.schema.json().encode()).hexdigest()[:16], rows, source)
-        self._list.write_text(json.dumps([asdict(e) for e in [*have, entry]], indent=1))
+        version = 1 + max((e.version for e in self.entries() if (e.name, e.zone) == (name, zone)), default=0)
+        path = files.join(self.root, zone, name, f"v{version:04d}")
+        df.write.mode("errorifexists").parquet(path)
+        rows = self.spark.read.parquet(path).count()
+        entry = Entry(name, zone, version, path, hashlib.sha256(df.schema.json().encode()).hexdigest()[:16], rows, source)
+        files.write_text(self.spark, files.join(self.root, "entries", f"{zone}-{name}-{version:04d}.json"), json.dumps(asdict(entry), indent=1), overwrite=False)
         return entry
 
     def find(self, name: str, zone: str = "processed", version: int | None = None) -> Entry:
