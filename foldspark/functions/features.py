@@ -41,6 +41,11 @@ def trailing(value: Column, n: int, what: Callable[[Column], Column]) -> Column:
     return F.when(F.count(value).over(frame) == n, what(value).over(frame))
 
 
+def last_known(value: Column) -> Column:
+    """The last value that is not NULL, of this bar or one before."""
+    return F.last(value, ignorenulls=True).over(by_asset().rowsBetween(Window.unboundedPreceding, 0))
+
+
 @dataclass(frozen=True)
 class Feature:
     name: str

@@ -166,13 +166,73 @@ inner_scores AS (
   FROM rows_ AS r JOIN inner_folds AS f ON r.t_idx >= f.test_start AND r.t_idx < f.test_end JOIN fits AS c ON c.outer_fold_id = f.outer_fold_id AND c.inner_fold_id = f.inner_fold_id
   WHERE ret5 IS NOT NULL AND vol20 IS NOT NULL AND y IS NOT NULL AND label_end_idx IS NOT NULL GROUP BY ALL)"""
 
+_NO = _NEST.replace("avg(ret5) AS ma, avg(vol20) AS mb, avg(y) AS my", "0.0::DOUBLE AS ma, 0.0::DOUBLE AS mb, 0.0::DOUBLE AS my")
+for _x, _y in (("ret5", "ret5"), ("vol20", "vol20"), ("ret5", "vol20"), ("ret5", "y"), ("vol20", "y")):
+    _NO = _NO.replace(f"covar_pop({_x}, {_y}) * count(*)", f"sum({_x} * {_y})")
+_NO = _NO[_NO.index("fits_m AS (") :].replace("fits", "raw")
+_LOSS = """SELECT f.outer_fold_id, f.inner_fold_id, c.alpha, {w} AS other, count(*) AS n_test, {loss} AS score
+  FROM rows_ AS r JOIN inner_folds AS f ON r.t_idx >= f.test_start AND r.t_idx < f.test_end JOIN {fits} AS c ON c.outer_fold_id = f.outer_fold_id AND c.inner_fold_id = f.inner_fold_id
+  WHERE ret5 IS NOT NULL AND vol20 IS NOT NULL AND y IS NOT NULL AND label_end_idx IS NOT NULL GROUP BY ALL"""
+_ERROR = "y - (c.my - c.b1 * c.ma - c.b2 * c.mb + c.b1 * ret5 + c.b2 * vol20)"
+TWO = f"""{_NEST}, {_NO}, two AS ({_LOSS.format(w=0, loss=f"avg(({_ERROR}) ^ 2)", fits="fits")} UNION ALL {_LOSS.format(w=1, loss=f"avg(({_ERROR}) ^ 2)", fits="raw")})
+  SELECT outer_fold_id, inner_fold_id, CAST(CASE alpha WHEN 0.01 THEN 0 WHEN 1.0 THEN 2 ELSE 4 END + other AS INTEGER) AS candidate, {{n}}round(score, 4) AS score FROM two"""
+
+OWN = f"""{PANEL}, {rows(name='wide')}, rows_ AS (SELECT * REPLACE (CAST(row_number() OVER ({_ROW}) - 1 AS INTEGER) AS t_idx, CASE WHEN label_end_idx IS NOT NULL THEN CAST(row_number() OVER ({_ROW}) - 1 + {H} AS INTEGER) END AS label_end_idx) FROM wide),
+  s AS (SELECT asset AS fa, count(*) AS n FROM rows_ GROUP BY 1),
+  folds AS (SELECT fa, CAST(k AS INTEGER) AS outer_fold_id, 0 AS train_start, 320 + 100 * k AS test_start, least(420 + 100 * k, n) AS test_end FROM s, range(0, 1000) AS g(k) WHERE 320 + 100 * k < n),
+  {fit('rows_', 'folds', ['fa', 'outer_fold_id'], 'ret5', 'vol20', own='AND r.asset = f.fa')}, {pred('rows_', 'folds', ['fa', 'outer_fold_id'], 'ret5', 'vol20', cond='AND r.asset = f.fa')}"""
+_PER_ASSET = f"WITH {OWN} SELECT asset, bar_ts, outer_fold_id, {_rd('y, pred', 5)} FROM scored"
+
+
+def _solved(src: str, names: list[str], k: str) -> str:
+    """Ridge on any inputs: normal equations of the rows in ``src`` by ``k``, eliminated step by step; tables mom and beta."""
+    n = len(names)
+    all_ = [*names, "y"]
+    made = [f"SELECT {k}, {i} AS i, {j} AS j, c{i}_{j}{f' + {ALPHA}::DOUBLE' if i == j else ''} AS v FROM mom" for i in range(n) for j in range(n + 1)]
+    moments = [f"covar_pop({a}, {b}) * count(*) AS c{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(all_)]
+    out = [f"mom AS (SELECT {k}, {', '.join(f'avg({c}) AS m_{c}' for c in all_)}, {', '.join(moments)} FROM {src} GROUP BY {k})", f"e0 AS ({' UNION ALL '.join(made)})"]
+    for s in range(n):
+        out.append(
+            f"e{s + 1} AS (SELECT a.{k}, a.i, a.j, CASE WHEN a.i = {s} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END AS v FROM e{s} AS a JOIN e{s} AS p ON p.{k} = a.{k} AND p.i = {s} AND p.j = {s}"
+            f" JOIN e{s} AS r ON r.{k} = a.{k} AND r.i = {s} AND r.j = a.j JOIN e{s} AS c ON c.{k} = a.{k} AND c.i = a.i AND c.j = {s})"
+        )
+    out.append(f"beta AS (SELECT {k}, {', '.join(f'max(v) FILTER (WHERE i = {i}) AS b_{c}' for i, c in enumerate(names))} FROM e{n} WHERE j = {n} GROUP BY {k})")
+    return ", ".join(out)
+
+
+_FULL = ["ret5", "vol20", "p_ret", "p_vol", "gap_health", "has_health"]
+_ALL_THERE = " AND ".join(f"{c} IS NOT NULL" for c in [*_FULL, "y"])
+META_FULL = f"""{GAPS}, {INNER}, {', '.join(_META_PARTS)}, {rows('upside', 40, 'mrows')},
+known AS (SELECT known_at AS ka, arg_max(value, outer_fold_id) AS gv FROM gaps GROUP BY 1),
+meta AS (SELECT r.*, a.outer_fold_id AS fold, a.role, a.pred AS p_ret, b.pred AS p_vol FROM mrows AS r JOIN p_ret AS a USING (asset, bar_ts) JOIN p_vol AS b ON b.asset = a.asset AND b.bar_ts = a.bar_ts AND b.outer_fold_id = a.outer_fold_id AND b.role = a.role),
+full_ AS (SELECT meta.*, coalesce(g.gv, 0.0::DOUBLE) AS gap_health, CAST(g.ka IS NOT NULL AS INTEGER) AS has_health FROM meta ASOF LEFT JOIN known AS g ON meta.t_idx > g.ka),
+tr AS (SELECT m.* FROM full_ AS m JOIN folds AS f ON m.fold = f.outer_fold_id AND m.t_idx >= f.train_start AND greatest(m.t_idx + {GAP}, m.label_end_idx) < f.test_start WHERE role = 'oof' AND label_end_idx IS NOT NULL AND {_ALL_THERE}),
+{_solved('tr', _FULL, 'fold')},
+out_ AS (SELECT fold AS outer_fold_id, asset, bar_ts, y, m_y + {' + '.join(f'b_{c} * ({c} - m_{c})' for c in _FULL)} AS pred, gap_health, has_health FROM full_ JOIN mom USING (fold) JOIN beta USING (fold) WHERE role = 'test' AND {_ALL_THERE})"""
+
 ORACLES: dict[str, str] = {
+    "meta_full": f"WITH {META_FULL} SELECT outer_fold_id, asset, bar_ts, {_rd('y, pred, gap_health', 4)}, has_health FROM out_",
+    "grid_two_params": TWO.replace("{n}", "n_test, "),
+    "grid_by_mae": f"""{_NEST}, s AS ({_LOSS.format(w=0, loss=f"avg(abs({_ERROR}))", fits="fits")}), m AS (SELECT outer_fold_id, CAST(CASE alpha WHEN 0.01 THEN 0 WHEN 1.0 THEN 1 ELSE 2 END AS INTEGER) AS candidate, avg(score) AS score, count(*) AS n_inner FROM s GROUP BY 1, 2)
+  SELECT outer_fold_id, candidate, round(score, 4) AS score, n_inner FROM m QUALIFY row_number() OVER (PARTITION BY outer_fold_id ORDER BY round(score, 12), candidate) = 1""",
+    "predict_ridge_per_asset": _PER_ASSET,
+    "run_per_asset": _PER_ASSET,
+    "run_single_model": f"WITH {scored()} SELECT asset, bar_ts, outer_fold_id, {_rd('y, pred', 5)} FROM scored",
+    "run_nested_tuning": TWO.replace("{n}", ""),
+    "run_stacked": f"WITH {META} SELECT outer_fold_id, asset, bar_ts, {_rd('y, pred', 4)} FROM out_",
+    "run_selector": f"WITH {SCORES}, {recent('scores', 'rec')}, k AS ({ranked('rec')}) SELECT outer_fold_id, candidate, round(score, 4) AS score, n_folds, rank, rank = 1 AS chosen, CAST(rank = 1 AS DOUBLE) AS weight FROM k",
+
     "bars_event_hourly": f"WITH {BARS} SELECT asset, bar_ts, {_rd('open, high, low, close, volume', 4)}, n_trades FROM bars",
     "bars_order_daily": f"""SELECT c_mktsegment AS asset, date_trunc('day', o_orderdate) AS bar_ts, round(arg_min(o_totalprice, (o_orderdate, o_orderkey)), 2) AS open, round(max(o_totalprice), 2) AS high,
   round(min(o_totalprice), 2) AS low, round(arg_max(o_totalprice, (o_orderdate, o_orderkey)), 2) AS close, round(sum(o_totalprice), 2) AS volume, count(*) AS n_trades
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
-    "bars_part_daily": """SELECT asset, count(*) AS n_bars, CAST(sum(n) AS BIGINT) AS n_trades, min(bar_ts) AS first_ts, max(bar_ts) AS last_ts FROM (
-  SELECT p_brand AS asset, date_trunc('day', l_shipdate) AS bar_ts, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) AS b GROUP BY 1""",
+    "bars_part_daily": f"""WITH l AS (SELECT p_brand AS asset, date_trunc('day', l_shipdate) AS bar_ts, l_shipdate, l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS price FROM lineitem JOIN part ON l_partkey = p_partkey),
+  b AS (SELECT asset, bar_ts, arg_min(price, (l_shipdate, l_orderkey, l_linenumber)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (l_shipdate, l_orderkey, l_linenumber)) AS close, sum(price) AS volume, count(*) AS n FROM l GROUP BY 1, 2)
+  SELECT asset, count(*) AS n_bars, CAST(sum(n) AS BIGINT) AS n_trades, min(bar_ts) AS first_ts, max(bar_ts) AS last_ts, {', '.join(f'round(sum({c}), 2) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM b GROUP BY 1""",
+    "feat_field": f"""WITH {BARS}, f AS (SELECT asset, bar_ts, (open / nullif(lag(close) OVER ({_ROW}), 0) - 1) * 100.0::DOUBLE AS gap1, close / nullif(open, 0) - 1 AS body1 FROM bars)
+  SELECT asset, bar_ts, {_rd('gap1, body1')} FROM f""",
+    "last_known": f"WITH {BARS} SELECT asset, bar_ts, round(last_value(CASE WHEN n_trades > 1 THEN close END IGNORE NULLS) OVER ({_ROW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS known_close FROM bars",
+    "regression_by_asset": f"WITH {PANEL}, {rows()} SELECT asset, CAST(regr_count(y, ret5) AS BIGINT) AS n, round(regr_slope(y, ret5), 6) AS slope, round(regr_intercept(y, ret5), 6) AS intercept, round(regr_r2(y, ret5), 6) AS r2 FROM rows_ WHERE ret5 IS NOT NULL AND y IS NOT NULL GROUP BY 1",
     "schema_normalise": """SELECT asset, bar_ts, round(value, 4) AS close, CAST(event_id AS DOUBLE) AS volume FROM (
   SELECT event_type AS asset, date_trunc('hour', ts) AS bar_ts, value, event_id, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id DESC) AS r FROM events) AS x WHERE r = 1""",
     "universe_filter": f"WITH {BARS} SELECT asset, count(*) AS n, CAST(sum(n_trades) AS BIGINT) AS trades FROM bars WHERE asset IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY 1",
@@ -237,9 +297,12 @@ ORACLES: dict[str, str] = {
     "diag_drift_corr": f"""WITH {roles(DRIFT)}, s AS (SELECT outer_fold_id, {', '.join(f"abs(covar_pop({a}, {b}) {_TE} / (sqrt(var_pop({a}) {_TE}) * sqrt(var_pop({b}) {_TE})) - covar_pop({a}, {b}) {_TR} / (sqrt(var_pop({a}) {_TR}) * sqrt(var_pop({b}) {_TR}))) AS d{i}" for i, (a, b) in enumerate(_CORRS))} FROM roles GROUP BY 1)
   SELECT outer_fold_id, round((d0 + d1 + d2) / 3, 6) AS corr_change FROM s""",
     "diag_resid_std": f"WITH {scored()} SELECT outer_fold_id, asset, round(stddev_samp(y - pred), 4) AS value, count(*) AS n, max(label_end_idx) AS known_at FROM scored GROUP BY 1, 2",
-    "diag_disagreement": f"WITH {CANDIDATES}, r AS (SELECT outer_fold_id, asset, bar_ts, stddev_pop(pred) AS spread, count(*) AS n FROM candidates GROUP BY 1, 2, 3) SELECT outer_fold_id, round(avg(spread), 5) AS value, count(*) AS n_rows FROM r WHERE n > 1 GROUP BY 1",
-    "diag_coef_stability": f"""{_FIT_BY(FOLDS)}, o AS ({_COEF.format(k='outer_fold_id')}), l AS (SELECT *, lag(coef) OVER (PARTITION BY feature ORDER BY outer_fold_id) AS last_ FROM o WHERE feature <> 'intercept')
-  SELECT outer_fold_id, round(sqrt(sum((coef - last_) ^ 2)), 5) AS change, round(avg(CAST(sign(coef) <> sign(last_) AS DOUBLE)), 5) AS sign_flips FROM l WHERE last_ IS NOT NULL GROUP BY 1""",
+    "diag_disagreement": f"""WITH {CANDIDATES}, w AS (SELECT *, avg(pred) OVER r AS mean, stddev_pop(pred) OVER r AS spread, count(*) OVER r AS n FROM candidates WINDOW r AS (PARTITION BY outer_fold_id, asset, bar_ts)),
+  c AS (SELECT outer_fold_id, candidate, covar_pop(pred, mean) / (sqrt(var_pop(pred)) * sqrt(var_pop(mean))) AS corr FROM w WHERE n > 1 GROUP BY 1, 2),
+  d AS (SELECT outer_fold_id, avg(spread) AS value, CAST(count(DISTINCT (asset, bar_ts)) AS BIGINT) AS n_rows FROM w WHERE n > 1 GROUP BY 1)
+  SELECT outer_fold_id, round(any_value(value), 5) AS value, round(1 - avg(corr), 5) AS one_less_corr, any_value(n_rows) AS n_rows FROM c JOIN d USING (outer_fold_id) GROUP BY 1""",
+    "diag_coef_stability": f"""{_FIT_BY(FOLDS)}, o AS ({_COEF.format(k='outer_fold_id')}), l AS (SELECT *, lag(coef) OVER w AS last_, stddev_samp(coef) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS std FROM o WHERE feature <> 'intercept' WINDOW w AS (PARTITION BY feature ORDER BY outer_fold_id))
+  SELECT outer_fold_id, round(sqrt(sum((coef - last_) ^ 2)), 5) AS change, round(avg(CAST(sign(coef) <> sign(last_) AS DOUBLE)), 5) AS sign_flips, round(avg(std), 5) AS mean_std FROM l WHERE last_ IS NOT NULL GROUP BY 1""",
     "diag_calibration": f"""WITH {scored('updown')}, c AS (SELECT outer_fold_id, y, least(greatest(pred, 0.0::DOUBLE), 1.0::DOUBLE) AS p FROM scored), b AS (SELECT outer_fold_id, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM c GROUP BY 1, 2)
   SELECT outer_fold_id, round(sum(n * abs(mp - my)) / sum(n), 5) AS value FROM b GROUP BY 1""",
     "diag_calibration_regression": f"WITH {scored()} SELECT outer_fold_id, round(abs(avg(pred) - avg(y)), 5) AS value FROM scored GROUP BY 1",

@@ -15,8 +15,12 @@ from foldspark.functions import features as feat
 from foldspark.functions import targets as tgt
 from foldspark.operators import analysis, derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
 from foldspark.operators.folds import ValidationSpec
-from foldspark.operators.lineage import cut
+from foldspark.operators.lineage import cut, scratch
+from foldspark.plans.inspect import Run, load_run
+from foldspark.plans.recipes import NestedTuningRecipe, SelectorRecipe, SingleModelRecipe, StackedModelRecipe
+from foldspark.plans.runner import Runner
 from foldspark.sources import bars as src
+from foldspark.sources.vendors import TableVendor
 
 H, GAP, ALPHA = 20, 20, 1.0
 SPEC = ValidationSpec(min_train_size=300, test_size=100, embargo=GAP)
@@ -42,14 +46,15 @@ def _features(p: DataFrame) -> list:
     return feat.Baseline().build(feat.Baseline.defaults)
 
 
-def model_rows(spark: SparkSession, sf_dir: str, target: Callable[[int], Column] = tgt.forward_return, h: int = H) -> DataFrame:
-    """Bars with features, target and the time at which the label is known: all from one sort by asset.
+def model_rows(spark: SparkSession, sf_dir: str, target: Callable[[int], Column] = tgt.forward_return, h: int = H, more: dict[str, Column] | None = None) -> DataFrame:
+    """Bars with features, target and the time at which the label is known (and ``more``): all from one sort by asset.
 
     Plans, fits and predictions all start from it, so it is computed once.
     """
     p = feat.with_returns(panel(spark, sf_dir))
     made = p.select(
-        "asset", "bar_ts", "t_idx", *(f.value.alias(f.name) for f in _features(p)), target(h).cast("double").alias("y"), F.lead("t_idx", h).over(feat.by_asset()).alias("label_end_idx")
+        "asset", "bar_ts", "t_idx", *(f.value.alias(f.name) for f in _features(p)), target(h).cast("double").alias("y"), F.lead("t_idx", h).over(feat.by_asset()).alias("label_end_idx"),
+        *(v.alias(n) for n, v in (more or {}).items()),
     )
     return cut(made)
 
@@ -69,9 +74,9 @@ def _scored(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.filter("pred is not null and y is not null")
 
 
-def both_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def both_roles(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Training and test rows of each fold with its model's predictions."""
-    rows = ridge.complete(model_rows(spark, sf_dir), [*A, "y"])
+    rows = ridge.complete(model_rows(spark, sf_dir) if rows is None else rows, [*A, "y"])
     plan = _outer(rows)
     fits = ridge.fit(rows, plan, A, alphas=[ALPHA], gap=GAP)
     out = folds.assign(rows, plan, GAP).filter("split_role <> 'embargo'").join(fits, "outer_fold_id")
@@ -107,7 +112,7 @@ def bars_order_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_part_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.part_bars(spark, sf_dir).groupBy("asset").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("n_trades").alias("n_trades"), F.min("bar_ts").alias("first_ts"), F.max("bar_ts").alias("last_ts"))
+    return src.part_bars(spark, sf_dir).groupBy("asset").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("n_trades").alias("n_trades"), F.min("bar_ts").alias("first_ts"), F.max("bar_ts").alias("last_ts"), *(F.round(F.sum(c), 2).alias(c) for c in ("open", "high", "low", "close", "volume")))
 
 
 def schema_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +151,29 @@ def feat_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(feat.default_registry().compose(src.event_bars(spark, sf_dir), [("baseline", {}), ("regime", {})]).select("asset", "bar_ts", "ret5", "vol20", "high_vol", "trend"), whole=["high_vol", "trend"])
 
 
+def feat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A family from an outside package, here a function of two columns, through the adapter."""
+    return rounded(feat.FieldAdapter(field_features).apply(src.event_bars(spark, sf_dir), {"scale": 100.0}))
+
+
+def field_features(bars: DataFrame, params: dict) -> DataFrame:
+    gap = F.col("open") / F.nullif(F.lag("close").over(feat.by_asset()), F.lit(0.0)) - 1
+    return bars.select("asset", "bar_ts", (gap * params["scale"]).alias("gap1"), (F.col("close") / F.nullif("open", F.lit(0.0)) - 1).alias("body1"))
+
+
+def last_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last close of a bar with several trades, carried forward over the others."""
+    several = F.when(F.col("n_trades") > 1, F.col("close"))
+    return rounded(src.event_bars(spark, sf_dir).select("asset", "bar_ts", feat.last_known(several).alias("known_close")))
+
+
+def regression_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of the target on one input, by Spark's regression aggregates."""
+    rows = model_rows(spark, sf_dir).filter("ret5 is not null and y is not null")
+    made = {"slope": F.regr_slope, "intercept": F.regr_intercept, "r2": F.regr_r2}
+    return rounded(rows.groupBy("asset").agg(F.regr_count("y", "ret5").alias("n"), *(f("y", "ret5").alias(n) for n, f in made.items())))
+
+
 def _target(build: Callable[[int], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(tgt.PredictionTask("t", "regression", H, build).table(panel(spark, sf_dir)).select("asset", "bar_ts", "y", "label_end_idx"), whole=["label_end_idx"])
@@ -192,11 +220,22 @@ def fit_ridge_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_ridge_per_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each asset on its own time index, with a model of its own."""
-    rows = model_rows(spark, sf_dir).withColumn("t_idx", (F.row_number().over(feat.by_asset()) - 1).cast("int"))
-    rows = rows.withColumn("label_end_idx", F.lead("t_idx", H).over(feat.by_asset()))
+    rows = _own_index(spark, sf_dir)
     return rounded(ridge.long_coefs(ridge.fit(rows, folds.outer_folds(rows, PER_ASSET), A, alphas=[ALPHA], gap=GAP), A), 5)
 
 
+def _own_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = model_rows(spark, sf_dir).withColumn("t_idx", (F.row_number().over(feat.by_asset()) - 1).cast("int"))
+    return rows.withColumn("label_end_idx", F.lead("t_idx", H).over(feat.by_asset()))
+
+
+def predict_ridge_per_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _own_index(spark, sf_dir)
+    plan = folds.outer_folds(rows, PER_ASSET)
+    out = ridge.predict(rows, plan, ridge.fit(rows, plan, A, alphas=[ALPHA], gap=GAP), A).filter("pred is not null and y is not null")
+    return rounded(out.select("asset", "bar_ts", "outer_fold_id", "y", "pred"), 5)
+
+
 def predict_ridge_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored(spark, sf_dir).select("asset", "bar_ts", "outer_fold_id", "y", "pred"), 5)
 
@@ -230,6 +269,21 @@ def grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tuning.best(tuning.inner_scores(rows, _outer(rows), INNER, A, ALPHAS, gap=GAP)), 4)
 
 
+TWO = models.HyperoptSpec(space={"alpha": ALPHAS, "fit_intercept": [True, False]})
+
+
+def grid_two_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of penalty and intercept on every inner fold."""
+    rows = model_rows(spark, sf_dir)
+    return rounded(tuning.grid(rows, _outer(rows), INNER, A, TWO.candidates(), gap=GAP), 4)
+
+
+def grid_by_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold's best penalty by mean absolute error."""
+    rows = model_rows(spark, sf_dir)
+    return rounded(tuning.best_candidates(tuning.grid(rows, _outer(rows), INNER, A, [{"alpha": a} for a in ALPHAS], "mae", GAP)), 4)
+
+
 def oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model_rows(spark, sf_dir)
     out = tuning.out_of_fold(rows, _outer(rows), INNER, A, ALPHA, GAP).filter("pred is not null")
@@ -242,18 +296,17 @@ def _meta(spark: SparkSession, sf_dir: str, target: Callable[[int], Column], h:
     In each outer fold it trains on out-of-fold predictions and tests on those of
     the base models refitted on the whole training span.
     """
-    base = None
-    for name, build in (("p_ret", tgt.forward_return), ("p_vol", tgt.forward_volatility)):
-        rows = model_rows(spark, sf_dir, build)
-        plan = _outer(rows)
+    base, plan = None, _outer(panel(spark, sf_dir))
+    every = model_rows(spark, sf_dir, tgt.forward_return, H, {"y_vol": tgt.forward_volatility(H), "y_meta": target(h), "end_meta": F.lead("t_idx", h).over(feat.by_asset())})
+    for name, y in (("p_ret", "y"), ("p_vol", "y_vol")):
+        rows = every.withColumn("y", F.col(y))
         oof = tuning.out_of_fold(rows, plan, INNER, A, ALPHA, GAP).select("outer_fold_id", "asset", "bar_ts", "pred", F.lit("oof").alias("role"))
         test = ridge.predict(rows, plan, ridge.fit(rows, plan, A, alphas=[ALPHA], gap=GAP), A).select("outer_fold_id", "asset", "bar_ts", "pred", F.lit("test").alias("role"))
         own = oof.unionByName(test).withColumnRenamed("pred", name)
         base = own if base is None else base.join(own, ["outer_fold_id", "asset", "bar_ts", "role"])
-    meta = model_rows(spark, sf_dir, target, h).join(base, ["asset", "bar_ts"])
-    health = diagnostics.deviance_gap(both_roles(spark, sf_dir)).withColumnRenamed("value", "gap_health")
+    meta = every.withColumns({"y": F.col("y_meta"), "label_end_idx": F.col("end_meta")}).join(base, ["asset", "bar_ts"])
+    health = cut(diagnostics.deviance_gap(both_roles(spark, sf_dir, every)).withColumnRenamed("value", "gap_health"))
     meta = projection.project_asof(meta, health, ["gap_health"]).withColumn("gap_health", F.coalesce("gap_health", F.lit(0.0)))
-    plan = _outer(model_rows(spark, sf_dir))
     # Base predictions differ by fold, so sums are kept by fold and not shared.
     rows = meta.filter("role = 'oof'")
     made = ridge.cells(rows.withColumnRenamed("outer_fold_id", "fold"), features, "y", GAP, ["fold"])
@@ -282,7 +335,7 @@ def meta_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meta_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Max upside 40 from baseline features, both predictions and lagged fold health."""
     _, out = _meta(spark, sf_dir, tgt.max_upside, 40, ["ret5", "vol20", "p_ret", "p_vol", "gap_health", "has_health"])
-    return out.select("outer_fold_id", "asset", "bar_ts", "y", "pred", "gap_health", "has_health")
+    return rounded(out.select("outer_fold_id", "asset", "bar_ts", "y", "pred", "gap_health", "has_health"), 4)
 
 
 def pca_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +442,7 @@ def derived_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    health = diagnostics.deviance_gap(both_roles(spark, sf_dir)).withColumnRenamed("value", "gap_health")
+    health = cut(diagnostics.deviance_gap(both_roles(spark, sf_dir)).withColumnRenamed("value", "gap_health"))
     rows = panel(spark, sf_dir).select("asset", "bar_ts", "t_idx")
     return rounded(projection.project_asof(rows, health, ["gap_health"]), 4)
 
@@ -442,6 +495,42 @@ def corr_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analysis.asset_correlations(src.event_bars(spark, sf_dir)), 5)
 
 
+# -- whole runs: compiled from a recipe, run node by node, read back by the inspection API ---------
+
+
+def _run(spark: SparkSession, sf_dir: str, recipe) -> Run:
+    runner = Runner(spark, scratch(spark), {"events": TableVendor(lambda s: src.event_bars(s, sf_dir))})
+    return load_run(spark, runner.root, runner.run(recipe.compile()))
+
+
+def _told(run: Run, name: str, digits: int) -> DataFrame:
+    out = run.load_predictions(name, split_role="test").filter("pred is not null and y is not null")
+    return rounded(out.select("asset", "bar_ts", "outer_fold_id", "y", "pred"), digits)
+
+
+def run_single_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(_run(spark, sf_dir, SingleModelRecipe("events", None, SPEC, columns=tuple(A))), "model", 5)
+
+
+def run_per_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(_run(spark, sf_dir, SingleModelRecipe("events", None, PER_ASSET, columns=tuple(A))), "model", 5)
+
+
+def run_nested_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run(spark, sf_dir, NestedTuningRecipe("events", None, SPEC, inner=INNER, hyperopt=TWO, columns=tuple(A)))
+    return rounded(run.load_inner_validation("model").select("outer_fold_id", "inner_fold_id", "candidate", F.col("value").alias("score")), 4)
+
+
+def run_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recipe = StackedModelRecipe("events", None, SPEC, tasks=("ret20", "vol20"), meta_task="ret40", columns=tuple(A), inner=INNER)
+    return _told(_run(spark, sf_dir, recipe), "meta", 4)
+
+
+def run_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run(spark, sf_dir, SelectorRecipe("events", None, SPEC, candidates={"a": tuple(A), "b": tuple(B)}))
+    return rounded(run.load_artifact("selected", artifact_type="SelectionArtifact").select("outer_fold_id", "candidate", "score", "n_folds", "rank", "chosen", "weight"), 4)
+
+
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of each artifact in a graph like a stacked run's: nations hang on regions, suppliers on nations."""
     from foldspark.plans.inspect import ancestors
@@ -460,12 +549,12 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        metrics_by_fold, bars_event_hourly, bars_order_daily, bars_part_daily, schema_normalise, universe_filter, time_index, feat_baseline, feat_cross_asset, feat_regime, feat_combined,
-        folds_expanding, folds_rolling, folds_nested, folds_per_asset, split_assign, fit_ridge_by_fold, fit_ridge_rolling, fit_ridge_per_asset, predict_ridge_by_fold,
-        scale_train_only, clip_train_only, select_topk_corr, grid_inner_scores, grid_best, oof_predictions, meta_required, meta_full, pca_by_fold, logit_by_fold, gbt_by_fold, isotonic,
+        metrics_by_fold, bars_event_hourly, bars_order_daily, bars_part_daily, schema_normalise, universe_filter, time_index, feat_baseline, feat_cross_asset, feat_regime, feat_combined, feat_field, last_known, regression_by_asset,
+        folds_expanding, folds_rolling, folds_nested, folds_per_asset, split_assign, fit_ridge_by_fold, fit_ridge_rolling, fit_ridge_per_asset, predict_ridge_per_asset, predict_ridge_by_fold,
+        scale_train_only, clip_train_only, select_topk_corr, grid_inner_scores, grid_best, grid_two_params, grid_by_mae, oof_predictions, meta_required, meta_full, pca_by_fold, logit_by_fold, gbt_by_fold, isotonic,
         diag_gap, diag_drift_moments, diag_drift_quantile, diag_psi, diag_drift_corr, diag_resid_std, diag_disagreement, diag_coef_stability, diag_calibration, diag_calibration_regression, diag_residual_profile,
         metrics_rank_ic, metrics_classification, derived_resid_std, derived_health, derived_disagreement, project_health, project_by_asset,
-        select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, corr_assets, lineage,
+        select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, corr_assets, run_single_model, run_per_asset, run_nested_tuning, run_stacked, run_selector, lineage,
     )
 } | {
     "tgt_fwd_return": _target(tgt.forward_return), "tgt_fwd_vol": _target(tgt.forward_volatility), "tgt_updown": _target(tgt.up_down),
