@@ -358,9 +358,9 @@ def _nodes(signed: DataFrame) -> DataFrame:
 
 def _sets(plain: DataFrame, nodes: DataFrame, cluster: DataFrame, n: int) -> DataFrame:
     """(node, cluster, copies, shingles) of the nodes in ``cluster`` (node, cluster), from the text of their first row."""
-    # A table whose size Spark knows: texts move only where it is too large to broadcast.
+    # Joined by shuffles at every size: with growing input the rows wanted grow too, and are no case for a broadcast.
     wanted = materialised(cluster.join(nodes, "node").select("node", "cluster", "copies", F.col("first.k").alias("fk"), F.col("first.h").alias("fh")))
-    texts = plain.join(wanted, F.col("k").eqNullSafe(F.col("fk")) & (F.col("h") == F.col("fh"))).dropDuplicates(["k", "h"])
+    texts = plain.join(wanted.hint("merge"), F.col("k").eqNullSafe(F.col("fk")) & (F.col("h") == F.col("fh"))).dropDuplicates(["k", "h"])
     return _with_sets(texts.select("node", "cluster", "copies", "t"), n)
 
 
