@@ -79,11 +79,17 @@ def materialised(df: DataFrame, free: bool = True) -> DataFrame:
     df.write.option("compression", "zstd").parquet(folder)
     del df
     if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        release(spark)
     return spark.read.schema(schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect what nothing refers to, so that shuffle files of such tables go.
+    Inside :func:`materialised` the caller still holds its argument; called afterwards, this frees that too."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_computed(df: DataFrame, column: str, fields: str, start: Callable[[], Callable[[pa.Array], Iterator[list[pa.Array]]]]) -> DataFrame:
     """``df`` with the fields (``name type, ...``) computed from one column; columns of these names are replaced.
 

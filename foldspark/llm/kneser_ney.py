@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm import shared_files
-from foldspark.llm.common import materialised, ready, remainder, shared_uri
+from foldspark.llm.common import materialised, ready, release, remainder, shared_uri
 from foldspark.llm.textvec import doc_chunks, hash_spans, mix, raw_utf8, word_spans
 
 #: Training tokens of a shard of pairs, tokens that a task counts at a time, bytes scored at a time.
@@ -120,41 +120,91 @@ def _counts(rows: pa.ChunkedArray) -> np.ndarray:
     return _unpack(rows).astype(np.int64)
 
 
-def _write_table(uri: str, name: str, keys: np.ndarray, *values: np.ndarray) -> None:
-    """Sorted keys (or none) with columns of counts: a byte each, and apart those of 255 or more."""
-    small, large = [], []
-    for v in values:
-        big = np.flatnonzero(v >= 255)
-        small.append(np.minimum(v, 255).astype(np.uint8))
-        large.append((big.astype(np.int64), v[big].astype(np.int64)))
-    head = [len(keys), len(values[0]), *(len(b) for b, _ in large)]
-    shared_files.write(uri, name, np.array(head, np.int64), keys, *(x for pair in large for x in pair), *small)
+def _coded(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts side by side as a byte: (frequent rows, where others are, their values, codes); 255 stands for the others."""
+    wide = np.stack(columns, 1).astype(np.int64)
+    bits = 32 if len(columns) == 1 else 8
+    small = np.flatnonzero((wide < 1 << bits).all(1))
+    packed = np.zeros(len(small), np.uint64)
+    for k in range(len(columns)):
+        packed |= wide[small, k].astype(np.uint64) << np.uint64(bits * k)
+    values, where, many = np.unique(packed, return_inverse=True, return_counts=True)
+    often = np.argsort(-many, kind="stable")[:255]
+    code_of = np.full(len(values), 255, np.uint8)
+    code_of[often] = np.arange(len(often))
+    codes = np.full(len(wide), 255, np.uint8)
+    codes[small] = code_of[where]
+    rows = np.stack([(values[often] >> np.uint64(bits * k)) & np.uint64((1 << bits) - 1) for k in range(len(columns))], 1).astype(np.int64)
+    rest = np.flatnonzero(codes == 255)
+    return rows, rest.astype(np.int64), wide[rest], codes
+
+
+def _write_table(uri: str, name: str, keys: np.ndarray, *groups: tuple[np.ndarray, ...]) -> None:
+    """Sorted keys (or none) and groups of counts, each a code in a list of its frequent rows.
+
+    Of many keys only the lower 48 bits are kept, with where each value of the upper 16 begins.
+    """
+    made = [_coded(g) for g in groups]
+    split = len(keys) >= 1 << 16
+    if split:
+        begin = np.searchsorted(keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.int64)
+        held = (begin, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16))
+    else:
+        held = (keys,)
+    head = [len(keys), len(groups[0][0]), int(split), *(x for rows, rest, _, _ in made for x in (*rows.shape, len(rest)))]
+    lists = [x.ravel() for rows, rest, other, _ in made for x in (rows, rest, other)]
+    shared_files.write(uri, name, np.array(head, np.int64), *lists, *held, *(codes for *_, codes in made))
 
 
 class _Table:
     """Reads such a file from mapped memory."""
 
-    def __init__(self, data: memoryview, columns: int):
-        n_keys, n, *many = np.frombuffer(data, np.int64, 2 + columns).tolist()
-        at = 8 * (2 + columns)
-        self.keys = np.frombuffer(data, np.uint64, n_keys, at)
-        at += 8 * n_keys
-        self.large, self.small = [], []
-        for m in many:
-            self.large.append((np.frombuffer(data, np.int64, m, at), np.frombuffer(data, np.int64, m, at + 8 * m)))
-            at += 16 * m
-        for _ in many:
-            self.small.append(np.frombuffer(data, np.uint8, n, at))
-            at += n
+    def __init__(self, data: memoryview, groups: int):
+        n, rows, self.split, *shapes = np.frombuffer(data, np.int64, 3 + 3 * groups).tolist()
+        at = 8 * (3 + 3 * groups)
+
+        def take(kind: type, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, kind, count, at)
+            at += out.nbytes
+            return out
+
+        self.n, self.groups = n, []
+        for k in range(groups):
+            m, width, others = shapes[3 * k : 3 * k + 3]
+            self.groups.append((take(np.int64, m * width).reshape(m, width), take(np.int64, others), take(np.int64, others * width).reshape(others, width)))
+        if self.split:
+            self.begin, self.low, self.mid = take(np.int64, (1 << 16) + 1), take(np.uint32, n), take(np.uint16, n)
+        else:
+            self.keys = take(np.uint64, n)
+        self.codes = [take(np.uint8, rows) for _ in range(groups)]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and whether they are there."""
+        if not self.split:
+            at = np.minimum(np.searchsorted(self.keys, keys), self.n - 1)
+            return at, self.keys[at] == keys
+        top = (keys >> np.uint64(48)).astype(np.int64)
+        lo, hi, own = self.begin[top], self.begin[top + 1], keys & np.uint64((1 << 48) - 1)
+        end = hi
+        held = lambda at: self.mid[at].astype(np.uint64) << np.uint64(32) | self.low[at]
+        while (open_ := lo < hi).any():
+            middle = (lo + hi) >> 1
+            less = (held(np.minimum(middle, self.n - 1)) < own) & open_
+            lo, hi = np.where(less, middle + 1, lo), np.where(less | ~open_, hi, middle)
+        at = np.minimum(lo, self.n - 1)
+        return at, (lo < end) & (held(at) == own)
 
     def rows(self, at: np.ndarray) -> list[np.ndarray]:
-        """The columns at some places."""
-        out = []
-        for small, (where, value) in zip(self.small, self.large):
-            v = small[at].astype(np.int64)
-            big = np.flatnonzero(v == 255)
-            v[big] = value[np.searchsorted(where, at[big])]
-            out.append(v)
+        """The counts at some places."""
+        out: list[np.ndarray] = []
+        for codes, (often, rest, other) in zip(self.codes, self.groups):
+            code = codes[at]
+            v = often[np.minimum(code, max(len(often) - 1, 0))] if len(often) else np.zeros((len(at), often.shape[1]), np.int64)
+            big = np.flatnonzero(code == 255)
+            if len(big):
+                v[big] = other[np.searchsorted(rest, at[big])]
+            out += list(v.T)
         return out
 
 
@@ -353,7 +403,7 @@ def _write_triples(dealt: DataFrame, pair_shards: int, about: dict) -> DataFrame
         c = np.add.reduceat(c[order], at)
         keys, t, u, w = keys[at], t[order[at]], u[order[at]], w[order[at]]
         whole = t > 0
-        _write_table(about["uri"], f"triples-{key[0].as_py()}", keys[whole], c[whole])
+        _write_table(about["uri"], f"triples-{key[0].as_py()}", keys[whole], (c[whole],))
 
         def by_pair(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
             """Where the pairs' shards begin; the pairs and their sums, by shard."""
@@ -429,7 +479,7 @@ def _write_pairs(spark: SparkSession, dealt: DataFrame, about: dict) -> tuple[Da
             as_context = [np.zeros(len(keys), np.int64) for _ in sums]
             for to, values in zip(as_context, sums):
                 to[at] = values
-        _write_table(about["uri"], f"pairs-{key[0].as_py()}", keys, c, *as_context)
+        _write_table(about["uri"], f"pairs-{key[0].as_py()}", keys, (c,), *([tuple(as_context)] if as_context else []))
         contexts, *own = _summed(u, *(x.astype(np.int64) for x in (c, c == 1, c == 2, c >= 3)))
         seen, many = _summed(w, np.ones(len(w), np.int64))
         histogram = [*(int((c == k).sum()) for k in (1, 2, 3, 4)), len(c)]
@@ -466,7 +516,7 @@ def _write_words(needed: DataFrame, about: dict) -> DataFrame:
             return out
 
         seen = summed("w", "before")
-        _write_table(about["uri"], f"words-{s}", np.zeros(0, np.uint64), counts, summed("u", "total"), seen, *(summed("u", x) for x in ("n1", "n2", "n3")))
+        _write_table(about["uri"], f"words-{s}", np.zeros(0, np.uint64), *((x,) for x in (counts, summed("u", "total"), seen, *(summed("u", x) for x in ("n1", "n2", "n3")))))
         pairs = [sum(x) for x in zip(*table.column("histogram").to_pylist())]
         sums = pairs[:5] + [int((seen == k).sum()) for k in (1, 2, 3, 4)] + [int((seen >= 3).sum())]
         return pa.Table.from_arrays([pa.array([sums], pa.list_(pa.int64()))], ["sums"])
@@ -497,9 +547,9 @@ class Model:
         self.pairs = about["pairs"]
         self.floor = (mass / self.pairs if self.pairs else 1.0) / (about["types"] + 1)
 
-    def _table(self, name: str, columns: int) -> _Table:
+    def _table(self, name: str, groups: int) -> _Table:
         if name not in self._files:
-            self._files[name] = _Table(shared_files.mapped(self.about["uri"], name), columns)
+            self._files[name] = _Table(shared_files.mapped(self.about["uri"], name), groups)
         return self._files[name]
 
     def words(self, ids: np.ndarray) -> list[np.ndarray]:
@@ -525,10 +575,9 @@ class Model:
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             if s not in self.about[f"{kind}_shards"]:
                 continue
-            rows, table = order[cuts[s] : cuts[s + 1]], self._table(f"{kind}-{s}", columns)
-            if len(table.keys):
-                at = np.minimum(np.searchsorted(table.keys, key[rows]), len(table.keys) - 1)
-                hit = table.keys[at] == key[rows]
+            rows, table = order[cuts[s] : cuts[s + 1]], self._table(f"{kind}-{s}", min(columns, 2))
+            if table.n:
+                at, hit = table.find(key[rows])
                 for o, v in zip(out, table.rows(at)):
                     o[rows] = np.where(hit, v, 0)
         return out
@@ -604,6 +653,7 @@ def train(texts: DataFrame, text: str = "text", order: int = 2) -> dict:
     dealt = _count_grams(texts, pair_shards, about, order)
     if order > 2:
         dealt = materialised(_write_triples(dealt, pair_shards, about))
+        release(spark)
     needed, triples = _write_pairs(spark, dealt, about)
     done = materialised(_write_words(needed, about))
     sums = done.select(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(10))).first()
