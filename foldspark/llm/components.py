@@ -1,12 +1,60 @@
-"""Connected components by alternating stars, without collecting links anywhere."""
+"""Connected components by alternating stars, without collecting links anywhere.
+
+Each round starts by turning the links of a task into stars to their smallest ids, at
+most ``CHUNK`` links at a time.  Tasks are as many as that takes, at every size, so a
+task's share stays the same and the rounds get fewer by what tasks settle themselves.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import materialised
 
+#: Links that a task holds at a time.
+CHUNK = 1 << 15
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, the smallest id each is linked to, directly or by others) but for those that are it."""
+    ids, flat = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    far = root != np.arange(len(ids))
+    return ids[far], ids[root[far]]
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) with the links of each chunk as stars."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(u, v)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield star(held)
+                held = []
+        if held:
+            yield star(held)
+
+    return links.mapInArrow(run, "u long, v long")
+
 
 def _star(both: DataFrame) -> DataFrame:
     """Every row (u, v) with m, the smallest among u and all its v. A hub's rows are
@@ -17,9 +65,11 @@ def _star(both: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, component) for every id in ``edges`` (u, v); a component is named by its smallest id."""
-    now = materialised(edges.filter("u <> v").distinct())
-    before = None
+    started = Observation()
+    now = materialised(edges.filter("u <> v").distinct().observe(started, F.count(F.lit(1)).alias("n")))
+    n, before = started.get["n"], None
     for _ in range(most_rounds):
+        now = _settled(now.coalesce(-(-n // CHUNK) or 1))
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -31,7 +81,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         state = seen.get
         if state == before:
             break
-        before = state
+        n, before = state["n"], state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
