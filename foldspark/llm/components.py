@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import materialised
@@ -63,25 +63,27 @@ def _star(both: DataFrame) -> DataFrame:
     return both.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
 
 
+def _state(links: DataFrame) -> tuple[int, int]:
+    """Number and checksum of the links of a written table."""
+    n, total = links.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
+    return n, int(total or 0)
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, component) for every id in ``edges`` (u, v); a component is named by its smallest id."""
-    started = Observation()
-    now = materialised(edges.filter("u <> v").distinct().observe(started, F.count(F.lit(1)).alias("n")))
-    n, before = started.get["n"], None
+    now = materialised(edges.filter("u <> v").distinct())
+    state = _state(now)
     for _ in range(most_rounds):
-        now = _settled(now.coalesce(-(-n // CHUNK) or 1))
+        now = _settled(now.coalesce(-(-state[0] // CHUNK) or 1))
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         starred = _star(down)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(starred.select("u", F.col("m").alias("v")))
-        seen = Observation()
-        links = small.filter("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))").alias("sum"))
-        now = materialised(links, free=False)
-        state = seen.get
+        now = materialised(small.filter("u <> v").distinct(), free=False)
+        before, state = state, _state(now)
         if state == before:
             break
-        n, before = state["n"], state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))

@@ -4,22 +4,26 @@
 reads and skips ID3v2 and APE tags, resynchronises on frame headers (a header counts
 only if another of the same kind, the end or a tag follows it), finds the length of
 free-format frames, reads a Xing/Info or VBRI table with the encoder's delay and
-padding, verifies the checksums of layers I and III, and gives the exact duration and
-the byte offset of every frame.  Layer II checksums cover a part whose size needs
-tables that are not kept here; such frames are counted as ``unchecked``.
+padding, verifies checksums, and gives the exact duration and the byte offset of every
+frame.  What looks like a tag at the end but lies inside a frame that ends where the
+stream ends is no tag.  Protected frames whose bitrate no layer II table has are
+counted as ``unchecked``.
 
 ``wrap`` stores any bytes losslessly as such a stream: silent frames (their side
 information is zero) that carry the payload as ancillary data, protected by
-checksums, behind an ID3v2 tag with the payload's length and a Xing table.
+checksums, behind an ID3v2 tag with the payload's length and a Xing table.  A last
+frame without payload keeps payloads from looking like a tag at the end.
 
 ``store`` makes a column of such media, ``describe`` parses one, ``restore`` gives the
 bytes back.  Columns named like what they make are replaced.  Empty media give no
 frames and a duration of 0; null media count as empty.  Damaged bytes are skipped and
-counted, never raised on.  Equal rows give equal rows; an empty table gives none.
+counted, never raised on; where the length of the payload can't be read, ``restore``
+gives all that the frames carry.  Equal rows give equal rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,6 +47,8 @@ _LOW = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 _KBIT_2 = {1: (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), 2: _LOW, 3: _LOW}
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 _SIDE = {(True, True): 17, (True, False): 32, (False, True): 9, (False, False): 17}
+# Layer II: bits of a subband's allocation as (bits, subbands) of the tables for 27, 30, 8 and 12 subbands of MPEG-1 and the one of MPEG-2.
+_ALLOCATIONS = (((4, 11), (3, 12), (2, 4)), ((4, 11), (3, 12), (2, 7)), ((4, 2), (3, 6)), ((4, 2), (3, 10)), ((4, 4), (3, 7), (2, 19)))
 # Text encodings of ID3v2 by their number.
 _ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 
@@ -64,11 +70,14 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
-    """The frames' checksum: polynomial 0x8005, first value 0xFFFF."""
-    c = 0xFFFF
-    for b in data:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The frames' checksum, of the first ``bits`` or all: polynomial 0x8005, first value 0xFFFF."""
+    c, whole = 0xFFFF, len(data) if bits is None else bits >> 3
+    for b in data[:whole]:
         c = (c << 8 & 0xFF00) ^ _CRC[c >> 8 ^ b]
+    for k in range(0 if bits is None else bits & 7):
+        out = c >> 15 ^ data[whole] >> (7 - k) & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if out else 0)
     return c
 
 
@@ -83,8 +92,10 @@ class Header:
     length: int
     samples: int
     pad: int = 0
-    #: Bytes that the checksum covers behind the header; None where they are not known.
+    #: Bytes that the checksum covers behind the header; None for layer II, where the frame tells.
     covered: int | None = None
+    #: First subband whose allocation both channels share.
+    bound: int = 32
 
     @property
     def body(self) -> int:
@@ -96,6 +107,33 @@ class Header:
         return _SIDE[self.mpeg1, self.mono] if self.layer == 3 else 0
 
 
+def _layer2_bits(data: bytes, at: int, h: Header) -> int | None:
+    """Bits behind the checksum of a layer II frame that it covers: the allocations, and 2 for each
+    channel's subband that has one. None where the frame's bitrate has no table or it is too short."""
+    each, channels = h.kbit // (1 if h.mono else 2), 1 if h.mono else 2
+    if not h.kbit:
+        return None
+    if not h.mpeg1:
+        which = 4
+    elif each >= 56 and (h.rate == 48000 or each <= 80):
+        which = 0
+    elif each >= 96:
+        which = 1
+    else:
+        which = 3 if h.rate == 32000 else 2
+    bits = int.from_bytes(data[at + 6 : at + 38], "big")
+    place = used = band = 0
+    for width, n in _ALLOCATIONS[which]:
+        for _ in range(n):
+            shared = band >= h.bound
+            for _ in range(1 if shared else channels):
+                place += width
+                if bits >> 256 - place & (1 << width) - 1:
+                    used += channels if shared else 1
+            band += 1
+    return place + 2 * used if at + 6 + (place + 2 * used + 7 >> 3) <= len(data) and 6 + (place + 2 * used + 7 >> 3) <= h.length else None
+
+
 _headers: dict[bytes, Header | None] = {}
 
 
@@ -117,7 +155,7 @@ def header(four: bytes) -> Header | None:
             length, pad = samples // 8 * kbit * 1000 // hz + extra, extra
         bound = 4 + 4 * (four[3] >> 4 & 3) if mode == 1 else 32
         covered = _SIDE[one, mode == 3] if layer == 3 else None if layer == 2 else 16 if mode == 3 else 16 + bound // 2
-        found = Header(one, layer, hz, kbit, mode == 3, not four[1] & 1, length if index else 0, samples, pad, covered)
+        found = Header(one, layer, hz, kbit, mode == 3, not four[1] & 1, length if index else 0, samples, pad, covered, bound)
         if index and length < found.body + (covered or 0):
             found = None
     if len(_headers) < 4096:
@@ -262,6 +300,7 @@ def parse(data: bytes | None) -> Audio:
     audio = Audio()
     data = data or b""
     at = _id3v2(data, audio)
+    leading = dict(audio.tags)
     end, synced = _tail_tags(data, at, audio), False
     first, free = True, 0
     while at < end:
@@ -273,6 +312,9 @@ def parse(data: bytes | None) -> Audio:
             if not free:
                 free = _distance(data, at, h, end)
             length = free + h.pad if free else 0
+        if length and synced and end < at + length == len(data):
+            # The stream ends with this frame, so what looked like a tag is inside it.
+            end, audio.tags = len(data), leading
         if not length or at + length > end or not (synced or at + length == end or _alike(four, data[at + length : at + length + 4])):
             following = data.find(b"\xff", at + 1, end)
             following = end if following < 0 else following
@@ -281,10 +323,11 @@ def parse(data: bytes | None) -> Audio:
             continue
         synced = True
         if h.protected:
-            if h.covered is None:
+            bits = _layer2_bits(data, at, h) if h.covered is None else 8 * h.covered
+            if bits is None:
                 audio.unchecked += 1
             else:
-                good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
+                good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 7 + (bits >> 3)], 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
                 audio.checked += good
                 audio.broken += not good
         if not (first and h.layer == 3 and _table(data, at, h, audio)):
@@ -308,7 +351,7 @@ _WIDE = max(_LENGTHS)
 
 
 def wrap(payload: bytes) -> bytes:
-    """The payload as a stream: whole frames at 320 kbit/s, the last at the smallest bitrate that holds the rest."""
+    """The payload as a stream: whole frames at 320 kbit/s, one at the smallest bitrate that holds the rest, and an empty one."""
     room = _LENGTHS[_WIDE] - 23
     frames, at = [], 0
     while at < len(payload):
@@ -316,6 +359,7 @@ def wrap(payload: bytes) -> bytes:
         index = _WIDE if rest >= room else next(i for i, n in _LENGTHS.items() if n - 23 >= rest)
         frames.append(_frame(index, payload[at : at + _LENGTHS[index] - 23], _LENGTHS[index]))
         at += _LENGTHS[index] - 23
+    frames.append(_frame(1, b"", _LENGTHS[1]))
     sizes = [len(f) for f in frames]
     table_len, total = _LENGTHS[5], 0
     total = table_len + sum(sizes)
@@ -333,7 +377,9 @@ def unwrap(media: bytes, audio: Audio | None = None) -> bytes:
     """The payload that :func:`wrap` stored, from the parsed frames."""
     audio = audio or parse(media)
     parts = [media[o + h.body + h.side : o + n] for o, n, h in zip(audio.offsets, audio.sizes, audio.heads)]
-    return b"".join(parts)[: int(audio.tags.get("payload_bytes", 0))]
+    told = audio.tags.get("payload_bytes", "0")
+    carried = b"".join(parts)
+    return carried[: int(told)] if re.fullmatch("[0-9]{1,18}", told) else carried
 
 
 def padded(text: bytes) -> bytes:

@@ -39,3 +39,13 @@ def test_components_over_many_chunks(spark, monkeypatch):
 def test_no_links(spark):
     assert c.components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert c.components(spark.createDataFrame([(4, 4)], "u long, v long")).count() == 0
+
+
+def test_a_logistic_fit_after_components(spark):
+    """Nothing that components leave behind may keep the session's models from reaching executors."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    c.components(spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")).count()
+    rows = spark.createDataFrame([(Vectors.dense([float(k)]), float(k % 3 > 0)) for k in range(30)], ["features", "label"])
+    assert LogisticRegression().fit(rows).transform(rows).count() == 30
