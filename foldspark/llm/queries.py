@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import ann, bpe, kneser_ney, language_codes, mixing, mpeg_audio, near_duplicates, quality_gam, repair_shards, toxicity_crf
+from foldspark.llm import ann, bpe, collocations, kneser_ney, language_codes, mixing, mpeg_audio, near_duplicates, quality_gam, repair_shards, toxicity_crf
 from foldspark.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_search": op1_graph_search,
     "op2_bpe": op2_bpe,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_mpeg_audio": op10_mpeg_audio,
+    "op11_collocations": op11_collocations,
 }
 
-ORACLES: dict[str, str] = {"op3_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_mix": mixing.ORACLE, "op11_collocations": collocations.ORACLE}
