@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import ann, bpe, collocations, importance_resampling, kneser_ney, language_codes, mixing, mpeg_audio, near_duplicates, quality_gam, repair_shards, toxicity_crf
+from foldspark.llm import ann, bpe, collocations, importance_resampling, kneser_ney, language_codes, mixing, mpeg_audio, near_duplicates, pii_crf, quality_gam, repair_shards, toxicity_crf
 from foldspark.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top_collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_mpeg_audio": op10_mpeg_audio,
     "op11_collocations": op11_collocations,
+    "op12_pii_crf": op12_pii_crf,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
