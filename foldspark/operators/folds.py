@@ -73,6 +73,11 @@ def inner_folds(outer: DataFrame, spec: ValidationSpec, gap: int | None = None)
     return _named(_plan(spans, spec, gap, F.col("_low"), F.col("_high"), "inner_fold_id").drop("_low", "_high"))
 
 
+def scope(plan: DataFrame) -> list[str]:
+    """What a statistic of this plan is fitted by: its folds, and the asset where each asset has folds of its own."""
+    return [c for c in ("asset", "outer_fold_id", "inner_fold_id") if c in plan.columns]
+
+
 def eligible(gap: int, t: str = "t_idx", end: str = "label_end_idx") -> Column:
     """A row may train a fold if this is before the fold's test start: embargo and purge in one number."""
     return F.greatest(F.col(t) + gap, F.col(end))

@@ -1,8 +1,10 @@
 """Transforms fitted on each fold's training rows and applied to its other rows.
 
 Every function takes rows with ``split_role`` and fold columns, as
-:func:`foldspark.operators.folds.assign` gives them.  Fitted statistics are a row a
-fold, so they are joined by fold key and Spark broadcasts them by their size.
+:func:`foldspark.operators.folds.assign` gives them.  ``keys`` are the scope that
+statistics are fitted in: the fold, and the asset too where each asset has a plan of its
+own (:func:`foldspark.operators.folds.scope`).  Fitted statistics are a row a scope,
+so they are joined by its keys and Spark broadcasts them by their size.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.operators import order
+
 
 def fold_keys(rows: DataFrame) -> list[str]:
     return [c for c in ("outer_fold_id", "inner_fold_id") if c in rows.columns]
@@ -21,22 +25,24 @@ def train_only(value: Column | str) -> Column:
     return F.when(F.col("split_role") == "train", F.col(value) if isinstance(value, str) else value)
 
 
-def standardise(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def standardise(rows: DataFrame, features: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
     """(x - training mean) / training standard deviation; NULL where that is 0."""
-    keys = fold_keys(rows)
+    keys = list(keys or fold_keys(rows))
     stats = [g(train_only(f)).alias(f"_{n}_{f}") for f in features for n, g in (("m", F.avg), ("s", F.stddev_samp))]
     joined = rows.join(rows.groupBy(*keys).agg(*stats), keys)
     scaled = {f: F.try_divide(F.col(f) - F.col(f"_m_{f}"), F.col(f"_s_{f}")) for f in features}
     return joined.withColumns(scaled).drop(*(f"_{n}_{f}" for f in features for n in "ms"))
 
 
-def winsorise(rows: DataFrame, features: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+def winsorise(rows: DataFrame, features: Sequence[str], low: float = 0.01, high: float = 0.99, keys: Sequence[str] | None = None) -> DataFrame:
     """Clipped to the training quantiles."""
-    keys = fold_keys(rows)
-    stats = [F.percentile(train_only(f), F.array(F.lit(low), F.lit(high))).alias(f"_q_{f}") for f in features]
-    joined = rows.join(rows.groupBy(*keys).agg(*stats), keys)
-    clipped = {f: F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), F.col(f"_q_{f}")[0]), F.col(f"_q_{f}")[1])) for f in features}
-    return joined.withColumns(clipped).drop(*(f"_q_{f}" for f in features))
+    keys = list(keys or fold_keys(rows))
+    long = rows.filter(F.col("split_role") == "train").unpivot(keys, list(features), "feature", "_x")
+    cuts = order.quantiles(long, [*keys, "feature"], "_x", [low, high], "_q")
+    wide = cuts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", "_q"))).alias("_cuts"))
+    of = lambda f: F.col("_cuts")[f]
+    clipped = {f: F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), of(f)[0]), of(f)[1])) for f in features}
+    return rows.join(wide, keys, "left").withColumns(clipped).drop("_cuts")
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -51,22 +57,22 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.when((n >= 3) & (vx > 1e-300) & (vy > 1e-300), F.try_divide(F.covar_pop(x, y), F.sqrt(vx) * F.sqrt(vy)))
 
 
-def top_correlated(rows: DataFrame, features: Sequence[str], k: int, y: str = "y") -> DataFrame:
+def top_correlated(rows: DataFrame, features: Sequence[str], k: int, y: str = "y", keys: Sequence[str] | None = None) -> DataFrame:
     """(fold, feature, corr, rank): the ``k`` features that correlate most with the target in training."""
-    keys = fold_keys(rows)
+    keys = list(keys or fold_keys(rows))
     wide = rows.filter(F.col("split_role") == "train").groupBy(*keys).agg(*(safe_corr(F.col(f), F.col(y)).alias(f) for f in features))
     long = wide.unpivot(keys, list(features), "feature", "corr").filter("corr is not null")
     by = Window.partitionBy(*keys).orderBy(F.desc(F.round(F.abs("corr"), 9)), "feature")
     return long.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def components(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+def components(rows: DataFrame, features: Sequence[str], k: int, keys: Sequence[str] | None = None) -> DataFrame:
     """(fold, component, feature, loading, variance) of the ``k`` first principal components
     of standardised training rows, from the fold's correlations. The largest loading is positive."""
     import numpy as np
     import pandas as pd
 
-    keys = fold_keys(rows)
+    keys = list(keys or fold_keys(rows))
     train = rows.filter(F.col("split_role") == "train").dropna(subset=list(features))
     pairs = [safe_corr(F.col(a), F.col(b)).alias(f"c{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if j > i]
     corr = train.groupBy(*keys).agg(*pairs)
@@ -91,10 +97,10 @@ def components(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     return corr.mapInPandas(run, ", ".join([*kinds, "component int, feature string, loading double, variance double"]))
 
 
-def project(rows: DataFrame, loadings: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+def project(rows: DataFrame, loadings: DataFrame, features: Sequence[str], k: int, keys: Sequence[str] | None = None) -> DataFrame:
     """Rows with ``pc0`` to ``pc{k-1}``, of standardised inputs."""
-    keys = fold_keys(rows)
-    z = standardise(rows, features)
+    keys = list(keys or fold_keys(rows))
+    z = standardise(rows, features, keys)
     wide = loadings.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "component", "feature"), "loading"))).alias("_l"))
     joined = z.join(wide, keys)
     made = {f"pc{c}": sum((F.col("_l")[f"{c}:{f}"] * F.col(f) for f in features), F.lit(0.0)) for c in range(k)}
