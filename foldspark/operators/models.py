@@ -1,7 +1,9 @@
-"""The model registry, MLlib models fitted for each fold, and calibration.
+"""The model registry, and models fitted for each fold.
 
-Ridge is fitted for all folds at once by sums (:mod:`foldspark.operators.ridge`).
-Models whose fit does not add up go through MLlib, one distributed fit for each fold.
+Ridge is fitted for all folds at once by sums (:mod:`foldspark.operators.ridge`), logistic
+regression by a few rounds of sums (:mod:`foldspark.operators.logistic`), boosted trees by a
+round of histograms a level (:mod:`foldspark.operators.boosting`).  The other models go through MLlib, one
+distributed fit for each fold.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.operators import logistic
 from foldspark.operators.folds import assign
 from foldspark.operators.lineage import cut
 
@@ -28,12 +31,16 @@ PARALLEL = 4
 
 @dataclass(frozen=True)
 class Algorithm:
-    """How a model is made; ``tasks`` are those it can serve. ``additive`` fits by sums need no estimator."""
+    """How a model is made; ``tasks`` are those it can serve. ``additive`` fits by sums need no estimator.
+    ``grouped`` fits all folds at once: (training rows, features, keys, params) to (keys, ..., what ``apply`` needs)."""
 
     name: str
     tasks: tuple[str, ...]
     make: Callable[[Mapping[str, Any]], Any] | None = None
     additive: bool = False
+    grouped: Callable[[DataFrame, Sequence[str], Sequence[str], Mapping[str, Any]], DataFrame] | None = None
+    apply: Callable[[Sequence[str]], Column] | None = None
+    params: tuple[str, ...] = ()
 
 
 def _given(params: Mapping[str, Any], **defaults: Any) -> dict[str, Any]:
@@ -46,8 +53,8 @@ ADDITIVE_PARAMS = ("alpha", "fit_intercept")
 
 def check_params(algorithm_: Algorithm, names: Sequence[str]) -> None:
     """Refuses parameters that the algorithm does not have."""
-    if algorithm_.additive:
-        unknown = [n for n in names if n not in ADDITIVE_PARAMS]
+    if algorithm_.additive or algorithm_.grouped:
+        unknown = [n for n in names if n not in (algorithm_.params or ADDITIVE_PARAMS)]
     else:
         estimator = algorithm_.make({})
         unknown = [n for n in names if not estimator.hasParam(n) and not (n == "alpha" and estimator.hasParam("regParam"))]
@@ -55,6 +62,11 @@ def check_params(algorithm_: Algorithm, names: Sequence[str]) -> None:
         raise ValueError(f"{algorithm_.name} has no parameter {unknown}")
 
 
+def _logistic(train: DataFrame, features: Sequence[str], keys: Sequence[str], params: Mapping[str, Any]) -> DataFrame:
+    penalty = float(params.get("alpha", params.get("regParam", 0.0)))
+    return logistic.fit(train, features, keys, penalty, int(params.get("maxIter", logistic.ROUNDS)), float(params.get("tol", logistic.TOLERANCE)))
+
+
 REGISTRY: dict[str, Algorithm] = {
     a.name: a
     for a in (
@@ -63,7 +75,7 @@ REGISTRY: dict[str, Algorithm] = {
         Algorithm("lasso", ("regression",), lambda p: LinearRegression(**_given(p, elasticNetParam=1.0, regParam=float(p.get("alpha", 0.01))))),
         Algorithm("random_forest", ("regression",), lambda p: RandomForestRegressor(**_given(p, seed=1))),
         Algorithm("gbt", ("regression",), lambda p: GBTRegressor(**_given(p, seed=1))),
-        Algorithm("logistic", ("classification",), lambda p: LogisticRegression(**_given(p, regParam=float(p.get("alpha", 0.0))))),
+        Algorithm("logistic", ("classification",), grouped=_logistic, apply=logistic.probability, params=("alpha", "regParam", "maxIter", "tol")),
         Algorithm("gbt_classifier", ("classification",), lambda p: GBTClassifier(**_given(p, seed=1))),
     )
 }
@@ -82,12 +94,19 @@ def _vectors(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_roles(roles: DataFrame, name: str, features: Sequence[str], task_type: str, params: Mapping[str, Any] | None = None, keys: Sequence[str] = ("outer_fold_id",)) -> tuple[DataFrame, DataFrame]:
-    """(predictions of training and test rows, state) of rows with their role: one MLlib fit for each fold.
+    """(predictions of training and test rows, state) of rows with their role: all folds at once
+    where the algorithm can, else one MLlib fit for each fold.
 
-    Folds without training rows have no model and no predictions.  Vectors are made once;
+    Folds without training rows have no model and no predictions.  For MLlib vectors are made once;
     ``PARALLEL`` fits run at a time.
     """
     model = algorithm(name, task_type)
+    if model.grouped:
+        own = ["asset", "bar_ts", "t_idx", "y", "label_end_idx", *(k for k in keys if k != "asset"), "split_role"]
+        rows = cut(roles.filter("split_role in ('train', 'test')").dropna(subset=list(features)).select(*own, *features))
+        fits = model.grouped(rows.filter("split_role = 'train' and y is not null"), features, list(keys), params or {})
+        preds = rows.join(fits, list(keys)).withColumn("pred", model.apply(features)).select(*own, "pred")
+        return preds, fits.withColumn("algorithm", F.lit(name))
     make = model.make or (lambda p: LinearRegression(elasticNetParam=0.0, regParam=float(p.get("alpha", 1.0)), standardization=False))
     preds, state = [], []
     vectors = cut(_vectors(roles.filter("split_role in ('train', 'test')"), features).select("asset", "bar_ts", "t_idx", "y", "label_end_idx", *(k for k in keys if k != "asset"), "split_role", "features"))
@@ -125,23 +144,6 @@ def fit_predict(rows: DataFrame, folds: DataFrame, name: str, features: Sequence
     return preds.filter("split_role = 'test'").drop("split_role"), state
 
 
-def isotonic(fit_rows: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``proba``: ``pred`` on the increasing step curve fitted on ``fit_rows`` (pred, y)."""
-    used = fit_rows.filter("pred is not null and y is not null").select(F.col("pred").alias("p"), F.col("y").cast("double").alias("label"))
-    curve = IsotonicRegression(featuresCol="p", labelCol="label").fit(used)
-    out = curve.transform(rows.filter("pred is not null").withColumn("p", F.col("pred")))
-    return out.withColumnRenamed("prediction", "proba").drop("p")
-
-
-def platt(fit_rows: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``proba`` from a logistic curve of ``pred``."""
-    made = VectorAssembler(inputCols=["pred"], outputCol="features")
-    used = made.transform(fit_rows.filter("pred is not null and y is not null").select("pred", F.col("y").cast("double").alias("label")))
-    curve = LogisticRegression().fit(used.select("features", "label"))
-    out = curve.transform(made.transform(rows.filter("pred is not null")))
-    return out.withColumn("proba", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
 @dataclass(frozen=True)
 class HyperoptSpec:
     """Grid (all combinations of ``space``) or random (``samples`` draws with a seed).

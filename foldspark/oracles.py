@@ -210,7 +210,59 @@ tr AS (SELECT m.* FROM full_ AS m JOIN folds AS f ON m.fold = f.outer_fold_id AN
 {_solved('tr', _FULL, 'fold')},
 out_ AS (SELECT fold AS outer_fold_id, asset, bar_ts, y, m_y + {' + '.join(f'b_{c} * ({c} - m_{c})' for c in _FULL)} AS pred, gap_health, has_health FROM full_ JOIN mom USING (fold) JOIN beta USING (fold) WHERE role = 'test' AND {_ALL_THERE})"""
 
+
+def irls(src: str, keys: str, features: list[str], name: str = "logit", rounds: int = 14) -> str:
+    """Newton's steps of a logistic regression on one or two inputs by ``keys``, from zero; the last table has b0, b1 (and b2)."""
+    k, x = len(features), ["1.0::DOUBLE", *features]
+    on = " AND ".join(f"r.{c} = c.{c}" for c in keys.split(", "))
+    own = ", ".join(f"r.{c}" for c in keys.split(", "))
+    out = [f"{name}_0 AS MATERIALIZED (SELECT {keys}, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(k + 1))} FROM {src} GROUP BY {keys})"]
+    solved = {
+        1: ["(g0 * h11 - h01 * g1) / (h00 * h11 - h01 * h01)", "(h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)"],
+        2: [
+            "(g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det",
+            "(h00 * (g1 * h22 - g2 * h12) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det",
+            "(h00 * (h11 * g2 - h12 * g1) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det",
+        ],
+    }[k]
+    det = "h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02)" if k == 2 else "1"
+    for n in range(rounds):
+        eta = " + ".join(f"c.b{i} * {v}" for i, v in enumerate(x))
+        sums = [f"sum((y - p) * {v}) AS g{i}" for i, v in enumerate(x)] + [f"sum(p * (1 - p) * {x[i]} * {x[j]}) AS h{i}{j}" for i in range(k + 1) for j in range(i, k + 1)]
+        bs = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(k + 1))
+        out.append(
+            f"{name}_s{n} AS (SELECT {keys}, {', '.join(sums)}, {bs} FROM (SELECT {own}, y, {', '.join(features)}, {', '.join(f'c.b{i}' for i in range(k + 1))}, 1 / (1 + exp(-({eta}))) AS p FROM {src} AS r JOIN {name}_{n} AS c ON {on}) GROUP BY {keys})"
+        )
+        out.append(f"{name}_{n + 1} AS MATERIALIZED (SELECT {keys}, {', '.join(f'b{i} + {v} AS b{i}' for i, v in enumerate(solved))} FROM (SELECT *, {det} AS det FROM {name}_s{n}))")
+    out.append(f"{name} AS (SELECT * FROM {name}_{rounds})")
+    return ", ".join(out)
+
+
+def monotone(fit_rows: str, rows_: str, key: str, columns: str, name: str = "curved") -> str:
+    """Isotonic regression by its formula (the largest over starts of the smallest over ends of a span's mean), and a line between its points."""
+    return f"""pts AS (SELECT {key}, pred, count(*)::DOUBLE AS n, sum(y) AS s FROM {fit_rows} GROUP BY ALL),
+cum AS MATERIALIZED (SELECT *, sum(n) OVER w AS cn, sum(s) OVER w AS cs, row_number() OVER w AS i FROM pts WINDOW w AS (PARTITION BY {key} ORDER BY pred)),
+spans AS (SELECT a.{key}, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM cum AS a JOIN cum AS b ON a.{key} = b.{key} AND b.i >= a.i),
+low AS (SELECT {key}, b AS i, min(m) OVER (PARTITION BY {key}, a ORDER BY b DESC) AS m FROM spans),
+g AS (SELECT {key}, i, max(m) AS g FROM low GROUP BY ALL),
+knots AS MATERIALIZED (SELECT {key}, pred AS x, g, lead(pred) OVER w AS nx, lead(g) OVER w AS ng FROM cum JOIN g USING ({key}, i) WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+{name} AS (
+  SELECT {columns}, CASE WHEN k.x IS NULL THEN (SELECT arg_min(f.g, f.x) FROM knots AS f WHERE f.{key} = r.{key}) WHEN k.nx IS NULL THEN k.g ELSE k.g + (k.ng - k.g) * (r.pred - k.x) / (k.nx - k.x) END AS proba
+  FROM {rows_} AS r ASOF LEFT JOIN knots AS k ON r.{key} = k.{key} AND r.pred >= k.x)"""
+
+
+_LOGIT = f"""{roles(["ret5", "vol20"]).replace(rows(), rows("updown"))}, tr AS (SELECT * FROM roles WHERE split_role = 'train'), {irls("tr", "outer_fold_id", ["ret5", "vol20"])},
+both_ AS (SELECT r.*, 1 / (1 + exp(-(b0 + b1 * ret5 + b2 * vol20))) AS pred FROM roles AS r JOIN logit USING (outer_fold_id) WHERE split_role = 'test'), ranks AS (SELECT *, {_avg_rank("pred")} AS k FROM both_)"""
+_OOF = f"""{PANEL}, {FOLDS}, {INNER}, {rows("updown")}, {fit("rows_", "inner_folds", ["outer_fold_id", "inner_fold_id"], "ret5", "vol20", name="inf")}, {pred("rows_", "inner_folds", ["outer_fold_id", "inner_fold_id"], "ret5", "vol20", "oof", "inf")},
+{fit("rows_", "folds", ["outer_fold_id"], "ret5", "vol20", name="of_")}, {pred("rows_", "folds", ["outer_fold_id"], "ret5", "vol20", "test_", "of_", where="")}"""
+
+
 ORACLES: dict[str, str] = {
+    "logit_by_fold": f"""WITH {_LOGIT} SELECT outer_fold_id, count(*) AS n, round(avg(-(y * ln(least(greatest(pred, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)) + (1 - y) * ln(1 - least(greatest(pred, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)))), 4) AS log_loss, round(avg((y - pred) ^ 2), 4) AS brier, round(avg(CAST(CAST(pred >= 0.5 AS DOUBLE) = y AS DOUBLE)), 4) AS accuracy,
+    round((sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 4) AS auc FROM ranks GROUP BY 1""",
+    "isotonic": f"""WITH {scored("updown")}, one AS (SELECT *, 0 AS k FROM scored), first_ AS (SELECT * FROM one WHERE outer_fold_id = 0), {monotone("first_", "one", "k", "r.*")}
+  SELECT asset, bar_ts, outer_fold_id, {_rd("y, pred, proba", 5)} FROM curved WHERE outer_fold_id > 0""",
+    "calibrated_by_fold": f"""WITH {_OOF}, {monotone("oof", "test_", "outer_fold_id", "r.*")} SELECT asset, bar_ts, outer_fold_id, {_rd("pred, proba", 5)} FROM curved""",
     "meta_full": f"WITH {META_FULL} SELECT outer_fold_id, asset, bar_ts, {_rd('y, pred, gap_health', 4)}, has_health FROM out_",
     "grid_two_params": TWO.replace("{n}", "n_test, "),
     "grid_by_mae": f"""{_NEST}, s AS ({_LOSS.format(w=0, loss=f"avg(abs({_ERROR}))", fits="fits")}), m AS (SELECT outer_fold_id, CAST(CASE alpha WHEN 0.01 THEN 0 WHEN 1.0 THEN 1 ELSE 2 END AS INTEGER) AS candidate, avg(score) AS score, count(*) AS n_inner FROM s GROUP BY 1, 2)

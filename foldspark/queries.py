@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions import features as feat
 from foldspark.functions import targets as tgt
-from foldspark.operators import analysis, derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
+from foldspark.operators import analysis, calibration, derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
 from foldspark.operators.folds import ValidationSpec
 from foldspark.operators.lineage import cut, scratch
 from foldspark.plans.inspect import Run, load_run
@@ -345,7 +345,7 @@ def pca_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logit_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model_rows(spark, sf_dir, tgt.up_down)
     preds, _ = models.fit_predict(rows, _outer(rows), "logistic", A, "classification", gap=GAP)
-    return diagnostics.classification_metrics(preds, ["outer_fold_id"])
+    return rounded(diagnostics.classification_metrics(preds, ["outer_fold_id"]), 4)
 
 
 def gbt_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,9 +355,19 @@ def gbt_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir, A, tgt.up_down)
-    out = models.isotonic(rows.filter("outer_fold_id = 0"), rows.filter("outer_fold_id > 0"))
-    return out.select("asset", "bar_ts", "outer_fold_id", "y", "pred", "proba")
+    rows = cut(scored(spark, sf_dir, A, tgt.up_down))
+    out = calibration.isotonic(rows.filter("outer_fold_id = 0"), rows.filter("outer_fold_id > 0"))
+    return rounded(out.select("asset", "bar_ts", "outer_fold_id", "y", "pred", "proba"), 5)
+
+
+def calibrated_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold's test predictions on the increasing curve of its own out-of-fold predictions; folds too early to have any have none."""
+    rows = model_rows(spark, sf_dir, tgt.up_down)
+    plan = _outer(rows)
+    oof = tuning.out_of_fold(rows, plan, INNER, A, ALPHA, GAP)
+    test = ridge.predict(rows, plan, ridge.fit(rows, plan, A, alphas=[ALPHA], gap=GAP), A)
+    out = calibration.isotonic(oof, test, ["outer_fold_id"])
+    return rounded(out.select("asset", "bar_ts", "outer_fold_id", "pred", "proba"), 5)
 
 
 # -- diagnostics ------------------------------------------------------------------------------
@@ -551,7 +561,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         metrics_by_fold, bars_event_hourly, bars_order_daily, bars_part_daily, schema_normalise, universe_filter, time_index, feat_baseline, feat_cross_asset, feat_regime, feat_combined, feat_field, last_known, regression_by_asset,
         folds_expanding, folds_rolling, folds_nested, folds_per_asset, split_assign, fit_ridge_by_fold, fit_ridge_rolling, fit_ridge_per_asset, predict_ridge_per_asset, predict_ridge_by_fold,
-        scale_train_only, clip_train_only, select_topk_corr, grid_inner_scores, grid_best, grid_two_params, grid_by_mae, oof_predictions, meta_required, meta_full, pca_by_fold, logit_by_fold, gbt_by_fold, isotonic,
+        scale_train_only, clip_train_only, select_topk_corr, grid_inner_scores, grid_best, grid_two_params, grid_by_mae, oof_predictions, meta_required, meta_full, pca_by_fold, logit_by_fold, gbt_by_fold, isotonic, calibrated_by_fold,
         diag_gap, diag_drift_moments, diag_drift_quantile, diag_psi, diag_drift_corr, diag_resid_std, diag_disagreement, diag_coef_stability, diag_calibration, diag_calibration_regression, diag_residual_profile,
         metrics_rank_ic, metrics_classification, derived_resid_std, derived_health, derived_disagreement, project_health, project_by_asset,
         select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, corr_assets, run_single_model, run_per_asset, run_nested_tuning, run_stacked, run_selector, lineage,

@@ -8,7 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from foldspark import queries as q
-from foldspark.operators import diagnostics, folds, leakage, models, projection, ridge, selection, transforms, tuning
+from foldspark.operators import calibration, diagnostics, folds, leakage, models, projection, ridge, selection, transforms, tuning
 
 SF = "/root/testdata/sf0.01"
 
@@ -155,7 +155,7 @@ def test_registry_of_models():
 
 def test_calibration_is_monotone(spark):
     rows = spark.createDataFrame([(i / 50, float((i * 7) % 50 < i)) for i in range(50)], "pred double, y double")
-    for make in (models.isotonic, models.platt):
+    for make in (calibration.isotonic, calibration.platt):
         out = [r["proba"] for r in make(rows, rows).orderBy("pred").collect()]
         assert all(0 <= a <= b + 1e-9 <= 1 + 2e-9 for a, b in zip(out, out[1:]))
 
