@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,16 @@ def check_purged(assigned: DataFrame) -> None:
         raise LeakageError(f"a training label reaches into the test: {bad.first()}")
 
 
+def check_fitted(assigned: DataFrame, keys: Sequence[str]) -> None:
+    """In the scope that statistics are fitted in, every training row and its label must be over, on the
+    clock that all assets share (``clock``, ``clock_end``), before the first row they are applied to."""
+    known = F.greatest(F.col("clock"), F.coalesce("clock_end", "clock"))
+    spans = assigned.groupBy(*keys).agg(F.max(F.when(F.col("split_role") == "train", known)).alias("last"), F.min(F.when(F.col("split_role") == "test", F.col("clock"))).alias("first"))
+    bad = spans.filter("last >= first")
+    if not bad.isEmpty():
+        raise LeakageError(f"statistics of {list(keys)} use rows at or after a row they are applied to: {bad.first()}")
+
+
 def check_coverage(expected: DataFrame, predicted: DataFrame, keys: list[str]) -> None:
     """Each expected row is predicted exactly once."""
     missing = expected.join(predicted, keys, "left_anti")

@@ -40,17 +40,17 @@ def _log(x: Column, unit: Column) -> Column:
 
 class Placed:
     """Rows with the bin of their value: ``rows`` has ``_bin`` (an array of places), ``bins`` a row
-    for each bin: keys, _bin, _n, _low, _high, _before (rows of the group in lower bins), _all (rows of the group)."""
+    for each bin: keys, _bin, _n, _low, _high, _before (rows of the group in lower bins), _total (rows of the group)."""
 
     def __init__(self, rows: DataFrame, keys: Sequence[str], value: str, limit: int | None = None):
         limit = LIMIT if limit is None else limit
         self.keys, self.value = list(keys), value
         x = F.col(value)
         rows = rows.filter(x.isNotNull() & ~F.isnan(x.cast("double"))).withColumn("_x", x.cast("double"))
-        stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.avg(F.abs("_x")).alias("_mean"))
+        stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.avg(F.abs("_x")).alias("_mean"))
         unit = F.when((F.col("_mean") > 0) & (F.col("_mean") < 1e300), F.col("_mean")).otherwise(1.0)
         first = _at(_log(F.col("_x"), unit), _log(F.col("_min"), unit), _log(F.col("_max"), unit))
-        both = rows.alias("r").join(stats.alias("s"), _same("r", "s", keys)).select("r.*", F.array(F.when(F.col("_all") > limit, first).otherwise(0)).alias("_bin"))
+        both = rows.alias("r").join(stats.alias("s"), _same("r", "s", keys)).select("r.*", F.array(F.when(F.col("_total") > limit, first).otherwise(0)).alias("_bin"))
         made = self._counted(both)
         for _ in range(LEVELS):
             heavy = made.filter((F.col("_n") > limit) & (F.col("_low") < F.col("_high"))).select(*keys, "_bin", "_low", "_high")
@@ -62,7 +62,7 @@ class Placed:
             made = self._counted(both)
         by = Window.partitionBy(*keys).orderBy("_bin")
         before = F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        self.bins = made.withColumns({"_before": before, "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+        self.bins = made.withColumns({"_before": before, "_total": F.sum("_n").over(Window.partitionBy(*keys))})
         self.rows = both
 
     def _counted(self, rows: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ class Placed:
     def quantiles(self, at: Sequence[float], out: str = "quantiles") -> DataFrame:
         """(keys, out): the group's quantiles at the shares ``at``, interpolated between neighbours. Only bins with one of them are sorted."""
         shares = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(at)))
-        asked = self.bins.select(*self.keys, "_bin", "_n", "_low", "_high", "_before", "_all", F.explode(shares).alias("_a"))
-        place = (F.col("_all") - 1) * F.col("_a.p")
+        asked = self.bins.select(*self.keys, "_bin", "_n", "_low", "_high", "_before", "_total", F.explode(shares).alias("_a"))
+        place = (F.col("_total") - 1) * F.col("_a.p")
         asked = asked.withColumn("_place", place).withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))))
         inside = F.col("_r") - F.col("_before")
         asked = asked.withColumn("_inside", inside).filter((inside >= 0) & (inside < F.col("_n")))

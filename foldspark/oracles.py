@@ -257,7 +257,28 @@ _OOF = f"""{PANEL}, {FOLDS}, {INNER}, {rows("updown")}, {fit("rows_", "inner_fol
 {fit("rows_", "folds", ["outer_fold_id"], "ret5", "vol20", name="of_")}, {pred("rows_", "folds", ["outer_fold_id"], "ret5", "vol20", "test_", "of_", where="")}"""
 
 
+_OWN_ROLES = f"""{PANEL}, {rows(name='wide')}, rows_ AS (SELECT *, CAST(row_number() OVER ({_ROW}) - 1 AS INTEGER) AS own, CASE WHEN label_end_idx IS NOT NULL THEN CAST(row_number() OVER ({_ROW}) - 1 + {H} AS INTEGER) END AS own_end FROM wide),
+  s AS (SELECT asset AS fa, count(*) AS n FROM rows_ GROUP BY 1),
+  folds AS (SELECT fa, CAST(k AS INTEGER) AS outer_fold_id, 320 + 100 * k AS test_start, least(420 + 100 * k, n) AS test_end FROM s, range(0, 1000) AS g(k) WHERE 320 + 100 * k < n),
+  roles AS (SELECT r.*, f.outer_fold_id, CASE WHEN own >= test_start THEN 'test' WHEN greatest(own + {GAP}, own_end) < test_start THEN 'train' ELSE 'embargo' END AS split_role FROM rows_ AS r JOIN folds AS f ON r.asset = f.fa AND own < test_end)"""
+_OWN_BY = "asset, outer_fold_id"
+_OWN_DRIFT = f"""{_OWN_ROLES}, long_ AS ({' UNION ALL '.join(f"SELECT {_OWN_BY}, split_role, '{f}' AS feature, {f} AS x FROM roles" for f in ('ret5', 'vol20'))}),
+  m AS (SELECT {_OWN_BY}, feature, avg(x) {_TR} AS m1, stddev_samp(x) {_TR} AS s1, avg(x) {_TE} AS m2, stddev_samp(x) {_TE} AS s2, {', '.join(f'quantile_cont(x, {p / 100}) {_TE} - quantile_cont(x, {p / 100}) {_TR} AS d{p}' for p in (10, 50, 90))} FROM long_ GROUP BY ALL),
+  e AS (SELECT {_OWN_BY}, feature, {', '.join(f'quantile_cont(x, {i / 10}) {_TR} AS q{i}' for i in range(1, 10))} FROM long_ GROUP BY ALL),
+  b AS (SELECT l.asset, l.outer_fold_id, l.feature, split_role, {' + '.join(f'CAST(q{i} < x AS INTEGER)' for i in range(1, 10))} AS bin FROM long_ AS l JOIN e ON e.asset = l.asset AND e.outer_fold_id = l.outer_fold_id AND e.feature = l.feature WHERE x IS NOT NULL),
+  c AS (SELECT {_OWN_BY}, feature, bin, (count(*) {_TR})::DOUBLE AS a, (count(*) {_TE})::DOUBLE AS b FROM b GROUP BY ALL),
+  both2 AS (SELECT * FROM roles WHERE ret5 IS NOT NULL AND vol20 IS NOT NULL),
+  told AS (
+    SELECT {_OWN_BY}, feature, 'mean_shift' AS metric, (m2 - m1) / nullif(s1, 0) AS value FROM m UNION ALL SELECT {_OWN_BY}, feature, 'std_ratio', s2 / nullif(s1, 0) FROM m
+    UNION ALL {' UNION ALL '.join(f"SELECT {_OWN_BY}, feature, 'shift_{p}', d{p} / nullif(s1, 0) FROM m" for p in (10, 50, 90))}
+    UNION ALL SELECT {_OWN_BY}, feature, 'psi', {_PSI} FROM c GROUP BY {_OWN_BY}, feature
+    UNION ALL SELECT {_OWN_BY}, '*', 'corr_change', abs(covar_pop(ret5, vol20) {_TE} / (sqrt(var_pop(ret5) {_TE}) * sqrt(var_pop(vol20) {_TE})) - covar_pop(ret5, vol20) {_TR} / (sqrt(var_pop(ret5) {_TR}) * sqrt(var_pop(vol20) {_TR}))) FROM both2 GROUP BY {_OWN_BY}),
+  known AS (SELECT {_OWN_BY}, max(t_idx) AS known_at FROM roles WHERE split_role = 'test' GROUP BY ALL)"""
+
 ORACLES: dict[str, str] = {
+    "scale_per_asset": f"""WITH {_OWN_ROLES}, k AS (SELECT {_OWN_BY}, {', '.join(f'avg({f}) {_TR} AS m_{f}, stddev_samp({f}) {_TR} AS s_{f}' for f in ('ret5', 'vol20'))} FROM roles GROUP BY ALL)
+  SELECT asset, bar_ts, outer_fold_id, {', '.join(f'round(({f} - m_{f}) / nullif(s_{f}, 0), 5) + 0.0::DOUBLE AS {f}' for f in ('ret5', 'vol20'))} FROM roles JOIN k USING (asset, outer_fold_id) WHERE split_role = 'test'""",
+    "drift_per_asset": f"WITH {_OWN_DRIFT} SELECT asset, outer_fold_id, feature, metric, round(value, 5) + 0.0::DOUBLE AS value, known_at FROM told JOIN known USING (asset, outer_fold_id)",
     "logit_by_fold": f"""WITH {_LOGIT} SELECT outer_fold_id, count(*) AS n, round(avg(-(y * ln(least(greatest(pred, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)) + (1 - y) * ln(1 - least(greatest(pred, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)))), 4) AS log_loss, round(avg((y - pred) ^ 2), 4) AS brier, round(avg(CAST(CAST(pred >= 0.5 AS DOUBLE) = y AS DOUBLE)), 4) AS accuracy,
     round((sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 4) AS auc FROM ranks GROUP BY 1""",
     "isotonic": f"""WITH {scored("updown")}, one AS (SELECT *, 0 AS k FROM scored), first_ AS (SELECT * FROM one WHERE outer_fold_id = 0), {monotone("first_", "one", "k", "r.*")}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldspark.operators.lineage import cut
 from foldspark.plans.artifacts import ArtifactType
 from foldspark.plans.graph import WorkflowGraph
 from foldspark.plans.store import code_hash
@@ -15,15 +16,17 @@ from foldspark.sources import files
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(artifact_id, ancestor_id, depth) for every ancestor of every artifact in ``edges`` (artifact_id, upstream_id)."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_lineage_edges")
-    return spark.sql("""
-        WITH RECURSIVE up(artifact_id, ancestor_id, depth) AS (
-          SELECT artifact_id, upstream_id, 1 FROM _lineage_edges
-          UNION ALL
-          SELECT up.artifact_id, e.upstream_id, up.depth + 1 FROM up JOIN _lineage_edges e ON e.artifact_id = up.ancestor_id)
-        SELECT artifact_id, ancestor_id, min(depth) AS depth FROM up GROUP BY artifact_id, ancestor_id""")
+    """(artifact_id, ancestor_id, depth) for every ancestor of every artifact in ``edges`` (artifact_id, upstream_id),
+    by the shortest way up. Each round goes one step up from the pairs that the last one found for the first
+    time, so work follows the number of pairs and not that of paths, and cycles end."""
+    up = cut(edges.select("artifact_id", F.col("upstream_id").alias("_up")).filter("_up is not null").distinct())
+    found = fresh = cut(up.select("artifact_id", F.col("_up").alias("ancestor_id"), F.lit(1).alias("depth")))
+    while not fresh.isEmpty():
+        step = fresh.join(up.withColumnRenamed("artifact_id", "_at"), F.col("ancestor_id") == F.col("_at"))
+        step = step.select("artifact_id", F.col("_up").alias("ancestor_id"), (F.col("depth") + 1).alias("depth")).distinct()
+        fresh = cut(step.join(found, ["artifact_id", "ancestor_id"], "left_anti"))
+        found = found.unionByName(fresh)
+    return found
 
 
 class Run:

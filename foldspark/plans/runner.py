@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.features import FeatureRegistry, by_asset, default_registry
 from foldspark.functions.targets import TaskRegistry, default_tasks
-from foldspark.operators import derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
-from foldspark.operators.leakage import check_purged
+from foldspark.operators import calibration, derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
+from foldspark.operators.leakage import check_fitted, check_purged
 from foldspark.operators.lineage import cut
 from foldspark.plans import nodes as N
 from foldspark.plans.artifacts import ArtifactType as A
@@ -25,7 +25,7 @@ from foldspark.sources.bars import with_time_index
 from foldspark.sources.vendors import Vendor
 
 SCOPE = ["outer_fold_id", "split_role"]
-PRED = ["asset", "bar_ts", "t_idx", "outer_fold_id", "split_role", "y", "label_end_idx", "pred"]
+PRED = ["asset", "bar_ts", "t_idx", "outer_fold_id", "split_role", "y", "label_end_idx", "pred", "calibrated"]
 
 
 class Runner:
@@ -113,7 +113,8 @@ class Runner:
         return bars.select("asset", "bar_ts", "t_idx", (F.row_number().over(by_asset()) - 1).cast("int").alias("own"))
 
     def _on_plan(self, rows: DataFrame, plan: DataFrame) -> DataFrame:
-        """``rows`` with t_idx and label_end_idx on the index of the plan."""
+        """``rows`` with t_idx and label_end_idx on the index of the plan; clock and clock_end keep those that all assets share."""
+        rows = rows.withColumns({"clock": F.col("t_idx"), "clock_end": F.col("label_end_idx")})
         if "asset" not in plan.columns:
             return rows
         own = self._own_index()
@@ -129,13 +130,21 @@ class Runner:
         shared = self._get(targets, A.TARGETS).select("asset", "bar_ts", "t_idx", "label_end_idx")
         return rows.drop("t_idx", "label_end_idx").join(shared, ["asset", "bar_ts"]).select(*rows.columns)
 
-    def _test_starts(self, name: str) -> DataFrame:
-        """(outer_fold_id, test_start) on the shared index; of plans by asset the earliest."""
+    def _starts(self, name: str) -> DataFrame:
+        """(scope, test_start) on the shared index."""
         plan = self._get(name, A.FOLDS)
         if "asset" not in plan.columns:
             return plan.select("outer_fold_id", "test_start")
         own = self._own_index().select("asset", F.col("own").alias("test_start"), "t_idx")
-        return plan.join(own, ["asset", "test_start"]).groupBy("outer_fold_id").agg(F.min("t_idx").alias("test_start"))
+        return plan.join(own, ["asset", "test_start"]).select("asset", "outer_fold_id", F.col("t_idx").alias("test_start"))
+
+    def _test_starts(self, name: str) -> DataFrame:
+        """(outer_fold_id, test_start) on the shared index; of plans by asset the earliest."""
+        return self._starts(name).groupBy("outer_fold_id").agg(F.min("test_start").alias("test_start"))
+
+    def _scope(self, name: str) -> list[str]:
+        """What the folds of a model's or selection's predictions are told apart by."""
+        return folds.scope(self._get(self.graph.node(name).inputs.fold_plans[0], A.FOLDS))
 
     # -- nodes -------------------------------------------------------------------------
 
@@ -179,23 +188,24 @@ class Runner:
         rows = join_scoped(ScopedFrame(self._get(features, A.FEATURES), A.FEATURES), ScopedFrame(self._get(targets, A.TARGETS), A.TARGETS)).df
         out = folds.assign(self._on_plan(rows, self._get(plan, A.FOLDS)), self._get(plan, A.FOLDS), self._plan_gap(plan))
         check_purged(out)
+        check_fitted(out, folds.scope(self._get(plan, A.FOLDS)))
         return out
 
     def _TransformNode(self, node: N.TransformNode) -> None:
         rows = self._roles(node, node.features, node.targets, node.folds).filter("split_role <> 'embargo'")
-        columns = list(node.columns)
+        columns, keys = list(node.columns), folds.scope(self._get(node.folds, A.FOLDS))
         keep = ["asset", "bar_ts", *SCOPE]
         if node.kind == "scale":
-            out = transforms.standardise(rows, columns).select(*keep, *columns)
+            out = transforms.standardise(rows, columns, keys).select(*keep, *columns)
         elif node.kind == "clip":
-            out = transforms.winsorise(rows, columns, **node.params).select(*keep, *columns)
+            out = transforms.winsorise(rows, columns, **node.params, keys=keys).select(*keep, *columns)
         elif node.kind == "pca":
             k = int(node.params.get("k", 2))
-            out = transforms.project(rows, transforms.components(rows, columns, k), columns, k).select(*keep, *(f"pc{c}" for c in range(k)))
+            out = transforms.project(rows, transforms.components(rows, columns, k, keys), columns, k, keys).select(*keep, *(f"pc{c}" for c in range(k)))
         elif node.kind == "select":
             # Features not chosen in a fold are constant there, so every fold has the same columns.
-            chosen = transforms.top_correlated(rows, columns, int(node.params.get("k", 3))).groupBy("outer_fold_id").agg(F.collect_set("feature").alias("_chosen"))
-            out = rows.join(chosen, "outer_fold_id").select(*keep, *(F.when(F.array_contains("_chosen", c), F.col(c)).otherwise(0.0).alias(c) for c in columns))
+            chosen = transforms.top_correlated(rows, columns, int(node.params.get("k", 3)), keys=keys).groupBy(*keys).agg(F.collect_set("feature").alias("_chosen"))
+            out = rows.join(chosen, keys).select(*keep, *(F.when(F.array_contains("_chosen", c), F.col(c)).otherwise(0.0).alias(c) for c in columns))
         else:
             raise GraphError(f"no transform {node.kind}")
         self._put(node, A.FEATURES, out, kind=node.kind)
@@ -223,15 +233,22 @@ class Runner:
         for name in node.inputs.selection_tables:
             # What was selected for a fold, known before its test: its candidates' predictions by weight.
             column, sources = f"pred_{name}", self.graph.node(name).inputs.prediction_tables
-            weights = self._get(name, A.SELECTION).filter("weight > 0").select("outer_fold_id", "candidate", "weight")
+            weights = self._get(name, A.SELECTION).filter("weight > 0")
+            by = [c for c in ("outer_fold_id", "candidate", "regime") if c in weights.columns]
             every = reduce(DataFrame.unionByName, [self._predictions(n).filter("split_role in ('oof', 'test')").withColumn("candidate", F.lit(n)) for n in sources])
+            if "regime" in by:  # a row takes what was selected for its own regime
+                every = every.join(self._regimes(name), ["asset", "bar_ts"])
             mean = F.try_divide(F.sum(F.col("weight") * F.col("pred")), F.sum("weight")).alias(column)
-            table = every.join(weights, ["outer_fold_id", "candidate"]).groupBy("asset", "bar_ts", "outer_fold_id").agg(mean)
+            table = every.join(weights.select(*by, "weight"), by).groupBy("asset", "bar_ts", "outer_fold_id").agg(mean)
             names.append(column)
             rows = ScopedFrame(join_scoped(rows, ScopedFrame(table, A.FEATURES)).df, A.TARGETS)
             scoped = True
         return rows.df.drop("split_role"), [c for c in names if not node.columns or c in node.columns], scoped
 
+    def _regimes(self, name: str) -> DataFrame:
+        """(asset, bar_ts, regime) of a selection by regime."""
+        return self._get(self.graph.node(name).inputs.regime_tables[0], A.FEATURES).select("asset", "bar_ts", F.col("high_vol").alias("regime"))
+
     def _ModelNode(self, node: N.ModelNode) -> None:
         rows, names, scoped = self._matrix(node)
         plan_name, target = node.inputs.fold_plans[0], node.inputs.target_tables[0]
@@ -256,12 +273,13 @@ class Runner:
             self._put(node, A.DIAGNOSTICS, scores, kind="inner_validation")
             best = tuning.best_candidates(self._get(node.name, A.DIAGNOSTICS).withColumnRenamed("value", "score"))
         preds, state = fit.outer(best)
+        preds = preds.withColumn("calibrated", F.lit(False))
         if training.generate_train_oof_predictions or training.calibration:
             inner, inner_state = fit.inner_best(best)
             keep = ["asset", "bar_ts", "t_idx", "outer_fold_id", "inner_fold_id", "y", "label_end_idx", "pred"]
             self._put(node, A.INNER_PREDICTIONS, self._off_plan(inner.select(*keep), plan, target), kind="validation")
             self._put(node, A.INNER_STATE, inner_state, algorithm=algorithm.name)
-            oof = self._get(node.name, A.INNER_PREDICTIONS).drop("inner_fold_id").withColumn("split_role", F.lit("oof"))
+            oof = self._get(node.name, A.INNER_PREDICTIONS).drop("inner_fold_id").withColumns({"split_role": F.lit("oof"), "calibrated": F.lit(False)})
             preds = self._off_plan(preds.select(*PRED), plan, target).unionByName(oof.select(*PRED))
         else:
             preds = self._off_plan(preds.select(*PRED), plan, target)
@@ -271,55 +289,57 @@ class Runner:
         self._put(node, A.MODEL_STATE, state, algorithm=algorithm.name)
 
     def _calibrated(self, preds: DataFrame, how: str, keys: list[str]) -> DataFrame:
-        """Test predictions of each fold on a curve fitted on its out-of-fold ones; a curve each fold."""
+        """Test predictions of each fold on a curve fitted on its out-of-fold ones. Folds too early to have
+        out-of-fold predictions keep what their model says, and ``calibrated`` says so."""
         preds = cut(preds)
-        out = [preds.filter("split_role <> 'test'")]
-        fit = models.isotonic if how == "isotonic" else models.platt
-        for r in preds.filter("split_role = 'oof'").select(*keys).distinct().orderBy(*keys).collect():
-            own = preds
-            for k in keys:
-                own = own.filter(F.col(k) == r[k])
-            out.append(fit(own.filter("split_role = 'oof'"), own.filter("split_role = 'test'")).withColumn("pred", F.col("proba")).select(*PRED))
-        return reduce(DataFrame.unionByName, out)
+        test, oof = (preds.filter(F.col("split_role") == r) for r in ("test", "oof"))
+        curved = calibration.CURVES[how](oof, test, keys)
+        curved = curved.withColumns({"calibrated": F.col("proba").isNotNull(), "pred": F.coalesce("proba", "pred")}).select(*PRED)
+        return preds.filter("split_role <> 'test'").unionByName(curved)
 
     def _DiagnosticNode(self, node: N.DiagnosticNode) -> None:
         i = node.inputs
         metric = node.kind
         if metric == "train_test_deviance_gap":
-            out = diagnostics.deviance_gap(self._judged(i.prediction_tables[0], ("train", "test")), node.task_type)
+            out = diagnostics.deviance_gap(self._judged(i.prediction_tables[0], ("train", "test")), node.task_type, self._scope(i.prediction_tables[0]))
         elif metric == "residual_std_by_asset":
             out = diagnostics.residual_std(self._judged(i.prediction_tables[0], ("test",)))
         elif metric == "calibration_gap":
             scored = self._judged(i.prediction_tables[0], ("test",))
-            made = diagnostics.calibration_gap(scored) if node.task_type == "classification" else diagnostics.regression_calibration_gap(scored)
-            out = made.join(scored.groupBy("outer_fold_id").agg(diagnostics.known_at()), "outer_fold_id")
+            keys = self._scope(i.prediction_tables[0])
+            made = diagnostics.calibration_gap(scored, keys=keys) if node.task_type == "classification" else diagnostics.regression_calibration_gap(scored, keys)
+            out = made.join(scored.groupBy(*keys).agg(diagnostics.known_at()), keys)
         elif metric == "prediction_disagreement":
             each = [self._judged(n, ("test",)).withColumn("candidate", F.lit(n)) for n in i.prediction_tables]
             scored = reduce(DataFrame.unionByName, each)
-            out = diagnostics.disagreement(scored).join(scored.groupBy("outer_fold_id").agg(F.max("t_idx").alias("known_at")), "outer_fold_id")
+            keys = self._scope(i.prediction_tables[0])
+            out = diagnostics.disagreement(scored, keys).join(scored.groupBy(*keys).agg(F.max("t_idx").alias("known_at")), keys)
         elif metric == "coefficient_stability":
             state = self._get(i.model_states[0], A.MODEL_STATE)
-            plan = self._test_starts(i.fold_plans[0]).select("outer_fold_id", (F.col("test_start") - 1).alias("known_at"))
-            out = diagnostics.coefficient_stability(state).withColumnRenamed("change", "value").join(plan, "outer_fold_id")
+            keys = folds.scope(self._get(i.fold_plans[0], A.FOLDS))
+            plan = self._starts(i.fold_plans[0]).select(*keys, (F.col("test_start") - 1).alias("known_at"))
+            out = diagnostics.coefficient_stability(state).withColumnRenamed("change", "value").join(plan, keys)
         elif metric == "feature_drift":
             # Inputs are known at once: a fold's drift is known when its test ends.
             rows = self._roles(node, i.feature_tables[0], i.target_tables[0], i.fold_plans[0])
-            columns = list(node.columns)
-            known = rows.filter("split_role = 'test'").groupBy("outer_fold_id").agg(F.max("t_idx").alias("known_at"))
-            moments = diagnostics.drift_moments(rows, columns)
-            long = moments.unpivot(["outer_fold_id", "feature"], ["mean_shift", "std_ratio"], "metric", "value")
-            long = long.unionByName(diagnostics.psi(rows, columns).select("outer_fold_id", "feature", F.lit("psi").alias("metric"), F.col("psi").alias("value")))
-            quantiles = diagnostics.drift_quantiles(rows, columns)
-            long = long.unionByName(quantiles.unpivot(["outer_fold_id", "feature"], ["shift_10", "shift_50", "shift_90"], "metric", "value"))
+            rows = cut(rows.select("asset", "outer_fold_id", "split_role", "clock", *node.columns))
+            columns, keys = list(node.columns), folds.scope(self._get(i.fold_plans[0], A.FOLDS))
+            known = rows.filter("split_role = 'test'").groupBy(*keys).agg(F.max("clock").alias("known_at"))
+            moments = diagnostics.drift_moments(rows, columns, keys)
+            long = moments.unpivot([*keys, "feature"], ["mean_shift", "std_ratio"], "metric", "value")
+            long = long.unionByName(diagnostics.psi(rows, columns, keys=keys).select(*keys, "feature", F.lit("psi").alias("metric"), F.col("psi").alias("value")))
+            quantiles = diagnostics.drift_quantiles(rows, columns, keys=keys)
+            long = long.unionByName(quantiles.unpivot([*keys, "feature"], ["shift_10", "shift_50", "shift_90"], "metric", "value"))
             if len(columns) > 1:
-                long = long.unionByName(diagnostics.drift_correlation(rows, columns).select("outer_fold_id", F.lit("*").alias("feature"), F.lit("corr_change").alias("metric"), F.col("corr_change").alias("value")))
-            self._put(node, A.DIAGNOSTICS, long.join(known, "outer_fold_id").withColumn("node", F.lit(node.name)), kind=metric)
+                long = long.unionByName(diagnostics.drift_correlation(rows, columns, keys).select(*keys, F.lit("*").alias("feature"), F.lit("corr_change").alias("metric"), F.col("corr_change").alias("value")))
+            self._put(node, A.DIAGNOSTICS, long.join(known, keys).withColumn("node", F.lit(node.name)), kind=metric)
             return
         elif metric == "metrics":
             scored = self._judged(i.prediction_tables[0], ("test",))
-            wide = (diagnostics.regression_metrics if node.task_type == "regression" else diagnostics.classification_metrics)(scored, ["outer_fold_id"])
+            keys = self._scope(i.prediction_tables[0])
+            wide = (diagnostics.regression_metrics if node.task_type == "regression" else diagnostics.classification_metrics)(scored, keys)
             names = [c for c, t in wide.dtypes if t == "double"]
-            out = wide.unpivot(["outer_fold_id"], names, "metric", "value").join(scored.groupBy("outer_fold_id").agg(diagnostics.known_at()), "outer_fold_id")
+            out = wide.unpivot(keys, names, "metric", "value").join(scored.groupBy(*keys).agg(diagnostics.known_at()), keys)
             self._put(node, A.DIAGNOSTICS, out.withColumn("node", F.lit(node.name)), kind=metric)
             return
         else:
@@ -362,8 +382,7 @@ class Runner:
         start = self._test_starts(i.fold_plans[0])
         by: list[str] = []
         if node.strategy == "regime_conditioned":
-            table = self._get(i.regime_tables[0], A.FEATURES)
-            rows = rows.join(table.select("asset", "bar_ts", F.col("high_vol").alias("regime")), ["asset", "bar_ts"])
+            rows = rows.join(self._regimes(node.name), ["asset", "bar_ts"])
             by = ["regime"]
         scores = rows.groupBy(*by, "candidate", "outer_fold_id").agg(diagnostics.mean_loss(node.metric).alias("score"), diagnostics.known_at()).join(start, "outer_fold_id")
         k = node.recent_folds
@@ -383,13 +402,12 @@ class Runner:
         weights = self._get(node.name, A.SELECTION)
         every = reduce(DataFrame.unionByName, [self._get(n, A.PREDICTIONS).filter("split_role = 'test'").withColumn("candidate", F.lit(n)) for n in i.prediction_tables])
         if by:
-            table = self._get(i.regime_tables[0], A.FEATURES).select("asset", "bar_ts", F.col("high_vol").alias("regime"))
-            chosen = every.join(table, ["asset", "bar_ts"]).join(weights.filter("chosen").select("outer_fold_id", "candidate", "regime"), ["outer_fold_id", "candidate", "regime"])
+            chosen = every.join(self._regimes(node.name), ["asset", "bar_ts"]).join(weights.filter("chosen").select("outer_fold_id", "candidate", "regime"), ["outer_fold_id", "candidate", "regime"])
             blended = chosen.select("outer_fold_id", "asset", "bar_ts", "y", "pred")
         else:
             blended = selection.apply_weights(every, weights)
         places = every.select("asset", "bar_ts", "outer_fold_id", "t_idx", "label_end_idx").distinct()
-        self._put(node, A.PREDICTIONS, blended.join(places, ["asset", "bar_ts", "outer_fold_id"]).withColumn("split_role", F.lit("test")).select(*PRED), strategy=node.strategy)
+        self._put(node, A.PREDICTIONS, blended.join(places, ["asset", "bar_ts", "outer_fold_id"]).withColumns({"split_role": F.lit("test"), "calibrated": F.lit(False)}).select(*PRED), strategy=node.strategy)
 
 
 class _Fits:

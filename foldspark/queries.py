@@ -16,9 +16,12 @@ from foldspark.functions import targets as tgt
 from foldspark.operators import analysis, calibration, derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
 from foldspark.operators.folds import ValidationSpec
 from foldspark.operators.lineage import cut, scratch
+from foldspark.plans.graph import WorkflowGraph
 from foldspark.plans.inspect import Run, load_run
+from foldspark.plans.nodes import DiagnosticNode, TransformNode
 from foldspark.plans.recipes import NestedTuningRecipe, SelectorRecipe, SingleModelRecipe, StackedModelRecipe
 from foldspark.plans.runner import Runner
+from foldspark.plans.specs import DiagnosticInputs
 from foldspark.sources import bars as src
 from foldspark.sources.vendors import TableVendor
 
@@ -526,6 +529,27 @@ def run_per_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(_run(spark, sf_dir, SingleModelRecipe("events", None, PER_ASSET, columns=tuple(A))), "model", 5)
 
 
+def _own_scopes(spark: SparkSession, sf_dir: str) -> Run:
+    """A run in which each asset has folds of its own, with scaled inputs and their drift."""
+    base = SingleModelRecipe("events", None, PER_ASSET, columns=tuple(A)).nodes()[:-2]
+    inputs = DiagnosticInputs(feature_tables=["features_baseline"], target_tables=["target_ret20"], fold_plans=["folds"])
+    scaled = TransformNode("scaled", "features_baseline", "target_ret20", "folds", "scale", tuple(A))
+    runner = Runner(spark, scratch(spark), {"events": TableVendor(lambda s: src.event_bars(s, sf_dir))})
+    return load_run(spark, runner.root, runner.run(WorkflowGraph((*base, scaled, DiagnosticNode("drift", "feature_drift", inputs, tuple(A))))))
+
+
+def scale_per_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs scaled by the asset's own training rows of each of its folds."""
+    out = _own_scopes(spark, sf_dir).load_artifact("scaled", split_role="test")
+    return rounded(out.select("asset", "bar_ts", "outer_fold_id", *A), 5)
+
+
+def drift_per_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of the inputs by asset and fold, known on the clock that all assets share."""
+    out = _own_scopes(spark, sf_dir).load_artifact("drift")
+    return rounded(out.select("asset", "outer_fold_id", "feature", "metric", "value", "known_at"), 5)
+
+
 def run_nested_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, sf_dir, NestedTuningRecipe("events", None, SPEC, inner=INNER, hyperopt=TWO, columns=tuple(A)))
     return rounded(run.load_inner_validation("model").select("outer_fold_id", "inner_fold_id", "candidate", F.col("value").alias("score")), 4)
@@ -564,7 +588,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scale_train_only, clip_train_only, select_topk_corr, grid_inner_scores, grid_best, grid_two_params, grid_by_mae, oof_predictions, meta_required, meta_full, pca_by_fold, logit_by_fold, gbt_by_fold, isotonic, calibrated_by_fold,
         diag_gap, diag_drift_moments, diag_drift_quantile, diag_psi, diag_drift_corr, diag_resid_std, diag_disagreement, diag_coef_stability, diag_calibration, diag_calibration_regression, diag_residual_profile,
         metrics_rank_ic, metrics_classification, derived_resid_std, derived_health, derived_disagreement, project_health, project_by_asset,
-        select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, corr_assets, run_single_model, run_per_asset, run_nested_tuning, run_stacked, run_selector, lineage,
+        select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, corr_assets, run_single_model, run_per_asset, scale_per_asset, drift_per_asset, run_nested_tuning, run_stacked, run_selector, lineage,
     )
 } | {
     "tgt_fwd_return": _target(tgt.forward_return), "tgt_fwd_vol": _target(tgt.forward_volatility), "tgt_updown": _target(tgt.up_down),

@@ -50,7 +50,7 @@ def test_no_bin_is_larger_than_the_limit(data):
     assert ((bins._n <= 60) | (bins._low == bins._high)).all()
     for _, own in bins.groupby("g", dropna=False):
         own = own.sort_values("_before")
-        assert (own._high.to_numpy()[:-1] < own._low.to_numpy()[1:]).all() and own._n.sum() == own._all.iloc[0]
+        assert (own._high.to_numpy()[:-1] < own._low.to_numpy()[1:]).all() and own._n.sum() == own._total.iloc[0]
 
 
 def test_empty(spark, data):

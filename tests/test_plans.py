@@ -1,12 +1,17 @@
+from datetime import timedelta
+
+import numpy as np
 import pytest
+from helpers import START, bars
 from pyspark.sql import functions as F
 
 from foldspark.functions.targets import default_tasks
+from foldspark.operators import leakage
 from foldspark.operators.folds import ValidationSpec
 from foldspark.plans import nodes as N
 from foldspark.plans.artifacts import ArtifactScope, ArtifactType, GranularityError, ScopedFrame, join_scoped
 from foldspark.plans.graph import GraphError, WorkflowGraph
-from foldspark.plans.inspect import load_run
+from foldspark.plans.inspect import ancestors, load_run
 from foldspark.plans.recipes import DiagnosticAwareMetaRecipe, FeatureComparisonRecipe, NestedTuningRecipe, SelectorRecipe, SingleModelRecipe, StackedModelRecipe, required_workflow
 from foldspark.plans.runner import Runner
 from foldspark.plans.specs import DiagnosticInputs, HyperoptSpec, ModelInputs, ModelSpec, TrainingRecipe
@@ -106,6 +111,93 @@ def test_transform_derived_and_classifier(runner, spark):
     assert {"pc0", "pc1"} <= set(run.load_artifact("pca").columns) and run.load_artifact("health").count() > 0
 
 
+def _late(spark, change_after=None):
+    """Assets a and b; b is listed 150 hours later. ``change_after``: b is another from that hour on."""
+    rng = np.random.default_rng(5)
+    steps = {x: np.exp(np.cumsum(rng.normal(0, 0.01 if x == "a" else 0.05, 400))) * 100 for x in "ab"}
+    closes = {"a": dict(enumerate(steps["a"].tolist())), "b": {150 + t: v for t, v in enumerate(steps["b"][:250].tolist())}}
+    if change_after is not None:
+        closes["b"] = {t: v if t <= change_after else 7.0 + (t * 37) % 11 for t, v in closes["b"].items()}
+    return bars(spark, closes).drop("t_idx")
+
+
+def _late_run(spark, root, table):
+    own = ValidationSpec(min_train_size=60, test_size=30, embargo=20, mode="per_asset")
+    base = SingleModelRecipe("events", None, own, columns=("ret5", "vol20")).nodes()[:-1]
+    drift = N.DiagnosticNode("drift", "feature_drift", DiagnosticInputs(feature_tables=["features_baseline"], target_tables=["target_ret20"], fold_plans=["folds"]), ("ret5", "vol20"))
+    gap = N.DiagnosticNode("gap", "train_test_deviance_gap", DiagnosticInputs(["model"]))
+    stable = N.DiagnosticNode("stable", "coefficient_stability", DiagnosticInputs(model_states=["model"], fold_plans=["folds"]))
+    made = [N.TransformNode(k, "features_baseline", "target_ret20", "folds", k, ("ret5", "vol20"), {"k": 1} if k in ("pca", "select") else {}) for k in ("scale", "clip", "pca", "select")]
+    health = N.ProjectionNode("health", N.ProjectionInputs(["bars"], ["drift", "gap", "stable"]))
+    runner = Runner(spark, str(root), {"events": TableVendor(lambda s: table)})
+    return load_run(spark, runner.root, runner.run(WorkflowGraph((*base, *made, drift, gap, stable, health))))
+
+
+def test_a_late_assets_future_changes_nothing_before(spark, tmp_path):
+    t = 260
+    a, b = _late_run(spark, tmp_path / "a", _late(spark)), _late_run(spark, tmp_path / "b", _late(spark, t))
+    first = START + timedelta(hours=t)
+    for name in ("scale", "clip", "pca", "select", "health"):
+        rows = [r.load_artifact(name).filter(F.col("bar_ts") <= F.lit(first)) for r in (a, b)]
+        kept = [sorted(map(str, (r if name == "health" else r.filter("split_role = 'test'")).collect())) for r in rows]
+        assert kept[0] and kept[0] == kept[1], name
+    known = {(r.asset, r.outer_fold_id): r.known_at for r in a.load_artifact("drift").select("asset", "outer_fold_id", "known_at").distinct().collect()}
+    assert known["a", 0] == 109 and known["b", 0] == 150 + 109
+    means = a.load_artifact("scale").filter("split_role = 'train'").groupBy("asset", "outer_fold_id").agg(F.avg("vol20").alias("m")).collect()
+    assert len({r.asset for r in means}) == 2 and all(abs(r.m) < 1e-9 for r in means)
+
+
+def test_pooled_statistics_of_plans_by_asset_are_refused(spark):
+    rows = [("a", t, "train" if t < 60 else "test") for t in range(90)] + [("b", 150 + t, "train" if t < 60 else "test") for t in range(90)]
+    frame = spark.createDataFrame(rows, "asset string, clock int, split_role string").withColumns({"outer_fold_id": F.lit(0), "clock_end": F.col("clock")})
+    leakage.check_fitted(frame, ["asset", "outer_fold_id"])
+    with pytest.raises(leakage.LeakageError):
+        leakage.check_fitted(frame, ["outer_fold_id"])
+
+
+@pytest.mark.parametrize("how", ["isotonic", "platt"])
+def test_calibration_keeps_every_fold(runner, spark, how):
+    base = SingleModelRecipe("events", None, ValidationSpec(min_train_size=100, test_size=60, embargo=20), task="updown20", columns=("ret5", "vol20")).nodes()[:-2]
+    inputs = ModelInputs(["bars"], ["folds"], ["features_baseline"], ["target_updown20"])
+    both = [
+        N.ModelNode(n, inputs, ModelSpec(n, "logistic"), TrainingRecipe(INNER, generate_train_oof_predictions=True, calibration=c), "updown20", ("ret5", "vol20"))
+        for n, c in (("plain", None), ("curved", how))
+    ]
+    run = load_run(spark, runner.root, runner.run(WorkflowGraph((*base, *both))))
+    plain, curved = (run.load_predictions(n, split_role="test") for n in ("plain", "curved"))
+    folds_ = lambda df: {r[0] for r in df.select("outer_fold_id").distinct().collect()}
+    assert folds_(plain) == folds_(curved) and plain.count() == curved.count() and plain.filter("calibrated").isEmpty()
+    with_oof = folds_(run.load_predictions("curved", split_role="oof"))
+    assert folds_(curved.filter("calibrated")) == with_oof < folds_(curved)
+    early = curved.filter("not calibrated").select("asset", "bar_ts", "outer_fold_id", "pred")
+    assert early.count() and early.exceptAll(plain.select(*early.columns)).isEmpty()
+
+
+def test_selection_by_regime_as_input(runner, spark):
+    """A row of the meta model takes what was selected for its own regime."""
+    base = SingleModelRecipe("events", None, OUTER, columns=("ret5", "vol20")).nodes()[:-2]
+    inputs = ModelInputs(["bars"], ["folds"], ["features_baseline"], ["target_ret20"])
+    training = TrainingRecipe(INNER, generate_train_oof_predictions=True)
+    models_ = [N.ModelNode(n, inputs, ModelSpec(n, "ridge"), training, "ret20", c) for n, c in (("x", ("ret5", "vol20")), ("y", ("ret1", "mom20")))]
+    choose = N.SelectionNode("selected", "regime_conditioned", N.SelectionInputs(["x", "y"], ["folds"], [], ["regime"]))
+    meta = N.ModelNode("meta", ModelInputs(["bars"], ["folds"], [], ["target_ret20"], selection_tables=["selected"]), ModelSpec("meta", "ridge"), TrainingRecipe(save_training_snapshot=True), "ret20")
+    run = load_run(spark, runner.root, runner.run(WorkflowGraph((*base, N.FeatureNode("regime", "bars", "regime"), *models_, choose, meta))))
+    chosen = run.load_artifact("selected", artifact_type="SelectionArtifact").filter("chosen").select("outer_fold_id", "candidate", "regime")
+    every = run.load_predictions("x").withColumn("candidate", F.lit("x")).unionByName(run.load_predictions("y").withColumn("candidate", F.lit("y"))).filter("split_role = 'oof'")
+    regimes = run.load_artifact("regime").select("asset", "bar_ts", F.col("high_vol").alias("regime"))
+    want = every.join(regimes, ["asset", "bar_ts"]).join(chosen, ["outer_fold_id", "candidate", "regime"]).select("asset", "bar_ts", "outer_fold_id", F.col("pred").alias("want"))
+    snapshot = run.load_artifact("meta", artifact_type="TrainingDatasetSnapshotArtifact")
+    both = snapshot.join(want, ["asset", "bar_ts", "outer_fold_id"], "left")
+    assert snapshot.count() and both.filter("want is null or abs(want - pred_selected) > 1e-12").isEmpty()
+
+
+def test_lineage_follows_pairs_not_paths(spark):
+    layers = [(f"{k}.{i}", f"{k + 1}.{j}") for k in range(29) for i in range(5) for j in range(5)]
+    got = ancestors(spark.createDataFrame([*layers, ("p", "q"), ("q", "p"), ("q", None)], "artifact_id string, upstream_id string")).collect()
+    depth = {(r.artifact_id, r.ancestor_id): r.depth for r in got}
+    assert len(got) == len(depth) == 25 * 29 * 30 // 2 + 4 and depth["0.0", "29.4"] == 29 and depth["p", "p"] == 2
+
+
 def test_same_graph_same_ids(runner):
     recipe = SingleModelRecipe("events", None, OUTER, columns=("ret5",))
     a, b = done(runner, recipe), done(runner, recipe)
