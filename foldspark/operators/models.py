@@ -14,14 +14,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators import logistic
+from foldspark.operators import boosting, logistic
 from foldspark.operators.folds import assign
 from foldspark.operators.lineage import cut
 
@@ -74,9 +73,9 @@ REGISTRY: dict[str, Algorithm] = {
         Algorithm("ols", ("regression",), None, True),
         Algorithm("lasso", ("regression",), lambda p: LinearRegression(**_given(p, elasticNetParam=1.0, regParam=float(p.get("alpha", 0.01))))),
         Algorithm("random_forest", ("regression",), lambda p: RandomForestRegressor(**_given(p, seed=1))),
-        Algorithm("gbt", ("regression",), lambda p: GBTRegressor(**_given(p, seed=1))),
+        Algorithm("gbt", ("regression",), grouped=boosting.fit, apply=boosting.score, params=boosting.PARAMS),
         Algorithm("logistic", ("classification",), grouped=_logistic, apply=logistic.probability, params=("alpha", "regParam", "maxIter", "tol")),
-        Algorithm("gbt_classifier", ("classification",), lambda p: GBTClassifier(**_given(p, seed=1))),
+        Algorithm("gbt_classifier", ("classification",), grouped=lambda *a: boosting.fit(*a, classes=True), apply=boosting.probability, params=boosting.PARAMS),
     )
 }
 

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from foldspark.operators import calibration, logistic, order
+from foldspark.operators import boosting, calibration, logistic, order
 
 
 def _classes(n, seed):
@@ -89,3 +89,56 @@ def test_platt_by_fold_keeps_every_fold(spark):
     assert len(out) == 203 and out[out.f == 5].proba.isna().all()
     for _, d in out[out.f < 5].groupby("f"):
         assert d.proba.mean() == pytest.approx(d.y.mean(), abs=1e-6)  # a logistic fit's mean is the labels'
+
+
+def _slow_trees(x, y, rounds, depth, bins, step, classes, least=1):
+    """Boosting row by row: every threshold of every node is tried on the rows themselves."""
+    edges = [list(dict.fromkeys(np.quantile(x[:, f], np.arange(1, bins) / bins))) for f in range(x.shape[1])]
+    score = np.full(len(y), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if classes else y.mean())
+
+    def grow(rows, level, g, h, out):
+        best = (1e-12, None)
+        for f, cuts in enumerate(edges):
+            for e in cuts:
+                a = x[rows, f] <= e
+                if min(a.sum(), (~a).sum()) < least:
+                    continue
+                gl, hl, gr, hr = g[rows][a].sum(), h[rows][a].sum(), g[rows][~a].sum(), h[rows][~a].sum()
+                gain = gl**2 / hl + gr**2 / hr - (gl + gr) ** 2 / (hl + hr)
+                if gain > best[0] * (1 + 1e-9):
+                    best = (gain, rows[a], rows[~a], gl / hl, gr / hr)
+        if best[1] is None:
+            return
+        out[best[1]], out[best[2]] = best[3], best[4]
+        if level > 1:
+            grow(best[1], level - 1, g, h, out)
+            grow(best[2], level - 1, g, h, out)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        g, h = (y - p, p * (1 - p)) if classes else (y - score, np.ones(len(y)))
+        out = np.zeros(len(y))
+        grow(np.arange(len(y)), depth, g, h, out)
+        score = score + step * out
+    return 1 / (1 + np.exp(-score)) if classes else score
+
+
+@pytest.mark.parametrize("classes", [False, True])
+def test_boosted_trees_of_several_folds(spark, classes):
+    frames, want = [], {}
+    params = {"maxIter": 4, "maxDepth": 3, "maxBins": 8, "stepSize": 0.5, "minInstancesPerNode": 3}
+    for k, n in ((1, 160), (2, 70), (3, 9)):
+        rng = np.random.default_rng(k)
+        x = np.c_[rng.normal(size=n), rng.integers(0, 4, n), rng.normal(size=n)]
+        y = np.sin(2 * x[:, 0]) + (x[:, 1] > 1) * x[:, 2] + rng.normal(0, 0.1, n)
+        y = (y > 0.2).astype(float) if classes else y
+        frames.append(pd.DataFrame({"k": k, "i": np.arange(n), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+        want[k] = _slow_trees(x, y, 4, 3, 8, 0.5, classes, 3)
+    rows = spark.createDataFrame(pd.concat(frames))
+    fits = boosting.fit(rows, ["a", "b", "c"], ["k"], params, classes)
+    made = boosting.probability if classes else boosting.score
+    out = rows.join(fits, "k").withColumn("pred", made(["a", "b", "c"])).toPandas()
+    for k, own in out.groupby("k"):
+        assert own.sort_values("i").pred.to_numpy() == pytest.approx(want[k], abs=1e-9), k
+    told = {r.k: r for r in fits.collect()}
+    assert all(sum(r.coefs) in (0.0, pytest.approx(1)) and len(r.trees) == 4 for r in told.values())
