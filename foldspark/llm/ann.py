@@ -199,15 +199,23 @@ def exactly(vectors: np.ndarray, queries: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _matrix(vectors: pa.ChunkedArray, order: list[int] | None = None) -> np.ndarray:
+    """Vectors of one length as rows, without a Python object for each number."""
+    flat = vectors.combine_chunks()
+    flat = flat.take(pa.array(order)) if order is not None else flat
+    return np.ascontiguousarray(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1), np.float64)
+
+
 def _lifted(queries: np.ndarray) -> np.ndarray:
     return np.concatenate((queries, np.zeros((len(queries), 1))), 1).astype(np.float32)
 
 
 def measured(graph: Graph, vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[int, float]:
-    """(width of the beam, recall at ``k + 1``) of the narrowest beam that reaches ``TARGET``; EXACT if none does."""
+    """(width of the beam, recall at ``k + 1``) of the narrowest beam that reaches ``TARGET``; EXACT if none
+    does, or if there is no query to measure it with."""
     want = exactly(vectors, queries, k + 1)
     if not want.size:
-        return BEAMS[0], 1.0
+        return EXACT, 1.0
     for beam in (b for b in BEAMS if b > k):
         found = graph.search(_lifted(queries), beam)[0]
         recall = float(np.mean([np.isin(w, f).mean() for w, f in zip(want, found)]))
@@ -229,7 +237,7 @@ def index(nodes_: DataFrame, sample: DataFrame, uri: str, k: int = 20) -> DataFr
         ids = table.column("ids").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: ids[i][0])
         ids = [ids[i] for i in order]
-        vectors = np.array(table.column("vector").take(pa.array(order)).to_pylist(), np.float64)
+        vectors = _matrix(table.column("vector"), order)
         graph = Graph(vectors).build()
         beam, recall = measured(graph, vectors, np.array(asked.get(vectors.shape[1], []), np.float64).reshape(-1, vectors.shape[1]), k)
         shard = table.column("shard")[0].as_py()
@@ -268,7 +276,7 @@ def search(shards: DataFrame, queries: DataFrame, uri: str, k: int = 20, block:
     def run(table: pa.Table) -> pa.Table:
         graph, vectors, begin, ids = _shard(uri, table.column("shard")[0].as_py())
         beam, own = table.column("beam")[0].as_py(), table.column("id").to_numpy()
-        q = np.array(table.column("vector").to_pylist(), np.float64)
+        q = _matrix(table.column("vector"))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = max(1, (1 << 24) // len(vectors))
         for i in range(0, len(q), step):
