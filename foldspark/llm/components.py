@@ -75,6 +75,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     state = _state(now)
     for _ in range(most_rounds):
         now = _settled(now.coalesce(-(-state[0] // CHUNK) or 1))
+        if state[0] <= CHUNK:  # one task held all links, so nothing is left to settle
+            now = materialised(now, free=False)
+            break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
