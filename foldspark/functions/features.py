@@ -63,6 +63,10 @@ class FeatureFamily(ABC):
     def build(self, params: Mapping[str, Any]) -> list[Feature]:
         """Columns over bars that also have ``ret1``, the last bar's return."""
 
+    def memory(self, params: Mapping[str, Any]) -> int | None:
+        """How many earlier bars of its asset a row depends on; None if there is no bound, or on other assets."""
+        return None
+
     def apply(self, bars: DataFrame, params: Mapping[str, Any]) -> DataFrame:
         made = self.build({**self.defaults, **params})
         return with_returns(bars).select("asset", "bar_ts", *(f.value.alias(f.name) for f in made))
@@ -78,6 +82,10 @@ class Baseline(FeatureFamily):
     name = "baseline"
     defaults = {"returns": (1, 5, 20), "window": 20}
 
+    def memory(self, params: Mapping[str, Any]) -> int:
+        p = {**self.defaults, **params}
+        return max(*p["returns"], p["window"])
+
     def build(self, params: Mapping[str, Any]) -> list[Feature]:
         n, close, volume = params["window"], F.col("close"), F.col("volume")
         return [
@@ -121,6 +129,10 @@ class Regime(FeatureFamily):
     name = "regime"
     defaults = {"window": 20, "past": 60, "share": 0.75}
 
+    def memory(self, params: Mapping[str, Any]) -> int:
+        p = {**self.defaults, **params}
+        return p["past"] + p["window"]
+
     def apply(self, bars: DataFrame, params: Mapping[str, Any]) -> DataFrame:
         p = {**self.defaults, **params}
         vol = trailing(F.col("ret1"), p["window"], F.stddev_samp)

@@ -6,6 +6,7 @@ table: a row for each fold, made from one row with the number of times.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -93,24 +94,37 @@ def in_test() -> Column:
 
 #: Folds up to which a plan is broadcast (about 64 bytes each, or a kilobyte with a model's coefficients).
 BROADCAST_FOLDS = 10_000
+#: Times of a bucket by which rows meet the spans of larger plans.
+BUCKET = 64
+
+
+def few(plan: DataFrame) -> bool:
+    """Whether a plan is counted to be small, as inner plans grow with the square of the times; plans by asset count as large."""
+    return "asset" not in plan.columns and plan.limit(BROADCAST_FOLDS + 1).count() <= BROADCAST_FOLDS
 
 
 def bounded(folds: DataFrame, plan: DataFrame | None = None) -> DataFrame:
-    """``folds`` to be broadcast, if they are few; they are counted, as inner plans grow with the square
-    of the times.  Larger plans and plans by asset carry no hint.  ``plan`` has as many rows and is
-    counted in their place where they take longer to compute."""
-    if "asset" in folds.columns or (folds if plan is None else plan).limit(BROADCAST_FOLDS + 1).count() > BROADCAST_FOLDS:
-        return folds
-    return F.broadcast(folds)
+    """``folds`` to be broadcast, if they are few. ``plan`` has as many rows and is counted in their place where they take longer to compute."""
+    return F.broadcast(folds) if few(folds if plan is None else plan) else folds
+
+
+def meet(rows: DataFrame, spans: DataFrame, low: str, high: str, plan: DataFrame | None = None, on: Sequence[str] = ("asset",)) -> DataFrame:
+    """``rows`` by the ``spans`` with low <= t_idx < high, of the same ``on`` where spans have it.
+
+    Few spans are broadcast.  Others are laid out by buckets of ``BUCKET`` times, so rows meet those of their bucket
+    by an equal key and not all spans; what is shuffled follows the result, which has a row for each of them anyway.
+    """
+    inside = (F.col("t_idx") >= F.col(low)) & (F.col("t_idx") < F.col(high))
+    keys = [k for k in on if k in spans.columns and k in rows.columns]
+    if not keys and few(spans if plan is None else plan):
+        return rows.join(F.broadcast(spans), inside)
+    buckets = F.sequence(F.floor(F.col(low) / BUCKET), F.floor((F.col(high) - 1) / BUCKET))
+    laid = spans.filter(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(buckets))
+    return rows.withColumn("_bucket", F.floor(F.col("t_idx") / BUCKET)).join(laid, [*keys, "_bucket"]).filter(inside).drop("_bucket")
 
 
 def assign(rows: DataFrame, folds: DataFrame, gap: int) -> DataFrame:
     """A row for each row and fold whose span holds it, with its role: train, test, or
     embargo (between both, or with a label that reaches into the test)."""
-    near = (F.col("t_idx") >= F.col("train_start")) & (F.col("t_idx") < F.col("test_end"))
-    folds = bounded(folds)
-    if "asset" in folds.columns:
-        folds = folds.withColumnRenamed("asset", "_asset")
-        near = near & (F.col("asset") == F.col("_asset"))
     role = F.when(in_test(), "test").when(in_train(gap), "train").otherwise("embargo")
-    return rows.join(folds, near).withColumn("split_role", role).drop("_asset")
+    return meet(rows, folds, "train_start", "test_end").withColumn("split_role", role)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.folds import bounded, eligible
+from foldspark.operators.folds import eligible, meet
 
 
 def _moments(features: Sequence[str], y: str) -> list:
@@ -38,14 +38,11 @@ def cells(rows: DataFrame, features: Sequence[str], y: str, gap: int, keys: Sequ
 
 def fold_sums(cells_: DataFrame, folds: DataFrame, role: str = "train") -> DataFrame:
     """Sums of each fold's training cells (or of its test cells)."""
-    at = F.col("t_idx")
-    inside = (at >= F.col("train_start")) & (F.col("e") < F.col("test_start")) if role == "train" else (at >= F.col("test_start")) & (at < F.col("test_end"))
     keys = [c for c in folds.columns if c not in ("train_start", "train_end", "test_start", "test_end")]
-    if "asset" in folds.columns:
-        folds = folds.withColumnRenamed("asset", "_asset")
-        inside = inside & (F.col("asset") == F.col("_asset"))
     sums = [c for c in cells_.columns if c not in ("t_idx", "e", "asset")]
-    return cells_.join(folds if "_asset" in folds.columns else bounded(folds), inside).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+    # What is eligible (e) before the test's start lies before it in time too.
+    both = meet(cells_, folds, "train_start", "test_start").filter(F.col("e") < F.col("test_start")) if role == "train" else meet(cells_, folds, "test_start", "test_end")
+    return both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def _system(row: dict, p: int, intercept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -94,14 +91,10 @@ def predict(rows: DataFrame, folds: DataFrame, fits: DataFrame, features: Sequen
     """Rows of each fold's test span with ``pred``; NULL where an input is NULL."""
     keys = [c for c in ("asset", "outer_fold_id", "inner_fold_id") if c in folds.columns]
     models = folds.join(fits, keys)  # a few models for each fold
-    inside = (F.col("t_idx") >= F.col("test_start")) & (F.col("t_idx") < F.col("test_end"))
-    if "asset" in keys:
-        models = models.withColumnRenamed("asset", "_asset")
-        inside = inside & (F.col("asset") == F.col("_asset"))
     pred = F.col("intercept")
     for i, f in enumerate(features):
         pred = pred + F.col("coefs")[i] * F.col(f)
-    return rows.join(models if "_asset" in models.columns else bounded(models, folds), inside).withColumn("pred", pred).drop("_asset", "coefs", "intercept", "train_start", "train_end", "test_start", "test_end")
+    return meet(rows, models, "test_start", "test_end", folds).withColumn("pred", pred).drop("coefs", "intercept", "train_start", "train_end", "test_start", "test_end")
 
 
 def losses(test: DataFrame, fits: DataFrame, features: Sequence[str], keys: Sequence[str], names: Sequence[str] = ("alpha",)) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foldspark.functions.features import FeatureRegistry, by_asset, default_registry
 from foldspark.functions.targets import TaskRegistry, default_tasks
 from foldspark.operators import calibration, derived, diagnostics, folds, models, projection, ridge, selection, transforms, tuning
+from foldspark.operators.chunks import in_chunks
 from foldspark.operators.leakage import check_fitted, check_purged
 from foldspark.operators.lineage import cut
 from foldspark.plans import nodes as N
@@ -29,10 +30,11 @@ PRED = ["asset", "bar_ts", "t_idx", "outer_fold_id", "split_role", "y", "label_e
 
 
 class Runner:
-    """Vendors by name, registries of features and tasks, and where runs are kept."""
+    """Vendors by name, registries of features and tasks, and where runs are kept. With ``chunk_rows``
+    features and targets of long series are computed in chunks of about so many bars."""
 
-    def __init__(self, spark: SparkSession, root: str, vendors: Mapping[str, Vendor], features: FeatureRegistry | None = None, tasks: TaskRegistry | None = None, cache: str | None = None):
-        self.spark, self.root, self.vendors, self.cache = spark, root, vendors, cache
+    def __init__(self, spark: SparkSession, root: str, vendors: Mapping[str, Vendor], features: FeatureRegistry | None = None, tasks: TaskRegistry | None = None, cache: str | None = None, chunk_rows: int | None = None):
+        self.spark, self.root, self.vendors, self.cache, self.chunk_rows = spark, root, vendors, cache, chunk_rows
         self.features, self.tasks = features or default_registry(), tasks or default_tasks()
 
     def run(self, graph: WorkflowGraph, config: dict | None = None, run_id: str | None = None) -> str:
@@ -154,7 +156,9 @@ class Runner:
 
     def _TargetNode(self, node: N.TargetNode) -> None:
         task = self.tasks.get(node.task_name)
-        self._put(node, A.TARGETS, task.table(self._get(node.bars, A.BARS)), task=task.name, horizon=str(task.horizon))
+        bars = self._get(node.bars, A.BARS)
+        table = in_chunks(bars, task.table, 1, task.horizon, self.chunk_rows) if self.chunk_rows else task.table(bars)
+        self._put(node, A.TARGETS, table, task=task.name, horizon=str(task.horizon))
 
     def _FoldPlanNode(self, node: N.FoldPlanNode) -> None:
         if node.level == "outer":
@@ -165,7 +169,9 @@ class Runner:
 
     def _FeatureNode(self, node: N.FeatureNode) -> None:
         key = self.features.param_hash(node.family, node.params)
-        table = self.features.get(node.family).apply(self._get(node.bars, A.BARS), node.params)
+        family, bars = self.features.get(node.family), self._get(node.bars, A.BARS)
+        memory = family.memory(node.params) if self.chunk_rows else None
+        table = family.apply(bars, node.params) if memory is None else in_chunks(bars, lambda b: family.apply(b, node.params), memory, rows=self.chunk_rows)
         if self.cache:
             # Reused by later runs over the same bars, named by family, parameters and the bars' content.
             path = files.join(self.cache, node.family, f"{key}-{self._content(node.bars)}")
@@ -431,11 +437,7 @@ class _Fits:
 
     def _near(self, plan: DataFrame) -> DataFrame:
         """Rows by the folds whose span holds them; rows that carry a fold meet only that one."""
-        near = (F.col("t_idx") >= F.col("train_start")) & (F.col("t_idx") < F.col("test_end"))
-        on = [k for k in ("asset", "outer_fold_id") if k in plan.columns and (k == "asset" or self.scoped)]
-        if on:
-            return self.rows.join(plan, on).filter(near)
-        return self.rows.join(folds.bounded(plan), near)
+        return folds.meet(self.rows, plan, "train_start", "test_end", on=("asset", "outer_fold_id") if self.scoped else ("asset",))
 
     def _fit_plan(self) -> DataFrame:
         """The plan that outer fits train by: without a refit, up to the test of the last inner fold."""

@@ -170,3 +170,21 @@ def test_pca_loadings(spark):
 
 def test_linear_has_no_leak(spark):
     assert linear(spark).filter("t_idx = 0").count() == 2
+
+
+def test_large_plans_meet_rows_by_buckets(spark, monkeypatch):
+    """The same rows as by broadcast, without a product of rows and folds."""
+    rows = q.model_rows(spark, SF)
+    plan = folds.inner_folds(folds.outer_folds(rows, q.SPEC), q.INNER)
+    keys = ["outer_fold_id", "inner_fold_id", "asset", "bar_ts", "split_role"]
+    told = lambda df: sorted(map(str, df.collect()))
+    small = [told(folds.assign(rows, plan, q.GAP).select(*keys)), told(ridge.long_coefs(ridge.fit(rows, plan, q.A), q.A).select("outer_fold_id", "inner_fold_id", "feature", F.round("coef", 8)))]
+    preds = told(tuning.out_of_fold(rows, folds.outer_folds(rows, q.SPEC), q.INNER, q.A).select(*keys[:4], F.round("pred", 8)))
+    monkeypatch.setattr(folds, "BROADCAST_FOLDS", 0)
+    for bucket in (1, 64):
+        monkeypatch.setattr(folds, "BUCKET", bucket)
+        met = folds.assign(rows, plan, q.GAP)
+        text = met._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+        assert [told(met.select(*keys)), told(ridge.long_coefs(ridge.fit(rows, plan, q.A), q.A).select("outer_fold_id", "inner_fold_id", "feature", F.round("coef", 8)))] == small
+    assert told(tuning.out_of_fold(rows, folds.outer_folds(rows, q.SPEC), q.INNER, q.A).select(*keys[:4], F.round("pred", 8))) == preds
