@@ -89,3 +89,20 @@ def test_edge_cases(spark):
     assert rows_of(ann.nearest(table.limit(0))) == {}
     few = rows_of(ann.nearest(table.filter("vec_id in (0, 1, 2)")))
     assert [i for i, _ in few[0]] == [1, 2]
+
+
+def test_shards_that_no_query_measures_are_searched_exactly(spark):
+    """Vectors of a length of which no query is sampled have no measured recall."""
+    rng = np.random.default_rng(9)
+    short, long = rng.normal(size=(400, 8)), rng.normal(size=(300, 12))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(short)] + [(1000 + k, v.tolist()) for k, v in enumerate(long)], "id long, vector array<double>")
+    sample = rows.filter("id < 400").select("vector")
+    uri = ann.shared_uri(spark)
+    shards = ann.index(ann.nodes(rows, 5), sample, uri, 5)
+    beams = {r.d: r.beam for r in shards.collect()}
+    assert beams[12] == ann.EXACT
+    found = ann.search(shards, rows.filter("id >= 1000 and id % 50 = 0"), uri, 5).collect()
+    for q in range(1000, 1300, 50):
+        score = long @ long[q - 1000]
+        want = [k + 1000 for k in np.argsort(-score) if k + 1000 != q][:5]
+        assert [r.id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == want
