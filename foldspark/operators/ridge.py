@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from foldspark.operators.folds import eligible, meet
 
 
-def _moments(features: Sequence[str], y: str) -> list:
+def _moments(features: Sequence[str], y: str, origin: Sequence[float]) -> list:
+    """Sums of inputs less an origin, as squares of large values would cancel; c0, c1, ... sum the origin itself."""
+    x = [F.col(f) - F.lit(c) for f, c in zip(features, origin)]
     out = [F.sum(F.lit(1.0)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")]
-    for i, a in enumerate(features):
-        out += [F.sum(a).alias(f"s{i}"), F.sum(F.col(a) * F.col(y)).alias(f"s{i}y")]
-        out += [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for j, b in enumerate(features) if j >= i]
+    for i, a in enumerate(x):
+        out += [F.sum(F.lit(origin[i])).alias(f"c{i}"), F.sum(a).alias(f"s{i}"), F.sum(a * F.col(y)).alias(f"s{i}y")]
+        out += [F.sum(a * b).alias(f"s{i}_{j}") for j, b in enumerate(x) if j >= i]
     return out
 
 
@@ -31,9 +33,11 @@ def complete(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def cells(rows: DataFrame, features: Sequence[str], y: str, gap: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Sums by time and eligibility."""
+    """Sums by time and eligibility. Any row of the data will do as the origin of its inputs."""
     used = complete(rows, [*features, y, "label_end_idx"])
-    return used.groupBy(*keys, "t_idx", eligible(gap).alias("e")).agg(*_moments(features, y))
+    first = used.select(*features).first()
+    origin = [float(first[f]) if first and np.isfinite(first[f]) else 0.0 for f in features]
+    return used.groupBy(*keys, "t_idx", eligible(gap).alias("e")).agg(*_moments(features, y, origin))
 
 
 def fold_sums(cells_: DataFrame, folds: DataFrame, role: str = "train") -> DataFrame:
@@ -47,12 +51,15 @@ def fold_sums(cells_: DataFrame, folds: DataFrame, role: str = "train") -> DataF
 
 def _system(row: dict, p: int, intercept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Centred moments: S_xx, S_xy, means of x, mean of y; about 0 without an intercept."""
-    n = row["n"]
-    mean = np.array([row[f"s{i}"] for i in range(p)]) / n if intercept else np.zeros(p)
-    my = row["sy"] / n if intercept else 0.0
-    xx = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - n * np.outer(mean, mean)
-    xy = np.array([row[f"s{i}y"] for i in range(p)]) - n * mean * my
-    return xx, xy, mean, my
+    n, sums = row["n"], np.array([row[f"s{i}"] for i in range(p)])
+    origin = np.array([row[f"c{i}"] for i in range(p)]) / n
+    xx = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+    xy = np.array([row[f"s{i}y"] for i in range(p)])
+    if not intercept:
+        both = np.outer(origin, sums)
+        return xx + both + both.T + n * np.outer(origin, origin), xy + origin * row["sy"], np.zeros(p), 0.0
+    mean, my = sums / n, row["sy"] / n
+    return xx - n * np.outer(mean, mean), xy - n * mean * my, mean + origin, my
 
 
 def solve(sums: DataFrame, features: Sequence[str], alphas: Sequence[float], keys: Sequence[str], intercept: bool = True) -> DataFrame:
@@ -102,6 +109,8 @@ def losses(test: DataFrame, fits: DataFrame, features: Sequence[str], keys: Sequ
     p = len(features)
     both = test.join(fits, list(keys))
     b, a = F.col("coefs"), F.col("intercept")
+    for i in range(p):  # the sums are of inputs less their origin
+        a = a + b[i] * F.col(f"c{i}") / F.col("n")
     sse = F.col("syy") - 2 * a * F.col("sy") + a * a * F.col("n")
     for i in range(p):
         sse = sse - 2 * b[i] * F.col(f"s{i}y") + 2 * a * b[i] * F.col(f"s{i}")

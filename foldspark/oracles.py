@@ -275,7 +275,44 @@ _OWN_DRIFT = f"""{_OWN_ROLES}, long_ AS ({' UNION ALL '.join(f"SELECT {_OWN_BY},
     UNION ALL SELECT {_OWN_BY}, '*', 'corr_change', abs(covar_pop(ret5, vol20) {_TE} / (sqrt(var_pop(ret5) {_TE}) * sqrt(var_pop(vol20) {_TE})) - covar_pop(ret5, vol20) {_TR} / (sqrt(var_pop(ret5) {_TR}) * sqrt(var_pop(vol20) {_TR}))) FROM both2 GROUP BY {_OWN_BY}),
   known AS (SELECT {_OWN_BY}, max(t_idx) AS known_at FROM roles WHERE split_role = 'test' GROUP BY ALL)"""
 
+def _checks(p: str) -> str:
+    """Deviance gap by fold and residual deviation by fold and asset of the base model ``p``, as {p}_gap and {p}_res with known_at as ka."""
+    error = f"y - (c.my - c.b1 * c.ma - c.b2 * c.mb + c.b1 * ret5 + c.b2 * vol20)"
+    return f"""{p}_both AS (
+  SELECT f.outer_fold_id, asset, label_end_idx, t_idx >= test_start AS tested, {error} AS e FROM {p}_r AS r JOIN folds AS f ON t_idx >= train_start AND t_idx < test_end JOIN {p}_of AS c ON c.outer_fold_id = f.outer_fold_id
+  WHERE ret5 IS NOT NULL AND vol20 IS NOT NULL AND y IS NOT NULL AND (t_idx >= test_start OR {E_} < test_start)),
+{p}_gap0 AS (SELECT outer_fold_id, avg(e * e) FILTER (WHERE tested) - avg(e * e) FILTER (WHERE NOT tested) AS v, max(label_end_idx) AS ka FROM {p}_both GROUP BY 1),
+{p}_gap AS (SELECT ka, arg_max(v, outer_fold_id) AS v FROM {p}_gap0 GROUP BY 1),
+{p}_res0 AS (SELECT outer_fold_id, asset, stddev_samp(e) AS v, max(label_end_idx) AS ka FROM {p}_both WHERE tested GROUP BY 1, 2),
+{p}_res AS (SELECT asset, ka, arg_max(v, outer_fold_id) AS v FROM {p}_res0 GROUP BY 1, 2)"""
+
+
+_REQUIRED = ["ret5", "vol20", "p_ret", "p_vol", "psi_ret5", "psi_vol20", "shift_ret5", "shift_vol20", "g_ret", "s_ret", "g_vol", "s_vol", "drift_known"]
+_REQUIRED_THERE = " AND ".join(f"{c} IS NOT NULL" for c in [*_REQUIRED, "y"])
+REQUIRED = f"""{PANEL}, {FOLDS}, {INNER}, {', '.join(_META_PARTS)}, {_checks('p_ret')}, {_checks('p_vol')}, {rows('ret', 40, 'mrows')},
+roles AS (SELECT r.*, f.outer_fold_id, CASE WHEN t_idx >= test_start THEN 'test' WHEN {E_} < test_start THEN 'train' ELSE 'embargo' END AS split_role FROM p_ret_r AS r JOIN folds AS f ON t_idx >= train_start AND t_idx < test_end),
+long_ AS ({' UNION ALL '.join(f"SELECT outer_fold_id, split_role, '{f}' AS feature, {f} AS x FROM roles" for f in ('ret5', 'vol20'))}),
+shifts AS (SELECT outer_fold_id, feature, (avg(x) {_TE} - avg(x) {_TR}) / nullif(stddev_samp(x) {_TR}, 0) AS shift FROM long_ GROUP BY 1, 2),
+e AS (SELECT outer_fold_id, feature, {', '.join(f'quantile_cont(x, {i / 10}) {_TR} AS q{i}' for i in range(1, 10))} FROM long_ GROUP BY 1, 2),
+b AS (SELECT l.outer_fold_id, l.feature, split_role, {' + '.join(f'CAST(q{i} < x AS INTEGER)' for i in range(1, 10))} AS bin FROM long_ AS l JOIN e ON e.outer_fold_id = l.outer_fold_id AND e.feature = l.feature WHERE x IS NOT NULL),
+c AS (SELECT outer_fold_id, feature, bin, (count(*) {_TR})::DOUBLE AS a, (count(*) {_TE})::DOUBLE AS b FROM b GROUP BY 1, 2, 3),
+psis AS (SELECT outer_fold_id, feature, {_PSI} AS psi FROM c GROUP BY 1, 2),
+known AS (SELECT outer_fold_id, max(t_idx) AS ka FROM roles WHERE split_role = 'test' GROUP BY 1),
+drift0 AS (SELECT outer_fold_id, any_value(ka) AS ka, {', '.join(f"max(psi) FILTER (WHERE feature = '{f}') AS psi_{f}, max(shift) FILTER (WHERE feature = '{f}') AS shift_{f}" for f in ('ret5', 'vol20'))} FROM psis JOIN shifts USING (outer_fold_id, feature) JOIN known USING (outer_fold_id) GROUP BY 1),
+drift AS (SELECT * FROM drift0 QUALIFY row_number() OVER (PARTITION BY ka ORDER BY outer_fold_id DESC) = 1),
+h1 AS (SELECT m.*, {', '.join(f'coalesce(d.{c}, 0.0::DOUBLE) AS {c}' for c in _REQUIRED[4:8])}, CAST(d.ka IS NOT NULL AS INTEGER) AS drift_known FROM mrows AS m ASOF LEFT JOIN drift AS d ON m.t_idx > d.ka),
+h2 AS (SELECT m.*, coalesce(g.v, 0.0::DOUBLE) AS g_ret FROM h1 AS m ASOF LEFT JOIN p_ret_gap AS g ON m.t_idx > g.ka),
+h3 AS (SELECT m.*, coalesce(g.v, 0.0::DOUBLE) AS g_vol FROM h2 AS m ASOF LEFT JOIN p_vol_gap AS g ON m.t_idx > g.ka),
+h4 AS (SELECT m.*, coalesce(g.v, 0.0::DOUBLE) AS s_ret FROM h3 AS m ASOF LEFT JOIN p_ret_res AS g ON m.asset = g.asset AND m.t_idx > g.ka),
+h5 AS (SELECT m.*, coalesce(g.v, 0.0::DOUBLE) AS s_vol FROM h4 AS m ASOF LEFT JOIN p_vol_res AS g ON m.asset = g.asset AND m.t_idx > g.ka),
+meta AS (SELECT r.*, a.outer_fold_id AS fold, a.role, a.pred AS p_ret, b.pred AS p_vol FROM h5 AS r JOIN p_ret AS a USING (asset, bar_ts) JOIN p_vol AS b ON b.asset = a.asset AND b.bar_ts = a.bar_ts AND b.outer_fold_id = a.outer_fold_id AND b.role = a.role),
+tr AS (SELECT m.* FROM meta AS m JOIN folds AS f ON m.fold = f.outer_fold_id AND m.t_idx >= f.train_start AND greatest(m.t_idx + {GAP}, m.label_end_idx) < f.test_start WHERE role = 'oof' AND label_end_idx IS NOT NULL AND {_REQUIRED_THERE}),
+{_solved('tr', _REQUIRED, 'fold')},
+out_ AS (SELECT fold AS outer_fold_id, asset, bar_ts, y, m_y + {' + '.join(f'b_{c} * ({c} - m_{c})' for c in _REQUIRED)} AS pred FROM meta JOIN mom USING (fold) JOIN beta USING (fold) WHERE role = 'test' AND {_REQUIRED_THERE})"""
+
+
 ORACLES: dict[str, str] = {
+    "run_required": f"WITH {REQUIRED} SELECT outer_fold_id, asset, bar_ts, {_rd('y, pred', 4)} FROM out_",
     "scale_per_asset": f"""WITH {_OWN_ROLES}, k AS (SELECT {_OWN_BY}, {', '.join(f'avg({f}) {_TR} AS m_{f}, stddev_samp({f}) {_TR} AS s_{f}' for f in ('ret5', 'vol20'))} FROM roles GROUP BY ALL)
   SELECT asset, bar_ts, outer_fold_id, {', '.join(f'round(({f} - m_{f}) / nullif(s_{f}, 0), 5) + 0.0::DOUBLE AS {f}' for f in ('ret5', 'vol20'))} FROM roles JOIN k USING (asset, outer_fold_id) WHERE split_role = 'test'""",
     "drift_per_asset": f"WITH {_OWN_DRIFT} SELECT asset, outer_fold_id, feature, metric, round(value, 5) + 0.0::DOUBLE AS value, known_at FROM told JOIN known USING (asset, outer_fold_id)",

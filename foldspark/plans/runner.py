@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import time
 from collections.abc import Mapping
 from functools import reduce
 
@@ -25,6 +27,8 @@ from foldspark.sources import files
 from foldspark.sources.bars import with_time_index
 from foldspark.sources.vendors import Vendor
 
+log = logging.getLogger("foldspark.run")
+
 SCOPE = ["outer_fold_id", "split_role"]
 PRED = ["asset", "bar_ts", "t_idx", "outer_fold_id", "split_role", "y", "label_end_idx", "pred", "calibrated"]
 
@@ -50,13 +54,18 @@ class Runner:
         self.contents: dict[str, str] = {}
         self.ids: dict[str, list[str]] = {}
         self.graph = graph
+        log.info("run %s: %d nodes", self.writer.run_id, len(graph.nodes))
         for node in graph.order():
+            start = time.monotonic()
             try:
                 getattr(self, f"_{type(node).__name__}")(node)
             except Exception as e:
+                log.error("run %s: %s failed: %s", self.writer.run_id, node.name, e)
                 self.writer.fail(node.name, e)
                 raise
+            log.info("run %s: %s (%s) in %.1f s", self.writer.run_id, node.name, type(node).__name__, time.monotonic() - start)
         self.writer.finish(self._metrics())
+        log.info("run %s: finished", self.writer.run_id)
         return self.writer.run_id
 
     def _config(self, graph: WorkflowGraph) -> dict:

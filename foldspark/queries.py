@@ -19,7 +19,7 @@ from foldspark.operators.lineage import cut, scratch
 from foldspark.plans.graph import WorkflowGraph
 from foldspark.plans.inspect import Run, load_run
 from foldspark.plans.nodes import DiagnosticNode, TransformNode
-from foldspark.plans.recipes import NestedTuningRecipe, SelectorRecipe, SingleModelRecipe, StackedModelRecipe
+from foldspark.plans.recipes import DiagnosticAwareMetaRecipe, NestedTuningRecipe, SelectorRecipe, SingleModelRecipe, StackedModelRecipe
 from foldspark.plans.runner import Runner
 from foldspark.plans.specs import DiagnosticInputs
 from foldspark.sources import bars as src
@@ -560,6 +560,11 @@ def run_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(_run(spark, sf_dir, recipe), "meta", 4)
 
 
+def run_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The required workflow as users run it: return 40 from inputs, predictions of two base models and the lagged health of both."""
+    return _told(_run(spark, sf_dir, DiagnosticAwareMetaRecipe("events", None, SPEC, inner=INNER)), "meta", 4)
+
+
 def run_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = _run(spark, sf_dir, SelectorRecipe("events", None, SPEC, candidates={"a": tuple(A), "b": tuple(B)}))
     return rounded(run.load_artifact("selected", artifact_type="SelectionArtifact").select("outer_fold_id", "candidate", "score", "n_folds", "rank", "chosen", "weight"), 4)
@@ -588,7 +593,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scale_train_only, clip_train_only, select_topk_corr, grid_inner_scores, grid_best, grid_two_params, grid_by_mae, oof_predictions, meta_required, meta_full, pca_by_fold, logit_by_fold, gbt_by_fold, isotonic, calibrated_by_fold,
         diag_gap, diag_drift_moments, diag_drift_quantile, diag_psi, diag_drift_corr, diag_resid_std, diag_disagreement, diag_coef_stability, diag_calibration, diag_calibration_regression, diag_residual_profile,
         metrics_rank_ic, metrics_classification, derived_resid_std, derived_health, derived_disagreement, project_health, project_by_asset,
-        select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, corr_assets, run_single_model, run_per_asset, scale_per_asset, drift_per_asset, run_nested_tuning, run_stacked, run_selector, lineage,
+        select_best_recent, blend_weights, select_diag_aware, select_regime, blend_predictions, subgroup_rollup, residuals_by_day, compare_feature_sets, corr_assets, run_single_model, run_per_asset, scale_per_asset, drift_per_asset, run_nested_tuning, run_stacked, run_required, run_selector, lineage,
     )
 } | {
     "tgt_fwd_return": _target(tgt.forward_return), "tgt_fwd_vol": _target(tgt.forward_volatility), "tgt_updown": _target(tgt.up_down),

@@ -188,3 +188,22 @@ def test_large_plans_meet_rows_by_buckets(spark, monkeypatch):
         assert "NestedLoop" not in text and "Cartesian" not in text
         assert [told(met.select(*keys)), told(ridge.long_coefs(ridge.fit(rows, plan, q.A), q.A).select("outer_fold_id", "inner_fold_id", "feature", F.round("coef", 8)))] == small
     assert told(tuning.out_of_fold(rows, folds.outer_folds(rows, q.SPEC), q.INNER, q.A).select(*keys[:4], F.round("pred", 8))) == preds
+
+
+def test_ridge_of_inputs_far_from_zero(spark):
+    """Squares of values near 1e9 keep no digit of a spread of 1."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 2)) + [1e9, -3e9]
+    y = x @ [0.5, -2.0] - (0.5e9 + 6e9) + 1.0
+    rows = spark.createDataFrame([(t, t, *map(float, r), float(v)) for t, (r, v) in enumerate(zip(x, y))], "t_idx int, label_end_idx int, a double, b double, y double")
+    plan = spark.createDataFrame([(0, 0, 150, 160, 200)], "outer_fold_id int, train_start int, train_end int, test_start int, test_end int")
+    fit = ridge.fit(rows, plan, ["a", "b"], alphas=[0.0], gap=0)
+    assert fit.first()["coefs"] == pytest.approx([0.5, -2.0], rel=1e-5)
+    out = ridge.predict(rows, plan, fit, ["a", "b"])
+    assert out.filter("abs(pred - y) > 1e-4").isEmpty() and out.count() == 40
+    made = ridge.cells(rows, ["a", "b"], "y", 0)
+    loss = ridge.losses(ridge.fold_sums(made, plan, "test"), fit, ["a", "b"], ["outer_fold_id"]).first()
+    assert loss["n_test"] == 40 and loss["mse"] < 1e-4
+    raw = ridge.fit(rows.withColumns({"a": F.col("a") - 1e9 + 3, "b": F.col("b") + 3e9}), plan, ["a", "b"], alphas=[1.0], gap=0, intercept=False).first()["coefs"]
+    z = (x - [1e9 - 3, -3e9])[:160]
+    assert raw == pytest.approx(np.linalg.solve(z.T @ z + np.eye(2), z.T @ y[:160]).tolist(), rel=1e-6)

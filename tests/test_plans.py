@@ -1,4 +1,6 @@
+import json
 from datetime import timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from foldspark.functions.targets import default_tasks
 from foldspark.operators import leakage
 from foldspark.operators.folds import ValidationSpec
+from foldspark.plans import configs
 from foldspark.plans import nodes as N
 from foldspark.plans.artifacts import ArtifactScope, ArtifactType, GranularityError, ScopedFrame, join_scoped
 from foldspark.plans.graph import GraphError, WorkflowGraph
@@ -266,3 +269,19 @@ def test_walk_bars_source(spark):
     spark.dataSource.register(WalkBars)
     rows = spark.read.format("walk_bars").option("assets", 2).option("bars", 7).load()
     assert rows.count() == 14 and rows.filter("high < low").count() == 0
+
+
+def test_runs_from_configurations(runner, spark, caplog):
+    folder = Path(__file__).resolve().parents[1] / "configs"
+    graphs = {p.stem: configs.read(spark, str(p)).compile() for p in sorted(folder.glob("*.json"))}
+    assert len(graphs) == 4 and graphs["required_workflow"].hash() == required_workflow("events", validation=ValidationSpec(), inner=ValidationSpec(min_train_size=120, test_size=50)).hash()
+    told = json.loads((folder / "per_asset_classifier.json").read_text())
+    told["validation"] |= {"min_train_size": 150, "test_size": 100}
+    told["training"]["selection_validation"] |= {"min_train_size": 60}
+    with caplog.at_level("INFO", "foldspark.run"):
+        run = done(runner, configs.recipe_of(told))
+    assert {r[0] for r in run.load_predictions("model", split_role="test").select("calibrated").distinct().collect()} <= {True, False}
+    assert run.load_predictions("model").filter("pred < 0 or pred > 1").isEmpty() and any("model (ModelNode) in" in r.message for r in caplog.records)
+    for bad in ({"recipe": "None"}, {"recipe": "SelectorRecipe", "source": "x", "colour": 1}, {"recipe": "SingleModelRecipe", "source": "x", "validation": {"size": 3}}):
+        with pytest.raises(ValueError):
+            configs.recipe_of(bad)
