@@ -312,7 +312,7 @@ out_ AS (SELECT fold AS outer_fold_id, asset, bar_ts, y, m_y + {' + '.join(f'b_{
 
 
 ORACLES: dict[str, str] = {
-    "run_required": f"WITH {REQUIRED} SELECT outer_fold_id, asset, bar_ts, {_rd('y, pred', 4)} FROM out_",
+    "run_required": f"WITH {REQUIRED}, m AS (SELECT outer_fold_id, {_METRICS} FROM out_ WHERE y IS NOT NULL GROUP BY 1) SELECT outer_fold_id, n, {_rd('rmse, mae, ic, hit_rate', 2)}, {_rd('r2', 1)} FROM m",
     "scale_per_asset": f"""WITH {_OWN_ROLES}, k AS (SELECT {_OWN_BY}, {', '.join(f'avg({f}) {_TR} AS m_{f}, stddev_samp({f}) {_TR} AS s_{f}' for f in ('ret5', 'vol20'))} FROM roles GROUP BY ALL)
   SELECT asset, bar_ts, outer_fold_id, {', '.join(f'round(({f} - m_{f}) / nullif(s_{f}, 0), 5) + 0.0::DOUBLE AS {f}' for f in ('ret5', 'vol20'))} FROM roles JOIN k USING (asset, outer_fold_id) WHERE split_role = 'test'""",
     "drift_per_asset": f"WITH {_OWN_DRIFT} SELECT asset, outer_fold_id, feature, metric, round(value, 5) + 0.0::DOUBLE AS value, known_at FROM told JOIN known USING (asset, outer_fold_id)",
